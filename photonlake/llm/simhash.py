@@ -9,6 +9,7 @@ it is past the radius. Each bucket hands on a spanning forest of its links, neve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -65,7 +66,9 @@ def block_tables(n: int, radius: int, per_bucket: int = 64) -> list[int]:
 
 
 def linked_in_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of positions within the radius, shift by shift. fps: unsigned, sorted by bucket."""
+    """Pairs of positions within the radius, shift by shift. fps: unsigned, one or a row of them for each position, sorted by bucket."""
+    fps = fps.reshape(len(bucket), -1)
+    bits_in_all = BITS * fps.shape[1]
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     sizes = np.diff(np.append(starts, len(bucket)))
     place = np.arange(len(bucket))
@@ -83,9 +86,8 @@ def linked_in_buckets(fps: np.ndarray, bucket: np.ndarray, radius: int) -> Itera
         planes_of: dict[int, list[int]] = {}
         for at in range(0, len(fps), BLOCK):
             far = min(len(fps), at + BLOCK + until)
-            raw = fps[at:far].astype(">u8").view(np.uint8).reshape(-1, 8)
-            bits = np.unpackbits(raw, axis=1)
-            planes_of[at] = [int.from_bytes(np.packbits(bits[:, b], bitorder="little").tobytes(), "little") for b in range(BITS)]
+            bits = np.unpackbits(np.ascontiguousarray(fps[at:far]).view(np.uint8).reshape(far - at, -1), axis=1)
+            planes_of[at] = [int.from_bytes(np.packbits(bits[:, b], bitorder="little").tobytes(), "little") for b in range(bits_in_all)]
         for r in range(shift, until):
             for at, planes in planes_of.items():
                 count = min(BLOCK, len(fps) - at - r)
@@ -143,51 +145,52 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 
 def links(classes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v) between fingerprints, u > v: per bucket a spanning forest of the pairs within the radius."""
+    """Edges (u, v) between fingerprints (column fp of classes), u > v: per bucket a spanning forest of the pairs within the radius."""
     n = classes.count()
     if n < 2:
         return classes.sparkSession.createDataFrame([], "u long, v long")
     masks = block_tables(n, radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
-    rows = classes.select("fp", F.explode(tables).alias("b")).select("fp", "b.t", "b.key")
-    sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
+    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks)])
+    rows = classes.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("print"), F.explode(tables).alias("key"))
+    return linked(rows, radius, chunk)
+
+
+def linked(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) between nodes that share a key and whose fingerprints are within the radius: for each key a spanning forest. rows: node long, print
+    binary (as long for every row, whole 8-byte words), key long. A key of over `chunk` rows is dealt out as pairs of chunks."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     large = kept(sizes.filter(F.col("n") > chunk), "large")
     parts = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), parts).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     # A row of chunk c goes to the tasks (c, 0..c) and (c.., c): one for each other chunk, and one for its own.
-    dealt = rows.join(large, ["t", "key"], "left").withColumn("parts", parts).withColumn("own", own)
+    dealt = rows.join(large, "key", "left").withColumn("parts", parts).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task = F.struct("t", "key", F.greatest("own", "other").alias("hi"), F.least("own", "other").alias("lo"))
-    keyed = dealt.select("fp", F.xxhash64(task).alias("task"), task.alias("id"))
-    # Task ids are hashed to one long. Should two meet, some pairs are compared that no bucket asks for; links are checked by distance, so that is harmless.
-    spread = keyed.select("fp", "task").repartition("task").sortWithinPartitions("task", "fp")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        rows_held = 0
+    # Keys and tasks are hashed to longs. Should two meet, some pairs are compared that no bucket asks for; links are checked by distance, so that is harmless.
+    task = F.xxhash64("key", F.greatest("own", "other"), F.least("own", "other"))
+    spread = dealt.select("node", "print", task.alias("task")).repartition("task").sortWithinPartitions("task", "node")
 
-        def done(fp: np.ndarray, task: np.ndarray) -> pa.RecordBatch:
-            root = forest(len(fp), linked_in_buckets(fp.view(np.uint64), task, radius))
-            child = np.flatnonzero(root != np.arange(len(fp)))
-            a, b = fp[child], fp[root[child]]
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+    def done(node: np.ndarray, task: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
+        root = forest(len(node), linked_in_buckets(np.frombuffer(b"".join(prints), dtype=np.uint64), task, radius))
+        child = np.flatnonzero(root != np.arange(len(node)))
+        a, b = node[child], node[root[child]]
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, tasks, prints = np.array([], dtype=np.int64), np.array([], dtype=np.int64), []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            rows_held += batch.num_rows
-            if rows_held < 65536:
+            nodes = np.concatenate((nodes, batch.column(0).to_numpy()))
+            tasks = np.concatenate((tasks, batch.column(2).to_numpy()))
+            prints += batch.column(1).to_pylist()
+            if len(nodes) < 65536:
                 continue
-            fp, task = (np.concatenate(x) for x in zip(*held))
-            cut = int(np.searchsorted(task, task[-1]))  # the last bucket may go on in the next batch
+            cut = int(np.searchsorted(tasks, tasks[-1]))  # the last bucket may go on in the next batch
             if cut:
-                yield done(fp[:cut], task[:cut])
-            held, rows_held = [(fp[cut:], task[cut:])], len(fp) - cut
-        if rows_held:
-            yield done(*(np.concatenate(x) for x in zip(*held)))
+                yield done(nodes[:cut], tasks[:cut], prints[:cut])
+            nodes, tasks, prints = nodes[cut:], tasks[cut:], prints[cut:]
+        if len(nodes):
+            yield done(nodes, tasks, prints)
 
-    return spread.mapInArrow(compare, "u long, v long").distinct()
+    return spread.mapInArrow(compare, "u long, v long").filter("u > v").distinct()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -225,6 +228,62 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     return fps.join(whole, "fp").select("id", "fp", "component_id")
 
 
+#: Words of 64 bits in the long fingerprints of near_copies, and least shingles by which texts come together.
+LONG_WORDS, LEAST = 8, 6
+_MIX = np.array([signed((0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 >> k) & (1 << 64) - 1 | 1) for k in range(LONG_WORDS + LEAST)], dtype=np.int64).view(np.uint64)
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of each hash."""
+    x = hashes * _MIX[k]
+    x ^= x >> np.uint64(29)
+    x *= _MIX[(k + 5) % len(_MIX)]
+    return x ^ x >> np.uint64(32)
+
+
+def long_fingerprint(text: bytes | None, words: int = 5) -> tuple[bytes, list[int]]:
+    """A fingerprint of 512 bits over word shingles, and the text's least shingle under each of six hashes (0 without words)."""
+    w = ascii_lower_words(text)
+    if not w:
+        return bytes(8 * LONG_WORDS), [0]
+    digest, n = xxhash.xxh64_intdigest, max(1, len(w) - words + 1)
+    votes, least = np.zeros(BITS * LONG_WORDS, dtype=np.int64), np.full(LEAST, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, n, 16384):
+        h = np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(at, min(at + 16384, n))], dtype=np.uint64)
+        for k in range(LONG_WORDS):
+            votes[BITS * k : BITS * (k + 1)] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        least = np.minimum(least, [_mixed(h, LONG_WORDS + k).min() for k in range(LEAST)])
+    return np.packbits(votes * 2 > n).tobytes(), [signed(int(x)) ^ k for k, x in enumerate(least)]
+
+
+def long_radius(similarity: float) -> int:
+    """Bits by which the long fingerprints of texts of this Jaccard similarity differ, with one and a half standard deviations to spare."""
+    bits = BITS * LONG_WORDS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """id and component_id (the smallest id reachable over links) of every row with an id.
+
+    Texts link if they share one of their least shingles (those of Jaccard similarity 0.8 do but for 1 in 15,000) and their long SimHash fingerprints are
+    as near as texts of that similarity are. 64 bits would not do: at a similarity of 0.8 they differ by ten, and blocks of bits that ten differences
+    leave alone are too short to tell texts apart. Texts without words are copies of one another.
+    """
+    slim = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text"))
+
+    def rows(part):
+        made = [long_fingerprint(t, words) for t in part["text"]]
+        yield {"id": part["id"], "print": [p for p, _ in made], "least": [x for _, x in made]}
+
+    prints = kept(map_rows(slim, rows, "id long, print binary, least array<long>", slices=200), "prints")
+    classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("least").alias("least")), "classes")
+    found = linked(classes.select("node", "print", F.explode("least").alias("key")), long_radius(similarity))
+    grouped = kept(components(found).select("node", F.col("root").alias("component_id")), "components")
+    whole = kept(classes.select("print", "node").join(grouped, "node", "left").select("print", F.coalesce("component_id", "node").alias("component_id")), "classes")
+    return prints.join(whole, "print").select("id", "component_id")
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -234,11 +293,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows with a null id stay. Repeated rows of that id stay once."""
-    found = near_duplicates(docs, id, text, words, radius)
-    stay = found.filter("id = component_id").select(F.col("id").alias("__id")).distinct()
-    rows = docs.join(kept(stay, "stay"), F.col(id).cast("long") == F.col("__id"), "left_semi")
-    if docs.columns:
-        rows = rows.dropDuplicates([id])
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each component, the one with the smallest id; rows with a null id stay, and rows of one id are one document."""
+    stay = near_copies(docs, id, text, words, similarity).filter("id = component_id").select(F.col("id").alias("__id")).distinct()
+    rows = docs.join(kept(stay, "stay").hint("merge"), F.col(id).cast("long") == F.col("__id"), "left_semi")
     return rows.unionByName(docs.filter(F.col(id).isNull()))

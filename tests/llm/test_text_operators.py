@@ -130,7 +130,7 @@ def test_block_tables_cover_all_pairs():
 
 def test_near_duplicates_leave_one_of_each_group(spark):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (2, "quite another text here"), (None, "a b c d e")]
-    out = simhash.drop_near_duplicates(docs_of(spark, rows))
+    out = simhash.drop_near_copies(docs_of(spark, rows))
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 2] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert simhash.simhash_components(docs_of(spark, [])).count() == 0
 
