@@ -147,3 +147,21 @@ def nearest_frame(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each (file_name, seconds) the image of the file's frame nearest in time, the earlier of two as near."""
     both = wanted.join(frames.select("file_name", "timestamp_sec", "image_file"), "file_name")
     return both.groupBy("file_name", "seconds").agg(F.min_by("image_file", F.struct(F.abs(F.col("timestamp_sec") - F.col("seconds")), "timestamp_sec")).alias("image_file"))
+
+
+def seed_frames(frames: DataFrame, seed: str, groups: DataFrame, similar: DataFrame) -> DataFrame:
+    """Frames of images of one person: those of the seed, of the files grouped with it (groups: node, root), and of the images similar to any of
+    them (similar: master, file_name, is_video)."""
+    one = frames.sparkSession.createDataFrame([(seed,)], "file_name string")
+    root = groups.filter(F.col("node") == seed).select("root").distinct()
+    members = one.unionByName(groups.join(F.broadcast(root), "root", "left_semi").select(F.col("node").alias("file_name"))).distinct()
+    like = similar.filter(~F.coalesce("is_video", F.lit(False))).join(members.withColumnRenamed("file_name", "master"), "master", "left_semi").select("file_name")
+    return frames.join(members.unionByName(like).distinct(), "file_name", "left_semi").filter("NOT is_video")
+
+
+def pair_metrics(pairs: DataFrame, least: int = 10, least_ratio: float = 0.75) -> DataFrame:
+    """pairs (keypoints_a, keypoints_b, good, inliers) with ratio (inliers of good matches), score (inliers of the fewer keypoints) and ok."""
+    fewer = F.least("keypoints_a", "keypoints_b")
+    ratio = F.when(F.col("good") > 0, F.col("inliers") / F.col("good")).otherwise(0.0)
+    score = F.when(fewer > 0, F.col("inliers") / fewer).otherwise(0.0)
+    return pairs.withColumns({"ratio": ratio, "score": score}).withColumn("ok", (F.col("inliers") >= least) & (F.col("ratio") >= least_ratio))

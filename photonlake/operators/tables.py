@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,3 +127,28 @@ def normal_index(index: DataFrame) -> DataFrame:
     from photonlake.functions.hashes import normalized_hash
 
     return index.withColumn("phash_hex", normalized_hash(F.col("phash_hex"))).withColumn("video_frame_phashes", groups.frame_hashes(F.col("video_frame_phashes"))).withColumn("cross_media_matches", groups.normal_links(F.col("cross_media_matches")))
+
+
+def write_sorted(table: DataFrame, path: str, key: str) -> None:
+    """Write a table in ranges of its key, sorted within files: lookups by key read few of them."""
+    table.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+
+
+def publish(table: DataFrame, path: str, check: Callable[[DataFrame], bool] = lambda df: True) -> None:
+    """Write a table beside its place, check it, and put it there by renaming; the one before goes once the new one stands. Raises ValueError
+    if the check fails, and then leaves everything as it was."""
+    spark = table.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    new, old = f"{path}.partial-{uuid.uuid4().hex}", f"{path}.before-{uuid.uuid4().hex}"
+    place, fresh, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old))
+    fs = place.getFileSystem(conf)
+    table.write.parquet(new)
+    if not check(spark.read.parquet(new)):
+        fs.delete(fresh, True)
+        raise ValueError("the new table failed its check")
+    if fs.exists(place) and not fs.rename(place, gone):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(fresh, place):
+        fs.rename(gone, place)
+        raise OSError(f"{new} can't be moved")
+    fs.delete(gone, True)
