@@ -206,9 +206,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text", ids: str
     with open(vocabulary, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
     others = [c for c in docs.columns if c not in (ids, decoded)]
-    schema = docs.select(*others).schema.add(ids, T.ArrayType(T.IntegerType()))
-    if decoded:
-        schema = schema.add(decoded, T.StringType())
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    schema = T.StructType([*docs.select(*others).schema.fields, *new])
 
     def rows(part):
         codec = of(sent.value)

@@ -151,7 +151,7 @@ def _scan_joined(docs: DataFrame, benchmark: DataFrame, size: int, finish, schem
         yield part | {"__key": [xxhash.xxh3_128_digest(t or b"") for t in part["__text"]]}
 
     source = docs.withColumn("__text", text_bytes("text"))
-    keyed = map_rows(source, digest, source.schema.add("__key", T.BinaryType()))
+    keyed = map_rows(source, digest, T.StructType([*source.schema.fields, T.StructField("__key", T.BinaryType())]))
     hits = kept(_joined(docs, benchmark, size), "hits").withColumnRenamed("key", "__key")
 
     def rows(part):
