@@ -36,7 +36,7 @@ def src2_viewed(spark, d):
 @query("SELECT file AS path FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS file)")
 def src3_flat(spark, d):
     """Names in one folder, in order."""
-    rows = listing.listed(spark, d, recursive=False) if not _nested(spark, d) else listing.listed(spark, d)
+    rows = listing.listed(spark, d, recursive=_nested(spark, d))
     return rows.select(F.regexp_extract("path", r"([^/]+[.]parquet)(?:/[^/]*)?$", 1).alias("path")).filter("path <> ''").distinct().orderBy("path")
 
 

@@ -14,11 +14,11 @@ VIEWED = tuple(x for x in (*INDEXED, *paths.VIEWED_EXTRA) if x != "tif")
 
 def listed(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """path, size and mtime (microseconds) of the files below a folder, or just in it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if not recursive:
-        files = files.option("pathGlobFilter", "*")
-    where = root if recursive else root.rstrip("/") + "/*"
-    return files.load(where).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"))
+    top = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root if recursive else top + "/*")
+    rows = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime_us"))
+    # A pattern also reaches into folders that it matches.
+    return rows if recursive else rows.filter(F.regexp_replace("path", "/[^/]*$", "").endswith(top.rsplit("/", 1)[-1]))
 
 
 def media(files: DataFrame, kinds: tuple[str, ...] = INDEXED) -> DataFrame:
