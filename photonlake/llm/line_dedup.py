@@ -66,7 +66,9 @@ def _kept_lines(text: bytes | None, drop: list[dict] | None, min_chars: int) ->
 
 def _with_drop(docs: DataFrame, id: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
     drop = kept(dropped_keys(docs, id, text, min_chars, min_docs), "drop")
-    return docs.join(drop.withColumnRenamed("id", "__drop_id").withColumnRenamed("drop", "__drop"), F.col(id).eqNullSafe(F.col("__drop_id")), "left").drop("__drop_id")
+    # Merged at every size: a broadcast of short lists would give way to this anyway as the corpus grows.
+    lists = drop.withColumnRenamed("id", "__drop_id").withColumnRenamed("drop", "__drop").hint("merge")
+    return docs.join(lists, F.col(id).eqNullSafe(F.col("__drop_id")), "left").drop("__drop_id")
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, n_chars: str | None = None) -> DataFrame:
