@@ -94,23 +94,35 @@ def join12_pairs(spark, d):
     return duplicates.selection_pairs(FILES.df(spark, d).filter("doc_id < 20"))
 
 
+def _greedy(where: str, order: str, most: int, free: str = "FALSE") -> str:
+    """The same grouping, file after file."""
+    return f"""{WITH}, items AS (SELECT file_name, h, {free} AS free, row_number() OVER (ORDER BY {order}) AS place FROM files WHERE {where}),
+    near AS (SELECT a.place, b.place AS spot, b.file_name AS match, bit_count(xor(a.h, b.h)) AS d FROM items a JOIN items b ON b.place < a.place AND bit_count(xor(a.h, b.h)) <= {most}),
+    around AS (SELECT i.place, i.free, coalesce(list(n.spot) FILTER (WHERE n.spot IS NOT NULL), []) AS nears FROM items i LEFT JOIN near n ON n.place = i.place GROUP BY ALL),
+    run AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS masters UNION ALL SELECT a.place, CASE WHEN a.free OR len(list_intersect(r.masters, a.nears)) = 0 THEN list_append(r.masters, a.place) ELSE r.masters END FROM run r JOIN around a ON a.place = r.place + 1),
+    heads AS (SELECT unnest(masters) AS place FROM (SELECT max_by(masters, place) AS masters FROM run)),
+    best AS (SELECT n.place, min(struct_pack(d := n.d, match := n.match)) AS m FROM near n JOIN heads h ON h.place = n.spot GROUP BY n.place)
+    SELECT i.file_name, h.place IS NOT NULL AS is_master, CASE WHEN h.place IS NULL THEN b.m.match END AS match, CASE WHEN h.place IS NULL THEN {PCT.format('b.m.d')} END AS similarity_pct
+    FROM items i LEFT JOIN heads h ON h.place = i.place LEFT JOIN best b ON b.place = i.place"""
+
+
 ORDER = "greatest(image_width, image_height) DESC, CAST(image_width AS BIGINT) * image_height DESC, source_size DESC, file_name"
 
 
-@query()
+@query(_greedy("NOT is_video", ORDER, 3, "doc_id % 13 = 0"))
 def agg2_leader(spark, d):
-    """Greedy grouping of images, some of which are never demoted. Held against a sequential run in the tests; its SQL would take minutes."""
+    """Greedy grouping of images, some of which are never demoted."""
     rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
     return hamming.leaders(rows.withColumn("busy", F.col("doc_id") % 13 == 0), 95.0, "busy")
 
 
-@query()
+@query(_greedy("NOT is_video", ORDER, 3))
 def agg3_image_groups(spark, d):
     rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
     return hamming.leaders(rows, 95.0)
 
 
-@query()
+@query(_greedy("is_video", "file_name", 12))
 def agg4_video_groups(spark, d):
     """Greedy grouping of videos in the order of their names."""
     from pyspark.sql import Window
@@ -494,6 +506,22 @@ def agg24_distinct_vectors(spark, d):
     return FILES.df(spark, d).select("file_name", F.transform(fold, lambda v: F.get(v, F.lit(0))).alias("kept"))
 
 
+@query("SELECT o_custkey, max_by(o_orderkey, struct_pack(a := o_totalprice, b := o_orderkey)) AS best FROM orders GROUP BY o_custkey")
+def agg1_best_per_key(spark, d):
+    """The best row of each key, by partial and final aggregation."""
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"))
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type) WHERE n <= 20")
+def topk6_history(spark, d):
+    """The last twenty searches of each user, without repeats in a row (a ring by design)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type").withColumn("before", F.lag("event_type").over(w)).filter(~F.col("before").eqNullSafe(F.col("event_type")))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("event_id").desc()))).filter("n <= 20").select("user_id", "event_id", "event_type")
+
+
 @query("SELECT source AS k, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
 def agg25_repeated_keys(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
