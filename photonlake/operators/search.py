@@ -66,17 +66,22 @@ def search_any(frames: DataFrame, queries: list[list[float]], min_score: float =
 
 def vector_at(frames: DataFrame, file_name: str, seconds: float) -> list[float] | None:
     """The vector of a file's frame nearest to a time, the earlier one of two as near; None without frames."""
-    near = frames.filter(F.col("file_name") == file_name).agg(F.min_by("vector", F.struct(F.abs(F.col("timestamp_sec") - seconds), "timestamp_sec")).alias("v")).first()
-    return near.v
+    near = _frame_at(frames, file_name, seconds)
+    return near.vector if near else None
+
+
+def _frame_at(frames: DataFrame, file_name: str, seconds: float):
+    nearest = F.min_by(F.struct("timestamp_sec", "vector"), F.struct(F.abs(F.col("timestamp_sec") - seconds), "timestamp_sec"))
+    return frames.filter(F.col("file_name") == file_name).agg(nearest.alias("f")).first().f
 
 
 def more_like(frames: DataFrame, file_name: str, seconds: float, min_score: float = 0.0) -> DataFrame:
-    """Search by a file's own frame; the file itself comes first with score 1 and is no other result."""
-    vector = vector_at(frames, file_name, seconds)
-    if vector is None:
+    """Search by a file's own frame; the file itself comes first with that frame and score 1 and is no other result."""
+    frame = _frame_at(frames, file_name, seconds)
+    if frame is None:
         return search(frames.limit(0), [0.0], min_score)
-    others = search(frames, vector, min_score).filter(F.col("file_name") != file_name).drop("rank")
-    seed = frames.filter(F.col("file_name") == file_name).select("file_name", "is_video", F.lit(float(seconds)).alias("timestamp_sec"), F.lit(1.0).alias("score")).limit(1)
+    others = search(frames, list(frame.vector), min_score).filter(F.col("file_name") != file_name).drop("rank")
+    seed = frames.filter(F.col("file_name") == file_name).select("file_name", "is_video", F.lit(float(frame.timestamp_sec)).alias("timestamp_sec"), F.lit(1.0).alias("score")).limit(1)
     first = seed.withColumn("rank", F.lit(1))
     return first.unionByName(ranked(others).withColumn("rank", F.col("rank") + 1))
 
