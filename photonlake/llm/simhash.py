@@ -25,6 +25,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of a bucket compared by one task; larger buckets are dealt out as pairs of chunks.
 CHUNK = 4096
+#: Bytes of shingles held together by one task; a bucket of more is dealt out as pairs of chunks.
+CHECK_BYTES = 16 << 20
 #: Positions whose bit planes are compared together.
 BLOCK = 16384
 
@@ -155,25 +157,35 @@ def links(classes: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
     return linked(rows, radius, chunk)
 
 
-def linked(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v) between nodes that share a key and whose fingerprints are within the radius: for each key a spanning forest. rows: node long, print
-    binary (as long for every row, whole 8-byte words), key long. A key of over `chunk` rows is dealt out as pairs of chunks."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    large = kept(sizes.filter(F.col("n") > chunk), "large")
-    parts = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
+def dealt(rows: DataFrame, limit: int, weight: Column | None = None) -> DataFrame:
+    """rows (with node and key) with the task, a long, that compares each. A key whose weights (1 for each row unless given) pass `limit` is dealt out as
+    pairs of chunks, so that any two of its rows meet in a task and no task holds much more than two chunks."""
+    sizes = rows.groupBy("key").agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    large = kept(sizes.filter(F.col("n") > limit), "large")
+    parts = F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     # A row of chunk c goes to the tasks (c, 0..c) and (c.., c): one for each other chunk, and one for its own.
-    dealt = rows.join(large, "key", "left").withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = rows.join(large, "key", "left").withColumn("parts", parts).withColumn("own", own)
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # Keys and tasks are hashed to longs. Should two meet, some pairs are compared that no bucket asks for; links are checked by distance, so that is harmless.
-    task = F.xxhash64("key", F.greatest("own", "other"), F.least("own", "other"))
-    spread = dealt.select("node", "print", task.alias("task")).repartition("task").sortWithinPartitions("task", "node")
+    return out.withColumn("task", F.xxhash64("key", F.greatest("own", "other"), F.least("own", "other"))).drop("n", "parts", "own", "other")
+
+
+def linked(rows: DataFrame, radius: int, chunk: int = CHUNK, sure: int | None = None) -> DataFrame:
+    """Edges (u, v) between nodes that share a key and whose fingerprints are within the radius: for each key a spanning forest. rows: node long, print
+    binary (as long for every row, whole 8-byte words), key long. A key of over `chunk` rows is dealt out as pairs of chunks. With `sure`, a smaller radius,
+    there are two forests: column sure is true in that of the pairs within it."""
+    spread = dealt(rows.select("node", "print", "key"), chunk).select("node", "print", "task").repartition("task").sortWithinPartitions("task", "node")
+
+    radii = [radius] if sure is None else [radius, sure]
 
-    def done(node: np.ndarray, task: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
-        root = forest(len(node), linked_in_buckets(np.frombuffer(b"".join(prints), dtype=np.uint64), task, radius))
-        child = np.flatnonzero(root != np.arange(len(node)))
-        a, b = node[child], node[root[child]]
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
+    def done(node: np.ndarray, task: np.ndarray, prints: list[bytes]) -> Iterator[pa.RecordBatch]:
+        fps = np.frombuffer(b"".join(prints), dtype=np.uint64)
+        for r in radii:
+            root = forest(len(node), linked_in_buckets(fps, task, r))
+            child = np.flatnonzero(root != np.arange(len(node)))
+            a, b = node[child], node[root[child]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(np.full(len(a), r == sure))], names=["u", "v", "sure"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, tasks, prints = np.array([], dtype=np.int64), np.array([], dtype=np.int64), []
@@ -185,12 +197,13 @@ def linked(rows: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
                 continue
             cut = int(np.searchsorted(tasks, tasks[-1]))  # the last bucket may go on in the next batch
             if cut:
-                yield done(nodes[:cut], tasks[:cut], prints[:cut])
+                yield from done(nodes[:cut], tasks[:cut], prints[:cut])
             nodes, tasks, prints = nodes[cut:], tasks[cut:], prints[cut:]
         if len(nodes):
-            yield done(nodes, tasks, prints)
+            yield from done(nodes, tasks, prints)
 
-    return spread.mapInArrow(compare, "u long, v long").filter("u > v").distinct()
+    found = spread.mapInArrow(compare, "u long, v long, sure boolean").filter("u > v")
+    return found.distinct() if sure is not None else found.select("u", "v").distinct()
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
@@ -256,18 +269,77 @@ def long_fingerprint(text: bytes | None, words: int = 5) -> tuple[bytes, list[in
     return np.packbits(votes * 2 > n).tobytes(), [signed(int(x)) ^ k for k, x in enumerate(least)]
 
 
-def long_radius(similarity: float) -> int:
-    """Bits by which the long fingerprints of texts of this Jaccard similarity differ, with one and a half standard deviations to spare."""
+def long_radius(similarity: float, deviations: float) -> int:
+    """Bits by which the long fingerprints of texts of this Jaccard similarity differ, and so many standard deviations more."""
     bits = BITS * LONG_WORDS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    return max(0, math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
+
 
+def shingle_set(text: bytes | None, words: int = 5) -> bytes:
+    """Sorted distinct hashes of a text's shingles."""
+    w = ascii_lower_words(text)
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n)).tobytes()
+
+
+def as_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two shingle sets have this Jaccard similarity or more; both empty: yes."""
+    small, large = sorted((len(a) // 8, len(b) // 8))
+    if small < similarity * large:
+        return False
+    both = len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True))
+    return both >= similarity * (small + large - both)
+
+
+def checked_links(rows: DataFrame, radius: int, similarity: float, limit: int = CHECK_BYTES) -> DataFrame:
+    """Edges (u, v) between components that some pair of rows links: they share a key, their prints are within the radius, and their shingle sets have the
+    similarity. rows: node, print, key, component long, shingles binary. A pair is compared only while its components aren't linked in the task."""
+    tasks = dealt(rows, limit, F.length("shingles") + F.lit(64)).select("task", "component", "print", "shingles").repartition("task").sortWithinPartitions("task", "component")
+
+    def done(task: np.ndarray, component: np.ndarray, prints: list[bytes], sets: list[bytes]) -> pa.RecordBatch:
+        above: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while above.get(c, c) != c:
+                c = above[c]
+            return c
+
+        edges = []
+        for a, b in linked_in_buckets(np.frombuffer(b"".join(prints), dtype=np.uint64), task, radius):
+            apart = component[a] != component[b]
+            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+                x, y = top(int(component[i])), top(int(component[j]))
+                if x != y and as_similar(sets[i], sets[j], similarity):
+                    above[max(x, y)] = min(x, y)
+                    edges.append((max(x, y), min(x, y)))
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size > limit and row[0] != held[-1][0]:
+                    yield finish(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3]) + 64
+        if held:
+            yield finish(held)
+
+    def finish(held: list[tuple]) -> pa.RecordBatch:
+        task, component, prints, sets = zip(*held)
+        return done(np.array(task, dtype=np.int64), np.array(component, dtype=np.int64), list(prints), list(sets))
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    return tasks.mapInArrow(check, "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
     """id and component_id (the smallest id reachable over links) of every row with an id.
 
-    Texts link if they share one of their least shingles (those of Jaccard similarity 0.8 do but for 1 in 15,000) and their long SimHash fingerprints are
-    as near as texts of that similarity are. 64 bits would not do: at a similarity of 0.8 they differ by ten, and blocks of bits that ten differences
+    Texts come together if they share one of their least shingles (those of Jaccard similarity 0.8 do but for 1 in 15,000). Where their long SimHash
+    fingerprints leave no doubt (2.5 standard deviations nearer than at that similarity, or 5 farther), these decide; components that only pairs in between
+    could link are held together shingle by shingle. 64 bits would not do: at a similarity of 0.8 they differ by ten, and blocks of bits that ten differences
     leave alone are too short to tell texts apart. Texts without words are copies of one another.
     """
     slim = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text"))
@@ -276,10 +348,31 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
         made = [long_fingerprint(t, words) for t in part["text"]]
         yield {"id": part["id"], "print": [p for p, _ in made], "least": [x for _, x in made]}
 
+    def sets(part):
+        yield {"node": part["id"], "print": [long_fingerprint(t, words)[0] for t in part["text"]], "shingles": [shingle_set(t, words) for t in part["text"]]}
+
     prints = kept(map_rows(slim, rows, "id long, print binary, least array<long>", slices=200), "prints")
     classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("least").alias("least")), "classes")
-    found = linked(classes.select("node", "print", F.explode("least").alias("key")), long_radius(similarity))
-    grouped = kept(components(found).select("node", F.col("root").alias("component_id")), "components")
+    near, far = long_radius(similarity, -2.5), long_radius(similarity, 5)
+    found = kept(linked(classes.select("node", "print", F.explode("least").alias("key")), far, chunk, sure=near), "found")
+    edges = found.filter("sure").select("u", "v")
+
+    # Components of sure links that a pair in doubt may link to another, with the shingles of their texts.
+    tied = kept(components(edges).select("node", F.col("root").alias("component")), "sure")
+    doubt = found.filter("NOT sure").select("u", "v")
+    for c in ("u", "v"):
+        doubt = doubt.join(tied.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    doubt = doubt.filter("u_in <> v_in")
+    doubtful = kept(doubt.select(F.explode(F.array("u_in", "v_in")).alias("component")).distinct(), "doubtful")
+    open = classes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")).join(doubtful, "component", "left_semi")
+    open = kept(open.select("node", "print", "component", F.explode("least").alias("key")), "open")
+    busy = open.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
+    texts = slim.join(kept(open.select(F.col("node").alias("id")).distinct(), "ids"), "id", "left_semi")
+    shingles = map_rows(texts, sets, "node long, print binary, shingles binary", slices=200).groupBy("node", "print").agg(F.first("shingles").alias("shingles"))
+    held = kept(open.join(busy, "key", "left_semi").join(shingles, ["node", "print"]), "held")
+    edges = edges.unionByName(checked_links(held, far, similarity, limit))
+
+    grouped = kept(components(edges).select("node", F.col("root").alias("component_id")), "components")
     whole = kept(classes.select("print", "node").join(grouped, "node", "left").select("print", F.coalesce("component_id", "node").alias("component_id")), "classes")
     return prints.join(whole, "print").select("id", "component_id")
 

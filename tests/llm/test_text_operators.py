@@ -135,6 +135,46 @@ def test_near_duplicates_leave_one_of_each_group(spark):
     assert simhash.simhash_components(docs_of(spark, [])).count() == 0
 
 
+def shingles_of(text, words=5):
+    w = lower(text or "").split()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def brute_near_copies(rows, similarity=0.8):
+    """Groups of linked rows, each as the smallest id reachable, by comparing all pairs."""
+    sets = [shingles_of(t) for _, t in rows]
+    comp = [i for i, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if rows[i][0] == rows[j][0] or not a and not b or len(a & b) >= similarity * len(a | b) > 0:
+                x, y = comp[i], comp[j]
+                comp = [min(x, y) if c in (x, y) else c for c in comp]
+    return {(i, c) for (i, _), c in zip(rows, comp)}
+
+
+@pytest.mark.parametrize("chunk,limit", [(4096, 16 << 20), (8, 4096)])
+def test_near_copies_are_those_of_the_similarity(spark, chunk, limit):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for k in range(8):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 120, 400]))]
+        rows.append((100 * k, " ".join(base)))
+        for c in range(1, 25):
+            w = list(base)
+            at = rng.randrange(len(w))
+            # One run of words is changed: the share of changed shingles is spread over both sides of the similarity.
+            for i in range(at, min(len(w), at + rng.randrange(1, len(w) // 4))):
+                w[i] = rng.choice(words)
+            rows.append((100 * k + c, " ".join(w)))
+    rows += [(900, None), (901, ""), (902, " \t"), (903, "one two"), (904, "ONE two"), (905, "one two three")]
+    got = {tuple(r) for r in simhash.near_copies(docs_of(spark, rows), chunk=chunk, limit=limit).collect()}
+    want = brute_near_copies(rows)
+    assert got == want
+    assert 20 < len({c for _, c in want}) < len(rows) - 20  # the fixture has texts on both sides
+
+
 BENCH = [(1, " ".join(f"t{i}" for i in range(20))), (2, "short item only"), (3, None), (4, "..."), (5, " ".join(f"t{i}" for i in range(20))), (30, " ".join(f"ü{i}" for i in range(13)))]
 
 
