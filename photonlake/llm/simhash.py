@@ -9,8 +9,8 @@ it is past the radius. Each bucket hands on a spanning forest of its links, neve
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
@@ -241,136 +241,144 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     return fps.join(whole, "fp").select("id", "fp", "component_id")
 
 
-#: Words of 64 bits in the long fingerprints of near_copies, and least shingles by which texts come together.
-LONG_WORDS, LEAST = 8, 6
-_MIX = np.array([signed((0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 >> k) & (1 << 64) - 1 | 1) for k in range(LONG_WORDS + LEAST)], dtype=np.int64).view(np.uint64)
+#: Least shingles by which the texts of near_copies come together.
+LEAST = 6
+_MIX = np.array([signed((0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 >> k) & (1 << 64) - 1 | 1) for k in range(2 * LEAST)], dtype=np.int64).view(np.uint64)
 
 
 def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     """Another hash of each hash."""
     x = hashes * _MIX[k]
     x ^= x >> np.uint64(29)
-    x *= _MIX[(k + 5) % len(_MIX)]
+    x *= _MIX[k + LEAST]
     return x ^ x >> np.uint64(32)
 
 
-def long_fingerprint(text: bytes | None, words: int = 5) -> tuple[bytes, list[int]]:
-    """A fingerprint of 512 bits over word shingles, and the text's least shingle under each of six hashes (0 without words)."""
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
     w = ascii_lower_words(text)
-    if not w:
-        return bytes(8 * LONG_WORDS), [0]
-    digest, n = xxhash.xxh64_intdigest, max(1, len(w) - words + 1)
-    votes, least = np.zeros(BITS * LONG_WORDS, dtype=np.int64), np.full(LEAST, (1 << 64) - 1, dtype=np.uint64)
-    for at in range(0, n, 16384):
-        h = np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(at, min(at + 16384, n))], dtype=np.uint64)
-        for k in range(LONG_WORDS):
-            votes[BITS * k : BITS * (k + 1)] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        least = np.minimum(least, [_mixed(h, LONG_WORDS + k).min() for k in range(LEAST)])
-    return np.packbits(votes * 2 > n).tobytes(), [signed(int(x)) ^ k for k, x in enumerate(least)]
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
 
 
-def long_radius(similarity: float, deviations: float) -> int:
-    """Bits by which the long fingerprints of texts of this Jaccard similarity differ, and so many standard deviations more."""
-    bits = BITS * LONG_WORDS
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return max(0, math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p))))
+def set_digest(shingles: np.ndarray) -> bytes:
+    """128 bits by which equal shingle sets are told."""
+    return blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def shingle_set(text: bytes | None, words: int = 5) -> bytes:
-    """Sorted distinct hashes of a text's shingles."""
-    w = ascii_lower_words(text)
-    n = max(1, len(w) - words + 1) if w else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n)).tobytes()
+def least_shingles(shingles: np.ndarray) -> list[int]:
+    """The least shingle under each of six hashes; none of an empty set."""
+    return [signed(int(_mixed(shingles, k).min())) ^ k for k in range(LEAST)] if len(shingles) else []
 
 
-def as_similar(a: bytes, b: bytes, similarity: float) -> bool:
+def as_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two shingle sets have this Jaccard similarity or more; both empty: yes."""
-    small, large = sorted((len(a) // 8, len(b) // 8))
+    small, large = sorted((len(a), len(b)))
     if small < similarity * large:
         return False
-    both = len(np.intersect1d(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64), assume_unique=True))
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= similarity * (small + large - both)
 
 
-def checked_links(rows: DataFrame, radius: int, similarity: float, limit: int = CHECK_BYTES) -> DataFrame:
-    """Edges (u, v) between components that some pair of rows links: they share a key, their prints are within the radius, and their shingle sets have the
-    similarity. rows: node, print, key, component long, shingles binary. A pair is compared only while its components aren't linked in the task."""
-    tasks = dealt(rows, limit, F.length("shingles") + F.lit(64)).select("task", "component", "print", "shingles").repartition("task").sortWithinPartitions("task", "component")
+def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of positions whose sets have the similarity."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]
+    group, found = np.arange(len(sets)), []
 
-    def done(task: np.ndarray, component: np.ndarray, prints: list[bytes], sets: list[bytes]) -> pa.RecordBatch:
-        above: dict[int, int] = {}
+    def tie(i: int, j: int) -> None:
+        if (x := group[i]) != (y := group[j]):
+            group[group == max(x, y)] = min(x, y)
+            found.append((order[i], order[j]))
+
+    # Most copies are like one of the last texts that were like none before them.
+    leaders: list[int] = []
+    for i, x in enumerate(sets):
+        for j in leaders[:-5:-1]:
+            if as_similar(x, sets[j], similarity):
+                tie(i, j)
+                break
+        else:
+            leaders.append(i)
+    if len(leaders) < 2:
+        return found
+    # What is left in several groups: shared shingles of a text with all others are counted at once.
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, code, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, starts, ends = owner[np.argsort(code, kind="stable")], np.cumsum(counts) - counts, np.cumsum(sizes)
+    for i in range(1, len(sets)):
+        first = int(np.searchsorted(sizes, similarity * sizes[i]))
+        if (group[first:i] == group[i]).all():
+            continue
+        mine = code[ends[i] - sizes[i] : ends[i]]
+        n = counts[mine]
+        at = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(sets))[first:i]
+        for j in np.flatnonzero(both >= similarity * (sizes[first:i] + sizes[i] - both)) + first:
+            tie(i, int(j))
+    return found
 
-        def top(c: int) -> int:
-            while above.get(c, c) != c:
-                c = above[c]
-            return c
 
-        edges = []
-        for a, b in linked_in_buckets(np.frombuffer(b"".join(prints), dtype=np.uint64), task, radius):
-            apart = component[a] != component[b]
-            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
-                x, y = top(int(component[i])), top(int(component[j]))
-                if x != y and as_similar(sets[i], sets[j], similarity):
-                    above[max(x, y)] = min(x, y)
-                    edges.append((max(x, y), min(x, y)))
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+def checked_links(rows: DataFrame, sets: DataFrame, similarity: float, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
+    """Edges (u, v) between nodes that share a key and whose shingle sets have the similarity: for each key a spanning forest. rows: node long, print binary,
+    size (of the set), key long; sets: print, shingles. A key of over `chunk` rows or `limit` bytes of sets is dealt out as pairs of chunks."""
+    tasks = dealt(rows, limit, F.greatest(F.col("size") * 8 + 64, F.lit(limit // chunk))).select("task", "node", "print")
+    tasks = tasks.join(sets, "print").select("task", "node", "shingles").repartition("task").sortWithinPartitions("task", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > limit and row[0] != held[-1][0]:
-                    yield finish(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3]) + 64
-        if held:
-            yield finish(held)
+        now, nodes, held, edges = None, [], [], []
 
-    def finish(held: list[tuple]) -> pa.RecordBatch:
-        task, component, prints, sets = zip(*held)
-        return done(np.array(task, dtype=np.int64), np.array(component, dtype=np.int64), list(prints), list(sets))
+        def finish():
+            for i, j in similar_links(held, similarity):
+                edges.append((max(nodes[i], nodes[j]), min(nodes[i], nodes[j])))
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for task, node, shingles in zip(*(c.to_pylist() for c in batch.columns)):
+                if task != now:
+                    finish()
+                    now, nodes, held = task, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(shingles, dtype=np.uint64))
+            if edges:
+                yield out()
+                edges = []
+        finish()
+        yield out()
 
-    return tasks.mapInArrow(check, "u long, v long").distinct()
+    return tasks.mapInArrow(check, "u long, v long").filter("u > v").distinct()
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
     """id and component_id (the smallest id reachable over links) of every row with an id.
 
-    Texts come together if they share one of their least shingles (those of Jaccard similarity 0.8 do but for 1 in 15,000). Where their long SimHash
-    fingerprints leave no doubt (2.5 standard deviations nearer than at that similarity, or 5 farther), these decide; components that only pairs in between
-    could link are held together shingle by shingle. 64 bits would not do: at a similarity of 0.8 they differ by ten, and blocks of bits that ten differences
-    leave alone are too short to tell texts apart. Texts without words are copies of one another.
+    Texts of equal shingle sets are one class. Classes come together if they share one of their least shingles (those of Jaccard similarity 0.8 do but for 1 in
+    15,000), and are links if their sets have the similarity. No fingerprint decides: those of
+    short texts, and of texts of a few shingles over and over, tell too little. Texts without words are copies of one another.
     """
     slim = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text"))
 
     def rows(part):
-        made = [long_fingerprint(t, words) for t in part["text"]]
-        yield {"id": part["id"], "print": [p for p, _ in made], "least": [x for _, x in made]}
+        sets = [shingle_set(t, words) for t in part["text"]]
+        yield {"id": part["id"], "print": [set_digest(x) for x in sets], "size": [len(x) for x in sets], "least": [least_shingles(x) for x in sets]}
 
     def sets(part):
-        yield {"node": part["id"], "print": [long_fingerprint(t, words)[0] for t in part["text"]], "shingles": [shingle_set(t, words) for t in part["text"]]}
-
-    prints = kept(map_rows(slim, rows, "id long, print binary, least array<long>", slices=200), "prints")
-    classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("least").alias("least")), "classes")
-    near, far = long_radius(similarity, -2.5), long_radius(similarity, 5)
-    found = kept(linked(classes.select("node", "print", F.explode("least").alias("key")), far, chunk, sure=near), "found")
-    edges = found.filter("sure").select("u", "v")
-
-    # Components of sure links that a pair in doubt may link to another, with the shingles of their texts.
-    tied = kept(components(edges).select("node", F.col("root").alias("component")), "sure")
-    doubt = found.filter("NOT sure").select("u", "v")
-    for c in ("u", "v"):
-        doubt = doubt.join(tied.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-    doubt = doubt.filter("u_in <> v_in")
-    doubtful = kept(doubt.select(F.explode(F.array("u_in", "v_in")).alias("component")).distinct(), "doubtful")
-    open = classes.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node")).join(doubtful, "component", "left_semi")
-    open = kept(open.select("node", "print", "component", F.explode("least").alias("key")), "open")
-    busy = open.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    texts = slim.join(kept(open.select(F.col("node").alias("id")).distinct(), "ids"), "id", "left_semi")
-    shingles = map_rows(texts, sets, "node long, print binary, shingles binary", slices=200).groupBy("node", "print").agg(F.first("shingles").alias("shingles"))
-    held = kept(open.join(busy, "key", "left_semi").join(shingles, ["node", "print"]), "held")
-    edges = edges.unionByName(checked_links(held, far, similarity, limit))
+        made = [shingle_set(t, words) for t in part["text"]]
+        yield {"print": [set_digest(x) for x in made], "shingles": [x.tobytes() for x in made]}
+
+    prints = kept(map_rows(slim, rows, "id long, print binary, size long, least array<long>", slices=200), "prints")
+    classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.min("least").alias("least")), "classes")
+    keyed = classes.select("node", "print", "size", F.explode(F.array_distinct("least")).alias("key"))
+    # Keys of the same classes are one bucket.
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "print")).alias(f"m{k}") for k in range(2)]
+    busy = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
+    held = kept(keyed.join(busy.select("key"), "key", "left_semi"), "held")
+    texts = slim.join(held.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    shingles = map_rows(texts, sets, "print binary, shingles binary", slices=200).groupBy("print").agg(F.first("shingles").alias("shingles"))
+    edges = checked_links(held, shingles, similarity, chunk, limit)
 
     grouped = kept(components(edges).select("node", F.col("root").alias("component_id")), "components")
     whole = kept(classes.select("print", "node").join(grouped, "node", "left").select("print", F.coalesce("component_id", "node").alias("component_id")), "classes")

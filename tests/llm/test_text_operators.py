@@ -175,6 +175,29 @@ def test_near_copies_are_those_of_the_similarity(spark, chunk, limit):
     assert 20 < len({c for _, c in want}) < len(rows) - 20  # the fixture has texts on both sides
 
 
+def test_near_copies_of_repeated_shingles_and_short_texts(spark):
+    rng = random.Random(21)
+    own = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    rows = [(k, f"{own(300)} {filler * 400} {own(3)}") for k, filler in enumerate(["- ", "- ", ". ", ". ", "0 ", "0 "])]
+    same, short = own(40), [own(9) for _ in range(30)]
+    rows += [(10, same + " x" * 100), (11, same + " x" * 900), (12, same)]
+    # Sets of five shingles and four of them: the similarity is 0.8 exactly.
+    rows += [(100 + 2 * k + c, t if c else t.rsplit(" ", 1)[0]) for k, t in enumerate(short) for c in range(2)]
+    got = {tuple(r) for r in simhash.near_copies(docs_of(spark, rows)).collect()}
+    assert got == brute_near_copies(rows)
+    assert {(k, k) for k in range(6)} <= got and {(10, 10), (11, 10), (101, 100)} <= got
+
+
+def test_similar_links_span_the_groups_of_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, size=(6, 60), dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[k % 6][rng.permutation(60)[: rng.integers(40, 60)]], rng.integers(0, 1 << 63, size=rng.integers(0, 6), dtype=np.uint64)))) for k in range(150)]
+    pairs = lambda it: simhash.forest(len(sets), ((np.array([i]), np.array([j])) for i, j in it)).tolist()
+    want = pairs((i, j) for i in range(150) for j in range(i) if simhash.as_similar(sets[i], sets[j], 0.8))
+    found = simhash.similar_links(sets, 0.8)
+    assert pairs(found) == want and len(found) == 150 - len(set(want)) and all(simhash.as_similar(sets[i], sets[j], 0.8) for i, j in found)
+
+
 BENCH = [(1, " ".join(f"t{i}" for i in range(20))), (2, "short item only"), (3, None), (4, "..."), (5, " ".join(f"t{i}" for i in range(20))), (30, " ".join(f"ü{i}" for i in range(13)))]
 
 
