@@ -29,8 +29,11 @@ def samples(index: DataFrame, most: int = 16) -> DataFrame:
 
 def discovered(samples_: DataFrame, candidates: DataFrame, files: DataFrame) -> DataFrame:
     """The candidate folder (place, root_path) that holds most of a collection's samples, the first of several; none without any. files: path."""
-    tried = samples_.join(F.broadcast(candidates.limit(10_000)), F.lit(True)).withColumn("path", F.concat_ws("/", "root_path", "rel"))
-    hits = tried.join(files.select("path").distinct(), "path", "left_semi").groupBy("collection_id", "place", "root_path").agg(F.count(F.lit(1)).alias("hits"))
+    # Each path meets the samples by its own ends and the candidates by what stands before: two equi-joins, however many candidates there are.
+    parts = F.split("path", "/")
+    cut = F.struct(F.array_join(F.slice(parts, F.lit(1), F.col("i")), "/").alias("root_path"), F.array_join(F.slice(parts, F.col("i") + 1, F.size(parts)), "/").alias("rel"))
+    places = files.select("path").distinct().filter(F.size(parts) > 1).select("path", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("i")).select(cut.alias("c")).select("c.*")
+    hits = places.join(samples_, "rel").join(candidates, "root_path").groupBy("collection_id", "place", "root_path").agg(F.count(F.lit(1)).alias("hits"))
     return hits.groupBy("collection_id").agg(F.max_by("root_path", F.struct("hits", -F.col("place"))).alias("root_path"), F.max("hits").alias("hits"))
 
 

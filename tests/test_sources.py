@@ -59,3 +59,10 @@ def test_stream_upserts(spark, tmp_path):
     last = sorted((tmp_path / "t").iterdir(), key=lambda p: int(p.name[2:]))[-1]
     out = {r.file_name: r.v for r in spark.read.parquet(str(last)).collect()}
     assert set(out) == {"a", "n0", "n1", "n2"}
+
+
+def test_all_candidate_roots_are_tried(spark):
+    candidates = spark.range(12_000).selectExpr("id AS place", "concat('/m/', id) AS root_path")
+    files = spark.createDataFrame([("/m/11999/a/b.jpg",), ("/m/11999/c.jpg",), ("/m/3/c.jpg",), ("/m/7/c.jpg",), ("/m/10500/d.jpg",), ("e.jpg",)], "path string")
+    samples = spark.createDataFrame([("x", "a/b.jpg"), ("x", "c.jpg"), ("y", "d.jpg"), ("z", "e.jpg"), ("w", "b.jpg")], "collection_id string, rel string")
+    assert {tuple(r) for r in roots.discovered(samples, candidates, files).collect()} == {("x", "/m/11999", 2), ("y", "/m/10500", 1)}
