@@ -20,55 +20,81 @@ from photonlake.llm.common import kept
 QUERY_BLOCK, CANDIDATE_BLOCK, DIM_BLOCK = 16384, 2048, 16
 #: Rows that one task gets of the candidates, and groups of tasks at most for a block of queries.
 GROUP_ROWS, MOST_GROUPS = 8192, 4096
-#: Scaled components must lie within +-LIMIT, so that scores are exact in double precision.
-LIMIT = 1 << 22
+#: Scaled components are longs, from -LIMIT to below LIMIT.
+LIMIT = float(1 << 63)
+#: Products of norms below this have all their sums exact in double precision.
+EXACT = float(1 << 53)
 
 
 def scaled(vector: str, factor: int = 256) -> Column:
-    """floor(factor * x) of each component, or null for a vector that is null, holds null or non-finite components or goes beyond LIMIT."""
+    """floor(factor * x) of each component, or null for a vector that is null, holds null or non-finite components or ones that no long can hold."""
     x = F.transform(vector, lambda v: F.floor(v.cast("double") * factor))
-    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double") * factor) < LIMIT))
-    return F.when(F.col(vector).isNotNull() & fine, x.cast("array<int>"))
+    fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (v.cast("double") * factor >= -LIMIT) & (v.cast("double") * factor < LIMIT))
+    return F.when(F.col(vector).isNotNull() & fine, x.cast("array<long>"))
 
 
 class _Best:
-    """The k best (score, id) of each query: higher scores first, then smaller ids."""
+    """The k best (score, id) of each query: higher scores first, then smaller ids. whole has the scores as longs, score rounded ones (-inf where there is none)."""
 
     def __init__(self, n: int, k: int):
         self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.whole = np.full((n, k), np.iinfo(np.int64).min)
 
     def floor(self, rows: slice) -> np.ndarray:
         return self.score[rows, -1]
 
-    def add(self, at: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.concatenate((self.score[at], scores)), np.concatenate((self.id[at], ids))
-        top = np.lexsort((i, -s))[: self.k]
-        self.score[at], self.id[at] = s[top], i[top]
+    def add(self, at: int, whole: np.ndarray, ids: np.ndarray) -> None:
+        s, i = np.concatenate((self.score[at], whole.astype(np.float64))), np.concatenate((self.id[at], ids))
+        w = np.concatenate((self.whole[at], whole))
+        top = np.lexsort((i, np.isinf(s), ~w))[: self.k]
+        self.score[at], self.id[at], self.whole[at] = s[top], i[top], w[top]
 
 
 def _tails(m: np.ndarray) -> np.ndarray:
     """Norm of the dimensions from each block border on, by border and row."""
+    m = m.astype(np.float64, copy=False)
     squares = np.array([(m[i : i + DIM_BLOCK] ** 2).sum(axis=0) for i in range(0, len(m), DIM_BLOCK)] + [np.zeros(m.shape[1])])
     return np.sqrt(squares[::-1].cumsum(axis=0)[::-1])
 
 
+def _whole(query: np.ndarray, vectors: np.ndarray, scores: np.ndarray, error: np.ndarray | float) -> np.ndarray:
+    """Exact scores of one query as longs, given rounded ones. Sums of longs wrap around, so they are right where the true score is a long."""
+    if not np.any(error):
+        return scores.astype(np.int64)
+    whole = query.astype(np.int64) @ vectors.astype(np.int64)
+    for c in np.flatnonzero(np.abs(scores) + error >= LIMIT):
+        true = sum(int(x) * int(y) for x, y in zip(query, vectors[:, c]))
+        if not -(1 << 63) <= true < 1 << 63:
+            raise OverflowError(f"a score of the {len(query)}-dimensional search is no long: {true}")
+    return whole
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: _Best) -> int:
     """Bring best up to date with a block of candidates (both matrices dimension by row). Returns the pairs whose scores were finished."""
     steps = range(0, len(vectors), DIM_BLOCK)
     q_tail, c_tail = _tails(queries), _tails(vectors)
+    rounded = vectors.astype(np.float64, copy=False)
     finished = 0
     for at in range(0, len(query_ids), 256):
         rows = slice(at, min(at + 256, len(query_ids)))
         need = best.floor(rows)
         live = np.arange(len(ids))
         scores = np.zeros((rows.stop - rows.start, len(ids)))
+        asked = queries[:, rows].astype(np.float64, copy=False)
+        # Doubles are exact up to EXACT; beyond, scores are off by at most `error`, and so is a rounded k-th best one.
+        error: np.ndarray | float = 0.0
+        if q_tail[0, rows].max() * c_tail[0].max() * (1 + 1e-9) >= EXACT:
+            error = q_tail[0, rows][:, None] * c_tail[0]
+            error = np.where(error * (1 + 1e-9) < EXACT, 0.0, error * (len(vectors) + 8) * 2.0**-51)
+            need = np.where(np.abs(need) < EXACT, need, need - np.abs(need) * 2.0**-51)
         for b, d in enumerate(steps):
-            scores += queries[d : d + DIM_BLOCK, rows].T @ vectors[d : d + DIM_BLOCK][:, live]
-            reach = scores + q_tail[b + 1, rows][:, None] * c_tail[b + 1][live] * (1 + 1e-9)
+            scores += asked[d : d + DIM_BLOCK].T @ rounded[d : d + DIM_BLOCK][:, live]
+            reach = scores + error + q_tail[b + 1, rows][:, None] * c_tail[b + 1][live] * (1 + 1e-9)
             can = reach >= need[:, None]
             stay = can.any(axis=0)
             if not stay.all():
                 live, scores, can = live[stay], scores[:, stay], can[:, stay]
+                error = error[:, stay] if np.ndim(error) else error
             if not len(live):
                 break
         if not len(live):
@@ -77,10 +103,11 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
         finished += int(can.sum())
         for r in np.flatnonzero(can.any(axis=1)):
             c = np.flatnonzero(can[r])
+            off = error[r] if np.ndim(error) else np.zeros(len(live))
             if len(c) > best.k:
-                edge = np.partition(scores[r, c], len(c) - best.k)[len(c) - best.k]
-                c = c[scores[r, c] >= edge]
-            best.add(at + r, scores[r, c], ids[live[c]])
+                edge = np.partition(scores[r, c] - off[c], len(c) - best.k)[len(c) - best.k]
+                c = c[scores[r, c] + off[c] >= edge]
+            best.add(at + r, _whole(queries[:, at + r], vectors[:, live[c]], scores[r, c], off[c]), ids[live[c]])
     return finished
 
 
@@ -89,8 +116,8 @@ def _matrix(column: pa.ListArray, rows: np.ndarray, dims: int) -> np.ndarray:
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     values = column.flatten().to_numpy()
     if (lengths == dims).all():
-        return values.reshape(-1, dims)[rows].T.astype(np.float64)
-    out, ends = np.zeros((dims, len(rows))), np.cumsum(lengths)
+        return values.reshape(-1, dims)[rows].T.astype(np.int64)
+    out, ends = np.zeros((dims, len(rows)), dtype=np.int64), np.cumsum(lengths)
     for j, r in enumerate(rows):
         n = min(lengths[r], dims)
         out[:n, j] = values[ends[r] - lengths[r] : ends[r] - lengths[r] + n]
@@ -101,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
     """query_id, rank, vec_id and score of each query's k best rows, exactly; ties go to the smaller id.
 
     queries and vectors are tables with the same two columns. Rows with the query's own id are no candidates. Vectors that are null or
-    hold null or non-finite components (or scaled ones beyond 2^22) take no part, nor do null ids. Of vectors of different
+    hold null or non-finite components (or scaled ones that no long can hold) take no part, nor do null ids. A best score that is no long is an error. Of vectors of different
     lengths the shorter is filled up with 0. Of query rows with one id the smallest vector counts; repeated candidates count each.
     """
     base = vectors.select(F.col(id).cast("long").alias("id"), scaled(vector, factor).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
@@ -136,7 +163,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
             if best is None:
                 return None
             q, r = np.nonzero(best.score > -np.inf)
-            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, r]), pa.array(best.score[q, r].astype(np.int64))], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.id[q, r]), pa.array(best.whole[q, r])], names=["query_id", "vec_id", "score"])
 
         order = np.arange(dims)
         for batch in batches:
@@ -156,7 +183,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
                     continue
                 if best is None and parts:
                     queries_ = np.concatenate(parts, axis=1)
-                    order = np.argsort(-(queries_**2).sum(axis=1), kind="stable")  # heavy dimensions first: bounds tighten sooner
+                    order = np.argsort(-(queries_.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # heavy dimensions first: bounds tighten sooner
                     queries_, best = np.ascontiguousarray(queries_[order]), _Best(len(ids), k)
                 held.append((found, own))
                 if sum(len(i) for _, i in held) >= CANDIDATE_BLOCK:

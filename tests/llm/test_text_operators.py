@@ -345,6 +345,22 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.every_fiftieth(df.limit(0)).count() == 0
 
 
+def test_topk_keeps_large_vectors_and_is_exact(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=20) * [1, 20000, 3e5, 2e6][i % 4]]) for i in range(300)]
+    # Scores beyond 2^53 that differ by little, and ties.
+    rows += [(i, [4e5 + (i % 7) / 256] + [0.0] * 19) for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in fine:
+        if q % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:5])]
+    assert max(s for *_, s in want) > 2**53
+    assert sorted(tuple(r) for r in topk.every_fiftieth(df).collect()) == sorted(want)
+
+
 def test_branch_and_bound_skips_and_is_exact():
     rng = np.random.default_rng(9)
     c = rng.integers(-200, 200, size=(64, 2000)) * np.where(np.arange(64) < 16, 10, 1)[:, None]
