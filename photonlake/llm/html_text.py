@@ -22,7 +22,7 @@ from photonlake.llm.common import map_rows
 # HTML elements by what they mean for a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select option datalist button textarea".split())
-ASIDE = frozenset("nav aside footer header form dialog menu figcaption search".split())
+ASIDE = frozenset("nav aside footer header form dialog menu search".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -205,19 +205,14 @@ def blocks_of(html: str | None) -> list[str]:
     if not votes.any():
         for x in fine:
             votes[x.region] += len(x.text) - x.links
-    inside = votes.copy()  # with what stands in regions within
-    for r in range(len(votes) - 1, 0, -1):
-        inside[page.parents[r]] += inside[r]
-    chosen = 0
-    for kinds in (("article", "main"), ("section", "div", "td", "body")):
-        held = [r for r in range(1, len(votes)) if page.kinds[r] in kinds and inside[r] >= (0.5 if kinds[0] == "article" else 0.8) * inside[0] and inside[0] > 0]
-        if held:
-            chosen = held[-1]  # the innermost
-            break
-    else:
-        several = {r for r in range(1, len(votes)) if page.kinds[r] in ("article", "main") and inside[r] > 0}
-        if several and sum(inside[r] for r in several if not _within(page.parents, page.parents[r], several)) >= 0.5 * inside[0]:
-            return [x.text for x in fine if _within(page.parents, x.region, several)]
+    # The region must hold every line that voted: no share of them is given up.
+    voted = [r for r in range(len(votes)) if votes[r] > 0] or sorted({x.region for x in fine})
+    articles = {r for r in range(1, len(votes)) if page.kinds[r] in ("article", "main")}
+    if all(_within(page.parents, r, articles) for r in voted):
+        return [x.text for x in fine if _within(page.parents, x.region, articles)]
+    chosen = voted[0]  # the innermost that holds all
+    while not all(_within(page.parents, r, {chosen}) for r in voted):
+        chosen = page.parents[chosen]
     return [x.text for x in fine if _within(page.parents, x.region, {chosen})]
 
 

@@ -96,3 +96,15 @@ def test_prefix_of_equal_and_longer(spark):
     out = {r.pair_id: r for r in chat.preference_pairs(df).collect()}
     assert [out[i].n_prefix for i in range(1, 6)] == [3, 1, 0, 0, 0]
     assert out[2].rejected == "" and len(out[2].chosen_mask) == 2 and out[3].chosen == ""
+
+
+def test_no_part_of_an_article_is_given_up():
+    p = lambda k, n: f"<p>{' '.join(f'part{k}' for _ in range(n))}</p>"
+    wrap = lambda x: f"<html><body><nav><a href=a>Menu</a></nav>{x}</body></html>"
+    has = lambda x: {k for k in range(1, 5) if f"part{k}" in html_text.main_text(wrap(x))}
+    for a, b in ((60, 40), (50, 50), (40, 60)):
+        assert has(f"<article>{p(1, a)}</article><article>{p(2, b)}</article>") == {1, 2}
+    assert has(f"<main><h1>part3</h1>{p(1, 20)}<article>{p(2, 100)}</article></main>") == {1, 2, 3}
+    assert has(f"<div>{p(1, 40)}<div>{p(2, 40) * 5}</div></div>") == {1, 2}
+    assert has(f"<article>{p(1, 60)}<figure><img src=x><figcaption>part2 of it</figcaption></figure>{p(3, 60)}</article>") == {1, 2, 3}
+    assert "Menu" not in html_text.main_text(wrap(f"<article>{p(1, 60)}</article>"))
