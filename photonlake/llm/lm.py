@@ -1,17 +1,23 @@
-"""LM scoring by a weighted backoff automaton.
+"""LM scoring by a weighted backoff automaton of words, pairs and triples.
 
-Documents are read in blocks of a few megabytes. Each block counts its own distinct n-grams once; the counts
-of all blocks are summed by n-gram and come back to the blocks that asked, so the model grows with the corpus
-and is never gathered in one place. A block then builds the part of the automaton that its texts can reach: a
-state for each word that stands before another, an arc for each known pair, and a failure arc to the root,
-whose arcs are the single words. One pass over each text, from left to right, carries the state along.
+Documents are read in blocks of a few megabytes. Each block counts its own distinct n-grams once and asks for their
+counts in the corpus: the asks are cut into ranges of n-gram hashes, summed range by range, and the sums come back to the
+blocks that asked. The model grows with the corpus and is never gathered in one place. With many blocks, asks are merged
+group by group before they are cut further (`resolved`), so that the rows exchanged stay in proportion to the text.
+
+A block then builds the part of the automaton that its texts can reach. A known pair or word is a state (and so are the
+text's start and the root); a known n-gram is an arc out of the state of its first words into the state of its last two;
+each state has a failure arc to the state without its first word. One pass over each text, from left to right, carries
+the state along, follows failure arcs until the next word has an arc, and adds up the weights.
 
 p(w) = (c(w) - D) / N for known words and D * V / N for the unknown word, with D = n1 / (n1 + 2 n2).
-p(w | h) = (c(h, w) + mu * p(w)) / (c(h) + mu); the failure arc has weight mu / (c(h) + mu).
+p(w | h) = (c(h, w) + mu * p(w | h without its first word)) / (c(h) + mu), with a mu for each length of h; the failure arc
+of h has weight mu / (c(h) + mu).
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +29,27 @@ from pyspark.sql import functions as F
 
 from photonlake.llm.common import ascii_lower_words, kept, remainder, text_bytes
 
-#: Bytes of text in a block (one longer text is a block of its own), and bytes of text for each partition of n-grams.
-BLOCK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
-#: Weight of the shorter context; the best on a part of the training texts (remainder 1) under counts from the rest.
-MU = 400.0
+#: Bytes of text in a block (one longer text is a block of its own), and bytes of text for each range of n-grams.
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+#: Ranges that one ask is cut into at most, and asks that are summed at once.
+FAN = 1024
+#: Weights of the shorter context after one and after two words. The first is the best on a part of the training texts (remainder 1) under counts
+#: from the rest; the second is the best of 5, 10, 20 and 50 on the same.
+MU = (400.0, 10.0)
 END, START = b"\n", b"\t"
-_SALT = np.uint64(0x9E3779B97F4A7C15)
+_SALT, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_START_HASH = np.uint64(xxhash.xxh64_intdigest(START))
+
+
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    x = left * _SALT ^ (right >> np.uint64(29) ^ right << np.uint64(35))
+    x = (x ^ x >> np.uint64(32)) * _TURN
+    return x ^ x >> np.uint64(32)
 
 
 class Block:
-    """Token ids of some texts, with the hashes of the distinct words."""
+    """Tokens of some texts and the keys of their n-grams: 61 bits of hash and the n-gram's length in the last two."""
 
     def __init__(self, texts: list[bytes | None]):
         tokens: list[bytes] = []
@@ -45,43 +62,47 @@ class Block:
         index = dict.fromkeys(tokens)
         for i, w in enumerate(index):
             index[w] = i
-        self.ids = np.fromiter(map(index.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        digest = xxhash.xxh64_intdigest
-        self.words = np.fromiter(map(digest, index), dtype=np.uint64, count=len(index))
+        ids = np.fromiter(map(index.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        del tokens
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), dtype=np.uint64, count=len(index))
         self.lengths = np.array(lengths, dtype=np.int64)
-        self.start = len(index)  # the state before a text's first token
-        self.end = index.get(END, 0)
-        self._pairs()
-
-    def _pairs(self) -> None:
-        self.first = np.concatenate(([0], np.cumsum(self.lengths)[:-1])).astype(np.int64)
-        self.before = np.empty_like(self.ids)
-        self.before[1:] = self.ids[:-1]
-        self.before[self.first] = self.start
-        self.pairs = self.before * (self.start + 1) + self.ids
-
-    def grams(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the distinct words and pairs, sorted, and how often each stands in texts of the training set."""
-        in_train = np.repeat(train, self.lengths)
-        counts = np.bincount(self.ids[in_train], minlength=self.start)
-        by_word = np.argsort(self.words)
-        distinct = np.unique(self.pairs)
-        pair_counts = np.zeros(len(distinct), dtype=np.int64)
-        some, n = np.unique(self.pairs[in_train], return_counts=True)
-        pair_counts[np.searchsorted(distinct, some)] = n
-        keys = self.pair_keys(distinct)
-        by_key = np.argsort(keys)
-        return self.words[by_word], counts[by_word], keys[by_key], pair_counts[by_key]
-
-    def pair_keys(self, pairs: np.ndarray) -> np.ndarray:
-        h, w = np.divmod(pairs, self.start + 1)
-        codes = np.append(self.words, np.uint64(xxhash.xxh64_intdigest(START)))
-        x = codes[h] * _SALT ^ (codes[w] >> np.uint64(29) ^ codes[w] << np.uint64(35))
-        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        return x ^ x >> np.uint64(32)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[list]]]:
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.inner = np.ones(len(ids), dtype=bool)
+        self.inner[self.first] = False  # the first word of a text ends no triple
+        words = hashes[ids]
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[self.first] = _START_HASH
+        pairs = _mixed(before, words)
+        inner = np.flatnonzero(self.inner)
+        triples = _mixed(pairs[inner - 1], words[inner] ^ _TURN)
+        low = np.uint64(7)
+        #: Keys of the words, pairs and triples that end at each token, one after the other, shifted by one bit.
+        self.grams = np.concatenate([words & ~low | np.uint64(2), pairs & ~low | np.uint64(4), triples & ~low | np.uint64(6)])
+
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys and how often each stands in texts of the training set."""
+        marks = np.repeat(train, self.lengths)
+        seen = np.sort(self.grams | np.concatenate([marks, marks, marks[self.inner]]).astype(np.uint64))
+        if not len(seen):
+            return seen, seen
+        keys = seen >> np.uint64(1)
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[starts], np.add.reduceat(seen & np.uint64(1), starts)
+
+    def places(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """The number of distinct keys, and where among the sorted ones each token's word, pair and triple are (-1: no triple)."""
+        order = np.argsort(self.grams)
+        seen = self.grams[order]
+        rank = np.empty(len(seen), dtype=np.int32)
+        rank[order] = np.cumsum(np.concatenate(([False], seen[1:] != seen[:-1])))
+        n = len(self.inner)
+        triples = np.full(n, -1, dtype=np.int32)
+        triples[self.inner] = rank[2 * n :]
+        return int(rank[order[-1]]) + 1, rank[:n], rank[n : 2 * n], triples
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, tuple[list, list, list]]]:
     """(number of the block, columns of its rows) of a partition's rows (id, train, text). The same partition gives the same blocks again."""
     part, seq, rows, held = TaskContext.get().partitionId(), 0, ([], [], []), 0
     for batch in batches:
@@ -96,114 +117,197 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield (part << 32) + seq, rows
 
 
-def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where the sorted keys of each of `parts` equal ranges begin and end."""
-    borders = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, borders), [len(keys)]))
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit values, all first bytes, then all second ones and so on: the shuffle's compression then finds the bytes that are 0."""
+    return values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-_GRAMS = "part int, block long, words binary, word_counts binary, pairs binary, pair_counts binary"
-_TOTALS = "part int, block long, words binary, pairs binary, n long, v long, n1 long, n2 long"
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _sum_part(table: pa.Table) -> pa.Table:
-    """Sums of one range of n-grams over all blocks, in the order in which each block holds them, and the range's share of the corpus counts."""
-    out: dict[str, list] = {"words": [], "pairs": []}
-    stats = [0, 0, 0, 0]
-    for kind, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        keys = [np.frombuffer(x, dtype=np.uint64) for x in table[kind].to_pylist()]
-        whole, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, weights=np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in table[counts].to_pylist()]), minlength=len(whole)).astype(np.int64)
-        if kind == "words":
-            stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        out[kind] = [x.astype(np.int64).tobytes() if kind == "words" else np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in np.split(sums[at], cuts)]
-    n = table.num_rows
-    stats_columns = [pa.array([s] + [0] * (n - 1), pa.int64()) for s in stats]
-    return pa.Table.from_arrays([table["part"], table["block"], pa.array(out["words"], pa.binary()), pa.array(out["pairs"], pa.binary()), *stats_columns], names=[f.split()[0] for f in _TOTALS.split(", ")])
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-class Automaton:
-    """The states and arcs that a block's texts can reach."""
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
+
+
+_ASKS = "range long, asker long, keys binary, counts binary"
+_REPLIES = "range long, asker long, totals binary, n long, v long, n1 long, n2 long"
+
+
+def _rows(schema: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def cut(keys: np.ndarray, counts: np.ndarray, base: int, parts: int, of: int) -> tuple[list, list, list]:
+    """Sorted keys, all in the ranges base.. base + parts - 1 out of `of` equal ones, as one piece for each range that holds any: ranges, keys, counts."""
+    borders = np.array([(i << 63) // of for i in range(base + 1, base + parts)], dtype=np.uint64)
+    owner = np.searchsorted(borders, keys, side="right")
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(keys) else []
+    ends = [*starts[1:], len(keys)]
+    return [base + int(owner[a]) for a in starts], [packed(keys[a:b]) for a, b in zip(starts, ends)], [planes(counts[a:b]) for a, b in zip(starts, ends)]
+
+
+def _summed(rows: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of some asks, the sums of their counts, and where each ask's keys are among them."""
+    keys = [unpacked(x) for x in rows]
+    whole, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.zeros(len(whole), dtype=np.int64)
+    split = np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+    for place, data in zip(split, counts):
+        sums[place] += from_planes(data).astype(np.int64)  # the keys of an ask are distinct
+    return whole, sums, split
 
-    def __init__(self, block: Block, word_totals: np.ndarray, pair_totals: np.ndarray, n: int, v: int, n1: int, n2: int, mu: float):
-        """word_totals by word id; pair_totals by distinct pair in sorted order."""
+
+def _reply(table: pa.Table) -> pa.Table:
+    """The sums of one range over all asks, in the order in which each ask holds its keys, and the range's share of the corpus counts."""
+    whole, sums, split = _summed(table["keys"].to_pylist(), table["counts"].to_pylist())
+    words = sums[whole & np.uint64(3) == 1]
+    stats = [int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())]
+    rest = [0] * (table.num_rows - 1)
+    return pa.Table.from_batches([_rows(_REPLIES, table["range"].to_pylist(), table["asker"].to_pylist(), [planes(sums[x]) for x in split], *([s, *rest] for s in stats))])
+
+
+def resolved(asks: DataFrame, askers: int, ranges: int, fan: int) -> DataFrame:
+    """A reply for each ask. Up to `fan` askers a range are summed at once. More of them are merged in groups of `fan`; each group asks once, with its
+    keys cut into `fan` smaller ranges, and hands the sums on to its own askers. So a task holds `fan` asks at most, and rows stay in proportion to keys."""
+    if askers <= fan:
+        return asks.groupBy("range").applyInArrow(_reply, _REPLIES)
+    grouped = kept(asks.withColumn("team", F.pmod(F.xxhash64("asker"), F.lit(-(-askers // fan)))), "asks")
+
+    def merge(table: pa.Table) -> pa.Table:
+        whole, sums, _ = _summed(table["keys"].to_pylist(), table["counts"].to_pylist())
+        number, keys, counts = cut(whole, sums, table["range"][0].as_py() * fan, fan, ranges * fan)
+        return pa.Table.from_batches([_rows(_ASKS, number, [table["team"][0].as_py()] * len(keys), keys, counts)])
+
+    replies = resolved(grouped.groupBy("range", "team").applyInArrow(merge, _ASKS), -(-askers // fan), ranges * fan, fan)
+    replies = replies.withColumn("part", F.col("range")).withColumn("range", F.floor(F.col("range") / fan)).withColumnRenamed("asker", "team")
+
+    def hand_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = sorted(right.to_pylist(), key=lambda r: r["part"])
+        sums = np.concatenate([from_planes(r["totals"]) for r in found])
+        _, _, split = _summed(left["keys"].to_pylist(), left["counts"].to_pylist())
+        rest = [0] * (left.num_rows - 1)
+        stats = [[sum(r[k] for r in found), *rest] for k in ("n", "v", "n1", "n2")]
+        return pa.Table.from_batches([_rows(_REPLIES, left["range"].to_pylist(), left["asker"].to_pylist(), [planes(sums[x]) for x in split], *stats)])
+
+    return grouped.groupBy("range", "team").cogroup(replies.groupBy("range", "team")).applyInArrow(hand_on, _REPLIES)
+
+
+class Automaton:
+    """The states and arcs that a block's texts can reach. N-grams are numbered as their keys are sorted: the arc of an n-gram has its number, and so has the
+    state of a word or pair. Two more states are the start of a text and the root."""
+
+    def __init__(self, block: Block, totals: np.ndarray, n: int, v: int, n1: int, n2: int, mu: tuple[float, float] = MU):
+        """totals: counts in the training texts by number."""
+        size, self.words, self.pairs, self.triples = block.places()
+        self.start, self.root = size, size + 1
+        inner = np.flatnonzero(block.inner)
         discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-        unknown = discount * v / n if n else 1.0
-        self.root = np.where(word_totals > 0, (word_totals - discount) / max(n, 1), unknown)
-        times = np.append(word_totals, word_totals[block.end] if len(word_totals) else 0).astype(np.float64)
-        self.fail = np.log10(mu / (times + mu))
-        distinct = np.unique(block.pairs)
-        h, w = np.divmod(distinct, block.start + 1)
-        self.arc = np.where(pair_totals > 0, np.log10((pair_totals + mu * self.root[w]) / (times[h] + mu)), np.nan)
-        self.distinct = distinct
-        self.log_root = np.log10(self.root)
-
-    def traverse(self, block: Block) -> np.ndarray:
-        """log10 probability of each token: the arc out of the state that the token before led to or, without one, its failure arc and the root's arc."""
-        direct = self.arc[np.searchsorted(self.distinct, block.pairs)]
-        return np.where(np.isnan(direct), self.fail[block.before] + self.log_root[block.ids], direct)
-
-
-def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 10, mu: float = MU, block_bytes: int = BLOCK_BYTES, partition_bytes: int = PARTITION_BYTES, stable: bool = False) -> DataFrame:
-    """Scores of every row under counts from the rows whose crc32(id) modulo modulus is not 0.
-
-    Null and empty texts have one token, the end. A null id counts as held out. docs is read twice and must give the same
-    partitions both times; unless `stable` says that it does, as files do, it is written first. Equal 64-bit hashes count as one word:
-    among 10^8 distinct words the chance of one such pair is 0.0003.
+        known = np.append(totals > 0, [True, True])
+        times = np.append(totals, [0, 0]).astype(np.float64)
+        times[self.start] = totals[self.words[block.first + block.lengths - 1][0]]  # as many texts start as end
+        # Of each pair and triple: the state of its words but the last, and the n-gram without its first word.
+        head, tail = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        before = np.full(len(self.words), self.start, dtype=np.int32)
+        before[inner] = self.words[inner - 1]
+        head[self.pairs], tail[self.pairs] = before, self.words
+        head[self.triples[inner]], tail[self.triples[inner]] = self.pairs[inner - 1], self.pairs[inner]
+        length = np.zeros(size, dtype=np.int8)
+        length[self.words], length[self.pairs], length[self.triples[inner]] = 1, 2, 3
+
+        p = np.zeros(size)
+        one = np.flatnonzero(length == 1)
+        p[one] = np.where(totals[one] > 0, (totals[one] - discount) / max(n, 1), discount * v / n if n else 1.0)
+        for k, m in ((2, mu[0]), (3, mu[1])):
+            some = np.flatnonzero(length == k)
+            c = times[head[some]]
+            p[some] = (totals[some] + m * p[tail[some]]) / (c + m)
+        mus = np.append(np.where(length == 2, mu[1], mu[0]), [mu[0], 1.0])
+        self.weight = array("d", np.log10(p).tobytes())
+        #: Where an arc leads: the longest known state of its last two words. An unknown word leads to the root.
+        leads = np.where(length == 3, tail, np.arange(size))
+        self.target = array("i", np.where(known[leads], leads, self.root).astype(np.int32).tobytes())
+        self.fail = array("i", np.append(np.where(length == 2, np.where(known[tail], tail, self.root), self.root), [self.root, self.root]).astype(np.int32).tobytes())
+        self.fail_weight = array("d", np.log10(mus / (times + mus)).tobytes())
+        #: How many words a state holds: which of a token's three n-grams is an arc out of it.
+        self.held = np.append(np.minimum(length, 2), [1, 0]).astype(np.uint8).tobytes()
+        # Arcs are known n-grams; a word is always one, the root has an arc for every word.
+        self.arcs = [self.words, *(np.where(x >= 0, np.where(known[x], x, -1), -1) for x in (self.pairs, self.triples))]
+
+    def traverse(self, first: int, length: int) -> float:
+        """log10 probability of the text whose tokens begin at `first`."""
+        held, fail, fail_weight, weight, target = self.held, self.fail, self.fail_weight, self.weight, self.target
+        state, total = self.start, 0.0
+        for out in zip(*(x[first : first + length].tolist() for x in self.arcs)):
+            while (arc := out[held[state]]) < 0:
+                total += fail_weight[state]
+                state = fail[state]
+            total += weight[arc]
+            state = target[arc]
+        return total
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 10, mu: tuple[float, float] = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN, stable: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, under counts from the rows whose crc32(id) modulo modulus is not 0.
+
+    Null and empty texts have one token, the end. A null id counts as held out. Repeated rows count and are scored each; an empty table gives no rows, and
+    without training texts every word is unknown. Other columns are neither read nor returned. docs is read twice and must give the same partitions both times;
+    unless `stable` says that it does, as files do, it is written first. Equal 61-bit hashes count as one n-gram: among 10^8 distinct ones the chance of
+    one such pair is 0.002.
     """
     slim = docs.select(F.col(id).cast("long").alias("id"), (remainder(id, modulus) != 0).alias("train"), text_bytes(text).alias("text"))
     if not stable:
         slim = kept(slim, "texts")
-    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    parts = max(8, -(-size // partition_bytes))
+    facts = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    ranges = max(8, min(fan, -(-facts.b // range_bytes)))
+    askers = max(1, -(-facts.b // block_bytes))
 
-    def count(batches):
+    def ask(batches):
         for number, (_, train, texts) in _blocks(batches, block_bytes):
-            words, word_counts, pairs, pair_counts = Block(texts).grams(np.array(train, dtype=bool))
-            a, b = _cut(words, parts), _cut(pairs, parts)
-            for p in range(parts):
-                x, y = slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
-                if x.stop > x.start or y.stop > y.start:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([number], pa.int64()), *(pa.array([z.tobytes()], pa.binary()) for z in (words[x], word_counts[x].astype(np.uint32), pairs[y], pair_counts[y].astype(np.uint32)))], names=[f.split()[0] for f in _GRAMS.split(", ")])
-
-    grams = slim.mapInArrow(count, _GRAMS)
-    totals = kept(grams.groupBy("part").applyInArrow(_sum_part, _TOTALS), "totals")
+            keys, counts = Block(texts).counts(np.array(train, dtype=bool))
+            number_of, pieces, numbers = cut(keys, counts, 0, ranges, ranges)
+            for at in range(0, len(pieces), 64):
+                these = slice(at, at + 64)
+                yield _rows(_ASKS, number_of[these], [number] * len(pieces[these]), pieces[these], numbers[these])
+
+    totals = kept(resolved(slim.mapInArrow(ask, _ASKS), askers, ranges, fan), "totals")
     stats = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
     n, v, n1, n2 = stats.n, stats.v, stats.n1, stats.n2
 
-    def tokens(batches):
+    def whole(batches):
         for number, (ids, train, texts) in _blocks(batches, block_bytes):
-            block = Block(texts)
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), *(pa.array([x.tobytes()], pa.binary()) for x in (block.lengths.astype(np.uint32), block.ids.astype(np.uint32), block.words))], names=["block", "ids", "train", "lengths", "tokens", "words"])
+            sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in (sizes.tobytes(), b"".join(t or b"" for t in texts)))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", "ids", "train", "sizes", "texts"])
 
-    blocks = slim.mapInArrow(tokens, "block long, ids array<long>, train array<boolean>, lengths binary, tokens binary, words binary")
+    blocks = slim.mapInArrow(whole, "block long, ids array<long>, train array<boolean>, sizes binary, texts binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        if left.num_rows:
-            row = left.to_pylist()[0]
-            block = Block.__new__(Block)
-            block.lengths, block.ids = (np.frombuffer(row[c], dtype=np.uint32).astype(np.int64) for c in ("lengths", "tokens"))
-            block.words = np.frombuffer(row["words"], dtype=np.uint64)
-            by_word = np.argsort(block.words)
-            block.start = len(block.words)
-            block.end = int(np.flatnonzero(block.words == np.uint64(xxhash.xxh64_intdigest(END)))[0])
-            block._pairs()
-            found = sorted(right.select(["part", "words", "pairs"]).to_pylist(), key=lambda r: r["part"])
-            words = np.empty(block.start, dtype=np.int64)
-            words[by_word] = np.concatenate([np.frombuffer(r["words"], dtype=np.int64) for r in found])
-            distinct = np.unique(block.pairs)
-            pairs = np.empty(len(distinct), dtype=np.int64)
-            pairs[np.argsort(block.pair_keys(distinct))] = np.concatenate([np.frombuffer(r["pairs"], dtype=np.uint32) for r in found])
-            logs = Automaton(block, words, pairs, n, v, n1, n2, mu).traverse(block)
-            base = np.log10((words + 0.1) / (n + 0.1 * (v + 1)))[block.ids]
-            out = {
-                "doc_id": row["ids"], "held_out": [not t for t in row["train"]], "n_tokens": block.lengths, "n_known": np.add.reduceat((words > 0)[block.ids].astype(np.int64), block.first),
-                "base_score": np.add.reduceat(base, block.first), "score": np.add.reduceat(logs, block.first),
-            }
-        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.Table.from_arrays([pa.array(out[c], k) for c, k in kinds.items()], names=list(kinds))
-
-    scored = blocks.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        if not left.num_rows:
+            return pa.Table.from_batches([_rows(_SCORES, *[[]] * 6)])
+        (row,) = left.to_pylist()
+        ends = np.cumsum(np.frombuffer(row["sizes"], dtype=np.int64)).tolist()
+        block = Block([row["texts"][a:b] for a, b in zip([0, *ends], ends)])
+        del row["texts"]
+        found = sorted(right.select(["range", "totals"]).to_pylist(), key=lambda r: r["range"])
+        counts = np.concatenate([from_planes(r["totals"]) for r in found]).astype(np.int64)
+        del found
+        automaton = Automaton(block, counts, n, v, n1, n2, mu)
+        times = counts[automaton.words]
+        base = np.log10((times + 0.1) / (n + 0.1 * (v + 1)))
+        known = np.add.reduceat((times > 0).astype(np.int64), block.first)
+        scores = [automaton.traverse(a, k) for a, k in zip(block.first.tolist(), block.lengths.tolist())]
+        return pa.Table.from_batches([_rows(_SCORES, row["ids"], [not t for t in row["train"]], block.lengths, known, np.add.reduceat(base, block.first), scores)])
+
+    scored = blocks.groupBy("block").cogroup(totals.withColumnRenamed("asker", "block").groupBy("block")).applyInArrow(score, _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

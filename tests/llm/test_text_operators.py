@@ -274,59 +274,91 @@ def test_bpe_tables(spark, codec):
 
 
 def brute_lm(rows, mu):
-    c, pairs, texts = collections.Counter(), collections.Counter(), []
+    """Scores by the recursive formula over plain dictionaries of words, pairs and triples."""
+    grams, texts = collections.Counter(), []
     for i, t in rows:
-        w = [*lower(t or "").translate(str.maketrans(WHITE, " " * 6)).split(), None]
+        w = [*lower(t or "").translate(str.maketrans(WHITE, " " * 6)).split(), "\n"]
         train = i is not None and zlib.crc32(str(i).encode()) % 10 != 0
         texts.append((i, w, train))
         if train:
-            c.update(w)
-            pairs.update(zip([""] + w, w))
+            whole = ["\t", *w]
+            grams.update((x,) for x in w)
+            grams[("\t",)] += 1
+            grams.update(zip(whole, w))
+            grams.update(zip(whole, w, w[1:]))
+    c = {g[0]: k for g, k in grams.items() if len(g) == 1 and g != ("\t",)}
     n, v = sum(c.values()), len(c)
     n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
     disc = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    p = lambda w: (c[w] - disc) / n if c[w] else (disc * v / n if n else 1.0)
+
+    def p(history, x):
+        if not history:
+            return (c[x] - disc) / n if x in c else (disc * v / n if n else 1.0)
+        m = mu[len(history) - 1]
+        return (grams[(*history, x)] + m * p(history[1:], x)) / (grams[history] + m)
+
     for i, w, train in texts:
-        score, h = 0.0, ""
-        for x in w:
-            times = c[None] if h == "" else c[h]
-            score += math.log10((pairs[h, x] + mu * p(x)) / (times + mu))
-            h = x
-        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        yield i, not train, len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6)
+        whole = ["\t", *w]
+        score = sum(math.log10(p(tuple(whole[max(0, k - 2) : k]), whole[k])) for k in range(1, len(whole)))
+        base = sum(math.log10((c.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in w)
+        yield i, not train, len(w), sum(x in c for x in w), n, round(base, 6), round(score, 6)
 
 
-@pytest.mark.parametrize("block", [40, 1 << 20])
-def test_lm_against_brute_force(spark, block):
+# A fan of three: asks are merged in groups, twice over.
+@pytest.mark.parametrize(("block", "fan"), [(40, 1024), (1 << 20, 1024), (150, 3)])
+def test_lm_against_brute_force(spark, block, fan):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("the a of cat dog ran Über".split()) for _ in range(rng.randint(0, 30)))) for i in range(80)]
     rows += [(90, None), (91, ""), (92, "never seen words"), (92, "never seen words"), (None, "the cat")]
-    got = lm.score_texts(docs_of(spark, rows), mu=5.0, block_bytes=block, partition_bytes=500).collect()
+    mu = (5.0, 2.0)
+    got = lm.score_texts(docs_of(spark, rows), mu=mu, block_bytes=block, range_bytes=500, fan=fan).collect()
     got = sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got)
-    assert got == sorted((x[0] or -1, *x[1:]) for x in ((i if i is not None else -1, *r) for i, *r in brute_lm(rows, 5.0)))
+    assert got == sorted((x[0] or -1, *x[1:]) for x in ((i if i is not None else -1, *r) for i, *r in brute_lm(rows, mu)))
+
+
+def test_lm_without_training_texts_or_rows(spark):
     empty = lm.score_texts(docs_of(spark, [(None, "a b"), (None, None)])).collect()
-    assert [r.train_tokens for r in empty] == [0, 0]
+    assert [r.train_tokens for r in empty] == [0, 0] and all(r.score == 0 for r in empty)
     assert lm.score_texts(docs_of(spark, [])).count() == 0
 
 
-def test_lm_probabilities_sum_to_one():
-    block = lm.Block([b"a b a c", b"a b"])
-    words, counts, keys, pair_counts = block.grams(np.array([True, True]))
-    n, v = int(counts.sum()), len(counts)
-    by = np.empty(v, dtype=np.int64)
-    by[np.argsort(block.words)] = counts
-    distinct = np.unique(block.pairs)
-    pc = np.empty(len(distinct), dtype=np.int64)
-    pc[np.argsort(block.pair_keys(distinct))] = pair_counts
-    auto = lm.Automaton(block, by, pc, n, v, int((by == 1).sum()), int((by == 2).sum()), 3.0)
-    unknown = 1 - auto.root.sum()
-    d = int((by == 1).sum()) / ((by == 1).sum() + 2 * (by == 2).sum())
-    assert abs(unknown - d * v / n) < 1e-12
-    for h in range(v):
-        known = {int(x % (block.start + 1)): 10 ** auto.arc[k] for k, x in enumerate(distinct) if x // (block.start + 1) == h}
-        rest = 10 ** auto.fail[h] * (1 - sum(auto.root[w] for w in known))
-        if known and h != block.end:
-            assert abs(sum(known.values()) + rest - 1) < 1e-9
+def test_lm_counts_past_32_bits():
+    keys = np.array([8, 16, 1 << 62], dtype=np.uint64) + np.uint64(1)
+    counts = np.array([1 << 40, 3, (1 << 32) + 1])
+    whole, sums, _ = lm._summed([lm.packed(keys), lm.packed(keys[1:])], [lm.planes(counts), lm.planes(counts[1:])])
+    assert whole.tolist() == keys.tolist() and sums.tolist() == [1 << 40, 6, (1 << 33) + 2]
+
+
+def test_lm_automaton_falls_back_twice_and_sums_to_one():
+    texts = [b"a b a c", b"a b", b"b a b"]
+    vocabulary = [b"a", b"b", b"c", b"new"]
+    # One further text for each history and next word: its tokens are in the block but not in the training texts.
+    histories = [(), (b"a",), (b"a", b"b"), (b"b", b"a"), (b"c", b"a"), (b"a", b"c")]
+    probes = [b" ".join((*h, w)) for h in histories for w in vocabulary]
+    block = lm.Block(texts + probes)
+    keys, counts = block.counts(np.array([True] * len(texts) + [False] * len(probes)))
+    words = counts[keys & np.uint64(3) == 1].astype(np.int64)
+    n, v = int(words.sum()), int((words > 0).sum())
+    auto = lm.Automaton(block, counts.astype(np.int64), n, v, int((words == 1).sum()), int((words == 2).sum()), (3.0, 2.0))
+
+    def step(text, after):
+        """log10 probability of the token `after` words into a text."""
+        return auto.traverse(int(block.first[text]), after + 1) - (auto.traverse(int(block.first[text]), after) if after else 0.0)
+
+    for k, h in enumerate(histories):
+        at = len(texts) + k * len(vocabulary)
+        whole = sum(10 ** step(at + j, len(h)) for j in range(len(vocabulary)))
+        assert 0 < whole < 1
+        # What is missing from one is the end's own probability.
+        text = next((i for i, p in enumerate(texts + probes) if p.split() == list(h) and h), None)
+        if text is not None:
+            assert abs(whole + 10 ** step(text, len(h)) - 1) < 1e-9
+    # From the state (a, b) no arc for `new` leads on: the failure arcs to b and to the root are followed, and the next state is the root.
+    first = int(block.first[len(texts) + 2 * len(vocabulary) + 3])
+    pair = int(auto.pairs[first + 1])
+    assert auto.held[pair] == 2 and auto.fail[pair] == int(auto.words[first + 1]) and auto.fail[auto.fail[pair]] == auto.root
+    want = auto.traverse(first, 2) + auto.fail_weight[pair] + auto.fail_weight[auto.fail[pair]] + auto.weight[int(auto.words[first + 2])]
+    assert abs(auto.traverse(first, 3) - want) < 1e-12 and auto.target[int(auto.words[first + 2])] == auto.root
 
 
 def test_topk_against_brute_force(spark, monkeypatch):
