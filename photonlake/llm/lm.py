@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from photonlake.llm.common import ascii_lower_words, kept, remainder, text_bytes
 
 #: Bytes of text in a block (one longer text is a block of its own), and bytes of text for each range of n-grams.
-BLOCK_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 #: Ranges that one ask is cut into at most, and asks that are summed at once.
-FAN = 1024
+FAN = 4096
 #: Weights of the shorter context after one and after two words. The first is the best on a part of the training texts (remainder 1) under counts
 #: from the rest; the second is the best of 5, 10, 20 and 50 on the same.
 MU = (400.0, 10.0)
@@ -118,12 +118,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit values, all first bytes, then all second ones and so on: the shuffle's compression then finds the bytes that are 0."""
-    return values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Unsigned 64-bit values: how many of their bytes are used, then all first bytes, all second ones and so on."""
+    used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    rows = values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)
+    return bytes([used]) + rows[:, :used].T.tobytes()
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    rows = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = rows.T
+    return out.view(np.uint64).ravel()
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -176,18 +181,20 @@ def _reply(table: pa.Table) -> pa.Table:
 
 def resolved(asks: DataFrame, askers: int, ranges: int, fan: int) -> DataFrame:
     """A reply for each ask. Up to `fan` askers a range are summed at once. More of them are merged in groups of `fan`; each group asks once, with its
-    keys cut into `fan` smaller ranges, and hands the sums on to its own askers. So a task holds `fan` asks at most, and rows stay in proportion to keys."""
+    keys cut into smaller ranges, and hands the sums on to its own askers. So a task holds `fan` asks at most, and rows stay in proportion to keys."""
     if askers <= fan:
         return asks.groupBy("range").applyInArrow(_reply, _REPLIES)
-    grouped = kept(asks.withColumn("team", F.pmod(F.xxhash64("asker"), F.lit(-(-askers // fan)))), "asks")
+    teams = -(-askers // fan)
+    parts = min(teams, fan)
+    grouped = kept(asks.withColumn("team", F.pmod(F.xxhash64("asker"), F.lit(teams))), "asks")
 
     def merge(table: pa.Table) -> pa.Table:
         whole, sums, _ = _summed(table["keys"].to_pylist(), table["counts"].to_pylist())
-        number, keys, counts = cut(whole, sums, table["range"][0].as_py() * fan, fan, ranges * fan)
+        number, keys, counts = cut(whole, sums, table["range"][0].as_py() * parts, parts, ranges * parts)
         return pa.Table.from_batches([_rows(_ASKS, number, [table["team"][0].as_py()] * len(keys), keys, counts)])
 
-    replies = resolved(grouped.groupBy("range", "team").applyInArrow(merge, _ASKS), -(-askers // fan), ranges * fan, fan)
-    replies = replies.withColumn("part", F.col("range")).withColumn("range", F.floor(F.col("range") / fan)).withColumnRenamed("asker", "team")
+    replies = resolved(grouped.groupBy("range", "team").applyInArrow(merge, _ASKS), teams, ranges * parts, fan)
+    replies = replies.withColumn("part", F.col("range")).withColumn("range", F.floor(F.col("range") / parts)).withColumnRenamed("asker", "team")
 
     def hand_on(left: pa.Table, right: pa.Table) -> pa.Table:
         found = sorted(right.to_pylist(), key=lambda r: r["part"])

@@ -305,7 +305,7 @@ def brute_lm(rows, mu):
 
 
 # A fan of three: asks are merged in groups, twice over.
-@pytest.mark.parametrize(("block", "fan"), [(40, 1024), (1 << 20, 1024), (150, 3)])
+@pytest.mark.parametrize(("block", "fan"), [(40, 1024), (1 << 20, 1024), (150, 3), (150, 5)])
 def test_lm_against_brute_force(spark, block, fan):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice("the a of cat dog ran Über".split()) for _ in range(rng.randint(0, 30)))) for i in range(80)]
