@@ -2,8 +2,10 @@
 
 The standard library's parser streams tags and text into lines (one for each block element). Each line has the
 ratio of its text to its tags; the ratios are smoothed by a Gaussian and split into two clusters by a
-threshold. The lines above it choose the region of the page that holds the article; the region's lines are
-the text, but for those in menus, adverts, forms, notices, comments and the like.
+threshold. Lines above it, by their own ratio and by the smoothed one, are the seeds of the article: they choose
+the region of the page that holds it, and each further line of the region stays or goes by its ratio, its links
+and its place among the seeds. Elements whose meaning HTML itself defines (nav, aside, form, hidden and
+the like) are left out; words in a class or id only weigh against what the ratios say.
 """
 
 from __future__ import annotations
@@ -21,18 +23,16 @@ from photonlake.llm.common import map_rows
 
 # HTML elements by what they mean for a page's text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video head title select option datalist button textarea".split())
+SILENT = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas audio video head title select option datalist button textarea".split())
 ASIDE = frozenset("nav aside footer header form dialog menu search".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of a class or id that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis(?:e?ment|ing)|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|menus?|nav(?:bar|igation)?|breadcrumbs?|footer|header|masthead|sidebar|side|aside|widgets?|"
-    r"cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri(?:be|ption)|share|sharing|social|related|recommend(?:ed|ations)?|comments?|disqus|respond|replies|pagination|pager|login|signup|search|copyright|toolbar|hidden)(?:$|[\s_-]|\d)",
-    re.I,
-)
-COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|respond)(?:$|[\s_-])", re.I)
+CONTAINERS = frozenset("div section ul ol dl table article figure fieldset".split())
+# Words of a class or id that speak against a container. The first have hardly another sense, the others have.
+PLAIN_MARKS = frozenset("ad ads adsense advert advertisement advertising adverts breadcrumb breadcrumbs comments cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter popup sidebar sponsored".split())
+VAGUE_MARKS = frozenset("aside banner comment consent copyright header hidden login notice notices overlay pager pagination promo promotion recommendations recommended related replies respond search share sharing side signup social sponsor subscribe subscription toolbar widget widgets".split())
+COMMENT_MARKS = frozenset("comment comments disqus replies reply respond".split())
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _P_ENDS = BLOCK - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
@@ -40,13 +40,15 @@ _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 
 @dataclass
 class Line:
-    """One block's text, the tags that opened or closed in it, whether it may be article text, and the region it stands in."""
+    """One block's text, the tags that opened or closed in it, whether it may be article text, the region it stands in and the marked containers around it."""
 
     text: str
     tags: int
     links: int
     fine: bool
     region: int
+    marks: tuple[int, ...]
+    heading: bool
 
 
 @dataclass
@@ -55,17 +57,31 @@ class _Open:
     fine: bool
     silent: bool
     region: int
+    marks: tuple[int, ...] = ()
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes say that it isn't part of the article."""
-    own = {k: v or "" for k, v in attrs}
-    names = f"{own.get('class', '')} {own.get('id', '')}"
-    if tag == "article":
-        marks = COMMENT.search(names)
-    else:
-        marks = tag not in ("html", "body", "main") and MARKS.search(names)
-    return bool(marks) or "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or bool(HIDDEN.search(own.get("style", "")))
+def _left_out(own: dict[str, str]) -> bool:
+    """Whether HTML itself says that an element isn't shown, or is no part of the text."""
+    return "hidden" in own or own.get("aria-hidden") == "true" or own.get("role", "").lower() in ROLES or bool(HIDDEN.search(own.get("style", "")))
+
+
+def _weight(tag: str, own: dict[str, str]) -> int:
+    """How much the names of a container speak against it: 3 for a plain mark alone, 2 for one in a compound, 1 for a vague one, 0 for none."""
+    if tag not in CONTAINERS:
+        return 0
+    found = 0
+    for name in f"{own.get('class', '')} {own.get('id', '')}".lower().split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if tag == "article":  # the element says more than its names, but for a reader's comment
+            parts = [x for x in parts if x in COMMENT_MARKS]
+            found = 3 if parts else found
+        elif len(parts) == 1 and parts[0] in PLAIN_MARKS:
+            found = 3
+        elif PLAIN_MARKS.intersection(parts):
+            found = max(found, 2)
+        elif VAGUE_MARKS.intersection(parts):
+            found = max(found, 1)
+    return found
 
 
 @dataclass
@@ -79,6 +95,7 @@ class Lines(HTMLParser):
         self.stack = [_Open("", True, False, 0)]
         self.kinds = ["page"]
         self.parents = [0]
+        self.weights: list[int] = []  # of the marked containers
         self.words: list[str] = []
         self.tags = self.link_chars = 0
         self.in_link = 0
@@ -93,7 +110,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.words).split())
         if text or self.tags:
             top = self.stack[-1]
-            self.lines.append(Line(text, self.tags, self.link_chars, top.fine, top.region))
+            self.lines.append(Line(text, self.tags, self.link_chars, top.fine, top.region, top.marks, any(o.tag in HEADING for o in self.stack[-4:])))
         self.words, self.tags, self.link_chars = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
@@ -110,8 +127,12 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         top = self.stack[-1]
-        fine = top.fine and tag not in ASIDE and not (attrs and _marked(tag, attrs))
-        region = top.region
+        own = {k: v or "" for k, v in attrs}
+        fine = top.fine and tag not in ASIDE and not _left_out(own)
+        region, marks = top.region, top.marks
+        if own and (weight := _weight(tag, own)):
+            self.weights.append(weight)
+            marks = (*marks, len(self.weights) - 1)
         if tag in ("article", "main", "section", "div", "td", "body"):
             self.kinds.append(tag)
             self.parents.append(region)
@@ -119,12 +140,12 @@ class Lines(HTMLParser):
         # A heading in the header of an article is the article's own.
         if tag in HEADING and not fine and self.stack[-1].tag in ("header", "hgroup") and any(o.tag in ("article", "main") for o in self.stack):
             fine = next(o for o in reversed(self.stack) if o.tag in ("article", "main")).fine
-        self.stack.append(_Open(tag, fine, top.silent or tag in SILENT, region))
+        self.stack.append(_Open(tag, fine, top.silent or tag in SILENT, region, marks))
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and (tag in ("svg", "math") or self.stack[-1].silent):
+        if tag not in VOID and (tag == "svg" or self.stack[-1].silent):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -141,7 +162,7 @@ class Lines(HTMLParser):
                 inline = [o for o in self.stack[k + 1 :] if o.tag not in BLOCK and o.tag not in SILENT] if tag == "p" else []
                 top = self.stack[k - 1]
                 del self.stack[k:]
-                self.stack += [_Open(o.tag, top.fine, o.silent, top.region) for o in inline if o.tag in ("b", "i", "em", "strong", "u", "span", "font", "small")][:8]
+                self.stack += [_Open(o.tag, top.fine, o.silent, top.region, top.marks) for o in inline if o.tag in ("b", "i", "em", "strong", "u", "span", "font", "small")][:8]
                 return
             if self.stack[k].tag in barrier:
                 return
@@ -169,9 +190,13 @@ def lines_of(html: str | None) -> Lines:
     return parser
 
 
-def ratios(lines: list[Line], sigma: float = 1.0) -> np.ndarray:
-    """Text-to-tag ratio of each line (link text isn't counted), smoothed by a Gaussian."""
-    raw = np.array([max(0, len(x.text) - x.links) / max(1, x.tags) for x in lines])
+def own_ratios(lines: list[Line]) -> np.ndarray:
+    """Text-to-tag ratio of each line; link text isn't counted."""
+    return np.array([max(0, len(x.text) - x.links) / max(1, x.tags) for x in lines])
+
+
+def smoothed(raw: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Ratios smoothed by a Gaussian."""
     reach = max(1, math.ceil(3 * sigma))
     kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * sigma**2))
     return np.convolve(raw, kernel / kernel.sum())[reach : reach + len(raw)]
@@ -191,29 +216,64 @@ def threshold(values: np.ndarray) -> float:
 
 
 def blocks_of(html: str | None) -> list[str]:
-    """The article's blocks, each with single spaces, in page order."""
+    """The article's blocks, each with single spaces, in page order.
+
+    A line is rich if both its ratio and its smoothed ratio lie in the upper cluster. Seeds are the rich lines outside marked containers (without such, all rich
+    lines; without those, all lines). The region is the page's articles if they hold all seeds, else the smallest container that does. Of its lines go
+
+    * those of a marked container for which too little speaks: one for mostly rich text, one for a place among the seeds, one against for many links, less its weight;
+    * outside article elements, links in a row of three or more, and before the first and after the last seed poor lines that are links or
+      stand in a container without any seed (headings stay).
+    """
     page = lines_of(html)
-    fine = [x for x in page.lines if x.fine and x.text]
-    if not fine:
+    lines = page.lines
+    shown = [i for i, x in enumerate(lines) if x.fine and x.text]
+    if not shown:
+        return []
+    raw = own_ratios(lines)
+    smooth = smoothed(raw)
+    rich = (raw >= threshold(raw)) & (smooth >= threshold(smooth))
+    seeds = [i for i in shown if rich[i] and not lines[i].marks] or [i for i in shown if rich[i]] or shown
+    dropped = _against(page, shown, rich, seeds)
+    shown = [i for i in shown if dropped.isdisjoint(lines[i].marks)]
+    seeds = [i for i in seeds if dropped.isdisjoint(lines[i].marks)] or shown
+    if not shown:
         return []
-    smooth = ratios(page.lines)
-    border = threshold(smooth)
-    votes = np.zeros(len(page.kinds))
-    for x, value in zip(page.lines, smooth):
-        if x.fine and x.text and value >= border:
-            votes[x.region] += len(x.text) - x.links
-    if not votes.any():
-        for x in fine:
-            votes[x.region] += len(x.text) - x.links
-    # The region must hold every line that voted: no share of them is given up.
-    voted = [r for r in range(len(votes)) if votes[r] > 0] or sorted({x.region for x in fine})
-    articles = {r for r in range(1, len(votes)) if page.kinds[r] in ("article", "main")}
-    if all(_within(page.parents, r, articles) for r in voted):
-        return [x.text for x in fine if _within(page.parents, x.region, articles)]
-    chosen = voted[0]  # the innermost that holds all
-    while not all(_within(page.parents, r, {chosen}) for r in voted):
+    # The region must hold every seed: no share of them is given up.
+    held = sorted({lines[i].region for i in seeds})
+    articles = {r for r in range(1, len(page.kinds)) if page.kinds[r] in ("article", "main")}
+    if all(_within(page.parents, r, articles) for r in held):
+        return [lines[i].text for i in shown if _within(page.parents, lines[i].region, articles)]
+    chosen = held[0]  # the innermost that holds all
+    while not all(_within(page.parents, r, {chosen}) for r in held):
         chosen = page.parents[chosen]
-    return [x.text for x in fine if _within(page.parents, x.region, {chosen})]
+    inside = [i for i in shown if _within(page.parents, lines[i].region, {chosen})]
+    linked = [not rich[i] and lines[i].links > 0.8 * len(lines[i].text) for i in inside]
+    stay = []
+    for k, i in enumerate(inside):
+        row = any(all(linked[j : j + 3]) for j in range(max(0, k - 2), min(k, len(inside) - 3) + 1))
+        edge = not seeds[0] <= i <= seeds[-1] and not rich[i] and not lines[i].heading
+        apart = not any(_within(page.parents, r, {lines[i].region}) for r in held)
+        if not row and not (edge and (linked[k] or apart)):
+            stay.append(lines[i].text)
+    return stay
+
+
+def _against(page: Lines, shown: list[int], rich: np.ndarray, seeds: list[int]) -> set[int]:
+    """The marked containers that go."""
+    lines, out = page.lines, set()
+    size = lambda some: sum(len(lines[i].text) for i in some)
+    for mark, weight in enumerate(page.weights):
+        own = [i for i in shown if mark in lines[i].marks]
+        if not own:
+            continue
+        other = [i for i in seeds if mark not in lines[i].marks]
+        among = other and other[0] < own[0] and own[-1] < other[-1] or 2 * size(set(seeds).intersection(own)) > size(seeds)
+        mostly_rich = 2 * size(i for i in own if rich[i]) >= size(own)
+        linked = 3 * sum(lines[i].links for i in own) >= size(own)
+        if mostly_rich + bool(among) - linked < weight:
+            out.add(mark)
+    return out
 
 
 def _within(parents: list[int], region: int, of: set[int]) -> bool:
@@ -235,7 +295,8 @@ def whole_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row; null html has empty text."""
+    """page_id, url, text and n_chars of every row, repeated rows included. Null and empty html, and pages without text, have empty text; null ids and urls
+    stay null; an empty table gives no rows. Other columns are neither read nor returned."""
 
     def rows(part):
         texts = [main_text(h) for h in part["html"]]

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from photonlake.llm import chat, html_text, warc
@@ -108,3 +109,62 @@ def test_no_part_of_an_article_is_given_up():
     assert has(f"<div>{p(1, 40)}<div>{p(2, 40) * 5}</div></div>") == {1, 2}
     assert has(f"<article>{p(1, 60)}<figure><img src=x><figcaption>part2 of it</figcaption></figure>{p(3, 60)}</article>") == {1, 2, 3}
     assert "Menu" not in html_text.main_text(wrap(f"<article>{p(1, 60)}</article>"))
+
+
+def paragraphs(*sizes):
+    return [" ".join(f"{'abcdefgh'[k]}{j}" for j in range(n)) for k, n in enumerate(sizes)]
+
+
+def page(*parts):
+    return "<html><body>" + "".join(parts) + "</body></html>"
+
+
+LINKS = "".join(f"<li><a href='/{k}'>Punkt {k}</a></li>" for k in range(6))
+
+
+@pytest.mark.parametrize("name", ["werbung", "xq7", ""])
+def test_menu_and_advert_go_whatever_their_names(name):
+    a, b, c = paragraphs(60, 3, 50)
+    menu, ad = f"<div class='{name}m'><ul>{LINKS}</ul></div>", f"<div class='{name}'>Jetzt kaufen, nur heute.</div>"
+    text = [f"<p>{x}</p>" for x in (a, b, c)]
+    assert html_text.blocks_of(page(menu, ad, "<div>", *text, "</div>", menu, ad)) == [a, b, c]
+    assert html_text.blocks_of(page(menu, ad, "<article>", *text, "</article>", ad)) == [a, b, c]
+    # Without any element around the article: menus go as rows of links, the advert as a poor container beside it.
+    assert html_text.blocks_of(page(menu, ad, *text, menu)) == [a, b, c]
+
+
+@pytest.mark.parametrize("odd", ["<p class='side note'>{}</p>", "<p class='related'>{}</p>", "<div class='share-price'>{}</div>", "<section class='header-files'><p>{}</p></section>", "<h2 id='comments-on-rome'>{}</h2>"])
+def test_misleading_names_inside_an_article_stay(odd):
+    a, b, c = paragraphs(60, 12, 50)
+    html = page("<nav>Menu</nav><article>", f"<p>{a}</p>", odd.format(b), f"<p>{c}</p></article><footer>f</footer>")
+    assert html_text.blocks_of(html) == [a, b, c]
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "newsletter-box", "cookie-notice", "related"])
+def test_marked_containers_of_poor_or_linked_text_go(name):
+    a, b = paragraphs(60, 50)
+    inside = f"<div class='{name}'><a href=x>More to read</a> <a href=y>and more</a></div>"
+    assert html_text.blocks_of(page(f"<article><p>{a}</p>{inside}<p>{b}</p></article>")) == [a, b]
+    after = f"<div class='{name}'><p>{' '.join(paragraphs(40)[0].split())}</p></div>"
+    assert html_text.blocks_of(page(f"<article><p>{a}</p><p>{b}</p>{after}</article>")) == [a, b] or name == "related"
+
+
+def test_wrapper_with_a_marking_name_is_no_sidebar():
+    a, b = paragraphs(60, 50)
+    html = page(f"<div class='with-sidebar'><div class='text'><p>{a}</p><p>{b}</p></div><div class='sidebar'><p>{b}</p></div></div>")
+    assert html_text.blocks_of(html) == [a, b]
+
+
+def test_captions_formulas_and_short_lines_stay():
+    a, b = paragraphs(60, 50)
+    html = page(f"<article><h1>T</h1><p>{a}</p><figure><img src=x><figcaption>Seen from above</figcaption></figure><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p><p>Yes.</p><p>{b}</p><p>End.</p></article>")
+    assert html_text.blocks_of(html) == ["T", a, "Seen from above", "so x=2", "Yes.", b, "End."]
+
+
+def test_clusters_of_ratios():
+    lines = html_text.lines_of(page(f"<ul>{LINKS}</ul><p>{paragraphs(60)[0]}</p><p>{paragraphs(50)[0]}</p>")).lines
+    raw = html_text.own_ratios(lines)
+    one = html_text.smoothed(np.eye(11)[5])
+    assert abs(one.sum() - 1) < 1e-9 and one.argmax() == 5 and np.allclose(one, one[::-1])
+    border = html_text.threshold(raw)
+    assert (raw[:6] < border).all() and (raw >= border).sum() == 2
