@@ -1,14 +1,17 @@
 """WARC derivatives: metadata and plain-text conversion records made from responses.
 
 Each derived record names the response that it comes from (WARC-Refers-To, with its target and date), and has its own
-id, block and payload digests and length. Ids are name-based, so that a task run again writes the same records.
+id, block and payload digests and length. The metadata record has every header of the source, its WARC headers as well as
+its HTTP headers, in their order. Ids are name-based, so that a task run again writes the same records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -41,32 +44,77 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"WARC/1.1{END}{head}{END}".encode("utf-8", "surrogatepass") + block + (END * 2).encode()
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a WARC file's bytes. Raises ValueError where they are broken."""
-    at = 0
+class Headers(dict):
+    """Header values by name in lower case (of repeated names the first), and as pairs in their order with their names as written."""
+
+    def __init__(self, lines: list[str]):
+        self.pairs: list[tuple[str, str]] = []
+        for line in lines:
+            if line[:1] in (" ", "\t") and self.pairs:
+                name, value = self.pairs[-1]
+                self.pairs[-1] = name, f"{value} {line.strip()}"
+                continue
+            name, colon, value = line.partition(":")
+            if colon:
+                self.pairs.append((name.strip(), value.strip()))
+        super().__init__((k.lower(), v) for k, v in reversed(self.pairs))
+
+
+def members(data: bytes) -> bytes:
+    """A WARC file's bytes; those of a .warc.gz, one member for each record, are unpacked. What follows a broken member up to the next one is left out, and
+    its place is marked by a line that is no record."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out, at = [], 0
+    while at < len(data):
+        unpack = zlib.decompressobj(wbits=31)
+        try:
+            got = unpack.decompress(data[at:] if at else data)
+            if not unpack.eof:
+                raise zlib.error("cut off")
+            out.append(got)
+            at = len(data) - len(unpack.unused_data)
+            if not unpack.unused_data.strip(b"\0"):
+                break
+        except zlib.error:
+            out.append(b"broken member\r\n\r\n")
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+            if at < 0:
+                break
+    return b"".join(out)
+
+
+def scan(data: bytes) -> Iterator[tuple[Headers, bytes] | str]:
+    """Headers and block of each record of a WARC file's bytes, plain or packed. A broken place gives one line that says what is wrong, and reading goes on with the next record after it."""
+    data, at = members(data), 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
             at += 2
             continue
         head = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or head < 0:
-            raise ValueError(f"no record at byte {at}")
-        headers: dict[str, str] = {}
-        last = None
-        for line in data[at:head].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in (" ", "\t") and last:
-                headers[last] += " " + line.strip()
-                continue
-            name, colon, value = line.partition(":")
-            if colon:
-                last = name.strip().lower()
-                headers[last] = value.strip()
-        size = int(headers["content-length"])
-        block = data[head + 4 : head + 4 + size]
-        if len(block) != size:
-            raise ValueError(f"record at byte {at} is cut off")
+        problem = "no record" if not data.startswith(b"WARC/", at) or head < 0 else ""
+        if not problem:
+            headers = Headers(data[at:head].decode("utf-8", "replace").split("\r\n")[1:])
+            size = headers.get("content-length", "")
+            block = data[head + 4 : head + 4 + int(size)] if re.fullmatch("[0-9]{1,18}", size) else b""
+            problem = "no length" if not re.fullmatch("[0-9]{1,18}", size) else "record is cut off" if len(block) != int(size) else ""
+        if problem:
+            yield f"{problem} at byte {at}"
+            found = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n").search(data, at + 1)
+            if not found:
+                return
+            at = found.start()
+            continue
         yield headers, block
-        at = head + 4 + size
+        at = head + 4 + len(block)
+
+
+def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """The records of `scan`. Raises ValueError where one is broken."""
+    for found in scan(data):
+        if isinstance(found, str):
+            raise ValueError(found)
+        yield found
 
 
 def response(url: str | None, html: str | None, name: str, date: str) -> bytes:
@@ -77,42 +125,114 @@ def response(url: str | None, html: str | None, name: str, date: str) -> bytes:
     return record([*headers, ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(http))], http)
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
+def split_http(block: bytes) -> tuple[str, Headers, bytes]:
     """Status line, headers and payload of an HTTP response; a block without headers is all payload."""
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", Headers([]), block
     first, *rest = head.decode("latin-1").split("\r\n")
-    return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest)}, payload
+    return first, Headers(rest), payload
+
+
+def unchunked(payload: bytes) -> bytes:
+    """The body of a chunked payload. Raises ValueError if it isn't one, as where the crawler had taken the chunks apart already."""
+    out, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        size = payload[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            raise ValueError(f"no chunk at byte {at}")
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(out)
+        if len(payload) < end + 2 + n:
+            raise ValueError("a chunk is cut off")
+        out.append(payload[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def unpacked(payload: bytes, encoding: str) -> bytes:
+    """A payload without its content encoding. Raises ValueError for one that isn't known or doesn't fit."""
+    try:
+        if encoding in ("gzip", "x-gzip"):
+            return zlib.decompressobj(wbits=31).decompress(payload)
+        if encoding == "deflate":
+            return zlib.decompress(payload, wbits=15 if payload[:1] == b"\x78" else -15)
+        if encoding == "zstd":
+            import zstandard
+
+            return zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+    except Exception as e:  # each codec has errors of its own
+        raise ValueError(f"{encoding}: {e}") from e
+    if encoding in ("", "identity"):
+        return payload
+    raise ValueError(f"{encoding} is not known")
+
+
+def body_of(http: Headers, payload: bytes) -> tuple[bytes, str]:
+    """The body without transfer and content encodings, and what went wrong (then the rest stays as it is)."""
+    problem = ""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        try:
+            payload = unchunked(payload)
+        except ValueError as e:
+            problem = str(e)
+    for encoding in reversed(http.get("content-encoding", "").lower().split(",")):
+        try:
+            payload = unpacked(payload, encoding.strip())
+        except ValueError as e:
+            return payload, f"{problem}; {e}".lstrip("; ")
+    return payload, problem
+
+
+_META = re.compile(rb"""<meta[^>]{0,200}charset\s*=\s*["']?([\w-]+)""", re.I)
+#: Types of content that have a text.
+_TEXTUAL = re.compile(r"^$|text/|html|xml|json|javascript")
+
+
+def text_of(kind: str, body: bytes) -> str | None:
+    """The plain text of a body of some content type; None if it has none."""
+    kind = kind.lower()
+    if not _TEXTUAL.search(kind.partition(";")[0].strip()):
+        return None
+    charset = kind.partition("charset=")[2].split(";")[0].strip("\"' ")
+    if not charset and (found := _META.search(body[:1024])):
+        charset = found[1].decode()
+    try:
+        page = body.decode(charset or "utf-8", "replace")
+    except LookupError:
+        page = body.decode("utf-8", "replace")
+    return whole_text(page) if "html" in kind or not kind else page
 
 
-def derive(headers: dict[str, str], block: bytes) -> dict[str, object] | None:
-    """Both records derived from a response, with their linking fields; None for records of another type."""
+def derive(headers: Headers, block: bytes) -> dict[str, object] | None:
+    """Both records derived from a response, with their linking fields; None for records of another type. A response without a text (an image, say) has no conversion."""
     if headers.get("warc-type") != "response":
         return None
     status, http, payload = split_http(block)
     source, target, date = headers.get("warc-record-id", ""), headers.get("warc-target-uri", ""), headers.get("warc-date", "")
-    charset = http.get("content-type", "").lower().partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8"
-    try:
-        page = payload.decode(charset, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    text = whole_text(page) if "html" in http.get("content-type", "html").lower() else page
-    text_block = text.encode("utf-8", "surrogatepass")
+    body, problem = body_of(http, payload)
+    text = text_of(http.get("content-type", ""), body)
+    text_block = None if text is None else text.encode("utf-8", "surrogatepass")
     payload_digest = headers.get("warc-payload-digest") or digest(payload)
-    facts = [("sourceStatus", status), ("sourceContentType", http.get("content-type", "")), ("sourcePayloadDigest", payload_digest), ("sourceBlockDigest", headers.get("warc-block-digest") or digest(block)), ("sourceLength", str(len(payload))), ("textLength", str(len(text_block)))]
+    facts = [("sourceStatus", status), ("sourcePayloadDigest", payload_digest), ("sourceBlockDigest", headers.get("warc-block-digest") or digest(block)), ("sourceLength", str(len(payload)))]
+    facts += [("textLength", str(len(text_block)))] if text_block is not None else []
+    facts += [("sourceDecodingProblem", problem)] if problem else []
+    facts += [("sourceWarcHeader", f"{k}: {v}") for k, v in headers.pairs] + [("sourceHttpHeader", f"{k}: {v}") for k, v in http.pairs]
     facts_block = "".join(f"{k}: {clean(v)}{END}" for k, v in facts).encode("utf-8", "surrogatepass")
     ids = {kind: record_id(kind, source) for kind in ("metadata", "conversion")}
     links = [("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
 
-    def derived(kind: str, type_: str, body: bytes) -> bytes:
+    def derived(kind: str, type_: str, data: bytes) -> bytes:
         own = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", target), ("Content-Type", type_)]
-        return record([*own, *links, ("WARC-Block-Digest", digest(body))], body)
+        return record([*own, *links, ("WARC-Block-Digest", d := digest(data)), ("WARC-Payload-Digest", d)], data)
 
+    there = text_block is not None
     return {
         "refers_to": source, "target_uri": target, "warc_date": date, "source_payload_digest": payload_digest, "source_length": len(payload),
-        "metadata_id": ids["metadata"], "metadata_digest": digest(facts_block), "conversion_id": ids["conversion"], "conversion_digest": digest(text_block), "text_length": len(text_block),
-        "metadata_record": derived("metadata", "application/warc-fields", facts_block), "conversion_record": derived("conversion", "text/plain; charset=utf-8", text_block),
+        "metadata_id": ids["metadata"], "metadata_digest": digest(facts_block), "conversion_id": ids["conversion"] if there else None,
+        "conversion_digest": digest(text_block) if there else None, "text_length": len(text_block) if there else None,
+        "metadata_record": derived("metadata", "application/warc-fields", facts_block), "conversion_record": derived("conversion", "text/plain; charset=utf-8", text_block) if there else None,
     }
 
 
@@ -121,18 +241,24 @@ RECORDS = FIELDS + ", metadata_record binary, conversion_record binary"
 
 
 def derive_records(files: DataFrame, content: str = "content") -> DataFrame:
-    """Derivatives of every response in a column of WARC bytes (one or more records each; null has none). Other types of record are passed over."""
+    """Derivatives of every response in a column of WARC bytes, plain or .warc.gz (one or more records each; null and empty have none).
+
+    Other types of record are passed over. Each broken place gives a row whose column problem says what is wrong and whose other columns are null: such records are left
+    out of the derivatives, and can be counted. Repeated files give repeated rows. A file is one cell, so it is at most 2 GB.
+    """
 
     def rows(part):
-        out: dict[str, list] = {f.split()[0]: [] for f in RECORDS.split(", ")}
+        names = [f.split()[0] for f in RECORDS.split(", ")]
         for data in part["content"]:
-            for made in (derive(h, b) for h, b in parse(bytes(data or b""))):
+            out: dict[str, list] = {n: [] for n in [*names, "problem"]}
+            for found in scan(bytes(data or b"")):
+                made = {"problem": found} if isinstance(found, str) else derive(*found)
                 if made:
-                    for k, v in made.items():
-                        out[k].append(v)
-        yield out
+                    for n, column in out.items():
+                        column.append(made.get(n))
+            yield out
 
-    return map_rows(files.select(F.col(content).alias("content")), rows, RECORDS, slices=100)
+    return map_rows(files.select(F.col(content).alias("content")), rows, RECORDS + ", problem string", slices=100)
 
 
 def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -145,7 +271,8 @@ def page_responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
 
 
 def page_derivatives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """page_id with the linking fields and both records' SHA-256, for every page."""
+    """page_id with the linking fields and both records' SHA-256, for every page, repeated rows included. Null and empty html give records of no text; an empty
+    table gives no rows; other columns are neither read nor returned."""
     made = FIELDS.split(", ")
 
     def rows(part):

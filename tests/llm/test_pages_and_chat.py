@@ -1,9 +1,12 @@
 """HTML extraction, WARC derivatives and preference pairs."""
 
+import gzip
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from photonlake.llm import chat, html_text, warc
 
@@ -73,6 +76,72 @@ def test_warc_tables(spark):
     assert warc.page_derivatives(pages.limit(0)).count() == 0
 
 
+def warc_response(http, payload, extra=(), warc_extra=()):
+    head = "".join(f"{k}: {v}\r\n" for k, v in [("Content-Type", "text/html"), *extra])
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", "http://a/"), *warc_extra]
+    return warc.record(headers, f"{http}\r\n{head}\r\n".encode() + payload)
+
+
+def derived_of(data):
+    (h, b), = warc.parse(data)
+    row = warc.derive(h, b)
+    (_, facts), = warc.parse(row["metadata_record"])
+    text = list(warc.parse(row["conversion_record"])) if row["conversion_record"] else [(None, b"")]
+    return row, facts.decode(), text[0][1].decode()
+
+
+def test_warc_keeps_all_source_headers():
+    data = warc_response("HTTP/1.1 200 OK", b"<p>x</p>", [("Server", "s/1"), ("Last-Modified", "then"), ("Set-Cookie", "a"), ("Set-Cookie", "b")], [("WARC-IP-Address", "192.0.2.1"), ("WARC-Truncated", "length")])
+    row, facts, _ = derived_of(data)
+    (headers, block), = warc.parse(data)
+    lines = facts.split("\r\n")
+    assert [x for x in lines if x.startswith("sourceWarcHeader")] == [f"sourceWarcHeader: {k}: {v}" for k, v in headers.pairs]
+    assert [x for x in lines if x.startswith("sourceHttpHeader")] == ["sourceHttpHeader: Content-Type: text/html", "sourceHttpHeader: Server: s/1", "sourceHttpHeader: Last-Modified: then", "sourceHttpHeader: Set-Cookie: a", "sourceHttpHeader: Set-Cookie: b"]
+    for kind in ("metadata", "conversion"):
+        (h, b), = warc.parse(row[f"{kind}_record"])
+        assert h["warc-payload-digest"] == h["warc-block-digest"] == warc.digest(b) == row[f"{kind}_digest"]
+
+
+def chunks(data, n):
+    return b"".join(b"%x;ext=1\r\n%s\r\n" % (len(data[i : i + n]), data[i : i + n]) for i in range(0, len(data), n)) + b"0\r\n\r\n"
+
+
+@pytest.mark.parametrize("names, encode", [
+    ("gzip", gzip.compress), ("deflate", zlib.compress), ("deflate", lambda x: zlib.compress(x, wbits=-15)), ("zstd", lambda x: zstandard.ZstdCompressor().compress(x)), ("gzip, deflate", lambda x: zlib.compress(gzip.compress(x))), ("", bytes),
+])
+@pytest.mark.parametrize("chunked", [True, False])
+def test_warc_undoes_encodings(names, encode, chunked):
+    payload = encode("<p>Zürich</p>".encode())
+    extra = [("Content-Encoding", names)] * bool(names) + [("Transfer-Encoding", "chunked")] * chunked
+    row, facts, text = derived_of(warc_response("HTTP/1.1 200 OK", chunks(payload, 7) if chunked else payload, extra))
+    assert text == "Zürich" and "sourceDecodingProblem" not in facts
+    assert row["source_length"] == len(chunks(payload, 7) if chunked else payload)
+
+
+def test_warc_of_odd_bodies():
+    assert "sourceDecodingProblem: br is not known" in derived_of(warc_response("HTTP/1.1 200 OK", b"\x8b", [("Content-Encoding", "br")]))[1]
+    assert "sourceDecodingProblem: no chunk" in derived_of(warc_response("HTTP/1.1 200 OK", b"<p>x</p>", [("Transfer-Encoding", "chunked")]))[1]
+    assert derived_of(warc_response("HTTP/1.1 200 OK", b"<meta charset='latin-1'><p>\xe9</p>"))[2] == "é"
+    (h, b), = warc.parse(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>")], b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"))
+    row = warc.derive(h, b)
+    assert row["conversion_record"] is None and row["conversion_id"] is None and row["text_length"] is None and row["metadata_record"]
+
+
+def test_packed_and_broken_warc_files(spark):
+    one, two = (warc.response(f"http://{k}/", PAGE, k, "2024-01-01T00:00:00Z") for k in "ab")
+    packed = gzip.compress(one) + gzip.compress(two)
+    no_length = one.replace(b"Content-Length: ", b"Content-Size: ", 1)
+    bad_member = bytearray(gzip.compress(one))
+    bad_member[20] ^= 0xFF
+    files = [one + two, packed, no_length + two, b"junk\r\n\r\n" + one + two[:-30], bytes(bad_member) + gzip.compress(two), None, b"", one.replace(b"Content-Length: ", b"Content-Length: x", 1)]
+    rows = warc.derive_records(spark.createDataFrame([(x,) for x in files], "content binary")).collect()
+    good, bad = [r for r in rows if r.problem is None], [r for r in rows if r.problem is not None]
+    ids = sorted(r.refers_to for r in good)
+    a, b = warc.record_id("response", "a"), warc.record_id("response", "b")
+    assert ids == sorted([a, b, a, b, b, a, b]) and all(r.metadata_record is None for r in bad)
+    assert sorted(r.problem.split(" at ")[0] for r in bad) == ["no length", "no length", "no record", "no record", "record is cut off"]
+
+
 TURNS = [(2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more"), (2, 3, "assistant", "yes"), (3, 0, "user", "x"), (3, 1, "assistant", "no"), (4, 0, "user", "alone"), (None, 0, "user", "z"), (6, 0, "assistant", None), (7, 0, None, "q"), (7, 1, "assistant", "")]
 
 
