@@ -33,6 +33,8 @@ from photonlake.llm.common import ascii_lower_words, kept, remainder, text_bytes
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 #: Ranges that one ask is cut into at most, and asks that are summed at once.
 FAN = 4096
+#: Tasks of a step at most: each gets a few ranges or blocks, whatever the session's number of shuffle partitions.
+MOST_TASKS = 20_000
 #: Weights of the shorter context after one and after two words. The first is the best on a part of the training texts (remainder 1) under counts
 #: from the rest; the second is the best of 5, 10, 20 and 50 on the same.
 MU = (400.0, 10.0)
@@ -183,7 +185,7 @@ def resolved(asks: DataFrame, askers: int, ranges: int, fan: int) -> DataFrame:
     """A reply for each ask. Up to `fan` askers a range are summed at once. More of them are merged in groups of `fan`; each group asks once, with its
     keys cut into smaller ranges, and hands the sums on to its own askers. So a task holds `fan` asks at most, and rows stay in proportion to keys."""
     if askers <= fan:
-        return asks.groupBy("range").applyInArrow(_reply, _REPLIES)
+        return asks.repartition(min(ranges, MOST_TASKS), "range").groupBy("range").applyInArrow(_reply, _REPLIES)
     teams = -(-askers // fan)
     parts = min(teams, fan)
     grouped = kept(asks.withColumn("team", F.pmod(F.xxhash64("asker"), F.lit(teams))), "asks")
@@ -316,5 +318,6 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus
         scores = [automaton.traverse(a, k) for a, k in zip(block.first.tolist(), block.lengths.tolist())]
         return pa.Table.from_batches([_rows(_SCORES, row["ids"], [not t for t in row["train"]], block.lengths, known, np.add.reduceat(base, block.first), scores)])
 
-    scored = blocks.groupBy("block").cogroup(totals.withColumnRenamed("asker", "block").groupBy("block")).applyInArrow(score, _SCORES)
+    dealt = [x.repartition(min(askers, MOST_TASKS), "block").groupBy("block") for x in (blocks, totals.withColumnRenamed("asker", "block"))]
+    scored = dealt[0].cogroup(dealt[1]).applyInArrow(score, _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
