@@ -201,11 +201,13 @@ def of(text: str) -> PrefixBpe:
 def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with an array column of ids and, if asked for, the text decoded from them. Null is encoded as empty; every other
     column stays as it is. The vocabulary file is read by the driver and sent to the executors once (its size is that of the
-    file, a few MB). Columns named as the new ones are replaced."""
+    file, a few MB). Columns named as the new ones, in whatever case, are replaced. Repeated rows are encoded each; an empty table gives no rows."""
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    others = [c for c in docs.columns if c not in (ids, decoded)]
+    others = [c for c in docs.columns if c.lower() not in {ids.lower(), (decoded or ids).lower()}]
+    if text not in others:
+        raise ValueError(f"the new columns can't replace {text}")
     new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
     schema = T.StructType([*docs.select(*others).schema.fields, *new])
 
@@ -218,7 +220,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text", ids: str
 
 
 def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row. Ids and decoded text are made row by row and only their digests leave the task."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row, repeated rows included; null is encoded as empty, and a null id stays null. Ids and decoded text are made row by row and only their digests leave the task."""
     with open(vocabulary, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
 

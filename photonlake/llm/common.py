@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from photonlake.plans.storage import kept, shared_dir  # noqa: F401  (the operators take them from here)
+
 WHITE = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of this process only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="photonlake-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+def fresh(df: DataFrame, name: str) -> str:
+    """A helper column's name that none of df's columns has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit values: how many of their bytes are used, then all first bytes, all second ones and so on."""
+    used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    rows = values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)
+    return bytes([used]) + rows[:, :used].T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    rows = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
+    out[:, : data[0]] = rows.T
+    return out.view(np.uint64).ravel()
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def kept(df: DataFrame, name: str = "part") -> DataFrame:
-    """df written once into the shared folder and read again: lineage ends there, and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/photonlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:

@@ -9,10 +9,10 @@ from __future__ import annotations
 import hashlib
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import WHITE, kept, map_rows, text_bytes
+from photonlake.llm.common import WHITE, fresh, kept, map_rows, text_bytes
 
 
 def line_key(line: bytes) -> bytes:
@@ -34,25 +34,32 @@ def long_keys(text: bytes | None, min_chars: int) -> set[tuple[int, int]]:
 
 
 def dropped_keys(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Rows (id, drop) with the key hashes that a document loses: those in at least min_docs documents, of which it isn't the one with the largest id."""
-    slim = docs.select(F.col(id).alias("id"), text_bytes(text).alias("text"))
+    """Rows (id, own, drop) with the key hashes that a document loses: those in at least min_docs documents, of which it isn't the one with the largest id.
+    own is told_apart(id, text): rows without an id lose each its own keys."""
+    slim = docs.select(F.col(id).alias("id"), told_apart(id, text).alias("own"), text_bytes(text).alias("text"))
 
     def keys(part):
-        ids, a, b = [], [], []
-        for i, t in zip(part["id"], part["text"]):
+        ids, own, a, b = [], [], [], []
+        for i, o, t in zip(part["id"], part["own"], part["text"]):
             for x, y in long_keys(t, min_chars):
                 ids.append(i)
+                own.append(o)
                 a.append(x)
                 b.append(y)
-        yield {"id": ids, "a": a, "b": b}
+        yield {"id": ids, "own": own, "a": a, "b": b}
 
     kind = dict(slim.dtypes)["id"]
-    pairs = kept(map_rows(slim, keys, f"id {kind}, a long, b long"), "lines")
+    pairs = kept(map_rows(slim, keys, f"id {kind}, own long, a long, b long"), "lines")
     per_document = pairs.groupBy("a", "b", "id").agg(F.lit(1).alias("one"))
     # Written and read: then both sides of the join below are dealt anew, and a key of very many documents can be split.
     common = kept(per_document.groupBy("a", "b").agg(F.count("id").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs).select("a", "b", "last"), "common")
     losing = pairs.join(common, ["a", "b"]).filter(~F.col("id").eqNullSafe(F.col("last")))
-    return losing.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    return losing.groupBy("id", "own").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+
+
+def told_apart(id: str, text: str) -> Column:
+    """0 for a row with an id, else a hash of its text. However many rows lack an id, each meets only its own keys."""
+    return F.when(F.col(id).isNull(), F.xxhash64(F.col(text).cast("binary"))).otherwise(F.lit(0))
 
 
 def _kept_lines(text: bytes | None, drop: list[dict] | None, min_chars: int) -> tuple[list[bytes], int]:
@@ -64,11 +71,13 @@ def _kept_lines(text: bytes | None, drop: list[dict] | None, min_chars: int) ->
     return stay, len(lines)
 
 
-def _with_drop(docs: DataFrame, id: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
+def _with_drop(docs: DataFrame, id: str, text: str, min_chars: int, min_docs: int) -> tuple[DataFrame, str]:
+    """docs with the list of keys that each row loses, and that column's name."""
     drop = kept(dropped_keys(docs, id, text, min_chars, min_docs), "drop")
+    owner, own, keys = fresh(docs, "__drop_id"), fresh(docs, "__drop_own"), fresh(docs, "__drop")
     # Merged at every size: a broadcast of short lists would give way to this anyway as the corpus grows.
-    lists = drop.withColumnRenamed("id", "__drop_id").withColumnRenamed("drop", "__drop").hint("merge")
-    return docs.join(lists, F.col(id).eqNullSafe(F.col("__drop_id")), "left").drop("__drop_id")
+    lists = drop.select(F.col("id").alias(owner), F.col("own").alias(own), F.col("drop").alias(keys)).hint("merge")
+    return docs.join(lists, F.col(id).eqNullSafe(F.col(owner)) & (told_apart(id, text) == F.col(own)), "left").drop(owner, own), keys
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, n_chars: str | None = None) -> DataFrame:
@@ -78,31 +87,33 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
     counts as no document and keeps no line that others hold often enough. A text may end up empty; its row stays.
     """
     schema = docs.schema
+    source, keys = _with_drop(docs, id, text, min_chars, min_docs)
 
     def rows(part):
-        drop = part.pop("__drop")
+        drop = part.pop(keys)
         texts = [t if t is None or not d else b"\n".join(_kept_lines(t.encode("utf-8", "surrogatepass"), d, min_chars)[0]).decode("utf-8", "replace") for t, d in zip(part[text], drop)]
         if n_chars:
             part = part | {n_chars: [n if not d else len(t or "") for n, t, d in zip(part[n_chars], texts, drop)]}
         yield part | {text: texts}
 
-    return map_rows(_with_drop(docs, id, text, min_chars, min_docs), rows, schema, slices=200)
+    return map_rows(source, rows, schema, slices=200)
 
 
 def line_dedup_digests(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of what dedup_lines keeps, for every row; null is one empty line."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of what dedup_lines keeps, for every row; null is one empty line. Null ids and rows of one id are treated as there."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
+    source, keys = _with_drop(slim, "doc_id", "text", min_chars, min_docs)
 
     def rows(part):
         n, gone, digest = [], [], []
-        for t, d in zip(part["text"], part["__drop"]):
+        for t, d in zip(part["text"], part[keys]):
             stay, all_ = _kept_lines(t, d, min_chars)
             n.append(all_)
             gone.append(all_ - len(stay))
             digest.append(hashlib.sha256(b"\n".join(stay)).hexdigest())
         yield {"doc_id": part["doc_id"], "n_lines": n, "n_dropped": gone, "kept_sha256": digest}
 
-    return map_rows(_with_drop(slim, "doc_id", "text", min_chars, min_docs), rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_rows(source, rows, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 #: The contract's rows in DuckDB SQL.

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import ascii_lower_words, kept, remainder, text_bytes
+from photonlake.llm.common import ascii_lower_words, from_planes, kept, packed, planes, remainder, text_bytes, unpacked
 
 #: Bytes of text in a block (one longer text is a block of its own), and bytes of text for each range of n-grams.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
@@ -119,29 +119,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
         yield (part << 32) + seq, rows
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit values: how many of their bytes are used, then all first bytes, all second ones and so on."""
-    used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
-    rows = values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)
-    return bytes([used]) + rows[:, :used].T.tobytes()
-
-
-def from_planes(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
-    out[:, : data[0]] = rows.T
-    return out.view(np.uint64).ravel()
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as planes of their differences."""
-    return planes(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(from_planes(data), dtype=np.uint64)
-
-
 _ASKS = "range long, asker long, keys binary, counts binary"
 _REPLIES = "range long, asker long, totals binary, n long, v long, n1 long, n2 long"
 
