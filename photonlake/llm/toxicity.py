@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon.
 
-Words are folded (homoglyphs and digits that stand for letters become one letter), a lexicon of words and word
-beginnings is learned with weights from labelled documents, and Aho-Corasick finds its entries. Entries that
-are part of an exception phrase don't count. The sum is normalised by length and turned into a probability.
+Words are folded (homoglyphs and digits that stand for letters become one letter; marks and invisible signs go), a lexicon of words and
+word beginnings is learned with weights from labelled documents, and Aho-Corasick finds its entries. Entries that
+are part of an exception phrase, a word or two words in a row that clean documents rather hold, don't count. The sum is normalised by length and
+turned into a probability.
 """
 
 from __future__ import annotations
@@ -20,21 +21,24 @@ from pyspark.sql import functions as F
 
 from photonlake.llm.common import kept, map_rows, remainder
 
-# Letters of other scripts, digits and signs that are read as a Latin letter. l, 1 and i become one letter.
-ALIKE = str.maketrans(
-    "авеікмнорстухѕјԛԝьгαβεικνορτυχϲ0134578@$!|l",
-    "abeikmhopctyxsjqwbraβeiknoptuxcoieastbasiii",
-)
+# Characters that are read as a Latin letter, by that letter. l, 1 and i become one letter.
+_READ_AS = {
+    "a": "а α ɑ ᴀ ꭺ 4 @", "b": "в β ь ʙ ᏼ 8", "c": "с ϲ ᴄ ꮯ", "d": "ԁ ᴅ đ ꭰ", "e": "е ε ҽ ᴇ ꭼ 3", "f": "ꜰ ẝ", "g": "г ց ɡ ɢ ꮐ", "h": "һ հ н ʜ ꮋ ħ", "i": "і ι ı ɪ ӏ l ʟ ł ꮮ 1 ! |", "j": "ј ϳ ᴊ ꭻ",
+    "k": "к κ ᴋ ꮶ", "m": "м ᴍ ꮇ", "n": "п η ո ɴ", "o": "о ο օ ᴏ ø σ 0", "p": "р ρ ᴘ ꮲ", "q": "ԛ գ", "r": "ʀ ꭱ", "s": "ѕ ꜱ ꮪ 5 $", "t": "т τ ᴛ ꭲ 7", "u": "υ ս ᴜ", "v": "ѵ ν ᴠ ꮩ", "w": "ԝ ω ᴡ ꮃ", "x": "х χ", "y": "у γ ү ʏ", "z": "ᴢ ꮓ",
+}
+ALIKE = str.maketrans({sign: letter for letter, signs in _READ_AS.items() for sign in signs.split()})
+#: Combining marks and signs without width.
+UNSEEN = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe00-\ufe0f\ufeff]")
 #: A word with signs that may stand for letters inside it; such signs at its ends are trimmed away.
 WORD = re.compile(r"[^\W_](?:[\w@$!|'’]*[^\W_])?|[$@][^\W_]+")
 
 
 def fold(text: str | None) -> list[str]:
-    """Folded words of a text: NFKC, lower case, look-alikes as one letter. Numbers stay as they are."""
+    """Folded words of a text: NFKD without marks and unseen signs, lower case, look-alikes as one letter. Numbers stay as they are."""
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text))
     return [w if w.isdigit() else w.translate(ALIKE) for w in WORD.findall(text.lower())]
 
 
@@ -43,9 +47,15 @@ def entries_of(word: str, shortest: int = 3, longest: int = 8) -> list[str]:
     return [" " + word[:k] for k in range(shortest, min(longest, len(word)) + 1)] + [f" {word} "]
 
 
+def phrase_of(words: list[str]) -> str:
+    """Words in a row, each with a space on both sides."""
+    return " " + "  ".join(words) + " "
+
+
 @dataclass
 class Lexicon:
-    """weights: entry to weight; exceptions: phrases in which entries don't count; bias and slopes of the logistic; all of bounded size."""
+    """weights: entry to weight; exceptions: phrases (as phrase_of makes them) in which entries don't count; bias and slopes of the logistic. All of it is learned from a
+    bounded sample, so its size is bounded."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = ()
@@ -67,13 +77,13 @@ class Lexicon:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
 
-    def total(self, words: list[str]) -> float:
-        """Sum over the words of the weight of the longest entry that each begins with, without words inside exceptions."""
+    def matched(self, words: list[str]) -> dict[int, float]:
+        """Weights of the longest entries that words begin with, without words inside exceptions, by their places in phrase_of(words)."""
         if not words or not self.weights:
-            return 0.0
+            return {}
         best: dict[int, tuple[int, float]] = {}
         free: list[tuple[int, int]] = []
-        for end, (n, w) in self.automaton().iter(" " + "  ".join(words) + " "):
+        for end, (n, w) in self.automaton().iter(phrase_of(words)):
             at = end - n + 1
             if w is None:
                 free.append((at, end))
@@ -82,11 +92,21 @@ class Lexicon:
         for a, b in free:
             for at in [x for x in best if a <= x < b]:
                 del best[at]
-        return sum(w for _, w in best.values())
+        return {at: w for at, (_, w) in best.items()}
+
+    def contexts(self, words: list[str]) -> set[str]:
+        """The phrases of one or two words in a row that hold a match."""
+        places = self.matched(words)
+        found, at = set(), 0
+        for k, w in enumerate(words):
+            if at in places:
+                found |= {phrase_of(words[a:b]) for a, b in ((k, k + 1), (k - 1, k + 1), (k, k + 2)) if a >= 0 and b <= len(words)}
+            at += len(w) + 2
+        return found
 
     def features(self, text: str | None) -> tuple[float, float]:
         words = fold(text)
-        total = self.total(words)
+        total = sum(self.matched(words).values())
         return math.log1p(total), math.log1p(100 * total / (len(words) + 20))
 
     def score(self, text: str | None) -> float:
@@ -99,15 +119,17 @@ def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int
     """Rows (text, toxic) of at most `sample` labelled documents outside the held-out remainder: those whose ids hash lowest. The bound is the
     classifier's documented sample; being bounded, the chosen labels may be broadcast."""
     fit = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder("doc_id", modulus) != held_out))
-    chosen = fit.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    return docs.join(F.broadcast(kept(chosen, "labels")), F.col("doc_id").cast("long") == F.col("__id")).select("text", (F.col("__toxic") > 0).alias("toxic"))
+    chosen = fit.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    slim = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return slim.join(F.broadcast(kept(chosen, "labels")), "id").select("text", (F.col("toxic") > 0).alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support: float = 0.01, min_ratio: float = 6.0, entries: int = 2_000, exceptions: int = 2_000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support: float = 0.01, min_ratio: float = 6.0, min_clean: int = 3) -> Lexicon:
     """A lexicon from labelled documents. Without both kinds of labels it has no entries, and every score is the share of toxic labels (0 without labels).
 
-    An entry is kept if toxic documents hold it often enough (min_support) and more often than others (min_ratio); whole words that begin like an
-    entry but are about as common in other documents become exceptions. entries and exceptions bound the model.
+    An entry is kept if toxic documents hold it often enough (min_support) and more often than others (min_ratio). Around the matches of the entries in clean documents, words
+    and phrases of two words that at least min_clean of those hold, at twice the rate of toxic ones or more, become exceptions; a phrase is left out if one of its
+    words is an exception already. Labels of unknown documents, null labels and null ids are passed over; of several labels of one document the larger counts; null texts are empty.
     """
     seen = kept(labelled(docs, labels, sample=sample), "fit")
     counts = {r.toxic: r.n for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -134,13 +156,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support:
     def ratio(e: str) -> float:
         return (in_toxic[e] + 0.1) / (n1 + 1) * (n0 + 1) / (in_clean.get(e, 0) + 0.5)
 
-    # A beginning gives way to a longer one that is in as many toxic documents; of the rest, those that explain most come first.
+    # A beginning gives way to a longer one that is in as many toxic documents.
     gain = {e: in_toxic[e] / n1 * math.log(ratio(e)) for e in in_toxic if ratio(e) >= min_ratio}
     shadowed = {e[:k] for e in gain for k in range(2, len(e)) if e[:k] in gain and in_toxic[e[:k]] <= 1.05 * in_toxic[e] and not e.endswith(" ")}
-    chosen = sorted(gain.keys() - shadowed, key=lambda e: (-gain[e], len(e), e))[:entries]
-    weights = {e: round(math.log(ratio(e)), 6) for e in chosen}
-    common = [e for e in in_toxic if e[-1] == " " and ratio(e) < 2 and any(e[:k] in weights for k in range(2, len(e)))]
-    lexicon = Lexicon(weights, tuple(sorted(common, key=lambda e: (-in_clean.get(e, 0), e))[:exceptions]))
+    weights = {e: round(math.log(ratio(e)), 6) for e in sorted(gain.keys() - shadowed)}
+    entries = Lexicon(weights)
+
+    def around(part):
+        found: Counter = Counter((t, p) for text, t in zip(part["text"], part["toxic"]) for p in entries.contexts(fold(text)))
+        yield {"toxic": [t for t, _ in found], "phrase": [p for _, p in found], "n": list(found.values())}
+
+    rows = map_rows(seen, around, "toxic boolean, phrase string, n long", slices=10_000)
+    by_kind = [F.coalesce(F.sum(F.when(F.col("toxic") == t, F.col("n"))), F.lit(0)) for t in (False, True)]
+    rates = rows.groupBy("phrase").agg(by_kind[0].alias("clean"), by_kind[1].alias("toxic"))
+    # Found in the bounded sample only: at most three phrases for each of its matches, and each in min_clean texts.
+    fair = rates.filter((F.col("clean") >= min_clean) & ((F.col("clean") + 0.5) / (n0 + 1) >= 2 * (F.col("toxic") + 0.5) / (n1 + 1)))
+    phrases = {r.phrase for r in fair.select("phrase").collect()}
+    single = {p for p in phrases if len(p.split()) == 1}
+    lexicon = Lexicon(weights, tuple(sorted(single | {p for p in phrases if single.isdisjoint(phrase_of([w]) for w in p.split())})))
 
     def features(part):
         pairs = Counter((t, *(round(x, 2) for x in lexicon.features(text))) for text, t in zip(part["text"], part["toxic"]))
@@ -171,7 +204,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.5) -
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted of every row; null is scored as empty, a null id isn't held out."""
+    """doc_id, held_out, score (0 to 1) and predicted of every row, repeated rows included; null is scored as empty, a null id isn't held out; an empty table gives no rows."""
 
     def rows(part):
         scores = [lexicon.score(t) for t in part["text"]]
@@ -182,7 +215,8 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> Da
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns stay."""
+    """docs without the rows whose score reaches the threshold; all columns stay. Null and empty texts are scored as texts without matches; null ids and repeated rows are
+    rows like any other; an empty table stays empty."""
 
     def rows(part):
         stay = [i for i, t in enumerate(part["text"]) if lexicon.score(t) < threshold]
