@@ -9,6 +9,7 @@ it is past the radius. Each bucket hands on a spanning forest of its links, neve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import ascii_lower_words, kept, map_rows, text_bytes
+from photonlake.llm.common import ascii_lower_words, fresh, kept, map_rows, packed, text_bytes, unpacked
 
 SEED = 42
 BITS = 64
@@ -261,6 +262,15 @@ def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), SEED) for i in range(n)), dtype=np.uint64, count=n))
 
 
+#: Bits of each shingle's hash by which sets are compared: among 10^6 shingles of two texts one is taken for another by chance, among 1,000 one in a million times.
+COMPARED_BITS = 40
+
+
+def compared(shingles: np.ndarray) -> np.ndarray:
+    """A shingle set as it is compared."""
+    return np.unique(shingles >> np.uint64(64 - COMPARED_BITS))
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     """128 bits by which equal shingle sets are told."""
     return blake2b(shingles.tobytes(), digest_size=16).digest()
@@ -271,6 +281,11 @@ def least_shingles(shingles: np.ndarray) -> list[int]:
     return [signed(int(_mixed(shingles, k).min())) ^ k for k in range(LEAST)] if len(shingles) else []
 
 
+def first_shingles(shingles: np.ndarray, similarity: float) -> list[int]:
+    """So many of the smallest shingles that two sets of this similarity share at least one of them."""
+    return [signed(x) for x in shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1].tolist()]
+
+
 def as_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two shingle sets have this Jaccard similarity or more; both empty: yes."""
     small, large = sorted((len(a), len(b)))
@@ -323,7 +338,7 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def checked_links(rows: DataFrame, sets: DataFrame, similarity: float, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
     """Edges (u, v) between nodes that share a key and whose shingle sets have the similarity: for each key a spanning forest. rows: node long, print binary,
     size (of the set), key long; sets: print, shingles. A key of over `chunk` rows or `limit` bytes of sets is dealt out as pairs of chunks."""
-    tasks = dealt(rows, limit, F.greatest(F.col("size") * 8 + 64, F.lit(limit // chunk))).select("task", "node", "print")
+    tasks = dealt(rows, limit, F.greatest(F.col("size") * 5 + 64, F.lit(limit // chunk))).select("task", "node", "print")
     tasks = tasks.join(sets, "print").select("task", "node", "shingles").repartition("task").sortWithinPartitions("task", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +357,7 @@ def checked_links(rows: DataFrame, sets: DataFrame, similarity: float, chunk: in
                     finish()
                     now, nodes, held = task, [], []
                 nodes.append(node)
-                held.append(np.frombuffer(shingles, dtype=np.uint64))
+                held.append(unpacked(shingles))
             if edges:
                 yield out()
                 edges = []
@@ -352,22 +367,23 @@ def checked_links(rows: DataFrame, sets: DataFrame, similarity: float, chunk: in
     return tasks.mapInArrow(check, "u long, v long").filter("u > v").distinct()
 
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, exact: bool = False, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
     """id and component_id (the smallest id reachable over links) of every row with an id.
 
-    Texts of equal shingle sets are one class. Classes come together if they share one of their least shingles (those of Jaccard similarity 0.8 do but for 1 in
-    15,000), and are links if their sets have the similarity. No fingerprint decides: those of
+    Texts of equal shingle sets are one class. Classes come together if they share one of their least shingles under six hashes (those of Jaccard similarity s do but for
+    (1 - s)^6 of them: 1 in 15,000 at 0.8) and are links if their sets have the similarity. With `exact` they come together if they share one of the first
+    fifth of their shingles in hash order, which those of the similarity always do; that takes some 20 times as many keys. No fingerprint decides: those of
     short texts, and of texts of a few shingles over and over, tell too little. Texts without words are copies of one another.
     """
     slim = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text"))
 
     def rows(part):
         sets = [shingle_set(t, words) for t in part["text"]]
-        yield {"id": part["id"], "print": [set_digest(x) for x in sets], "size": [len(x) for x in sets], "least": [least_shingles(x) for x in sets]}
+        yield {"id": part["id"], "print": [set_digest(x) for x in sets], "size": [len(x) for x in sets], "least": [first_shingles(x, similarity) if exact else least_shingles(x) for x in sets]}
 
     def sets(part):
         made = [shingle_set(t, words) for t in part["text"]]
-        yield {"print": [set_digest(x) for x in made], "shingles": [x.tobytes() for x in made]}
+        yield {"print": [set_digest(x) for x in made], "shingles": [packed(compared(x)) for x in made]}
 
     prints = kept(map_rows(slim, rows, "id long, print binary, size long, least array<long>", slices=200), "prints")
     classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.min("least").alias("least")), "classes")
@@ -394,8 +410,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(F.col("id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id; rows with a null id stay, and rows of one id are one document."""
-    stay = near_copies(docs, id, text, words, similarity).filter("id = component_id").select(F.col("id").alias("__id")).distinct()
-    rows = docs.join(kept(stay, "stay").hint("merge"), F.col(id).cast("long") == F.col("__id"), "left_semi")
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, **how) -> DataFrame:
+    """docs with one document of each component, the one with the smallest id; rows with a null id stay, and rows of one id are one document (they stay or go
+    together). Null and empty texts are copies of one another. All columns stay; an empty table stays empty. `how` goes to near_copies."""
+    own = fresh(docs, "__id")
+    stay = near_copies(docs, id, text, words, similarity, **how).filter("id = component_id").select(F.col("id").alias(own)).distinct()
+    rows = docs.join(kept(stay, "stay").hint("merge"), F.col(id).cast("long") == F.col(own), "left_semi")
     return rows.unionByName(docs.filter(F.col(id).isNull()))
