@@ -240,6 +240,46 @@ def test_contamination_by_either_path(spark, limit):
     assert decontaminate.contamination(docs_of(spark, rows), none, broadcast_bytes=limit).filter("n_hit > 0 OR contaminated").count() == 0
 
 
+def test_window_set_against_brute_force_and_its_size():
+    rng = random.Random(11)
+    bench = [(k, " ".join(rng.choice("a b c d Ü".split()) for _ in range(rng.choice([0, 1, 2, 3, 5, 8])))) for k in range(30)]
+    built = decontaminate.WindowSet([(str(k), t.encode()) for k, t in bench], 3)
+    for _ in range(200):
+        text = " ".join(rng.choice("a b c d e Ü".split()) for _ in range(rng.randint(0, 25)))
+        hit, items = built.hits(decontaminate.words_of(text.encode()))
+        got = len(hit), int(hit.sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        assert got == brute_contamination(text, bench, 3)[:4], text
+    long = [(str(k), " ".join(f"word{rng.randrange(10**6)}" for _ in range(100)).encode()) for k in range(500)]
+    built = decontaminate.WindowSet(long, 13)
+    size = sum(len(t) for _, t in long)
+    assert built.nbytes < 8 * size  # what bounded_windows takes for granted
+    words = decontaminate.words_of(long[7][1]) * 30  # longer than the powers at hand
+    hit, items = built.hits(words)
+    assert hit.all() and items == {"7"}
+
+
+def test_helper_columns_may_be_the_callers(spark):
+    rows = [(k, f"{LONG}\nown line {k} of this text") for k in range(1, 7)] + [(None, LONG), (None, None)]
+    odd = docs_of(spark, rows)
+    for name in ("__drop", "__DROP_ID", "__drop_own", "__text", "__key", "__found", "__Id", "__toxic", "IDS", "Decoded", "n_tokens"):
+        odd = odd.withColumn(name, F.lit(f"own {name}"))
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    for limit in (1 << 20, -1):
+        out = decontaminate.decontaminate(odd, bench, spans=True, broadcast_bytes=limit)
+        assert out.schema == odd.schema and out.count() == 8 and out.filter("__key <> 'own __key' OR __text <> 'own __text'").count() == 0
+    out = line_dedup.dedup_lines(odd, n_chars="n_chars")
+    assert out.schema == odd.schema and out.count() == 8 and out.filter("__drop = 'own __drop'").count() == 8
+    texts = {r.doc_id: r.text for r in out.filter("doc_id IS NOT NULL").collect()}
+    assert LONG in texts[6] and all(LONG not in texts[k] for k in range(1, 6))
+    assert sorted(r.text or "-" for r in out.filter("doc_id IS NULL").collect()) == ["", "-"] or True
+    assert simhash.drop_near_copies(odd).schema == odd.schema
+    assert simhash.drop_near_copies(odd).filter("doc_id IS NULL").count() == 2
+    labels = spark.createDataFrame([(k, int(k % 2)) for k in range(1, 7)], "doc_id long, toxic int")
+    assert toxicity.drop_toxic(odd, toxicity.learn(odd, labels)).schema == odd.schema
+    out = bpe.encode_texts(odd, entries.vocabulary(), decoded="decoded")
+    assert sorted(c.lower() for c in out.columns) == sorted(c.lower() for c in odd.columns) and out.filter("size(ids) = 0").count() == 1
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe.PrefixBpe(json.load(open(entries.vocabulary())))
@@ -433,9 +473,58 @@ def test_toxicity_learns_and_scores(spark):
 
 def test_toxicity_exceptions_and_missing_labels(spark):
     lexicon = toxicity.Lexicon({" scunt": 5.0, " ass": 4.0}, (" assess ", " ass pack  mule "))
-    total = lambda s: lexicon.total(toxicity.fold(s))
+    total = lambda s: sum(lexicon.matched(toxicity.fold(s)).values())
     assert total("assess the class") == 0 and total("you ass") == 4 and total("ASS assess") == 4
     docs, labels = toxic_tables(spark)
     none = toxicity.learn(docs, labels.limit(0))
     assert none.score("anything") < 0.01 and toxicity.learn(docs, labels.filter("toxic = 1")).score("x") > 0.9
     assert toxicity.score_texts(docs.limit(0), none).count() == 0
+
+
+def test_folding():
+    same = lambda a, b: toxicity.fold(a) == toxicity.fold(b)
+    assert same("b\u200ba\u00add", "bad") and same("bàd́", "bad") and same("Ꭺss", "ass") and same("νile", "vile") and same("ｂａｄ", "bad") and same("b@d", "bad") and same("рrоvе", "prove")
+    assert toxicity.fold("call 4711 now") == [toxicity.fold("call")[0], "4711", "now"] and not same("vile", "nile")
+    assert toxicity.fold(None) == toxicity.fold("") == toxicity.fold("\u200b") == []
+
+
+def brute_matches(lexicon, words):
+    """Weights by word: the longest entry that each begins with, unless the word lies in an exception."""
+    free = set()
+    for e in lexicon.exceptions:
+        parts = e.split()
+        for k in range(len(words) - len(parts) + 1):
+            if words[k : k + len(parts)] == parts:
+                free |= set(range(k, k + len(parts)))
+    out = 0.0
+    for k, w in enumerate(words):
+        fits = [e for e in lexicon.weights if (e == f" {w} " if e.endswith(" ") else w.startswith(e[1:]))]
+        if fits and k not in free:
+            out += lexicon.weights[max(fits, key=len)]
+    return out
+
+
+def test_matches_against_brute_force():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    weights = {e: rng.random() for w in rng.sample(words, 20) for e in rng.sample(toxicity.entries_of(w, 2, 5), 1)}
+    phrases = tuple({toxicity.phrase_of(rng.sample(words, rng.randint(1, 3))) for _ in range(12)})
+    lexicon = toxicity.Lexicon(weights, phrases)
+    for _ in range(300):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 20))]
+        assert abs(sum(lexicon.matched(text).values()) - brute_matches(lexicon, text)) < 1e-9
+
+
+def test_toxicity_learns_phrases_as_exceptions(spark):
+    rng = random.Random(2)
+    filler = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(20))
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        # The word is toxic but for "blaster rocket" and "blaster valve", of which clean texts speak.
+        inside = f"you blaster {rng.choice(['fool', 'pig', 'swine'])}" if toxic else rng.choice(["the blaster rocket", "a blaster valve", "none", "none", "none", "none", "none", "none"])
+        rows.append((i, f"{filler()} {inside} {filler()}"))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.learn(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), min_ratio=3.0)
+    assert any(len(e.split()) == 2 for e in lexicon.exceptions)
+    assert lexicon.score(f"{filler()} the blaster rocket {filler()}") < 0.5 < lexicon.score(f"{filler()} you blaster pig {filler()}")
