@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of this process only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one of this process, if that runs all tasks; on a cluster that is an error, as
+    each executor would write to a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset under {master or 'an unknown master'}: name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="photonlake-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
