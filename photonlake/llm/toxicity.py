@@ -124,10 +124,11 @@ def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int
     return slim.join(F.broadcast(kept(chosen, "labels")), "id").select("text", (F.col("toxic") > 0).alias("toxic"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support: float = 0.01, min_ratio: float = 6.0, min_clean: int = 3) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support: float = 0.01, min_ratio: float = 6.0, min_gain: float = 0.08, min_clean: int = 3) -> Lexicon:
     """A lexicon from labelled documents. Without both kinds of labels it has no entries, and every score is the share of toxic labels (0 without labels).
 
-    An entry is kept if toxic documents hold it often enough (min_support) and more often than others (min_ratio). Around the matches of the entries in clean documents, words
+    An entry is kept if toxic documents hold it often enough (min_support) and more often than others (min_ratio), and if it tells enough of them (min_gain: its
+    likelihood ratio statistic for each toxic document; chosen on a part of the training labels under a lexicon from the rest). Around the matches of the entries in clean documents, words
     and phrases of two words that at least min_clean of those hold, at twice the rate of toxic ones or more, become exceptions; a phrase is left out if one of its
     words is an exception already. Labels of unknown documents, null labels and null ids are passed over; of several labels of one document the larger counts; null texts are empty.
     """
@@ -156,10 +157,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support:
     def ratio(e: str) -> float:
         return (in_toxic[e] + 0.1) / (n1 + 1) * (n0 + 1) / (in_clean.get(e, 0) + 0.5)
 
+    def gain(e: str) -> float:
+        a, b, n = in_toxic[e], in_clean.get(e, 0), n1 + n0
+        cells = ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0))
+        return 2 * sum(k * math.log(k * n / (row * column)) for k, row, column in cells if k > 0) / n1
+
     # A beginning gives way to a longer one that is in as many toxic documents.
-    gain = {e: in_toxic[e] / n1 * math.log(ratio(e)) for e in in_toxic if ratio(e) >= min_ratio}
-    shadowed = {e[:k] for e in gain for k in range(2, len(e)) if e[:k] in gain and in_toxic[e[:k]] <= 1.05 * in_toxic[e] and not e.endswith(" ")}
-    weights = {e: round(math.log(ratio(e)), 6) for e in sorted(gain.keys() - shadowed)}
+    telling = {e for e in in_toxic if ratio(e) >= min_ratio and gain(e) >= min_gain}
+    shadowed = {e[:k] for e in telling for k in range(2, len(e)) if e[:k] in telling and in_toxic[e[:k]] <= 1.05 * in_toxic[e] and not e.endswith(" ")}
+    weights = {e: round(math.log(ratio(e)), 6) for e in sorted(telling - shadowed)}
     entries = Lexicon(weights)
 
     def around(part):
