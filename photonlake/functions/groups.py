@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from photonlake.functions import vectors
 from photonlake.functions.hashes import normalized_hash, rounded
 from photonlake.functions.vectors import seconds
 
@@ -64,3 +65,10 @@ def capped(groups: Column, most: int, field: str = "face_embeddings") -> Column:
     sizes = F.transform(groups, lambda g: F.greatest(F.coalesce(F.size(g[field]), F.lit(0)), F.lit(0)))
     before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x)
     return F.transform(groups, lambda g, i: g.withField(field, F.slice(g[field], F.lit(1), F.greatest(F.lit(most) - before(i), F.lit(0)))))
+
+
+def distinct_vectors(items: Column, field: str, least: float = 0.995) -> Column:
+    """Items (an array of structs with a vector field) without those whose vector has at least this cosine with one kept before, in their order."""
+    empty = F.slice(items, F.lit(1), F.lit(0))
+    like = lambda kept, x: F.exists(kept, lambda y: vectors.cosine(y[field], x[field]) >= least)
+    return F.aggregate(items, empty, lambda kept, x: F.when(like(kept, x), kept).otherwise(F.concat(kept, F.array(x))))

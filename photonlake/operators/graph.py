@@ -15,14 +15,14 @@ def valid_edges(edges: DataFrame, masters: DataFrame) -> DataFrame:
     return good.join(names, "file_name", "left_semi").join(names.withColumnRenamed("file_name", "target"), "target", "left_semi").select("file_name", "target")
 
 
-def components(edges: DataFrame, a: str = "file_name", b: str = "target", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "file_name", b: str = "target") -> DataFrame:
     """Rows (node, root) of every node with an edge to another; root is the smallest node that it is connected to.
 
     Every round ties the larger neighbours of a node to its smallest, then the smaller ones; rounds grow with the logarithm of the nodes.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now, before = kept(now, "edges"), None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = kept(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -33,8 +33,6 @@ def components(edges: DataFrame, a: str = "file_name", b: str = "target", rounds
         if state == before or state.n == 0:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     star = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
@@ -45,11 +43,19 @@ def members(rooted: DataFrame) -> DataFrame:
 
 
 def group_of(edges: DataFrame, seed: str) -> DataFrame:
-    """The nodes connected to one; the node itself alone if it has no edge."""
+    """The nodes connected to one; the node itself alone if it has no edge. Only the group itself is walked, from the seed outwards: the other nodes are scanned for links, not labelled.
+    After some rounds the group must be deep, and is found by labelling all nodes, whose rounds grow with a logarithm only."""
+    ways = kept(edges.select(F.col("file_name").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("file_name").alias("b"))).filter("a <> b"), "ways")
+    reached = edges.sparkSession.createDataFrame([(seed,)], "node string")
+    border = reached
+    for _ in range(4):
+        border = kept(ways.join(border.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(reached, "node", "left_anti"), "border")
+        if border.isEmpty():
+            return reached
+        reached = kept(reached.unionByName(border), "reached")
     rooted = components(edges)
     root = rooted.filter(F.col("node") == seed).select("root")
-    found = rooted.join(F.broadcast(root.limit(1)), "root", "left_semi").select("node")
-    return found.unionByName(edges.sparkSession.createDataFrame([(seed,)], "node string")).distinct()
+    return rooted.join(F.broadcast(root.limit(1)), "root", "left_semi").select("node")
 
 
 def elected(edges: DataFrame, ranks: DataFrame, order: list[Column]) -> DataFrame:
@@ -63,25 +69,64 @@ def elected(edges: DataFrame, ranks: DataFrame, order: list[Column]) -> DataFram
     return out.select("file_name", F.when(F.col("file_name") != F.col("master"), F.col("master")).alias("master"), F.coalesce((F.col("target") == F.col("master")) & (F.col("file_name") != F.col("master")), F.lit(False)).alias("direct"))
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """The best spanning edges (a, b) of each connected group. edges: a, b, key (an order in which no two edges are equal, the least is best).
+
+    In each round every part takes its best edge to another part, and the parts so tied become one; so the number of parts at least halves."""
+    left = kept(edges.filter("a <> b").groupBy("a", "b").agg(F.min("key").alias("key")), "edges")
+    labels = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("part"))
+    tree = left.select("a", "b").limit(0)
+    while True:
+        one, two = labels.select(F.col("node").alias("a"), F.col("part").alias("pa")), labels.select(F.col("node").alias("b"), F.col("part").alias("pb"))
+        left = kept(left.join(one, "a").join(two, "b").filter("pa <> pb"), "edges")
+        if left.isEmpty():
+            return tree
+        ends = left.select(F.col("pa").alias("part"), F.struct("key", "a", "b", F.col("pb").alias("to")).alias("e")).unionByName(left.select(F.col("pb").alias("part"), F.struct("key", "a", "b", F.col("pa").alias("to")).alias("e")))
+        best = kept(ends.groupBy("part").agg(F.min("e").alias("e")).select("part", "e.a", "e.b", "e.to"), "best")
+        tree = kept(tree.unionByName(best.select("a", "b").distinct()), "tree")
+        # Parts that took each other are the only circles; the smaller of the two is where all that lead to them end.
+        back = best.select(F.col("part").alias("to"), F.col("to").alias("back"))
+        up = best.join(back, "to").select("part", F.when((F.col("back") == F.col("part")) & (F.col("part") < F.col("to")), F.col("part")).otherwise(F.col("to")).alias("top"))
+        labels = kept(labels.join(jumped(up, "part", "top"), "part").select("node", F.col("top").alias("part")), "labels")
+        left = left.select("a", "b", "key")
+
+
+def jumped(up: DataFrame, node: str, top: str) -> DataFrame:
+    """Pointers followed to their ends (which point to themselves), twice as far in each round."""
+    now = kept(up, "up")
+    while True:
+        over = now.select(F.col(node).alias(top), F.col(top).alias("__over"))
+        new = kept(now.join(over, top).select(node, F.col("__over").alias(top), (F.col("__over") != F.col(top)).alias("__moved")), "up")
+        if new.filter("__moved").isEmpty():
+            return new.select(node, top)
+        now = new.select(node, top)
+
+
+def hung(tree: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (node, parent) of trees (edges a, b) hung up at their roots (node, root).
+
+    The tree is walked around: from each way into a node the walk leaves by the next of its edges. How far each step is from the walk's end is found by following the steps twice as
+    far in each round; of an edge's two directions the one walked first leads down."""
+    both = tree.select("a", "b").unionByName(tree.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ring = Window.partitionBy("a").orderBy("b")
+    around = both.withColumn("next", F.lead("b").over(ring)).withColumn("first", F.min("b").over(Window.partitionBy("a")))
+    # The step b -> a goes on with a -> next; at a root the walk ends where it would begin again.
+    is_root = roots.filter(F.col("node") == F.col("root")).select(F.col("node").alias("a"), F.lit(True).alias("top"))
+    steps = around.join(is_root, "a", "left")
+    on = F.when(F.col("next").isNotNull(), F.struct("a", F.col("next").alias("b"))).when(F.col("top").isNull(), F.struct("a", F.col("first").alias("b")))
+    now = kept(steps.select(F.struct(F.col("b").alias("a"), F.col("a").alias("b")).alias("step"), on.alias("on"), F.lit(1).cast("long").alias("far")), "walk")
+    while not now.filter("on IS NOT NULL").isEmpty():
+        ahead = now.select(F.col("step").alias("on"), F.col("on").alias("__on"), F.col("far").alias("__far"))
+        now = kept(now.join(ahead, "on", "left").select("step", F.col("__on").alias("on"), (F.col("far") + F.coalesce("__far", F.lit(0))).alias("far")), "walk")
+    way = now.select(F.col("step.a").alias("a"), F.col("step.b").alias("b"), "far")
+    back = way.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("far").alias("back"))
+    return way.join(back, ["a", "b"]).filter("far > back").select(F.col("b").alias("node"), F.col("a").alias("parent"))
+
+
 def bridges(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links that join a group to its root: from the root outwards, always the best edge (inliers, ratio, score) to a file not yet reached. edges: file_name, target,
-    inliers, ratio, score; roots: node, root. One task per group, whose edges must fit it. Rows root, file_name, target."""
-    import pandas as pd
-
-    both = edges.join(roots.withColumnRenamed("node", "file_name"), "file_name").select("root", "file_name", "target", "inliers", "ratio", "score")
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        root = group["root"].iloc[0]
-        reached, left, out = {root}, group.sort_values(["inliers", "ratio", "score", "file_name", "target"], ascending=[False, False, False, True, True]), []
-        while True:
-            one, two = left["file_name"].isin(reached), left["target"].isin(reached)
-            border = left[one != two]
-            if border.empty:
-                break
-            e = border.iloc[0]
-            new, old = (e["target"], e["file_name"]) if e["file_name"] in reached else (e["file_name"], e["target"])
-            out.append((root, new, old))
-            reached.add(new)
-        return pd.DataFrame(out, columns=["root", "file_name", "target"])
-
-    return both.groupBy("root").applyInPandas(grow, "root string, file_name string, target string")
+    """Links that join a group to its root: from the root outwards, always the best edge (inliers, ratio, score, then names) to a file not yet reached. Those are the group's best
+    spanning edges, so all groups are worked on at once and none must fit a task. edges: file_name, target, inliers, ratio, score; roots: node, root. Rows root, file_name, target."""
+    key = F.struct(*[(-F.coalesce(F.col(c), F.lit(0)).cast("double")).alias(c) for c in ("inliers", "ratio", "score")], "file_name", "target")
+    tree = spanning(edges.select(F.col("file_name").alias("a"), F.col("target").alias("b"), key.alias("key")))
+    down = hung(tree, roots)
+    return down.join(roots, "node").select("root", F.col("node").alias("file_name"), F.col("parent").alias("target"))

@@ -82,7 +82,7 @@ def link_lists(links: DataFrame) -> DataFrame:
     return links.groupBy("file_name").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["file_name"].alias("file_name"), x["is_video"].alias("is_video"), x["similarity_pct"].alias("similarity_pct"))).alias("cross_media_matches"))
 
 
-def leaders(items: DataFrame, percent: float, exempt: str | None = None, rounds: int = 200) -> DataFrame:
+def leaders(items: DataFrame, percent: float, exempt: str | None = None) -> DataFrame:
     """Greedy grouping: in the order of `place`, a file joins the nearest earlier master within reach and else becomes one.
 
     items: file_name, h, place (a total order); exempt names a boolean column of files that never join but are masters. Returns file_name,
@@ -102,15 +102,13 @@ def leaders(items: DataFrame, percent: float, exempt: str | None = None, rounds:
     edges = kept(before.filter((F.col("b_first") < F.col("first"))).select("a", "b", (F.coalesce(F.col("b_free"), F.lit(1 << 62)) < F.col("first")).alias("sure")), "edges")
     open_ = classes.select("h", F.col("free_at").eqNullSafe(F.col("first")).alias("start"))
     state = kept(open_.select("h", F.when(F.col("start"), "master").otherwise("open").alias("s")), "state")
-    for _ in range(rounds):
+    while True:  # each round decides the first open class at least
         around = edges.join(state.select(F.col("h").alias("b"), F.col("s").alias("bs")), "b").groupBy("a").agg(F.max((F.col("bs") == "master") | F.col("sure")).alias("near_master"), F.max(F.col("bs") == "open").alias("near_open"))
         step = state.join(around.withColumnRenamed("a", "h"), "h", "left")
         new = F.when(F.col("s") != "open", F.col("s")).when(F.coalesce("near_master", F.lit(False)), "member").when(F.coalesce("near_open", F.lit(False)), "open").otherwise("master")
         state = kept(step.select("h", new.alias("s")), "state")
         if not state.filter("s = 'open'").limit(1).count():
             break
-    else:
-        raise RuntimeError("leaders did not settle")
     # Masters: the first file of a master class, and every exempt file.
     decided = rows.join(state, "h").join(classes.select("h", "first"), "h")
     masters = kept(decided.withColumn("is_master", F.col("free") | ((F.col("s") == "master") & (F.col("place") == F.col("first")))).select("file_name", "h", "place", "is_master"), "masters")
@@ -122,6 +120,14 @@ def leaders(items: DataFrame, percent: float, exempt: str | None = None, rounds:
     return out.select("file_name", "is_master", F.col("m.match").alias("match"), hashes.rounded(hashes.similarity(F.col("m.d"))).alias("similarity_pct"))
 
 
+def repaired(items: DataFrame, links: DataFrame, percent: float) -> DataFrame:
+    """One row of counts for a rebuild of greedy groups from scratch: masters, demoted (files without a link before that now have a master) and retargeted (files whose master is another
+    one now). items: see leaders; links: file_name, old (the link before, or null)."""
+    both = leaders(items, percent).join(links, "file_name")
+    gone, moved = ~F.col("is_master") & F.col("old").isNull(), F.col("match").isNotNull() & F.col("old").isNotNull() & (F.col("match") != F.col("old"))
+    return both.agg(F.count_if("is_master").alias("masters"), F.count_if(gone).alias("demoted"), F.count_if(moved).alias("retargeted"))
+
+
 def image_order(images: DataFrame) -> DataFrame:
     """place of each image: larger longest side, larger area, larger file, no thumbnail, name. Missing numbers count as 0. The order is global: its rows are
     the keys only, and they are ranked in one sorted pass."""

@@ -92,36 +92,56 @@ def inventory(index: DataFrame, mapping: DataFrame, excluded: DataFrame, collect
     return counts.join(collisions(mapping).agg(F.count(F.lit(1)).alias("collisions")), F.lit(True))
 
 
-FAMILIES = (("dedupe_match_file", "dedupe_similarity_pct"), ("sift_match_file", "sift_match_score", "sift_match_inliers"), ("source_size", "source_mtime_ns"))
-
-
-def coalesced(rows: DataFrame, target: str = "file_name", order: str = "old_key", families: tuple[tuple[str, ...], ...] = FAMILIES) -> DataFrame:
-    """One row for each target: columns that belong together are taken together, from the first row (by order) in which any of them is set; other columns one by one.
-    Adds merged (rows that went into it) and conflict (some column had different values)."""
-    names = [c for c in rows.columns if c not in (target, order)]
-    sets = [[c for c in f if c in names] for f in families]
-    sets = [f for f in sets if f] + [[c] for c in names if not any(c in f for f in families)]
-    aggs = []
-    for k, f in enumerate(sets):
-        present = F.lit(False)
-        for c in f:
-            present = present | F.col(c).isNotNull()
-        aggs += [F.min_by(F.when(present, F.struct(*f)), F.when(present, F.col(order))).alias(f"__f{k}"), (F.count_distinct(F.when(present, F.to_json(F.struct(*f)))) > 1).alias(f"__c{k}")]
+# Columns that are one observation, and are taken together or not at all.
+SIFT = ("sift_match_file", "sift_match_score", "sift_match_inliers", "sift_match_good_matches", "sift_match_inlier_ratio", "sift_match_checked")
+FAMILIES = (("dedupe_match_file", "dedupe_similarity_pct"), SIFT, ("skip_processing", "processing_error_stage", "processing_error"), ("image_width", "image_height"))
+
+
+def coalesced(rows: DataFrame, target: str = "file_name", order: str = "old_key", primary: str | None = None, families: tuple[tuple[str, ...], ...] = FAMILIES, strict: bool = True) -> DataFrame:
+    """One row for each target, out of the rows that move to it.
+
+    The row of the target's primary source (`primary` names a boolean column) is the base, else the first by `order`. A column that is null there takes the others' value if they
+    agree on one; a family takes its columns together, from the first row that has any of them, if all are null in the base and no column of it differs. Where set values of any column
+    differ, the base must be the one primary row (or several equal ones): without it the merge is an error, or with strict=False a row with resolved = false.
+    Adds merged (rows that went into it), conflict (some column had different values) and resolved.
+    """
+    names = [c for c in rows.columns if c not in (target, order, primary)]
+    chosen = F.coalesce(F.col(primary), F.lit(False)) if primary else F.lit(False)
+    whole = F.struct(*names)
+    own = [[c for c in f if c in names] for f in families]
+    own = [f for f in own if f]
+    single = [c for c in names if not any(c in f for f in own)]
+    aggs = [F.min_by(whole, order).alias("__first"), F.min_by(F.when(chosen, whole), F.when(chosen, F.col(order))).alias("__primary")]
+    aggs += [(~F.min(F.when(chosen, whole)).eqNullSafe(F.max(F.when(chosen, whole)))).alias("__several")]
+    aggs += [F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(f"__differs_{c}") for c in names] + [F.min(c).alias(f"__any_{c}") for c in single]
+    for k, f in enumerate(own):
+        present = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in f])
+        aggs.append(F.min_by(F.when(present, F.struct(*f)), F.when(present, F.col(order))).alias(f"__donor{k}"))
     made = rows.groupBy(target).agg(F.count(F.lit(1)).alias("merged"), *aggs)
-    conflict = F.lit(False)
-    for k in range(len(sets)):
-        conflict = conflict | F.col(f"__c{k}")
-    where = {c: F.col(f"__f{k}.{c}").alias(c) for k, f in enumerate(sets) for c in f}
-    return made.select(target, *[where[c] for c in names], "merged", conflict.alias("conflict"))
+    conflict = F.greatest(*[F.col(f"__differs_{c}") for c in names]) if len(names) > 1 else F.col(f"__differs_{names[0]}")
+    resolved = ~conflict | (F.col("__primary").isNotNull() & ~F.col("__several"))
+    made = made.withColumn("conflict", conflict).withColumn("resolved", resolved).withColumn("__base", F.coalesce("__primary", "__first"))
+    if strict:
+        said = F.concat(F.lit("values of one target differ without one primary source: "), F.col(target).cast("string"))
+        made = made.withColumn("resolved", F.when(F.col("resolved"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    out = {c: F.coalesce(F.col(f"__base.{c}"), F.when(~F.col(f"__differs_{c}"), F.col(f"__any_{c}"))) for c in single}
+    for k, f in enumerate(own):
+        empty, agreed = F.lit(True), F.lit(True)
+        for c in f:
+            empty, agreed = empty & F.col(f"__base.{c}").isNull(), agreed & ~F.col(f"__differs_{c}")
+        out |= {c: F.when(empty & agreed, F.col(f"__donor{k}.{c}")).otherwise(F.col(f"__base.{c}")) for c in f}
+    return made.select(target, *[out[c].alias(c) for c in names], "merged", "conflict", "resolved")
 
 
 def without_self(rows: DataFrame) -> DataFrame:
-    """References of a row to itself, with their figures, become null."""
+    """References of a row to itself, with their figures, become null, and its links to itself go."""
     own = lambda c: F.col(c) == F.col("file_name")
-    for ref, figures in (("dedupe_match_file", ("dedupe_similarity_pct",)), ("sift_match_file", ("sift_match_score", "sift_match_inliers"))):
+    for ref, figures in (("dedupe_match_file", ("dedupe_similarity_pct",)), ("sift_match_file", SIFT[1:5])):
         if ref in rows.columns:
             at = F.coalesce(own(ref), F.lit(False))
             rows = rows.withColumns({c: F.when(~at, F.col(c)) for c in figures if c in rows.columns}).withColumn(ref, F.when(~at, F.col(ref)))
+    if "cross_media_matches" in rows.columns:
+        rows = rows.withColumn("cross_media_matches", F.filter("cross_media_matches", lambda x: ~x["file_name"].eqNullSafe(F.col("file_name"))))
     return rows
 
 
@@ -161,15 +181,38 @@ def faults(output: DataFrame, mapping: DataFrame, source_rows: Column | int, dro
     return repeated.unionByName(stale).unionByName(uncovered).unionByName(balance)
 
 
-def repair_candidates(keys: DataFrame, files: DataFrame, collection: str) -> DataFrame:
+def inventory_rows(index: DataFrame, listing: DataFrame, collection: str) -> DataFrame:
+    """Rows (file_name, there, size, mtime_ns) of a collection: each key once, with what the listing (file_name, size, mtime_ns) says of its file."""
+    own = index.filter(F.col("collection_id") == collection).select("file_name").distinct()
+    seen = listing.select("file_name", "size", "mtime_ns", F.lit(True).alias("t"))
+    return own.join(seen, "file_name", "left").select("file_name", F.coalesce("t", F.lit(False)).alias("there"), "size", "mtime_ns")
+
+
+def unmapped(index: DataFrame, mapping: DataFrame, excluded: DataFrame, collection: str) -> DataFrame:
+    """Keys (file_name) of a collection that are neither mapped nor excluded."""
+    own = index.filter(F.col("collection_id") == collection).select("file_name").distinct()
+    return own.join(mapping.select(F.col("old_key").alias("file_name")), "file_name", "left_anti").join(excluded.select("file_name"), "file_name", "left_anti")
+
+
+def changes(before: DataFrame, now: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows (key, change) where two snapshots of a table differ: added, removed or changed in one of the columns. Without any the snapshot still holds. Keys are unique."""
+    facts = F.struct(*columns)
+    both = before.select(key, facts.alias("__a")).join(now.select(key, facts.alias("__b")), key, "full")
+    what = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(~F.col("__a").eqNullSafe(F.col("__b")), "changed")
+    return both.select(key, what.alias("change")).filter("change IS NOT NULL")
+
+
+def repair_candidates(keys: DataFrame, files: DataFrame, collection: str, by: str | None = None) -> DataFrame:
     """Mapping (old_key, new_key) of keys to files that moved into a range folder: the one file of equal chat, tail and size, if there is just one and no
-    key has its name yet. keys: file_name, size; files: path (relative to the collection), size. Folders named p at the top are left out."""
+    key has its name yet. keys: file_name, size; files: path (relative to the collection), size. Folders named p at the top are left out. Keys are unique, or
+    are told apart by a further column, `by`, which is then returned too."""
+    own = ["file_name", *([by] if by else [])]
     rel = lambda c: F.substr(F.col(c), F.instr(c, "/") + 1)
     split = keys.withColumn("rel", rel("file_name")).withColumn("chat", F.substring_index("rel", "/", 1)).withColumn("tail", rel("rel"))
     parts = F.split("path", "/")
     ranged = files.filter((F.size(parts) >= 3) & F.get(parts, F.lit(1)).rlike(r"^\d{4}-\d{2}-\d{2}T[^/]+__") & (F.lower(F.get(parts, F.lit(0))) != "p"))
     ranged = ranged.select(F.concat(F.lit(collection + "/"), "path").alias("new_key"), F.get(parts, F.lit(0)).alias("chat"), F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "/").alias("tail"), "size")
-    met = split.join(ranged, ["chat", "tail", "size"]).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"), F.min("new_key").alias("new_key")).filter("n = 1")
+    met = split.join(ranged, ["chat", "tail", "size"]).groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.min("new_key").alias("new_key")).filter("n = 1")
     free = met.join(keys.select(F.col("file_name").alias("new_key")), "new_key", "left_anti")
     alone = free.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("new_key"))).filter("m = 1")
-    return alone.select(F.col("file_name").alias("old_key"), "new_key")
+    return alone.select(F.col("file_name").alias("old_key"), "new_key", *own[1:])

@@ -7,11 +7,14 @@ the plan; the frames are scanned once and only one row per file is shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonlake.functions import vectors
 from photonlake.functions.paths import in_folder
+from photonlake.plans.storage import kept
 
 ORDERS = ("best", "newest", "oldest")
 
@@ -106,8 +109,8 @@ def search_text(frames: DataFrame, query: str, min_score: float = 0.0, video_onl
     share = F.lit(1.0) if quoted else F.col("term_hits") / F.lit(float(len(terms)))
     inner = F.col("term_hits") * 1000 + F.when(F.col("term_hits") == len(terms), 100).otherwise(0) + F.col("phrase_hit").cast("int") * 10
     found = rows.filter(F.col("phrase_hit") if quoted else F.col("term_hits") > 0).withColumn("score", F.round(share, 5)).filter(F.col("score") >= min_score).withColumn("inner", inner)
-    kept = F.struct("is_video", "timestamp_sec", "score", "term_hits")
-    best = found.groupBy("file_name").agg(F.max_by(kept, F.struct(F.col("inner"), -F.col("timestamp_sec"))).alias("b"))
+    fields = F.struct("is_video", "timestamp_sec", "score", "term_hits")
+    best = found.groupBy("file_name").agg(F.max_by(fields, F.struct(F.col("inner"), -F.col("timestamp_sec"))).alias("b"))
     out = best.select("file_name", "b.is_video", "b.timestamp_sec", "b.score", "b.term_hits", F.lit(len(terms)).alias("query_terms"), F.lit(quoted).alias("is_phrase"))
     return ranked(out)
 
@@ -127,25 +130,66 @@ def first_of(results: DataFrame, key: str, order: str = "rank") -> DataFrame:
     return results.filter(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
 
 
-def shortlist(frames: DataFrame, k: int = 64, digits: int = 5, blocks: int = 16) -> DataFrame:
+#: Rows of candidates and of queries that meet in one task of a shortlist.
+SHORTLIST_ROWS = 8192
+
+
+def shortlist(frames: DataFrame, k: int = 64, digits: int = 5, eligible: DataFrame | None = None, rows: int = SHORTLIST_ROWS) -> DataFrame:
     """The k candidates of each image by cosine, exactly: file_name, candidate, score and n. One vector per file (frames: file_name, vector).
-    Vectors meet block by block: each file goes to `blocks` tasks, and keeps its k best of each before they are ranked."""
-    unit = frames.filter(F.col("vector").isNotNull()).select("file_name", vectors.unit(F.col("vector")).alias("v"), F.pmod(F.xxhash64("file_name"), F.lit(blocks)).alias("b"))
-    left = unit.select("file_name", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-    right = unit.select(F.col("file_name").alias("candidate"), F.col("v").alias("w"), "b")
-    pairs = left.join(right, "b").filter((F.col("file_name") != F.col("candidate")) & (F.size("v") == F.size("w")))
-    scored = pairs.select("file_name", "candidate", F.round(vectors.dot(F.col("v"), F.col("w")), digits).alias("score"))
+    Only files of `eligible` (file_name), if given, are candidates; they are chosen before the k best are.
+
+    Every image is held against every candidate, block by block: a task gets two blocks of `rows` vectors and works through their products as matrices, a strip at a time. It hands on
+    the k best of each of its images, so what is shuffled are the vectors once for each block of the other side, and k rows for each image and block.
+    """
+    unit = kept(frames.filter(F.col("vector").isNotNull()).select("file_name", vectors.unit(F.col("vector")).alias("v")), "units")
+    other = unit if eligible is None else kept(unit.join(eligible.select("file_name").distinct(), "file_name", "left_semi"), "eligible")
+    a, b = (max(1, -(-x.count() // rows)) for x in (unit, other))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda n: F.pmod(F.xxhash64("file_name"), F.lit(n)).cast("int")
+    left = unit.select(F.lit(0).alias("kind"), "file_name", "v", block(a).alias("i"), spread(b).alias("j"))
+    right = other.select(F.lit(1).alias("kind"), "file_name", "v", spread(a).alias("i"), block(b).alias("j"))
+    tasks = left.unionByName(right).repartition(min(a * b, 20_000), "i", "j")
+
+    def best(table: pa.Table) -> pa.Table:
+        kind, names = table["kind"].to_numpy(), np.array(table["file_name"].to_pylist(), dtype=object)
+        lists = table["v"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        values = lists.flatten().to_numpy()
+        out: list[tuple] = []
+        for size in np.unique(sizes):  # vectors of different sizes aren't compared
+            at = [np.flatnonzero((kind == side) & (sizes == size)) for side in (0, 1)]
+            if not all(map(len, at)):
+                continue
+            asked, offered = (values[(ends[i] - size)[:, None] + np.arange(size)] for i in at)
+            one, two = (names[i] for i in at)
+            # By name, so that of equal scores the first are the smallest names.
+            order = np.argsort(two, kind="stable")
+            two, offered = two[order], offered[order]
+            for lo in range(0, len(one), 512):
+                scores = asked[lo : lo + 512] @ offered.T
+                scores = np.where(one[lo : lo + 512][:, None] == two[None, :], -np.inf, np.floor(np.abs(scores) * 10**digits + 0.5) * np.sign(scores) / 10**digits)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                out += [(one[lo + r], two[c], float(scores[r, c])) for r in range(len(top)) for c in top[r] if scores[r, c] > -np.inf]
+        return pa.table({"file_name": pa.array([x[0] for x in out], pa.string()), "candidate": pa.array([x[1] for x in out], pa.string()), "score": pa.array([x[2] for x in out], pa.float64())})
+
+    scored = tasks.groupBy("i", "j").applyInArrow(best, "file_name string, candidate string, score double")
     order = Window.partitionBy("file_name").orderBy(F.col("score").desc(), "candidate")
     return scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
 
 
 def best_pair(left: DataFrame, right: DataFrame, digits: int = 5) -> DataFrame:
-    """The most alike pair of two files' few vectors (id, vector): left_id, right_id, score. The smaller side is gathered, in one row."""
-    other = right.agg(F.collect_list(F.struct("id", "vector")).alias("others"))
-    rows = left.join(F.broadcast(other), F.lit(True))
-    pairs = rows.select(F.col("id").alias("left_id"), "vector", F.explode("others").alias("o"))
-    scored = pairs.select("left_id", F.col("o.id").alias("right_id"), F.round(vectors.dot(F.col("vector"), F.col("o.vector")), digits).alias("score")).filter("score IS NOT NULL")
-    return scored.orderBy(F.col("score").desc(), "left_id", "right_id").limit(1)
+    """The most alike pair of a file's few vectors (left) and any number of others: id, vector; left_id, right_id, score. The left ones are literals of the plan, at most 4,096 of
+    them, and the others are scanned once: each partition hands on its best pair."""
+    asked = left.select("id", "vector").limit(4097).collect()
+    if len(asked) > 4096:
+        raise ValueError("the left side is one file's vectors, not a table of them")
+    if not asked:
+        return right.select(F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0.0).alias("score")).limit(0)
+    kind = left.schema["id"].dataType
+    scores = F.array(*[F.struct(F.round(vectors.dot(F.col("vector"), literal(r.vector)), digits).alias("score"), F.lit(r.id).cast(kind).alias("left_id")) for r in asked])
+    pairs = right.select(F.col("id").alias("right_id"), F.explode(scores).alias("s")).select("s.left_id", "right_id", "s.score").filter("score IS NOT NULL")
+    return pairs.orderBy(F.col("score").desc(), "left_id", "right_id").limit(1)
 
 
 def nearest_frame(frames: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -158,3 +158,17 @@ def media_items(images: DataFrame, videos: DataFrame) -> DataFrame:
     one = images.select("file_name", F.lit(False).alias("is_video"), F.array(frame(F.lit(0.0), F.col("path"))).alias("frames"))
     many = videos.filter("image_file IS NOT NULL").groupBy("file_name").agg(F.array_sort(F.collect_list(frame(seconds(F.col("timestamp_sec")), F.col("image_file")))).alias("frames"))
     return one.unionByName(many.select("file_name", F.lit(True).alias("is_video"), "frames"))
+
+
+def reruns(stage: Column, chosen: set[str]) -> Column:
+    """Whether a choice of stages runs this one again: all, the stage itself, or the number that it begins with."""
+    if "all" in chosen:
+        return F.lit(True)
+    names = sorted(chosen)
+    return stage.isin(*names) | F.regexp_extract(stage, "^[0-9]+", 0).isin(*names)
+
+
+def to_extract(videos: DataFrame, valid: DataFrame) -> DataFrame:
+    """Videos whose stills have to be taken: those that aren't skipped as copies and have no valid manifest. valid: video, valid."""
+    good = valid.filter("valid").select(F.col("video").alias("file_name")).distinct()
+    return videos.filter(~yes(F.col("skip_processing"))).join(good, "file_name", "left_anti")

@@ -24,6 +24,15 @@ def upserted(table: DataFrame, batch: DataFrame, key: str, order: str) -> DataFr
     return table.join(new.select(key), key, "left_anti").select(*table.columns).unionByName(new, allowMissingColumns=True)
 
 
+def newest(table: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key with the highest order, out of a table and a batch, both with the order column, which stays: so a row that comes late loses to a newer one
+    that is there already. Of rows of equal order the batch's counts; a null order is lowest. Columns that only one of them has are null in the other's rows."""
+    both = table.withColumn("__side", F.lit(0)).unionByName(batch.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    names = [c for c in both.columns if c not in (key, "__side")]
+    best = F.max_by(F.struct(*names), F.struct(order, "__side")).alias("r")
+    return both.groupBy(key).agg(best).select(key, *[F.col(f"r.{c}").alias(c) for c in names])
+
+
 def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """table without the rows of these keys; rows without a key stay."""
     return table.join(keys.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
@@ -102,13 +111,34 @@ def synced(side: DataFrame, rebuilt: DataFrame, changed: DataFrame) -> DataFrame
     return without(side, changed, "file_name").unionByName(rebuilt.join(changed.select("file_name").distinct(), "file_name", "left_semi").select(*side.columns))
 
 
-def missing_tables(index: DataFrame, there: set[str], base: str) -> set[str]:
-    """Side tables that have to be made; that of texts only if there is any."""
-    wanted = {f"{base}_face_ann", f"{base}_clip_ann"} - there
-    text = f"{base}_ocr_ann"
-    if text not in there and text_rows(index).limit(1).count():
-        wanted.add(text)
-    return wanted
+def missing_tables(index: DataFrame, there: DataFrame, base: str = "base") -> DataFrame:
+    """Rows (name): the side tables that have to be made for each table of the index, which the column `base` names; that of texts only if it has any.
+    there: name, the tables that exist."""
+    with_text = index.groupBy(base).agg(F.max(any_text()).alias("text"))
+    kinds = F.array_compact(F.array(F.lit("_face_ann"), F.lit("_clip_ann"), F.when(F.col("text"), F.lit("_ocr_ann"))))
+    wanted = with_text.select(base, F.explode(kinds).alias("kind")).select(F.concat(base, "kind").alias("name"))
+    return wanted.join(there.select("name").distinct(), "name", "left_anti")
+
+
+def present_only(index: DataFrame, listing: DataFrame, collection: str) -> DataFrame:
+    """index without the rows of a collection whose file isn't in the listing (file_name); rows of other collections stay, whatever is listed."""
+    own = F.coalesce(F.col("collection_id") == collection, F.lit(False))
+    listed = listing.select("file_name", F.lit(True).alias("__listed")).distinct()
+    return index.join(listed, "file_name", "left").filter(~own | F.col("__listed").isNotNull()).select(*index.columns)
+
+
+def tables_sorted(layouts: DataFrame) -> DataFrame:
+    """Rows (name, columns, types) of what sorted tables were sorted by (name, place, column, type): what stands for captured indexes. A rebuilt table is valid if its row is equal."""
+    by = F.transform(F.array_sort(F.collect_list(F.struct("place", "column", "type"))), lambda x: x)
+    rows = layouts.groupBy("name").agg(by.alias("by"))
+    return rows.select("name", F.col("by.column").alias("columns"), F.col("by.type").alias("types"))
+
+
+def index_faults(captured: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Rows (name, fault) of layouts (see tables_sorted) that aren't the same after a rebuild: missing, unexpected, other columns or other types."""
+    old, new = (x.select("name", F.col("columns").alias(f"c{k}"), F.col("types").alias(f"t{k}")) for k, x in enumerate((captured, rebuilt)))
+    fault = F.when(F.col("c1").isNull(), "missing").when(F.col("c0").isNull(), "unexpected").when(F.col("c0") != F.col("c1"), "columns").when(F.col("t0") != F.col("t1"), "types")
+    return old.join(new, "name", "full").select("name", fault.alias("fault")).filter("fault IS NOT NULL")
 
 
 def any_text():

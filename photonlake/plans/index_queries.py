@@ -88,10 +88,10 @@ def join7_valid_edges(spark, d):
     return graph.valid_edges(rows, rows).select("file_name", "target")
 
 
-@query(f"{WITH}, s AS (SELECT DISTINCT file_name FROM files WHERE doc_id < 20) SELECT a.file_name AS a, b.file_name AS b FROM s a JOIN s b ON a.file_name < b.file_name")
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name")
 def join12_pairs(spark, d):
-    """All pairs of a selection."""
-    return duplicates.selection_pairs(FILES.df(spark, d).filter("doc_id < 20"))
+    """All pairs of a selection made by hand: the nations."""
+    return duplicates.selection_pairs(table(spark, d, "nation").select(F.col("n_name").alias("file_name")))
 
 
 def _greedy(where: str, order: str, most: int, free: str = "FALSE") -> str:
@@ -131,14 +131,13 @@ def agg4_video_groups(spark, d):
     return hamming.leaders(rows, 80.0)
 
 
-@query()
+@query(f"""{_greedy("NOT is_video", ORDER, 3).replace("    SELECT i.file_name, h.place", ", made AS (SELECT i.file_name, h.place").replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}),
+old AS (SELECT x.file_name, CASE WHEN m.file_name <> x.file_name THEN m.file_name END AS old FROM files x JOIN (SELECT text, min_by(file_name, doc_id) AS file_name FROM files GROUP BY text) m ON x.text IS NOT DISTINCT FROM m.text WHERE NOT x.is_video)
+SELECT count(*) FILTER (WHERE is_master) AS masters, count(*) FILTER (WHERE NOT is_master AND old IS NULL) AS demoted, count(*) FILTER (WHERE match IS NOT NULL AND old IS NOT NULL AND match <> old) AS retargeted FROM made JOIN old USING (file_name)""")
 def agg5_repair(spark, d):
     """How many masters, demoted and retargeted files a rebuild from scratch gives."""
     rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
-    new = hamming.leaders(rows, 95.0)
-    old = _index(spark, d).select("file_name", F.when(F.col("dedupe_match_file") != F.col("file_name"), F.col("dedupe_match_file")).alias("old"))
-    both = new.join(old, "file_name")
-    return both.agg(F.count_if("is_master").alias("masters"), F.count_if(~F.col("is_master") & F.col("old").isNull()).alias("demoted"), F.count_if(F.col("match").isNotNull() & F.col("old").isNotNull() & (F.col("match") != F.col("old"))).alias("retargeted"))
+    return hamming.repaired(rows, _index(spark, d).select("file_name", F.when(F.col("dedupe_match_file") != F.col("file_name"), F.col("dedupe_match_file")).alias("old")), 95.0)
 
 
 @query(f"{WITH} SELECT file_name, CAST(row_number() OVER (ORDER BY {ORDER}) AS BIGINT) AS place FROM files")
@@ -174,9 +173,15 @@ def agg7_elected(spark, d):
     return graph.elected(_edges(spark, d), EDGES.df(spark, d).select("file_name", "inliers"), [F.col("inliers").desc(), F.col("file_name").desc()])
 
 
-@query()
+# An edge spans if no better edges join its ends; then the spanning edges are walked from each root.
+@query(f"""{COMPONENTS}, links AS (SELECT file_name AS a, target AS b, row_number() OVER (ORDER BY inliers DESC, file_name, target) AS n FROM edges WHERE {VALID}),
+both_ AS (SELECT a, b, n FROM links UNION ALL SELECT b, a, n FROM links),
+better AS (SELECT n AS edge, a AS node FROM links UNION SELECT r.edge, w.b FROM better r JOIN both_ w ON w.a = r.node AND w.n < r.edge),
+tree AS (SELECT l.* FROM links l WHERE NOT EXISTS (SELECT 1 FROM better r WHERE r.edge = l.n AND r.node = l.b)), steps AS (SELECT a, b FROM tree UNION ALL SELECT b, a FROM tree),
+walk AS (SELECT DISTINCT root AS root, root AS file_name, CAST(NULL AS VARCHAR) AS target FROM comp UNION SELECT w.root, s.b, s.a FROM walk w JOIN steps s ON s.a = w.file_name WHERE w.target IS NULL OR s.b <> w.target)
+SELECT root, file_name, target FROM walk WHERE target IS NOT NULL""")
 def agg8_bridges(spark, d):
-    """Spanning links of each group, best first from its root; held against a sequential run in the tests."""
+    """Spanning links of each group, the best ones, as seen from its root."""
     edges = _edges(spark, d).join(EDGES.df(spark, d).select("file_name", "inliers"), "file_name").select("file_name", "target", "inliers", (F.col("inliers") / 100).alias("ratio"), F.lit(0.5).alias("score"))
     return graph.bridges(edges, graph.components(_edges(spark, d)))
 
@@ -271,7 +276,12 @@ def agg17_summary(spark, d):
     return report.summary(_media(spark, d), {"hash": F.col("phash_hex").isNotNull(), "faces": F.col("faces").isNotNull(), "clip": F.col("clip_groups").isNotNull()})
 
 
-@query()
+_FIELD = "CASE WHEN {0} IS NULL THEN '-:' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', CAST({0} AS VARCHAR)) END"
+_FIELDS = ", ".join(_FIELD.format(c) for c in ("file_name", "collection_id", "is_video", "source_size"))
+_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query(f"{WITH}, r AS (SELECT sha256(concat({_FIELDS})) AS d FROM files) SELECT count(*) AS rows, sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {_SUMS})) AS digest FROM r")
 def agg19_fingerprint(spark, d):
     """A digest of a table that doesn't depend on the order of its rows."""
     return report.fingerprint(FILES.df(spark, d), ["collection_id", "is_video", "source_size"], "file_name")
@@ -289,11 +299,14 @@ def flt7_stage_complete(spark, d):
     return _media(spark, d).filter(stages.complete("clip_groups", "clip_embedding")).select("doc_id")
 
 
-@query("SELECT unnest(['4a', '4b', '5a']) AS stage, unnest([TRUE, TRUE, FALSE]) AS rerun")
+_STAGE = "concat(CAST(doc_id % 12 AS {0}), CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE '' END)"
+
+
+@query(f"SELECT doc_id, {_STAGE.format('VARCHAR')} AS stage, {_STAGE.format('VARCHAR')} = '2b' OR regexp_extract({_STAGE.format('VARCHAR')}, '^[0-9]+') = '4' AS some, TRUE AS whole FROM documents")
 def flt8_rerun(spark, d):
-    """Which stages a choice of all, a stage or a stage's number runs again."""
-    chosen = {"4"}
-    return spark.createDataFrame([("4a",), ("4b",), ("5a",)], "stage string").select("stage", (F.lit("all" in chosen) | F.col("stage").isin(*chosen) | F.regexp_extract("stage", "^[0-9]+", 0).isin(*chosen)).alias("rerun"))
+    """Which stages a choice of stages and of their numbers runs again, and which that of all."""
+    rows = table(spark, d, "documents").selectExpr("doc_id", f"{_STAGE.format('STRING')} AS stage")
+    return rows.select("doc_id", "stage", stages.reruns(F.col("stage"), {"2b", "4"}).alias("some"), stages.reruns(F.col("stage"), {"all"}).alias("whole"))
 
 
 @query(f"{WITH} SELECT doc_id FROM files WHERE doc_id % 9 <> 0 AND (doc_id % 16 = 0 OR doc_id % 8 <> 0)")
@@ -449,11 +462,19 @@ def cdc2_frame_hashes(spark, d):
     return rows.withColumn("ts", vectors.seconds(F.col("timestamp_sec"))).join(stored, ["file_name", "ts"], "left").select("file_name", "timestamp_sec", F.col("there").isNull().alias("pending"))
 
 
-@query(f"{WITH} SELECT file_name FROM files WHERE is_video AND doc_id % 8 <> 0 AND doc_id % 3 = 0")
+@query(f"{WITH} SELECT file_name FROM files WHERE is_video AND doc_id % 8 <> 0 AND NOT (doc_id % 2 = 0 AND doc_id % 15 <> 0)")
 def cdc3_extraction(spark, d):
-    """Videos whose stills are taken anew: no copies, and no valid manifest."""
-    rows = _media(spark, d).filter("is_video").withColumn("valid", F.col("doc_id") % 3 != 0)
-    return rows.filter(~F.col("skip_processing") & ~F.col("valid")).select("file_name")
+    """Videos whose stills are taken anew: no copies, and no valid manifest (other size, or a still is gone)."""
+    from photonlake.sources import manifests
+
+    v = _media(spark, d).filter("is_video")
+    size = F.when(F.col("doc_id") % 2 == 0, F.col("source_size")).otherwise(-1)
+    still = F.concat("file_name", F.lit("#0"))
+    settings = [F.lit(27.0).alias("scene_threshold"), F.lit(15).alias("min_scene_len"), F.lit(100).alias("max_stills")]
+    frames = F.array(F.struct(F.lit(0.0).alias("timestamp_sec"), still.alias("image_file"))).alias("frames")
+    rows = v.select(F.col("file_name").alias("video"), F.col("source_size").alias("size"), F.col("source_mtime_ns").alias("mtime_ns"), size.alias("source_size"), "source_mtime_ns", *settings, frames)
+    valid = manifests.stills_valid(rows, v.filter("doc_id % 15 <> 0").select(still.alias("image_file")), 27.0, 15, 100)
+    return stages.to_extract(v, valid).select("file_name")
 
 
 @query(f"{_COPIES} SELECT x.file_name, CASE WHEN x.is_video THEN x.master WHEN x.doc_id % 2 = 0 THEN concat('r', x.doc_id % 10) WHEN m.doc_id % 2 = 0 THEN concat('r', m.doc_id % 10) ELSE x.master END AS master FROM ix x JOIN files m ON m.file_name = x.master")
@@ -498,12 +519,19 @@ def dup5_compared(spark, d):
     return duplicates.compared(FILES.df(spark, d).select(F.concat(F.lit("p"), F.col("doc_id") % 20).alias("path"), F.col("doc_id").alias("place"), (F.col("doc_id") % 3 != 0).alias("path_exists"), F.lit(True).alias("supported")))
 
 
-@query(f"{_COPIES}, r AS (SELECT file_name, list_transform(range(0, 4), lambda i: (doc_id * 7 + i) % 5) AS v FROM files) SELECT file_name, list_distinct(v) AS kept FROM r WHERE FALSE UNION ALL SELECT file_name, [1.0::DOUBLE, 2.0::DOUBLE] FROM files")
+_SIM = "list_cosine_similarity([b.x, b.y], [a.x, a.y])"
+
+
+@query(f"""WITH RECURSIVE v AS (SELECT doc_id, i, CAST((doc_id * 7 + i * 13) % 10 AS DOUBLE) + 1 AS x, CAST((doc_id * 3 + i * 5) % 10 AS DOUBLE) AS y FROM documents, (SELECT unnest(range(0, 6)) AS i)),
+near AS (SELECT a.doc_id, a.i, list(b.i) AS like_ FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.i < a.i AND {_SIM} >= 0.995 GROUP BY ALL),
+run AS (SELECT doc_id, -1::BIGINT AS i, []::BIGINT[] AS kept FROM documents UNION ALL
+  SELECT r.doc_id, r.i + 1, CASE WHEN len(list_intersect(r.kept, coalesce(n.like_, []))) = 0 THEN list_append(r.kept, r.i + 1) ELSE r.kept END FROM run r LEFT JOIN near n ON n.doc_id = r.doc_id AND n.i = r.i + 1 WHERE r.i < 5)
+SELECT doc_id, kept FROM run WHERE i = 5""")
 def agg24_distinct_vectors(spark, d):
-    """Vectors of one frame without near repeats, in order (first elements shown)."""
-    vs = F.expr("array(array(1.0D, 0.0D), array(1.0D, 0.001D), array(2.0D, 9.0D), array(2.1D, 9.4D))")
-    fold = F.aggregate(vs, F.array().cast("array<array<double>>"), lambda acc, v: F.when(F.exists(acc, lambda w: vectors.cosine(w, v) >= 0.995), acc).otherwise(F.concat(acc, F.array(v))))
-    return FILES.df(spark, d).select("file_name", F.transform(fold, lambda v: F.get(v, F.lit(0))).alias("kept"))
+    """Vectors of one frame without near repeats, in their order: which of six vectors, that differ from frame to frame, stay."""
+    vector = lambda i: F.array(((F.col("doc_id") * 7 + i * 13) % 10).cast("double") + 1, ((F.col("doc_id") * 3 + i * 5) % 10).cast("double"))
+    frames = table(spark, d, "documents").select("doc_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")), lambda i: F.struct(i.alias("i"), vector(i).alias("v"))).alias("vectors"))
+    return frames.select("doc_id", groups.distinct_vectors(F.col("vectors"), "v", 0.995)["i"].alias("kept"))
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, struct_pack(a := o_totalprice, b := o_orderkey)) AS best FROM orders GROUP BY o_custkey")
@@ -562,9 +590,16 @@ def snk6_delete(spark, d):
     return tables.without(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), keys, "l_orderkey")
 
 
-@query("SELECT unnest(['m_clip_ann', 'm_ocr_ann']) AS name")
+@query(f"""{WITH}, per AS (SELECT split_part(file_name, '/', 1) AS b, count(*) AS n, bool_or(doc_id % 5 = 2 AND lang <> 'en') AS text FROM (SELECT f.*, split_part(file_name, '/', 2) AS lang FROM files f) GROUP BY ALL),
+wanted AS (SELECT concat(b, unnest(CASE WHEN text THEN ['_face_ann', '_clip_ann', '_ocr_ann'] ELSE ['_face_ann', '_clip_ann'] END)) AS name FROM per),
+there AS (SELECT concat(b, CASE n % 3 WHEN 0 THEN '_face_ann' WHEN 1 THEN '_clip_ann' ELSE '_ocr_ann' END) AS name FROM per)
+SELECT name FROM wanted WHERE name NOT IN (SELECT name FROM there)""")
 def snk7_missing_tables(spark, d):
-    return spark.createDataFrame([(n,) for n in sorted(tables.missing_tables(_media(spark, d), {"m_face_ann"}, "m"))], "name string")
+    """The side tables that each source lacks."""
+    text = "CASE WHEN lang <> 'en' THEN ocr_groups END AS ocr_groups"
+    rows = _media(spark, d).withColumns({"base": F.split_part("file_name", F.lit("/"), F.lit(1)), "lang": F.split_part("file_name", F.lit("/"), F.lit(2))}).selectExpr("base", text)
+    there = rows.groupBy("base").agg(F.count(F.lit(1)).alias("n")).selectExpr("concat(base, CASE n % 3 WHEN 0 THEN '_face_ann' WHEN 1 THEN '_clip_ann' ELSE '_ocr_ann' END) AS name")
+    return tables.missing_tables(rows, there)
 
 
 @query(f"{WITH} SELECT concat('new/', file_name) AS file_name FROM files")
@@ -587,11 +622,12 @@ def snk9_roots_written(spark, d):
     return kept(table(spark, d, "nation").select(F.concat(F.lit("c"), "n_nationkey").alias("collection_id"), F.concat(F.lit("/m/"), "n_name").alias("root_path")).orderBy("collection_id"), "roots")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 4 <> 0")
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 3))")
 def snk12_gone_files(spark, d):
-    """Rows of a collection whose file isn't there any more go."""
-    rows = table(spark, d, "orders").select("o_orderkey")
-    return rows.join(rows.filter("o_orderkey % 4 = 0"), "o_orderkey", "left_anti")
+    """Rows of a collection (urgent orders) whose file (a third line) isn't there any more go; other collections' rows stay."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("file_name"), F.col("o_orderpriority").alias("collection_id"))
+    listing = table(spark, d, "lineitem").filter("l_linenumber >= 3").select(F.col("l_orderkey").cast("string").alias("file_name"))
+    return tables.present_only(rows, listing, "1-URGENT").select("o_orderkey")
 
 
 @query("SELECT user_id AS collection_id, max(epoch_us(ts)) AS updated, arg_max(event_type, struct_pack(a := epoch_us(ts), b := event_type)) AS state FROM events GROUP BY user_id")
@@ -656,17 +692,44 @@ def rel5_collisions(spark, d):
     return relocate.collisions(m)
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'x' END AS ref, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 9.5::DOUBLE END AS pct FROM documents")
+@query(f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'x' END AS ref, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 9.5::DOUBLE END AS pct,
+CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'y' END AS sift, CASE WHEN doc_id % 3 = 0 THEN [NULL, NULL, NULL, NULL] ELSE [0.5, 40, 50, 0.8]::DOUBLE[] END AS figures, doc_id % 5 <> 0 AS checked,
+CASE WHEN doc_id % 2 = 0 THEN ['z'] ELSE ['z', 'w'] END AS links FROM files""")
 def rel6_self_links(spark, d):
-    rows = FILES.df(spark, d).select("doc_id", "file_name", F.expr("IF(doc_id % 2 = 0, file_name, 'x')").alias("dedupe_match_file"), F.lit(9.5).cast("double").alias("dedupe_similarity_pct"))
-    return relocate.without_self(rows).select("doc_id", F.col("dedupe_match_file").alias("ref"), F.col("dedupe_similarity_pct").alias("pct"))
-
-
-@query("SELECT o_custkey AS file_name, count(*) AS merged, min(CASE WHEN o_orderkey % 2 = 0 THEN struct_pack(k := o_orderkey, v := o_orderstatus) END).v AS status, count(DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END) > 1 AS conflict FROM orders GROUP BY o_custkey")
+    """Links of files to themselves go, each with all its figures; that a file was checked stays."""
+    link = lambda name: F.struct(name.alias("file_name"), F.lit(True).alias("is_video"))
+    rows = FILES.df(spark, d).select(
+        "doc_id", "file_name", F.expr("IF(doc_id % 2 = 0, file_name, 'x')").alias("dedupe_match_file"), F.lit(9.5).cast("double").alias("dedupe_similarity_pct"),
+        F.expr("IF(doc_id % 3 = 0, file_name, 'y')").alias("sift_match_file"), F.lit(0.5).alias("sift_match_score"), F.lit(40).alias("sift_match_inliers"), F.lit(50).alias("sift_match_good_matches"), F.lit(0.8).alias("sift_match_inlier_ratio"),
+        (F.col("doc_id") % 5 != 0).alias("sift_match_checked"), F.array(link(F.lit("z")), link(F.expr("IF(doc_id % 2 = 0, file_name, 'w')"))).alias("cross_media_matches"),
+    )
+    figures = F.array(*[F.col(c).cast("double") for c in ("sift_match_score", "sift_match_inliers", "sift_match_good_matches", "sift_match_inlier_ratio")])
+    clean = relocate.without_self(rows)
+    return clean.select("doc_id", F.col("dedupe_match_file").alias("ref"), F.col("dedupe_similarity_pct").alias("pct"), F.col("sift_match_file").alias("sift"), figures.alias("figures"), F.col("sift_match_checked").alias("checked"), F.col("cross_media_matches.file_name").alias("links"))
+
+
+# Rows that move to one customer: priorities and dates may differ, links come with their figures.
+_MOVED = """SELECT o_custkey AS file_name, o_orderkey AS old_key, o_orderkey = first_key AND o_custkey % 2 = 0 AS is_primary, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS note,
+CASE WHEN o_orderkey % 4 = 1 THEN 'm' END AS dedupe_match_file, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 90.0 + o_custkey % 2 END AS dedupe_similarity_pct,
+CASE WHEN o_orderkey % 8 < 4 THEN 640 + 10 * (o_custkey % 3) END AS image_width, CASE WHEN o_orderkey % 8 < 2 THEN 480 END AS image_height
+FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_key FROM orders)"""
+_AGREED = "dedupe_match_file IS NOT NULL OR dedupe_similarity_pct IS NOT NULL"
+
+
+@query(f"""WITH r AS ({_MOVED}), per AS (SELECT file_name, count(*) AS merged, count(DISTINCT note) > 1 AS dn, count(DISTINCT dedupe_match_file) > 1 OR count(DISTINCT dedupe_similarity_pct) > 1 AS dd,
+  count(DISTINCT image_width) > 1 OR count(DISTINCT image_height) > 1 AS di, min(note) AS one, coalesce(min(old_key) FILTER (WHERE is_primary), min(old_key)) AS base, bool_or(is_primary) AS has_primary,
+  min(old_key) FILTER (WHERE {_AGREED}) AS kd, min(old_key) FILTER (WHERE image_width IS NOT NULL OR image_height IS NOT NULL) AS ki FROM r GROUP BY file_name)
+SELECT p.file_name, p.merged, p.dn OR p.dd OR p.di AS conflict, NOT (p.dn OR p.dd OR p.di) OR p.has_primary AS resolved, coalesce(b.note, CASE WHEN NOT p.dn THEN p.one END) AS note,
+  CASE WHEN b.dedupe_match_file IS NULL AND b.dedupe_similarity_pct IS NULL AND NOT p.dd THEN x.dedupe_match_file ELSE b.dedupe_match_file END AS dedupe_match_file,
+  CASE WHEN b.dedupe_match_file IS NULL AND b.dedupe_similarity_pct IS NULL AND NOT p.dd THEN x.dedupe_similarity_pct ELSE b.dedupe_similarity_pct END AS dedupe_similarity_pct,
+  CASE WHEN b.image_width IS NULL AND b.image_height IS NULL AND NOT p.di THEN y.image_width ELSE b.image_width END AS image_width,
+  CASE WHEN b.image_width IS NULL AND b.image_height IS NULL AND NOT p.di THEN y.image_height ELSE b.image_height END AS image_height
+FROM per p JOIN r b ON b.file_name = p.file_name AND b.old_key = p.base LEFT JOIN r x ON x.file_name = p.file_name AND x.old_key = p.kd LEFT JOIN r y ON y.file_name = p.file_name AND y.old_key = p.ki""")
 def agg22_coalesced(spark, d):
-    """Rows that move to one key become one; the first value that is set counts."""
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("file_name"), F.col("o_orderkey").alias("old_key"), F.expr("IF(o_orderkey % 2 = 0, o_orderstatus, NULL)").alias("status"))
-    return relocate.coalesced(rows).select("file_name", "merged", "status", "conflict")
+    """Rows that move to one key become one: families as a whole, single values if all agree, and the primary source where they don't."""
+    table(spark, d, "orders").createOrReplaceTempView("photonlake_orders")
+    rows = spark.sql(_MOVED.replace("FROM orders", "FROM photonlake_orders"))
+    return relocate.coalesced(rows, primary="is_primary", strict=False)
 
 
 @query("SELECT o_custkey AS file_name, concat(o_custkey, '|0') AS id, o_orderkey FROM orders ORDER BY 1, 2, 3")
@@ -691,11 +754,21 @@ def agg20_inventory(spark, d):
     return relocate.inventory(rows, _mapping(spark, d), excluded, "old").select(*[F.col(c).cast("long").alias(c) for c in ("keys", "mapped", "unmapped", "excluded", "missing", "repeated", "collisions")])
 
 
-@query("SELECT unnest(['repeated keys', 'stale references', 'uncovered targets', 'conservation']) AS \"check\", CAST(0 AS BIGINT) AS faults")
+_PLANTED = """SELECT count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0) AS gone, count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 11 = 0) AS twice,
+count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 13 = 0 AND (o_orderkey - 1) IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)) AS once,
+count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 143 = 0 AND (o_orderkey - 1) IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)) AS again FROM orders"""
+
+
+@query(f"""WITH p AS ({_PLANTED}) SELECT 'repeated keys' AS "check", twice AS faults FROM p UNION ALL SELECT 'stale references', once + again FROM p UNION ALL SELECT 'uncovered targets', gone FROM p UNION ALL SELECT 'conservation', abs(twice - gone) FROM p""")
 def rel10_validated(spark, d):
-    """Checks of a moved table."""
+    """Checks of a moved table into which faults were planted: rows that are missing, rows that come twice, and references that weren't rewritten."""
     rows, m = _orders(spark, d), _mapping(spark, d)
-    out = relocate.referred(relocate.fan_out(rows, m), m, "dedupe_match_file")
+    key = F.regexp_extract("file_name", "([0-9]+)$", 1).cast("long")
+    out = relocate.referred(relocate.fan_out(rows, m), m, "dedupe_match_file").withColumn("k", key)
+    out = out.filter(~((F.col("k") % 5 != 0) & (F.col("k") % 7 == 0) & (F.col("k") % 3 != 0)))
+    stale = (F.col("k") % 5 == 0) & (F.col("k") % 13 == 0)
+    out = out.withColumn("dedupe_match_file", F.when(stale, F.concat(F.lit("old/"), F.col("k") - 1)).otherwise(F.col("dedupe_match_file")))
+    out = out.unionByName(out.filter("k % 5 = 0 AND k % 11 = 0"))
     return relocate.faults(out, m, rows.count(), 0, 0).select("check", F.col("faults").cast("long").alias("faults"))
 
 
@@ -712,12 +785,13 @@ def rel9_ledger(spark, d):
     return relocate.ledger(_mapping(spark, d), rest.filter("k % 2 = 1"), rest.filter("k % 2 = 0"))
 
 
-@query("SELECT concat('old/', o_orderkey) AS file_name, o_orderkey AS size, o_orderkey % 2 = 0 AS there FROM orders")
+@query("""SELECT concat('old/', c_custkey) AS file_name, n IS NOT NULL AS there, n AS size, last AS mtime_ns FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY ALL) ON o_custkey = c_custkey
+WHERE c_mktsegment = 'BUILDING'""")
 def rel11_export(spark, d):
-    """Files of a collection with their state on disk."""
-    rows = _orders(spark, d).select("file_name", F.split_part("file_name", F.lit("/"), F.lit(2)).cast("long").alias("size"))
-    disk = rows.filter("size % 2 = 0").select("file_name", F.lit(True).alias("t"))
-    return rows.join(disk, "file_name", "left").select("file_name", "size", F.coalesce("t", F.lit(False)).alias("there"))
+    """Files of a collection (customers of a segment) with their state on disk (their orders)."""
+    rows = table(spark, d, "customer").select(F.concat(F.lit("old/"), "c_custkey").alias("file_name"), F.col("c_mktsegment").alias("collection_id"))
+    listing = table(spark, d, "orders").groupBy(F.concat(F.lit("old/"), "o_custkey").alias("file_name")).agg(F.count(F.lit(1)).alias("size"), F.max("o_orderkey").alias("mtime_ns"))
+    return relocate.inventory_rows(rows, listing, "BUILDING")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS size FROM documents")
@@ -737,27 +811,60 @@ def rel13_range_repair(spark, d):
     return relocate.repair_candidates(keys, files, "c")
 
 
-@query("SELECT o_orderkey % 5 = 0 AS x, count(*) AS n FROM orders GROUP BY ALL")
-def join13_repair_join(spark, d):
-    """Keys with just one candidate of equal size."""
-    rows = table(spark, d, "orders").select("o_orderkey")
-    one = rows.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("k")).filter("k = 1")
-    return one.groupBy((F.col("o_orderkey") % 5 == 0).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+_RANGED = """WITH keys AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 9 = 0 THEN 'p' ELSE concat('chat', o_custkey % 3) END AS chat, o_orderkey % 1000 AS name, o_custkey AS size FROM orders),
+files AS (SELECT chat, name, f, CASE WHEN k % 4 = 0 THEN -1 ELSE size END AS size FROM (SELECT DISTINCT chat, name, size, k, unnest(CASE WHEN k % 6 = 0 THEN ['2020-01-01T00__x', '2021-01-01T00__y'] ELSE ['2020-01-01T00__x'] END) AS f FROM keys))"""
 
 
-@query("SELECT count(*) AS rows, max(o_orderkey) AS last, TRUE AS same FROM orders")
+@query(f"""{_RANGED}, known AS (SELECT DISTINCT chat, name, size FROM keys), met AS (SELECT k.chat, k.name, k.size, count(*) AS n, min(f) AS f FROM known k JOIN files USING (chat, name, size) WHERE lower(k.chat) <> 'p' GROUP BY ALL),
+one AS (SELECT *, count(*) OVER (PARTITION BY chat, name, f) AS m FROM met WHERE n = 1), taken AS (SELECT chat, name FROM known WHERE size % 10 = 3)
+SELECT concat('c/', chat, '/', name, '.jpg#', size) AS old_key, concat('c/', chat, '/', f, '/', name, '.jpg') AS new_key FROM
+  (SELECT *, count(*) OVER (PARTITION BY chat, f, name) AS alone FROM met WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.chat = met.chat AND t.name = met.name)) WHERE alone = 1""")
+def join13_repair_join(spark, d):
+    """Keys with just one file of their chat, name and size in a range folder: not with two or none, not below p, not onto a key that is there, and not two onto one."""
+    table(spark, d, "orders").createOrReplaceTempView("photonlake_orders")
+    known = spark.sql(_RANGED.split(",\nfiles")[0].replace("FROM orders", "FROM photonlake_orders") + " SELECT DISTINCT chat, name, size, k FROM keys")
+    split = F.when(F.col("k") % 6 == 0, F.array(F.lit("2020-01-01T00__x"), F.lit("2021-01-01T00__y"))).otherwise(F.array(F.lit("2020-01-01T00__x")))
+    name = F.concat(F.col("name").cast("string"), F.lit(".jpg"))
+    files = known.select("chat", name.alias("tail"), F.explode(split).alias("f"), F.when(F.col("k") % 4 == 0, F.lit(-1)).otherwise(F.col("size")).alias("size"))
+    files = files.select(F.concat_ws("/", "chat", "f", "tail").alias("path"), "size")
+    once = known.select("chat", "name", "size").distinct()
+    keys = once.select(F.concat(F.lit("c/"), "chat", F.lit("/"), name).alias("file_name"), "size")
+    taken = once.filter("size % 10 = 3").select(F.explode(F.transform(F.array(F.lit("2020-01-01T00__x"), F.lit("2021-01-01T00__y")), lambda f: F.concat(F.lit("c/"), "chat", F.lit("/"), f, F.lit("/"), name))).alias("file_name"), F.lit(-2).cast("long").alias("size"))
+    found = relocate.repair_candidates(keys.unionByName(taken.distinct()), files, "c", by="size")
+    return found.select(F.concat("old_key", F.lit("#"), F.col("size").cast("string")).alias("old_key"), "new_key")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' WHEN o_orderkey % 10 = 1 THEN 'changed' END AS change FROM orders WHERE o_orderkey % 10 IN (0, 1)
+UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 10 = 2""")
 def rel14_snapshot(spark, d):
-    """A table's fingerprint before and after a job that must not change it."""
-    rows = table(spark, d, "orders")
-    one, two = (report.fingerprint(rows, ["o_custkey", "o_orderstatus"], "o_orderkey").withColumnRenamed("digest", n) for n in ("a", "b"))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.max("o_orderkey").alias("last")).join(one.join(two, "rows").select((F.col("a") == F.col("b")).alias("same")), F.lit(True))
+    """What a job changed in a table that it should have left alone: a snapshot written before against the table after."""
+    from photonlake.plans.storage import kept
+
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    before = kept(rows, "snapshot")
+    touched = rows.filter("o_orderkey % 10 <> 0").withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 == 1, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey")))
+    after = kept(touched.unionByName(rows.filter("o_orderkey % 10 = 2").withColumn("o_orderkey", -F.col("o_orderkey"))), "snapshot")
+    return relocate.changes(before, after, "o_orderkey", ["o_custkey", "o_orderstatus"])
+
+
+@query("""WITH t AS (SELECT o_custkey AS c, o_orderkey % 4 AS place, o_orderpriority AS col, o_orderstatus AS kind FROM orders WHERE o_orderkey % 3 = 0), old AS (SELECT c, list(col ORDER BY place, col, kind) AS cols, list(kind ORDER BY place, col, kind) AS kinds FROM t GROUP BY c),
+u AS (SELECT c, place, CASE WHEN c % 7 = 0 THEN 'other' ELSE col END AS col, CASE WHEN c % 11 = 0 THEN 'Z' ELSE kind END AS kind FROM t WHERE c % 5 <> 0 UNION ALL SELECT -c, place, col, kind FROM t WHERE c % 13 = 0),
+new AS (SELECT c, list(col ORDER BY place, col, kind) AS cols, list(kind ORDER BY place, col, kind) AS kinds FROM u GROUP BY c)
+SELECT coalesce(o.c, n.c) AS name, CASE WHEN n.c IS NULL THEN 'missing' WHEN o.c IS NULL THEN 'unexpected' WHEN o.cols <> n.cols THEN 'columns' ELSE 'types' END AS fault FROM old o FULL JOIN new n ON o.c = n.c WHERE n.c IS NULL OR o.c IS NULL OR o.cols <> n.cols OR o.kinds <> n.kinds""")
+def rel15_layouts(spark, d):
+    """What sorted tables are sorted by, captured before a rebuild and checked after it, with faults planted in between."""
+    rows = table(spark, d, "orders").filter("o_orderkey % 3 = 0").selectExpr("o_custkey AS name", "o_orderkey % 4 AS place", "o_orderpriority AS column", "o_orderstatus AS type")
+    new = rows.filter("name % 5 <> 0").selectExpr("name", "place", "IF(name % 7 = 0, 'other', column) AS column", "IF(name % 11 = 0, 'Z', type) AS type")
+    new = new.unionByName(rows.filter("name % 13 = 0").withColumn("name", -F.col("name")))
+    return tables.index_faults(tables.tables_sorted(rows), tables.tables_sorted(new))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0")
+@query("SELECT concat('c/', c_custkey) AS file_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_nationkey >= 5")
 def set1_unmapped(spark, d):
-    """Keys that are neither mapped nor excluded."""
-    rows = table(spark, d, "orders").select("o_orderkey")
-    return rows.join(rows.filter("o_orderkey % 5 <> 0"), "o_orderkey", "left_anti").join(rows.filter("o_orderkey % 10 = 0"), "o_orderkey", "left_anti")
+    """Keys of a collection (customers of a segment) that are neither mapped (by their finished orders) nor excluded (by nation)."""
+    rows = table(spark, d, "customer").select(F.concat(F.lit("c/"), "c_custkey").alias("file_name"), F.col("c_mktsegment").alias("collection_id"), "c_nationkey")
+    mapping = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("c/"), "o_custkey").alias("old_key"))
+    return relocate.unmapped(rows, mapping, rows.filter("c_nationkey < 5"), "BUILDING")
 
 
 @query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_nationkey < 10")

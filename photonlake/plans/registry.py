@@ -58,8 +58,8 @@ FILES = StandIn("documents", (
     ("image_width", "CAST(n_chars % 4000 AS INT)"), ("image_height", "CAST(n_chars % 3000 AS INT)"), ("source_size", "n_chars * 10"), ("source_mtime_ns", "doc_id * 1000000000000 - 7"),
     ("timestamp_sec", "CAST(doc_id % 3 AS DOUBLE)"), ("text_lower", "lower(text)"), ("text", "text"),
 ))
-#: Links between files: a tree over every third document.
-EDGES = StandIn("documents", (("file_name", "concat('f', doc_id)"), ("target", "concat('f', CAST(floor(doc_id / 2) AS BIGINT))"), ("checked", "doc_id % 7 <> 0"), ("inliers", "CAST(n_chars % 100 AS INT)")), "doc_id % 3 <> 1")
+#: Links between files: a tree over all documents; unchecked links cut it into groups of many sizes.
+EDGES = StandIn("documents", (("file_name", "concat('f', doc_id)"), ("target", "concat('f', CAST(floor(doc_id / 2) AS BIGINT))"), ("checked", "doc_id % 7 <> 0"), ("inliers", "CAST(n_chars % 100 AS INT)")))
 #: Paths.
 PATHS = StandIn("pages", (("page_id", "page_id"), ("path", "concat('/', split_part(split_part(url, '//', 2), '?', 1), '/img', page_id, '.jpg')")))
 

@@ -118,12 +118,16 @@ def topk1_candidates(spark, d):
     return search.shortlist(FRAMES.df(spark, d).filter("timestamp_sec = 0 AND NOT is_video"), 5)
 
 
-@query(f"{PAIRS} AND EXISTS (SELECT 1 FROM edges e WHERE candidate LIKE '%/' || e.file_name || '.jpg' AND e.checked)")
+_OK = "(SELECT 1 FROM edges e WHERE q.file_name LIKE '%/' || e.file_name || '.jpg' AND e.checked)"
+
+
+@query(PAIRS.replace("JOIN u q ON f.file_name <> q.file_name", f"JOIN u q ON f.file_name <> q.file_name AND EXISTS {_OK}"))
 def join8_eligible(spark, d):
-    """Shortlist within eligible files."""
+    """Shortlist within eligible files: they are chosen before the 64 nearest are."""
+    files = FRAMES.df(spark, d).filter("timestamp_sec = 0 AND NOT is_video")
     ok = EDGES.df(spark, d).filter("checked").select(F.col("file_name").alias("stem")).distinct()
-    found = search.shortlist(FRAMES.df(spark, d).filter("timestamp_sec = 0 AND NOT is_video"), 64).withColumn("stem", F.regexp_extract("candidate", "([^/]+)[.]jpg$", 1))
-    return found.join(ok, "stem", "left_semi").drop("stem")
+    eligible = files.select("file_name", F.regexp_extract("file_name", "([^/]+)[.]jpg$", 1).alias("stem")).join(ok, "stem", "left_semi")
+    return search.shortlist(files, 64, eligible=eligible)
 
 
 @query(f"""{WITH}, wanted AS (SELECT DISTINCT file_name, CAST(length(file_name) % 4 AS DOUBLE) * 0.7 AS seconds FROM frames)
@@ -358,11 +362,16 @@ def join14_names(spark, d):
     return PATHS.df(spark, d).groupBy(F.lower(F.element_at(F.split("path", "/"), -2)).alias("name")).agg(F.sort_array(F.collect_list("page_id")).alias("pages"))
 
 
-@query(f"{WITH} SELECT DISTINCT split_part(file_name, '/', 1) AS folder FROM files WHERE file_name LIKE 'src1%'")
+@query(f"""{WITH}, mapped AS (SELECT DISTINCT concat('/m/', split_part(file_name, '/', 1)) AS root FROM files WHERE split_part(file_name, '/', 1) <> 'src2'),
+asked AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN concat('/m/', source) WHEN 1 THEN concat('/m/', source, '/', lang) WHEN 2 THEN '/m' ELSE concat('/m/', source, 'x') END AS folder FROM documents)
+SELECT folder, EXISTS (SELECT 1 FROM mapped WHERE folder = root OR starts_with(folder, root || '/') OR starts_with(root, folder || '/')) AS mapped FROM asked""")
 def flt17_mapped_folders(spark, d):
-    """Folders that some indexed file lies in."""
-    roots_ = FILES.df(spark, d).select(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("folder")).distinct()
-    return roots_.filter(F.startswith("folder", F.lit("src1")))
+    """Folders that lie in, hold, or are the root of some mapped collection; names that only begin alike don't count."""
+    from photonlake.sources import roots
+
+    there = FILES.df(spark, d).select(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("c")).filter("c <> 'src2'").distinct().select(F.concat(F.lit("/m/"), "c").alias("root_path"))
+    asked = table(spark, d, "documents").selectExpr("CASE doc_id % 4 WHEN 0 THEN concat('/m/', source) WHEN 1 THEN concat('/m/', source, '/', lang) WHEN 2 THEN '/m' ELSE concat('/m/', source, 'x') END AS folder").distinct()
+    return roots.with_mapping(asked, there)
 
 
 @query(f"{WITH} SELECT file_name FROM files WHERE collection_id IS NULL OR collection_id NOT IN ('src1', 'src2')")

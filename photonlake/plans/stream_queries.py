@@ -21,20 +21,11 @@ def _source(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(round(value, 4), event_id) AS value FROM events GROUP BY user_id")
 def str1_incremental(spark, d):
-    """Micro-batches upserted into a table: the newest event of each user."""
+    """Micro-batches upserted into a table: the newest event of each user, in whatever file it comes."""
     where, schema = _source(spark, d)
     base = f"{shared_dir(spark)}/photonlake-stream-{uuid.uuid4().hex}"
-    # A row's own sequence number stays in the table, so that an older event in a later file loses.
-    stream = index_stream.arriving(spark, where, schema, 2)
-
-    def step(batch, n):
-        out = batch if not n else batch.unionByName(spark.read.parquet(f"{base}/v={n - 1}").select(*batch.columns))
-        out.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("r")).select("user_id", "r.*").write.mode("overwrite").parquet(f"{base}/v={n}")
-
-    q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{base}/v={last}").select("user_id", "event_type", "value")
+    index_stream.keep_up(index_stream.arriving(spark, where, schema, 2), f"{base}/table", f"{base}/checkpoint", "user_id", "event_id").awaitTermination()
+    return index_stream.latest(spark, f"{base}/table").select("user_id", "event_type", "value")
 
 
 @query("SELECT event_id FROM events")

@@ -136,10 +136,35 @@ def laid_out(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(rows, SCHEMA)
 
 
+def exif_block(data: bytes) -> bytes:
+    """The TIFF data that holds a file's EXIF: the file itself, a JPEG's APP1 segment, a PNG's eXIf or a WEBP's EXIF chunk, wherever in the file that is; empty without one."""
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return data
+    if data[:8] == b"\x89PNG\r\n\x1a\n" or (data[:4] == b"RIFF" and data[8:12] == b"WEBP"):
+        png = data[:1] == b"\x89"
+        at = 8 if png else 12
+        while at + 8 <= len(data):
+            size, kind = (struct.unpack(">I", data[at : at + 4])[0], data[at + 4 : at + 8]) if png else (struct.unpack("<I", data[at + 4 : at + 8])[0], data[at : at + 4])
+            if kind in (b"eXIf", b"EXIF"):
+                return data[at + 8 : at + 8 + size].removeprefix(b"Exif\0\0")
+            at += 12 + size if png else 8 + size + size % 2
+        return b""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = struct.unpack(">H", data[at + 2 : at + 4])[0]
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0" and size > 8:
+            return data[at + 10 : at + 2 + size]
+        if size < 2:
+            break
+        at += 2 + size
+    # Segments that can't be followed: the mark is looked for in the whole file.
+    at = data.find(b"Exif\0\0")
+    return data[at + 6 :] if at >= 0 else b""
+
+
 def exif_dates(data: bytes) -> dict[int, str]:
-    """EXIF's DateTime (0x0132), DateTimeOriginal (0x9003) and DateTimeDigitized (0x9004) of a JPEG or TIFF file, as they stand."""
-    at = data.find(b"Exif\0\0", 0, 1 << 16)
-    tiff = data[at + 6 :] if at >= 0 else data if data[:4] in (b"II*\0", b"MM\0*") else b""
+    """EXIF's DateTime (0x0132), DateTimeOriginal (0x9003) and DateTimeDigitized (0x9004) of a JPEG, TIFF, PNG or WEBP file, as they stand."""
+    tiff = exif_block(data)
     if tiff[:2] not in (b"II", b"MM"):
         return {}
     e, out = "<" if tiff[:2] == b"II" else ">", {}

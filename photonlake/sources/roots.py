@@ -56,3 +56,17 @@ def still_owner(path, extensions: tuple[str, ...] = tuple(paths.INDEXED_VIDEOS))
     """The video's file name behind a still's path collection/folder/name_ext/still: name.ext."""
     folder = paths.parent(path)
     return F.when(folder.rlike(f"_({'|'.join(extensions)})$"), F.regexp_replace(folder, f"_({'|'.join(extensions)})$", ".$1"))
+
+
+def _leading(path):
+    """A path with each of the folders above it."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+
+def with_mapping(folders: DataFrame, roots: DataFrame) -> DataFrame:
+    """folders (folder) with mapped: whether one is a root (root_path), lies below one, or has one below it. Paths are held against each other folder by folder, in equi-joins."""
+    below = folders.select("folder", F.explode(_leading(F.col("folder"))).alias("root_path")).join(roots.select("root_path").distinct(), "root_path", "left_semi").select("folder")
+    above = roots.select(F.explode(_leading(F.col("root_path"))).alias("folder")).distinct().join(folders, "folder", "left_semi")
+    met = below.unionByName(above).distinct().withColumn("m", F.lit(True))
+    return folders.join(met, "folder", "left").select(*folders.columns, F.coalesce("m", F.lit(False)).alias("mapped"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from photonlake.operators.tables import upserted
+from photonlake.operators.tables import newest
 
 
 def arriving(spark: SparkSession, path: str, schema: str, files: int = 4096) -> DataFrame:
@@ -21,18 +21,37 @@ def pending(rows: DataFrame, index: DataFrame, key: str = "file_name", done: str
     return rows.join(index.filter(F.col(done).isNotNull()).select(key), key, "left_anti")
 
 
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the versions of a table that keep_up writes, in order; finished ones only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame:
+    """The newest version of a table that keep_up writes."""
+    found = versions(spark, table)
+    if not found:
+        raise ValueError(f"{table} has no version yet")
+    return spark.read.parquet(f"{table}/v={found[-1]}")
+
+
 def keep_up(rows: DataFrame, table: str, checkpoint: str, key: str, order: str, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Upsert each micro-batch into versions of a Parquet table: table/v=N is made from v=N-1 and the batch, and a batch that runs again writes the same
-    version again. Ends when nothing is left to read."""
+    """Keep the newest row of each key, by the order column, in versions of a Parquet table: table/v=N is made from the version before and micro-batch N. The order column stays in
+    the table, so a row that comes in a later file but is older loses. A batch that runs again writes the same version again; versions before the last two go.
+    Ends when nothing is left to read. Each batch rewrites the table, one row for each key, so batches should be large (see `arriving`)."""
 
     def step(batch: DataFrame, n: int) -> None:
         spark, new = batch.sparkSession, work(batch)
-        if n:
-            old = spark.read.parquet(f"{table}/v={n - 1}")
-            out = upserted(old, new, key, order)
-        else:
-            out = upserted(new.limit(0).drop(order), new, key, order)
-        out.write.mode("overwrite").parquet(f"{table}/v={n}")
+        before = [v for v in versions(spark, table) if v < n]
+        old = spark.read.parquet(f"{table}/v={before[-1]}") if before else new.limit(0)
+        newest(old, new, key, order).write.mode("overwrite").parquet(f"{table}/v={n}")
+        for v in before[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -65,8 +65,103 @@ def test_components_of_chains_and_stars(spark):
 def test_bridges_grow_from_the_root_by_the_best_edge(spark):
     edges = [("b", "a", 10, 0.9, 0.5), ("c", "a", 20, 0.9, 0.5), ("c", "b", 30, 0.9, 0.5), ("d", "b", 5, 0.9, 0.5)]
     df = spark.createDataFrame(edges, "file_name string, target string, inliers int, ratio double, score double")
-    out = [(r.file_name, r.target) for r in graph.bridges(df, graph.components(df.select("file_name", "target"))).collect()]
-    assert out == [("c", "a"), ("b", "c"), ("d", "b")]
+    out = {(r.file_name, r.target) for r in graph.bridges(df, graph.components(df.select("file_name", "target"))).collect()}
+    assert out == {("c", "a"), ("b", "c"), ("d", "b")}
+
+
+def grown(edges):
+    """Links of each group as they are taken one by one: the best edge between what is reached and what isn't."""
+    left = sorted(edges, key=lambda e: (-e[2], -e[3], -e[4], e[0], e[1]))
+    nodes, out = {n for e in edges for n in e[:2]}, set()
+    while nodes:
+        root = min(nodes)
+        reached = {root}
+        while border := [e for e in left if (e[0] in reached) != (e[1] in reached)]:
+            a, b = border[0][:2]
+            out.add((root, *((b, a) if a in reached else (a, b))))
+            reached |= {a, b}
+        nodes -= reached
+    return out
+
+
+def test_bridges_against_a_sequential_run(spark):
+    rng = random.Random(4)
+    edges = list({(a, b): (a, b, rng.randrange(4), rng.choice([0.5, 0.9]), 0.5) for a, b in ((f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(60)) if a != b}.values())
+    edges += [(f"p{k:02}", f"p{k + 1:02}", k % 3, 0.5, 0.5) for k in range(20)]
+    df = spark.createDataFrame(edges, "file_name string, target string, inliers int, ratio double, score double")
+    out = {(r.root, r.file_name, r.target) for r in graph.bridges(df, graph.components(df.select("file_name", "target"))).collect()}
+    assert out == grown(edges)
+    assert graph.bridges(df.limit(0), graph.components(df.select("file_name", "target"))).count() == 0
+
+
+def test_group_of_a_long_chain_and_of_nothing(spark):
+    chain = spark.createDataFrame([(f"p{k:02}", f"p{k + 1:02}") for k in range(30)] + [("x", "y")], "file_name string, target string")
+    assert sorted(r.node for r in graph.group_of(chain, "p29").collect()) == [f"p{k:02}" for k in range(31)]
+    assert [r.node for r in graph.group_of(chain, "alone").collect()] == ["alone"] and graph.group_of(chain, "x").count() == 2
+
+
+def test_greedy_groups_along_a_long_chain(spark):
+    # Each hash is one bit from the one before, and the order goes along the chain: every second file is a master, decided one after the other.
+    rows, h = [], 0
+    for k in range(40):
+        h ^= 0b111 << (3 * (k % 20))
+        rows.append((f"f{k:03}", h - (h >> 63 << 64), k, False))
+    df = spark.createDataFrame(rows, "file_name string, h long, place long, free boolean")
+    out = {r.file_name: r.is_master for r in hamming.leaders(df, 95.0).collect()}
+    want = brute_leaders([(n, h & (1 << 64) - 1, p, f) for n, h, p, f in rows], 3)
+    assert out == {n: x[0] for n, x in want.items()}
+
+
+def test_shortlist_of_eligible_files(spark):
+    rng = random.Random(6)
+    rows = [(f"f{k:03}", [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for k in range(60)] + [("short", [1.0]), ("none", None)]
+    df = spark.createDataFrame(rows, "file_name string, vector array<float>")
+    ok = spark.createDataFrame([(f"f{k:03}",) for k in range(0, 60, 3)] + [("unknown",)], "file_name string")
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return sum((x / (n[0] or 1)) * (y / (n[1] or 1)) for x, y in zip(a, b))
+
+    for eligible, names in ((None, {r[0] for r in rows}), (ok, {f"f{k:03}" for k in range(0, 60, 3)})):
+        got = {(r.file_name, r.n): (r.candidate, r.score) for r in search.shortlist(df, 5, eligible=eligible, rows=16).collect()}
+        for n, v in rows[:60]:
+            best = sorted((-round(cosine(v, w), 5), m) for m, w in rows[:60] if m != n and m in names)[:5]
+            assert [got[n, i + 1] for i in range(5)] == [(m, -s) for s, m in best], n
+        assert ("none", 1) not in got and ("short", 1) not in got
+
+
+def test_merge_takes_families_whole_and_needs_a_primary_source(spark):
+    schema = "file_name string, old_key string, main boolean, note string, sift_match_file string, sift_match_score double, sift_match_checked boolean, image_width int, image_height int"
+    rows = [
+        ("same", "a", False, "n", None, None, None, 1, 2), ("same", "b", False, "n", None, None, None, 1, 2),
+        ("filled", "a", False, None, None, None, None, None, None), ("filled", "b", False, "x", "m", None, None, 3, None), ("filled", "c", False, None, None, 0.5, True, None, None),
+        ("primary", "a", False, "x", "m", 0.1, True, 1, 1), ("primary", "b", True, None, None, 0.9, None, 2, 2),
+    ]
+    bad = [("torn", "a", False, "x", None, None, None, None, None), ("torn", "b", False, "y", None, None, None, None, None)]
+    twice = [("two", "a", True, "x", None, None, None, None, None), ("two", "b", True, "y", None, None, None, None, None), ("even", "a", True, "x", None, None, None, None, None), ("even", "b", True, "x", None, None, None, None, None), ("even", "c", False, "y", None, None, None, None, None)]
+    df = lambda r: spark.createDataFrame(r, schema)
+    out = {r.file_name: r for r in relocate.coalesced(df(rows), primary="main").collect()}
+    assert not out["same"].conflict and out["same"].merged == 2 and out["same"].note == "n"
+    f = out["filled"]
+    # The first donor of the family is b: its own nulls come along, so c's score is no match of m's.
+    assert (f.note, f.sift_match_file, f.sift_match_score, f.sift_match_checked, f.image_width, f.image_height) == ("x", "m", None, None, 3, None) and not f.conflict
+    p = out["primary"]
+    # The primary source's score stays with its own missing match; a value that only the other has fills a single column.
+    assert (p.note, p.sift_match_file, p.sift_match_score, p.image_width) == ("x", None, 0.9, 2) and p.conflict and p.resolved
+    with pytest.raises(Exception, match="primary source"):
+        relocate.coalesced(df(rows + bad), primary="main").collect()
+    out = {r.file_name: r.resolved for r in relocate.coalesced(df(rows + bad + twice), primary="main", strict=False).collect()}
+    assert {n for n, ok in out.items() if not ok} == {"torn", "two"}
+
+
+def test_layouts_and_snapshots(spark):
+    old = tables.tables_sorted(spark.createDataFrame([("t", 0, "k", "string"), ("t", 1, "v", "int"), ("u", 0, "k", "int"), ("w", 0, "k", "int")], "name string, place int, column string, type string"))
+    new = tables.tables_sorted(spark.createDataFrame([("t", 0, "v", "int"), ("t", 1, "k", "string"), ("u", 0, "k", "long"), ("x", 0, "k", "int")], "name string, place int, column string, type string"))
+    assert {tuple(r) for r in tables.index_faults(old, new).collect()} == {("t", "columns"), ("u", "types"), ("w", "missing"), ("x", "unexpected")}
+    assert tables.index_faults(old, old).count() == 0
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "y"), (4, "w")], "k int, v string")
+    assert {tuple(r) for r in relocate.changes(a, b, "k", ["v"]).collect()} == {(2, "changed"), (3, "removed"), (4, "added")} and relocate.changes(a, a, "k", ["v"]).count() == 0
 
 
 def test_elected_master(spark):

@@ -40,6 +40,13 @@ def test_exif_of_a_jpeg(spark):
     sub = struct.pack(">H", 1) + struct.pack(">HHII", 0x9003, 2, 20, 26 + 18) + b"\0" * 4
     tiff = b"MM\0*" + struct.pack(">I", 8) + struct.pack(">H", 1) + struct.pack(">HHII", 0x8769, 4, 1, 26) + b"\0" * 4 + sub + b"2016:07:14 12:34:56\0"
     assert layout.exif_dates(b"\xff\xd8\xff\xe1\0\0Exif\0\0" + tiff) == {0x9003: "2016:07:14 12:34:56"}
+    head = struct.pack(">H", 8 + len(tiff))
+    far = b"\xff\xd8" + (b"\xff\xe2" + struct.pack(">H", 0xFFFF) + b"x" * 0xFFFD) * 3
+    assert layout.exif_dates(far + b"\xff\xe1" + head + b"Exif\0\0" + tiff + b"\xff\xda") == {0x9003: "2016:07:14 12:34:56"}
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc_"
+    assert layout.exif_dates(b"\x89PNG\r\n\x1a\n" + chunk(b"IDAT", b"x" * 100_000) + chunk(b"eXIf", tiff)) == {0x9003: "2016:07:14 12:34:56"}
+    webp = b"VP8 " + struct.pack("<I", 70_001) + b"x" * 70_002 + b"EXIF" + struct.pack("<I", len(tiff)) + tiff
+    assert layout.exif_dates(b"RIFF" + struct.pack("<I", len(webp) + 4) + b"WEBP" + webp) == {0x9003: "2016:07:14 12:34:56"}
     assert layout.exif_dates(b"nothing") == {} and layout.exif_dates(b"II*\0\xff\xff\xff\x7f") == {}
 
 
@@ -56,9 +63,18 @@ def test_stream_upserts(spark, tmp_path):
     stream = index_stream.arriving(spark, str(tmp_path / "in"), "file_name string, v int, seq int", 1)
     q = index_stream.keep_up(stream, str(tmp_path / "t"), str(tmp_path / "c"), "file_name", "seq")
     q.awaitTermination()
-    last = sorted((tmp_path / "t").iterdir(), key=lambda p: int(p.name[2:]))[-1]
-    out = {r.file_name: r.v for r in spark.read.parquet(str(last)).collect()}
-    assert set(out) == {"a", "n0", "n1", "n2"}
+    out = {r.file_name: r.v for r in index_stream.latest(spark, str(tmp_path / "t")).collect()}
+    assert out == {"a": 2, "n0": 0, "n1": 1, "n2": 2} and len(index_stream.versions(spark, str(tmp_path / "t"))) == 2
+
+
+def test_stream_keeps_the_newer_row_whatever_file_it_comes_in(spark, tmp_path):
+    files = [[("a", 100, 9), ("b", 1, 1)], [("a", 1, 2), ("b", 2, 5)], [("b", 3, 5), ("c", 7, None)], [("c", 8, None), ("c", 9, 0), ("a", 5, 8)]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "file_name string, v int, seq int").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema("file_name string, v int, seq int").parquet(str(tmp_path / "in/*"))
+        index_stream.keep_up(stream, str(tmp_path / "t"), str(tmp_path / "c"), "file_name", "seq").awaitTermination()
+    # a: the first file's row is the newest; b: of equal orders the later file's; c: a null order is lowest.
+    assert {r.file_name: r.v for r in index_stream.latest(spark, str(tmp_path / "t")).collect()} == {"a": 100, "b": 3, "c": 9}
 
 
 def test_all_candidate_roots_are_tried(spark):
