@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,3 +49,37 @@ def seconds(ts: Column) -> Column:
 def midpoint(start: Column, end: Column) -> Column:
     """Middle of a scene; its start if it has no length."""
     return F.when(end <= start, start).otherwise((start + end) / 2)
+
+
+def best_score(v: Column, queries: list[list[float]], stored: str = "plain") -> Column:
+    """The highest inner product of v with any of a few query vectors of one size; null for a null vector, one of another size or one with a null element. stored: "plain", "unit" (v is
+    taken at length 1) or "cosine" (the queries too, and 0 if either is zero). A batch of rows is one matrix product."""
+    asked = np.array(queries, dtype=np.float64).T
+    if stored == "cosine":
+        lengths = np.linalg.norm(asked, axis=0)
+        asked = np.divide(asked, lengths, out=np.zeros_like(asked), where=lengths > 0)
+
+    @F.arrow_udf("double")
+    def scored(column: pa.Array) -> pa.Array:
+        lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        fits = np.flatnonzero(sizes == len(asked))
+        flat = lists.flatten()
+        values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        rows = values.reshape(-1, len(asked)) if len(fits) == len(sizes) else values[starts[fits][:, None] + np.arange(len(asked))]
+        whole = np.ones(len(fits), dtype=bool)
+        if flat.null_count:
+            holes = flat.is_null().to_numpy(zero_copy_only=False)
+            whole = ~holes[starts[fits][:, None] + np.arange(len(asked))].any(axis=1)
+        best = (rows @ asked).max(axis=1) if len(fits) else np.zeros(0)
+        if stored != "plain" and len(fits):
+            lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+            best = np.divide(best, lengths, out=np.zeros_like(best), where=lengths > 0)
+        out = np.zeros(len(sizes))
+        out[fits] = np.where(whole, best, 0.0)
+        valid = np.zeros(len(sizes), dtype=bool)
+        valid[fits] = whole
+        return pa.array(out, mask=~valid)
+
+    return scored(v)

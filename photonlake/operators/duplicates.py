@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.functions import dates
+from photonlake.operators.search import numbered
 
 
 def copies(index: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def expanded(selected: DataFrame, roots: DataFrame) -> DataFrame:
     more = own.join(roots.select(F.col("node").alias("member"), "root"), "root").select(F.col("member").alias("file_name"), "place", F.lit(1).alias("k"))
     rows = selected.select("file_name", "place", F.lit(0).alias("k")).unionByName(more)
     first = rows.groupBy("file_name").agg(F.min(F.struct("place", "k")).alias("at"))
-    return first.select("file_name", F.row_number().over(Window.orderBy("at", "file_name")).alias("place"))
+    return numbered(first, [F.col("at"), F.col("file_name")], "place").select("file_name", F.col("place").cast("int").alias("place"))
 
 
 def compared(paths: DataFrame, most: int = 6) -> DataFrame:

@@ -6,10 +6,11 @@ first, so that copies meet once. For distances whose bands are too narrow to tel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.functions import hashes
+from photonlake.operators.search import numbered
 from photonlake.plans.storage import kept
 
 
@@ -129,12 +130,10 @@ def repaired(items: DataFrame, links: DataFrame, percent: float) -> DataFrame:
 
 
 def image_order(images: DataFrame) -> DataFrame:
-    """place of each image: larger longest side, larger area, larger file, no thumbnail, name. Missing numbers count as 0. The order is global: its rows are
-    the keys only, and they are ranked in one sorted pass."""
+    """place of each image: larger longest side, larger area, larger file, no thumbnail, name. Missing numbers count as 0."""
     side = F.greatest(F.coalesce("image_width", F.lit(0)), F.coalesce("image_height", F.lit(0)))
     area = F.coalesce("image_width", F.lit(0)).cast("long") * F.coalesce("image_height", F.lit(0))
-    order = Window.orderBy(side.desc(), area.desc(), F.coalesce("source_size", F.lit(0)).desc(), "is_thumb", "file_name")
-    return images.withColumn("place", F.row_number().over(order).cast("long"))
+    return numbered(images, [side.desc(), area.desc(), F.coalesce("source_size", F.lit(0)).desc(), F.col("is_thumb"), F.col("file_name")], "place")
 
 
 def file_similarity(active: Column, other: Column, active_frames: Column, other_frames: Column, active_video: Column, other_video: Column) -> Column:

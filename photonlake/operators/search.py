@@ -2,7 +2,7 @@
 
 Results have file_name, is_video, timestamp_sec, score and rank. The best frame of a file has the highest score and then the smallest
 time; ranks follow the score downwards and then the file name. Queries are few and come from the caller, so they are literals of
-the plan; the frames are scanned once and only one row per file is shuffled.
+the plan; the frames are scanned once, a batch of them is scored by one matrix product, and only one row per file is shuffled.
 """
 
 from __future__ import annotations
@@ -23,11 +23,26 @@ def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place, from 1, in a total order. Ranges of the order are sorted by themselves; how many rows the ranges before hold is added to a row's place in its own. So
+    no task gets all rows. The ranged rows are written, as a range would be cut anew when it is computed again."""
+    ranged = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    own = F.shiftright("__at", 33)
+    # A row for each range: as many as the session has shuffle partitions.
+    sizes = ranged.groupBy(own.alias("__range")).agg(F.count(F.lit(1)).alias("__n")).collect()
+    before, starts = 0, []
+    for r in sorted(sizes, key=lambda r: r["__range"]):
+        starts.append((r["__range"], before))
+        before += r["__n"]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "__range long, __before long"))
+    placed = ranged.withColumn("__range", own).join(offsets, "__range")
+    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).select(*rows.columns, name)
+
+
 def ranked(rows: DataFrame, order: str = "best", date: str = "date_sec") -> DataFrame:
-    """rank 1..n: by score and name, or by date with undated rows last, then name. The ranking of a whole result is one ordered sequence: its
-    last step runs in one task over rows of one per file that passed the threshold."""
+    """rank 1..n: by score and name, or by date with undated rows last, then name. Names are unique."""
     by = {"best": F.col("score").desc(), "newest": F.col(date).desc_nulls_last() if order == "newest" else None, "oldest": F.col(date).asc_nulls_last() if order == "oldest" else None}[order]
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(by, F.col("file_name").asc())))
+    return numbered(rows, [by, F.col("file_name").asc()], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def best_per_file(scored: DataFrame, min_score: float = 0.0) -> DataFrame:
@@ -50,9 +65,9 @@ def _checked(frames: DataFrame, dim: int, column: str) -> DataFrame:
 def search(frames: DataFrame, query: list[float], min_score: float = 0.0, video_only: bool = False, folder: str = "", metric: str = "dot", digits: int = 5, source: str | None = None) -> DataFrame:
     """Files whose best frame's vector scores at least min_score against the query. metric: dot (stored vectors are taken as they are) or cosine.
     Frames of other dimensions are left out; scores are rounded to `digits` so that ties are ties on any machine."""
-    measure = {"dot": vectors.dot, "cosine": vectors.cosine}[metric]
+    stored = {"dot": "plain", "cosine": "cosine"}[metric]
     rows = _checked(scoped(frames, video_only, folder, source), len(query), "vector")
-    scored = rows.withColumn("score", F.round(measure(F.col("vector"), literal(query)), digits))
+    scored = rows.withColumn("score", F.round(vectors.best_score(F.col("vector"), [query], stored), digits))
     return ranked(best_per_file(scored, min_score))
 
 
@@ -60,10 +75,9 @@ def search_any(frames: DataFrame, queries: list[list[float]], min_score: float =
     """Search by several vectors of one thing: a frame's score is its best over all of them. Without queries nothing is found."""
     if not queries:
         return ranked(frames.select("file_name", "is_video", "timestamp_sec", F.lit(0.0).alias("score")).limit(0))
-    measure = {"dot": vectors.dot, "cosine": vectors.cosine}[metric]
+    stored = {"dot": "unit", "cosine": "cosine"}[metric]
     rows = _checked(frames, len(queries[0]), "vector")
-    unit = vectors.unit(F.col("vector")) if metric == "dot" else F.col("vector")
-    scored = rows.withColumn("score", F.round(F.array_max(F.transform(F.array(*map(literal, queries)), lambda q: measure(unit, q))), digits))
+    scored = rows.withColumn("score", F.round(vectors.best_score(F.col("vector"), queries, stored), digits))
     return ranked(best_per_file(scored, min_score))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from photonlake.functions import groups, hashes, vectors
-from photonlake.operators import duplicates, graph, hamming, relocate, report, stages, tables
+from photonlake.operators import duplicates, graph, hamming, relocate, report, search, stages, tables
 from photonlake.plans.registry import EDGES, FILES, FRAMES, WITH, query, table
 
 PCT = "round_even((64 - {0}) * 100.0::DOUBLE / 64, 3)"
@@ -125,10 +125,7 @@ def agg3_image_groups(spark, d):
 @query(_greedy("is_video", "file_name", 12))
 def agg4_video_groups(spark, d):
     """Greedy grouping of videos in the order of their names."""
-    from pyspark.sql import Window
-
-    rows = _videos(spark, d).withColumn("place", F.row_number().over(Window.orderBy("file_name")).cast("long"))
-    return hamming.leaders(rows, 80.0)
+    return hamming.leaders(search.numbered(_videos(spark, d), [F.col("file_name")], "place"), 80.0)
 
 
 @query(f"""{_greedy("NOT is_video", ORDER, 3).replace("    SELECT i.file_name, h.place", ", made AS (SELECT i.file_name, h.place").replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}),

@@ -48,19 +48,21 @@ def scl5_rounded(spark, d):
     return _two(spark, d).select("doc_id", hashes.rounded(hashes.similarity(F.col("d"))).alias("pct"))
 
 
-@query("SELECT doc_id, CASE WHEN levenshtein(substr(text, 1, 12), substr(text, 2, 12)) <= 9 THEN levenshtein(substr(text, 1, 12), substr(text, 2, 12)) END AS d FROM documents")
+@query("SELECT doc_id, CASE WHEN levenshtein(source || lang || url, lang || source || url) <= 9 THEN levenshtein(source || lang || url, lang || source || url) END AS d FROM (SELECT doc_id, source, lang, concat(doc_id, '/', n_chars) AS url FROM documents)")
 def scl6_edit_distance(spark, d):
-    """Edit distance over bytes."""
-    return _docs(spark, d).select("doc_id", paths.bytes_apart(F.substring("text", 1, 12), F.substring("text", 2, 12), 9).cast("long").alias("d"))
+    """Edit distance over bytes of names, whole."""
+    tail = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("n_chars").cast("string"))
+    return _docs(spark, d).select("doc_id", paths.bytes_apart(F.concat("source", "lang", tail), F.concat("lang", "source", tail), 9).cast("long").alias("d"))
 
 
 _FUZZY = "contains(b, a) OR contains(a, b) OR (strlen(a) >= 12 AND levenshtein(a, b) <= 2) OR (strlen(a) >= 5 AND levenshtein(a, b) <= 1)"
 
 
-@query(f"SELECT doc_id, {_FUZZY} AS fits FROM (SELECT doc_id, substr(text, 1, 6 + doc_id % 10) AS a, replace(substr(text, 1, 6 + doc_id % 10), 'e', 'x') AS b FROM documents)")
+@query(f"SELECT doc_id, {_FUZZY} AS fits FROM (SELECT page_id AS doc_id, url AS a, replace(substr(url, 1 + page_id % 3), 'e', 'x') AS b FROM pages)")
 def scl7_fuzzy_component(spark, d):
-    a = F.substr("text", F.lit(1), 6 + (F.col("doc_id") % 10).cast("int"))
-    return _docs(spark, d).select("doc_id", paths.component_matches(a, F.replace(a, F.lit("e"), F.lit("x"))).alias("fits"))
+    """Whole URLs against their ends with letters changed."""
+    rest = F.replace(F.substr("url", 1 + (F.col("page_id") % 3).cast("int")), F.lit("e"), F.lit("x"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), paths.component_matches(F.col("url"), rest).alias("fits"))
 
 
 @query(f"{WITH} SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM paths")
@@ -105,9 +107,9 @@ def scl14_uri(spark, d):
     return _docs(spark, d).select("doc_id", paths.decoded_uri(F.concat(F.lit("/a%20b+c/"), "doc_id")).alias("path"))
 
 
-@query("SELECT doc_id, CASE WHEN length(m) <= 500 THEN m ELSE concat(substr(m, 1, 497), '...') END AS message FROM (SELECT doc_id, concat(trim(substr(text, 1, 300), ' '), ' <- caused by: ', source) AS m FROM documents)".replace("substr(text, 1, 300)", "substr(text, 1, 520)"))
+@query("SELECT doc_id, CASE WHEN length(m) <= 500 THEN m ELSE concat(substr(m, 1, 497), '...') END AS message FROM (SELECT doc_id, concat(trim(text, ' '), ' <- caused by: ', source) AS m FROM documents)")
 def scl15_compact(spark, d):
-    return _docs(spark, d).select("doc_id", labels.compact(F.array(F.substring("text", 1, 520), F.col("source"))).alias("message"))
+    return _docs(spark, d).select("doc_id", labels.compact(F.array("text", F.col("source"))).alias("message"))
 
 
 @query(f"{WITH} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new/x.jpg' WHEN doc_id % 3 = 1 THEN 'new/x.jpg|1.000' ELSE 'opaque' END AS id FROM files")
@@ -254,9 +256,14 @@ def scl44_system_block(spark, d):
     return _docs(spark, d).select("doc_id", labels.system_block(text).alias("block"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, hex(encode(text)) AS h, least(strlen(text), 1024) AS n, strlen(text) AS whole FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, h, n, unnest(range(0, n, 16)) AS ofs FROM t),
+b AS (SELECT doc_id, ofs, i, substr(h, 2 * i + 1, 2) AS x, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS v FROM (SELECT doc_id, h, ofs, unnest(range(ofs, least(ofs + 16, n))) AS i FROM l)),
+r AS (SELECT doc_id, ofs, count(*) AS k, concat(string_agg(x, ' ' ORDER BY i) FILTER (WHERE i < ofs + 8), CASE WHEN count(*) >= 8 THEN '  ' ELSE '' END, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE i >= ofs + 8), '')) AS digits,
+  string_agg(CASE WHEN v BETWEEN 32 AND 126 THEN chr(v) ELSE '.' END, '' ORDER BY i) AS letters FROM b GROUP BY doc_id, ofs),
+o AS (SELECT doc_id, ofs, concat('0x', printf('%04X', ofs), ':   ', rpad(concat(rtrim(digits), CASE WHEN k = 8 THEN '  ' ELSE ' ' END), 50, ' '), ' |', letters, '|', chr(10)) AS line FROM r)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN concat(coalesce(g.dump, ''), CASE WHEN strlen(d.text) > 1024 THEN '... (truncated) ...' || chr(10) ELSE '' END) END AS dump FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, '' ORDER BY ofs) AS dump FROM o GROUP BY doc_id) g ON g.doc_id = d.doc_id""")
 def scl45_hex_dump(spark, d):
-    """Hex dump of each text's bytes; no SQL, held against a literal in the tests."""
+    """Hex dump of each text's bytes, cut after 1,024 of them with a note (that is the feature)."""
     from photonlake.sources.layout import hex_dumps
 
     return _docs(spark, d).select("doc_id", hex_dumps(F.col("text").cast("binary")).alias("dump"))
@@ -347,10 +354,23 @@ def agg18_majority(spark, d):
     return rows.select("grp", *[F.shiftrightunsigned("m", n).bitwiseAND(F.lit(1).cast("long")).cast("int").alias(f"b{n}") for n in (0, 7, 31, 62, 63)])
 
 
-@query("SELECT CAST(1 AS INT) AS part, count(*) AS n FROM documents")
+# The cosine transform written out: a low frequency's value is a sum over the image of grey value times two cosines.
+_GREY = "((doc_id * 31 + y * 17 + x * 7 + (x * y * (doc_id % 5 + 1)) % 64) % 256)"
+_LOW = "CASE WHEN {0} = 0 THEN sqrt(1.0 / 32) ELSE sqrt(2.0 / 32) * cos(pi() * (2 * {1} + 1) * {0} / 64) END"
+
+
+@query(f"""WITH img AS (SELECT DISTINCT doc_id % 500 AS doc_id FROM documents), px AS (SELECT doc_id, y, x, {_GREY} AS g FROM img, (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x)),
+basis AS (SELECT k, p, {_LOW.format('k', 'p')} AS c FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(32)) AS p)),
+across AS (SELECT doc_id, y, b.k AS v, sum(g * b.c) AS s FROM px JOIN basis b ON b.p = x GROUP BY ALL), low AS (SELECT doc_id, b.k AS u, v, sum(s * b.c) AS s FROM across JOIN basis b ON b.p = y GROUP BY ALL),
+mid AS (SELECT doc_id, median(s) AS m FROM low WHERE u + v > 0 GROUP BY doc_id)
+SELECT d.doc_id, bits FROM documents d JOIN (SELECT l.doc_id, list(u * 8 + v ORDER BY u, v) FILTER (WHERE s > m) AS bits FROM low l JOIN mid USING (doc_id) GROUP BY l.doc_id) h ON h.doc_id = d.doc_id % 500""")
 def scl29_phash(spark, d):
-    """Perceptual hash of grey 32 x 32 images (the texts' first bytes stand in): every text has one."""
+    """Perceptual hash of grey 32 x 32 images: which of its 64 bits are set, for every row."""
     from photonlake.functions.images import phash
 
-    img = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.ascii(F.substr("text", (i + 1).cast("int"), F.lit(1))))
-    return _docs(spark, d).select(phash(img).alias("h")).filter("h IS NOT NULL").agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("part"), "n")
+    number = F.col("doc_id") % 500
+    grey = lambda i: (number * 31 + F.floor(i / 32) * 17 + (i % 32) * 7 + ((i % 32) * F.floor(i / 32) * (number % 5 + 1)) % 64) % 256
+    img = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(1023).cast("long")), grey)
+    places = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i.cast("long"))
+    bit = lambda h, i: F.substr(F.lpad(F.bin(h), 64, "0"), i.cast("int") + 1, F.lit(1)) == "1"
+    return _docs(spark, d).select("doc_id", phash(img).alias("h")).select("doc_id", F.filter(places, lambda i: bit(F.col("h"), i)).alias("bits"))

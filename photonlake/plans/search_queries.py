@@ -12,10 +12,14 @@ DOT = "round(list_sum(list_transform(list_zip(f.vector, q.vector), lambda p: CAS
 NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
 
+def _vectors(spark, d: str, *vec_ids: int) -> list[list[float]]:
+    """The vectors of some rows: queries given by the user."""
+    rows = table(spark, d, "embeddings").filter(F.col("vec_id").isin(*vec_ids)).select("vec_id", "embedding").collect()
+    return [[float(x) for x in r.embedding] for r in sorted(rows, key=lambda r: r.vec_id)]
+
+
 def _vector(spark, d: str, vec_id: int) -> list[float]:
-    """The vector of one row: a query given by the user."""
-    row = table(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
-    return [float(x) for x in row.embedding]
+    return _vectors(spark, d, vec_id)[0]
 
 
 def _search(score: str, where: str, least: float, ids: str = "0") -> str:
@@ -62,12 +66,12 @@ def flt3_folder_path(spark, d):
 @query(_search(DOT.replace("CAST(p[1] AS DOUBLE)", f"CAST(p[1] AS DOUBLE) / {NORM.format('f.vector')}"), "TRUE", 0.3, "0, 1, 2"))
 def sim3_face_multi(spark, d):
     """Search by several vectors of one face."""
-    return search.search_any(FRAMES.df(spark, d), [_vector(spark, d, i) for i in range(3)])
+    return search.search_any(FRAMES.df(spark, d), _vectors(spark, d, 0, 1, 2))
 
 
 @query(_search(COSINE, "TRUE", 0.3, "3, 4, 5"))
 def sim4_face_cosine(spark, d):
-    return search.search_any(FRAMES.df(spark, d), [_vector(spark, d, i) for i in range(3, 6)], metric="cosine")
+    return search.search_any(FRAMES.df(spark, d), _vectors(spark, d, 3, 4, 5), metric="cosine")
 
 
 @query(f"""WITH base AS ({_search(DOT, "f.file_name <> 'c1/d0/f5.jpg'", 0.1, "16")})
@@ -178,7 +182,7 @@ def scl20_ocr_phrase(spark, d):
 top AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, file_name) AS n FROM k) SELECT file_name, is_video, score, CAST(row_number() OVER (ORDER BY score DESC, file_name) AS INT) AS rank FROM top WHERE n = 1""")
 def agg10_collapse(spark, d):
     """The best result of each group of images; videos stand alone."""
-    rows = FRAMES.df(spark, d).filter("timestamp_sec = 0").withColumn("score", F.round(vectors.dot(F.col("vector"), search.literal(_vector(spark, d, 0))), 5)).select("file_name", "is_video", "score")
+    rows = FRAMES.df(spark, d).filter("timestamp_sec = 0").withColumn("score", F.round(vectors.best_score(F.col("vector"), [_vector(spark, d, 0)]), 5)).select("file_name", "is_video", "score")
     roots = rows.select("file_name", F.split_part("file_name", F.lit("/"), F.lit(2)).alias("root"))
     return search.collapsed(rows, roots)
 
@@ -207,12 +211,10 @@ def sort2_oldest(spark, d):
     return search.ranked(_dated(spark, d), "oldest")
 
 
-@query(f"{WITH} SELECT path, CAST(row_number() OVER (ORDER BY path DESC) AS INT) AS place FROM paths")
+@query(f"{WITH} SELECT path, CAST(row_number() OVER (ORDER BY path DESC) AS BIGINT) AS place FROM paths")
 def sort3_paths(spark, d):
     """Paths as a finished scan lists them."""
-    from pyspark.sql import Window
-
-    return PATHS.df(spark, d).select("path", F.row_number().over(Window.orderBy(F.col("path").desc())).alias("place"))
+    return search.numbered(PATHS.df(spark, d).select("path"), [F.col("path").desc()], "place")
 
 
 @query(f"{WITH}, r AS (SELECT file_name, row_number() OVER (PARTITION BY split_part(file_name, '/', 1) ORDER BY file_name) AS n FROM files) SELECT file_name FROM r WHERE n = 1")
@@ -338,14 +340,17 @@ def join9_source_path(spark, d):
     return roots.resolved(FILES.df(spark, d).select("file_name"), raw)
 
 
-@query(f"{WITH} SELECT path, CASE WHEN path LIKE '/b/%' THEN file_name WHEN path LIKE '/lost/%' THEN file_name ELSE NULL END AS file_name FROM (SELECT file_name, CASE doc_id % 3 WHEN 0 THEN concat('/b/', substr(file_name, instr(file_name, '/') + 1)) WHEN 1 THEN concat('/lost/f', doc_id, '.jpg') ELSE concat('/there/f', doc_id, '.jpg') END AS path FROM files WHERE source = 'src2')".replace("WHERE source = 'src2'", "WHERE file_name LIKE 'src2/%' AND NOT is_video"))
+_ASKED = "CASE doc_id % 3 WHEN 0 THEN concat('/b/', file_name) WHEN 1 THEN concat('/lost/', split_part(file_name, '/', 3)) ELSE concat('/there/', split_part(file_name, '/', 3)) END"
+
+
+@query(f"{WITH} SELECT path, CASE WHEN path LIKE '/there/%' THEN NULL ELSE file_name END AS file_name FROM (SELECT file_name, {_ASKED} AS path FROM files)")
 def join10_db_name(spark, d):
-    """The index's name of a path."""
+    """The index's name of a path: by its collection's root, or for a path that doesn't exist by its name, if just one file has that."""
     from photonlake.sources import roots
 
-    files = FILES.df(spark, d).filter("file_name LIKE 'src2/%' AND NOT is_video")
-    asked = files.selectExpr("CASE doc_id % 3 WHEN 0 THEN concat('/b/', substr(file_name, instr(file_name, '/') + 1)) WHEN 1 THEN concat('/lost/f', doc_id, '.jpg') ELSE concat('/there/f', doc_id, '.jpg') END AS path", "doc_id % 3 <> 1 AS path_exists")
-    there = spark.createDataFrame([("src2", "/b"), ("src3", "/c")], "collection_id string, root_path string")
+    files = FILES.df(spark, d)
+    asked = files.selectExpr(f"{_ASKED} AS path", "doc_id % 3 <> 1 AS path_exists")
+    there = files.select(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("collection_id")).distinct().select("collection_id", F.concat(F.lit("/b/"), "collection_id").alias("root_path"))
     return roots.db_names(asked, there, files).select("path", "file_name")
 
 

@@ -133,18 +133,24 @@ def snk11_patched(spark, d):
     return spark.read.parquet(where)
 
 
-@query(f"{WITH}, g AS (SELECT DISTINCT file_name FROM frames WHERE file_name LIKE 'c1/%'), m AS (SELECT file_name FROM g UNION SELECT replace(replace(file_name, 'c1/', 'c2/'), '.jpg', '.jpg') FROM g) SELECT f.vec_id FROM frames f JOIN g ON f.file_name = g.file_name WHERE NOT f.is_video")
+@query(f"""{WITH}, n AS (SELECT DISTINCT file_name, is_video FROM frames), g AS (SELECT file_name FROM n WHERE file_name LIKE 'c1/d0/%'),
+s AS (SELECT a.file_name AS master, b.file_name, b.is_video FROM n a JOIN n b ON split_part(a.file_name, '/', 2) = split_part(b.file_name, '/', 2) AND length(a.file_name) = length(b.file_name) AND a.file_name <> b.file_name AND right(replace(a.file_name, '.jpg', ''), 1) = right(replace(b.file_name, '.jpg', ''), 1)),
+m AS (SELECT file_name FROM g UNION SELECT s.file_name FROM s JOIN g ON s.master = g.file_name WHERE NOT s.is_video) SELECT f.vec_id FROM frames f JOIN m ON f.file_name = m.file_name WHERE NOT f.is_video""")
 def sim6_seed_vectors(spark, d):
-    """Vectors of a person: of the seed file, its group and their similar images."""
+    """Vectors of a person: of the seed file, its group and their similar images (here: files of one folder whose names are as long and end alike)."""
     rows = FRAMES.df(spark, d)
-    names = rows.select("file_name").distinct()
-    group = names.filter("file_name LIKE 'c1/%'").select(F.col("file_name").alias("node"), F.lit("g").alias("root"))
-    similar = rows.limit(0).select(F.col("file_name").alias("master"), "file_name", "is_video")
+    names = rows.select("file_name", "is_video").distinct()
+    group = names.filter("file_name LIKE 'c1/d0/%'").select(F.col("file_name").alias("node"), F.lit("g").alias("root"))
+    keys = names.selectExpr("file_name", "is_video", "split_part(file_name, '/', 2) AS folder", "length(file_name) AS n", "right(replace(file_name, '.jpg', ''), 1) AS tail")
+    similar = keys.selectExpr("file_name AS master", "folder", "n", "tail").join(keys, ["folder", "n", "tail"]).filter("master <> file_name").select("master", "file_name", "is_video")
     return search.seed_frames(rows, "c1/d0/f5.jpg", group, similar).select("vec_id")
 
 
-@query(f"{WITH} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS score, doc_id % 2 = 0 AS ok FROM files")
+_COUNTS = "doc_id, CAST(doc_id % 90 AS INT) AS keypoints_a, CAST(n_chars % 70 AS INT) AS keypoints_b, CAST(doc_id % 50 AS INT) AS good, CAST(least(doc_id % 50, n_chars % 45) AS INT) AS inliers"
+
+
+@query(f"""SELECT doc_id, CASE WHEN good > 0 THEN CAST(inliers AS DOUBLE) / good ELSE 0.0 END AS ratio, CASE WHEN least(keypoints_a, keypoints_b) > 0 THEN CAST(inliers AS DOUBLE) / least(keypoints_a, keypoints_b) ELSE 0.0 END AS score,
+inliers >= 10 AND good > 0 AND CAST(inliers AS DOUBLE) / good >= 0.75 AS ok FROM (SELECT {_COUNTS} FROM documents)""")
 def sim14_pair_metrics(spark, d):
-    """Figures of a pair of images out of counts of keypoints, good matches and inliers that a matcher gave."""
-    rows = FILES.df(spark, d).selectExpr("doc_id", "40 AS keypoints_a", "60 AS keypoints_b", "50 AS good", "IF(doc_id % 2 = 0, 40, 10) AS inliers")
-    return search.pair_metrics(rows).select("doc_id", "score", "ok")
+    """Figures of pairs of images out of counts of keypoints, good matches and inliers that a matcher gave; counts may be 0."""
+    return search.pair_metrics(table(spark, d, "documents").selectExpr(*_COUNTS.split(", CAST")[:1], *["CAST" + x for x in _COUNTS.split(", CAST")[1:]])).select("doc_id", "ratio", "score", "ok")
