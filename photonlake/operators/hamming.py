@@ -1,11 +1,14 @@
 """Joins and clusters of hashes by Hamming distance.
 
-Hashes within a small distance agree on one of distance + 1 bands of bits, so bands are equi-join keys; equal hashes are grouped
-first, so that copies meet once. For distances whose bands are too narrow to tell hashes apart, the bands stay exact but select less.
+Hashes within a small distance agree on some combination of bit blocks, so these are equi-join keys; equal hashes are grouped
+first, so that copies meet once. The combinations grow with the number of hashes. At large distances they stay exact but select less.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,27 +17,37 @@ from photonlake.operators.search import numbered
 from photonlake.plans.storage import kept
 
 
-def bands(h: Column, most: int) -> Column:
-    """Structs (band, value), one for each of most + 1 bands of a hash."""
-    edges = [round(i * hashes.BITS / (most + 1)) for i in range(most + 2)]
+def block_masks(n: int, most: int) -> list[int]:
+    """Masks of bits such that two hashes within the distance are equal on all bits of at least one: with most + k blocks of bits, k of them must be untouched.
+    k is such that n hashes cost least: a row for each mask, and what chance brings together."""
+    best: tuple[float, list[int]] | None = None
+    for k in range(1, 5):
+        m = most + k
+        tables = math.comb(m, k)
+        cost = tables * (4.0 * n + n * n / 2.0 ** (hashes.BITS * k / m))
+        if best and cost >= best[0]:
+            continue
+        edges = [round(i * hashes.BITS / m) for i in range(m + 1)]
+        blocks = [((1 << edges[i + 1] - edges[i]) - 1) << edges[i] for i in range(m)]
+        best = cost, [sum(c) for c in itertools.combinations(blocks, k)]
+    return best[1]
 
-    def mask(a: int, b: int) -> int:
-        m = ((1 << b - a) - 1) << a
-        return m - (m >> 63 << 64)
 
-    return F.array(*[F.struct(F.lit(i).alias("band"), h.bitwiseAND(F.lit(mask(a, b))).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+def signed(x: int) -> int:
+    return x - (x >> 63 << 64)
 
 
 def hash_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """Distinct pairs (a, b, d) of a hash of left and one of right within the distance. Both have a column h. A pair that agrees on several bands is
-    made at the first of them only, so no step removes repeats."""
-    one = left.filter("h IS NOT NULL").select(F.col("h").alias("a")).distinct().select("a", F.explode(bands(F.col("a"), most)).alias("k")).select("a", "k.band", "k.value")
-    two = right.filter("h IS NOT NULL").select(F.col("h").alias("b")).distinct().select("b", F.explode(bands(F.col("b"), most)).alias("k")).select("b", "k.band", "k.value")
-    met = one.join(two, ["band", "value"])
-    d = hashes.distance(F.col("a"), F.col("b"))
-    same = F.arrays_zip(bands(F.col("a"), most).alias("x"), bands(F.col("b"), most).alias("y"))
-    first = F.array_position(F.transform(same, lambda z: z["x"] == z["y"]), True) - 1
-    return met.withColumn("d", d).filter(F.col("d") <= most).filter(first == F.col("band")).select("a", "b", "d")
+    """Distinct pairs (a, b, d) of a hash of left and one of right within the distance. Both have a column h. A pair that agrees under several masks is
+    made under the first of them only, so no step removes repeats."""
+    one = kept(left.filter("h IS NOT NULL").select(F.col("h").alias("a")).distinct(), "hashes")
+    two = kept(right.filter("h IS NOT NULL").select(F.col("h").alias("b")).distinct(), "hashes")
+    masks = F.array(*[F.lit(signed(m)) for m in block_masks(max(one.count(), two.count()), most)])
+    keyed = lambda rows, h: rows.select(h, F.posexplode(F.transform(masks, lambda m: F.col(h).bitwiseAND(m))).alias("mask", "value"))
+    met = keyed(one, "a").join(keyed(two, "b"), ["mask", "value"])
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    first = F.array_position(F.transform(masks, lambda m: apart.bitwiseAND(m) == 0), True) - 1
+    return met.withColumn("d", hashes.distance(F.col("a"), F.col("b"))).filter(F.col("d") <= most).filter(first == F.col("mask")).select("a", "b", "d")
 
 
 def all_matches(left: DataFrame, right: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from photonlake.functions import vectors
 from photonlake.operators import duplicates, graph, hamming, relocate, search, tables
 
 
@@ -62,6 +63,35 @@ def test_components_of_chains_and_stars(spark):
     assert graph.components(spark.createDataFrame([], "file_name string, target string")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "most"), [(10, 3), (10**7, 3), (10**10, 3), (100, 12), (10**6, 12)])
+def test_masks_leave_no_pair_out(n, most):
+    rng = random.Random(n)
+    masks = hamming.block_masks(n, most)
+    assert len(set(masks)) == len(masks)
+    for _ in range(300):
+        apart = sum(1 << b for b in rng.sample(range(64), rng.randint(0, most)))
+        assert any(apart & m == 0 for m in masks)
+
+
+def test_places_across_ranges(spark):
+    rng = random.Random(1)
+    rows = [(f"n{k:03}", rng.choice([None, 1, 2, 3])) for k in range(200)]
+    df = spark.createDataFrame(rows, "name string, v int").repartition(7)
+    got = {r.name: r.place for r in search.numbered(df, [F.col("v").desc_nulls_last(), F.col("name")], "place").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: k + 1 for k, r in enumerate(want)}
+    assert search.numbered(df.limit(0), [F.col("name")], "place").count() == 0
+
+
+def test_scores_of_batches(spark):
+    rows = [(0, [3.0, 4.0]), (1, None), (2, [1.0]), (3, [None, 1.0]), (4, [0.0, 0.0]), (5, [-1.0, 2.0])]
+    df = spark.createDataFrame(rows, "k int, v array<float>")
+    score = lambda *a: {r.k: r.s for r in df.select("k", vectors.best_score(F.col("v"), *a).alias("s")).collect()}
+    assert score([[1.0, 0.0], [0.0, 1.0]]) == {0: 4.0, 1: None, 2: None, 3: None, 4: 0.0, 5: 2.0}
+    unit, cosine = score([[2.0, 0.0]], "unit"), score([[2.0, 0.0], [0.0, 0.0]], "cosine")
+    assert abs(unit[0] - 1.2) < 1e-9 and abs(cosine[0] - 0.6) < 1e-9 and cosine[4] == 0 and cosine[5] == 0 and unit[1] is None
+
+
 def test_bridges_grow_from_the_root_by_the_best_edge(spark):
     edges = [("b", "a", 10, 0.9, 0.5), ("c", "a", 20, 0.9, 0.5), ("c", "b", 30, 0.9, 0.5), ("d", "b", 5, 0.9, 0.5)]
     df = spark.createDataFrame(edges, "file_name string, target string, inliers int, ratio double, score double")
