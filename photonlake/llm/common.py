@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +24,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit values: how many of their bytes are used, then all first bytes, all second ones and so on."""
+    """Unsigned 64-bit values: all first bytes, all second ones and so on, as many as are used, compressed: the uppermost and rarely used bytes take little room."""
     used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
     rows = values.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8)
-    return bytes([used]) + rows[:, :used].T.tobytes()
+    return bytes([used]) + zstandard.ZstdCompressor(level=1).compress(rows[:, :used].T.tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    rows = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(data[0], -1)
+    rows = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
     out = np.zeros((rows.shape[1], 8), dtype=np.uint8)
     out[:, : data[0]] = rows.T
     return out.view(np.uint64).ravel()
