@@ -70,7 +70,8 @@ def sibling_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def preference_digests(conversations: DataFrame) -> DataFrame:
-    """pair_id, n_prefix, the three texts' SHA-256 and the characters that each mask covers, for sibling_pairs of the whole table."""
+    """pair_id, n_prefix, the three texts' SHA-256 and the characters that each mask covers, for sibling_pairs of the whole table. Conversations without an assistant's turn give no
+    pair, nor do null ids; null texts are empty; repeated rows are repeated turns; an empty table gives no rows."""
     made = preference_pairs(sibling_pairs(conversations))
     covered = lambda m: F.aggregate(m, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")]

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.llm.common import ascii_lower_words, fresh, kept, map_rows, packed, text_bytes, unpacked
+from photonlake.operators.graph import components
 
 SEED = 42
 BITS = 64
@@ -207,35 +208,12 @@ def linked(rows: DataFrame, radius: int, chunk: int = CHUNK, sure: int | None =
     return found.distinct() if sure is not None else found.select("u", "v").distinct()
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
-    """Rows (node, root) for every node that has an edge; root is the smallest node of its component. Each round ties all
-    larger neighbours of a node to its smallest one, then all smaller ones; the number of rounds grows with the logarithm of
-    the nodes. Nodes of many edges are summed before the shuffle and joined by a shuffle that splits them."""
-    now = kept(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u > v"), "edges")
-    before = None
-    for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = kept(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        tied = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = kept(tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("k"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if state == before or state.n == 0:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    star = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
-
-
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """id, fp and component_id (the smallest id reachable over links) of every row. Null and empty texts have fingerprint 0
     and link like any other; a null id takes part and never names a component unless all its ids are null."""
     fps = kept(fingerprints(docs, id, text, words), "fps")
     classes = kept(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
-    grouped = components(links(classes, radius))
+    grouped = components(links(classes, radius), "u", "v")
     named = grouped.join(classes, grouped.node == classes.fp).select("root", "least").groupBy("root").agg(F.min("least").alias("component_id"))
     found = kept(grouped.join(named, "root").select(F.col("node").alias("fp"), "component_id"), "components")
     whole = kept(classes.join(found, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
@@ -396,7 +374,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     shingles = map_rows(texts, sets, "print binary, shingles binary", slices=200).groupBy("print").agg(F.first("shingles").alias("shingles"))
     edges = checked_links(held, shingles, similarity, chunk, limit)
 
-    grouped = kept(components(edges).select("node", F.col("root").alias("component_id")), "components")
+    grouped = kept(components(edges, "u", "v").select("node", F.col("root").alias("component_id")), "components")
     whole = kept(classes.select("print", "node").join(grouped, "node", "left").select("print", F.coalesce("component_id", "node").alias("component_id")), "classes")
     return prints.join(whole, "print").select("id", "component_id")
 
