@@ -89,12 +89,22 @@ def src19_exif(spark, d):
     return found.select(F.col("path").cast("long").alias("event_id"), dates.taken(F.col("original"), F.col("digitized"), F.col("changed")).alias("taken"))
 
 
-@query("""SELECT doc_id, part, name, "offset", length FROM documents, (SELECT unnest([0, 1, 2]) AS part, unnest(['PNG Signature', 'IHDR', 'IEND']) AS name, unnest([0, 8, 33])::BIGINT AS "offset", unnest([8, 25, 12])::BIGINT AS length)""")
+@query("""SELECT doc_id, part, name, "offset", length, description, CASE WHEN part = 1 THEN CAST(doc_id + 1 AS VARCHAR) END AS width, CASE WHEN part = 1 THEN 'RGB' END AS color FROM documents,
+(SELECT unnest([0, 1, 2]) AS part, unnest(['PNG Signature', 'IHDR', 'IEND']) AS name, unnest([0, 8, 33])::BIGINT AS "offset", unnest([8, 25, 12])::BIGINT AS length, unnest(['marks the file as PNG', 'size and pixel format', 'end of the image']) AS description)""")
 def src21_layout(spark, d):
-    """Parts of binary files."""
+    """Parts of binary files, what they are and what they hold."""
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A" + "0000000D" + "49484452")), F.unhex(F.lpad(F.hex(F.col("doc_id") + 1), 8, "0")), F.unhex(F.lit("00000003" + "0802000000" + "00000000" + "0000000049454E44AE426082")))
     rows = layout.laid_out(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), png.alias("content")))
-    return rows.select(F.col("path").cast("long").alias("doc_id"), "part", "name", "offset", "length")
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "part", "name", "offset", "length", "description", F.col("fields")["width"].alias("width"), F.col("fields")["color"].alias("color"))
+
+
+@query("SELECT n_name AS name, upper(n_name) AS text, FALSE AS cut, 'ended' AS state FROM nation")
+def src22_captured(spark, d):
+    """What a program writes about each file."""
+    from photonlake.sources import capture
+
+    rows = table(spark, d, "nation").select(F.col("n_name").alias("path"), F.lower("n_name").cast("binary").alias("content"))
+    return capture.captured(rows, ["tr", "a-z", "A-Z"]).select(F.col("path").alias("name"), "text", "cut", "state")
 
 
 @query("SELECT c_custkey, c_name FROM customer")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA = "path string, part int, name string, offset long, length long, detail string"
+SCHEMA = "path string, part int, name string, offset long, length long, detail string, description string, fields map<string, string>"
 # Names of JPEG markers.
 MARKERS = {0xD8: "SOI", 0xD9: "EOI", 0xDA: "SOS", 0xDB: "DQT", 0xC4: "DHT", 0xDD: "DRI", 0xFE: "COM", 0xC0: "SOF0", 0xC1: "SOF1", 0xC2: "SOF2"}
 
@@ -32,6 +33,76 @@ def hex_dumps(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else hex_dump(bytes(b)))
 
 
+#: What the parts are, by the beginning of their names.
+DESCRIPTIONS = {
+    "PNG Signature": "marks the file as PNG", "IHDR": "size and pixel format", "PLTE": "colours of an indexed image", "IDAT": "compressed pixels", "IEND": "end of the image", "eXIf": "EXIF directory",
+    "tEXt": "text", "zTXt": "compressed text", "iTXt": "text in UTF-8", "sRGB": "standard colour space", "gAMA": "gamma", "cHRM": "primary colours and white point", "iCCP": "colour profile", "pHYs": "pixels by unit",
+    "tIME": "time of the last change", "tRNS": "transparency", "bKGD": "background colour", "SOI": "start of the image", "EOI": "end of the image", "SOF": "size and pixel format", "DQT": "quantisation tables",
+    "DHT": "Huffman tables", "DRI": "restart interval", "SOS": "start of a scan", "APP": "data of an application", "COM": "comment", "Image Data": "compressed pixels", "RIFF": "container", "VP8X": "size and features",
+    "VP8L": "pixels without loss", "VP8": "compressed pixels", "ALPH": "transparency", "ANIM": "animation", "ANMF": "a frame", "ICCP": "colour profile", "EXIF": "EXIF directory", "XMP": "XMP text",
+    "File Header": "size of the file and place of the pixels", "Info Header": "size and pixel format", "Palette": "colours of an indexed image", "Pixel Data": "pixels", "Trailing Data": "bytes after the end",
+}
+COLORS = {0: "grey", 2: "RGB", 3: "indexed", 4: "grey and alpha", 6: "RGB and alpha"}
+
+
+def described(name: str) -> str:
+    """What a part is; empty if that isn't known."""
+    known = [k for k in DESCRIPTIONS if name.startswith(k)]
+    return DESCRIPTIONS[max(known, key=len)] if known else ""
+
+
+def _named(names: str, values: tuple) -> dict[str, str]:
+    return dict(zip(names.split(), map(str, values)))
+
+
+def fields_of(name: str, part: bytes) -> dict[str, str]:
+    """The values that a part of an image file holds, by name; none of parts that are cut off or of other kinds."""
+    body = part[8:]
+    try:
+        if name == "IHDR":
+            out = _named("width height bit_depth color_type compression filter interlace", struct.unpack(">IIBBBBB", body[:13]))
+            return out | {"color": COLORS.get(body[9], "unknown")}
+        if name in ("tEXt", "zTXt", "iTXt"):
+            key, _, rest = body[:-4].partition(b"\0")
+            text = rest.decode("latin-1")
+            if name == "zTXt":
+                text = zlib.decompress(rest[1:]).decode("latin-1")
+            elif name == "iTXt":
+                packed, (_, _, data) = rest[:1] == b"\1", (rest[2:].split(b"\0", 2) + [b"", b""])[:3]
+                text = (zlib.decompress(data) if packed else data).decode("utf-8", "replace")
+            return {"key": key.decode("latin-1"), "text": text}
+        if name == "sRGB":
+            return _named("intent", (body[0],))
+        if name == "gAMA":
+            return _named("gamma", (struct.unpack(">I", body[:4])[0] / 100_000,))
+        if name == "pHYs":
+            return _named("x y unit", struct.unpack(">IIB", body[:9]))
+        if name == "tIME":
+            return _named("year month day hour minute second", struct.unpack(">HBBBBB", body[:7]))
+        if name.startswith("SOF"):
+            return _named("precision height width components", struct.unpack(">BHHB", part[4:10]))
+        if name == "DRI":
+            return _named("interval", struct.unpack(">H", part[4:6]))
+        if name == "COM":
+            return {"text": part[4:].decode("utf-8", "replace")}
+        if name == "APP0" and part[4:9] == b"JFIF\0":
+            return _named("major minor unit x y", struct.unpack(">BBBHH", part[9:16]))
+        if name == "VP8X":
+            return {"flags": str(body[0]), "width": str(1 + int.from_bytes(body[4:7], "little")), "height": str(1 + int.from_bytes(body[7:10], "little"))}
+        if name == "VP8 " and body[3:6] == b"\x9d\x01\x2a":
+            return _named("width height", tuple(x & 0x3FFF for x in struct.unpack("<HH", body[6:10])))
+        if name == "VP8L" and body[:1] == b"\x2f":
+            bits = int.from_bytes(body[1:5], "little")
+            return _named("width height", (1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)))
+        if name == "File Header":
+            return _named("size pixels_at", (struct.unpack("<I", part[2:6])[0], struct.unpack("<I", part[10:14])[0]))
+        if name == "Info Header" and len(part) >= 40:
+            return _named("header width height planes bits compression", struct.unpack("<IiiHHI", part[:20]))
+    except (struct.error, IndexError, ValueError, zlib.error):
+        pass
+    return {}
+
+
 def _png(b: bytes) -> Iterator[tuple]:
     yield "PNG Signature", 0, 8, ""
     at = 8
@@ -126,12 +197,13 @@ def parts(data: bytes) -> list[tuple]:
 
 
 def laid_out(files: DataFrame) -> DataFrame:
-    """Parts of each file (path, content); null content has none."""
+    """Parts of each file (path, content), with what they are and the values that they hold; null content has none."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(p, k, *x) for p, c in zip(batch["path"], batch["content"]) if c is not None for k, x in enumerate(parts(bytes(c)))]
-            yield pd.DataFrame(out, columns=["path", "part", "name", "offset", "length", "detail"])
+            files_ = [(p, bytes(c)) for p, c in zip(batch["path"], batch["content"]) if c is not None]
+            out = [(p, k, *x, described(x[0]), fields_of(x[0], c[x[1] : x[1] + x[2]])) for p, c in files_ for k, x in enumerate(parts(c))]
+            yield pd.DataFrame(out, columns=["path", "part", "name", "offset", "length", "detail", "description", "fields"])
 
     return files.select("path", "content").mapInPandas(rows, SCHEMA)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -60,3 +60,27 @@ def newest_request(requests: DataFrame, key: str = "session", generation: str =
     """Of each session's requests the newest; older ones are superseded."""
     names = [c for c in requests.columns if c != key]
     return requests.groupBy(key).agg(F.max_by(F.struct(*names), generation).alias("r")).select(key, "r.*")
+
+
+def current(results: DataFrame, requests: DataFrame, key: str = "session", generation: str = "generation") -> DataFrame:
+    """Results whose generation is their session's newest request; stale ones, and those of sessions without a request, go."""
+    newest_ = requests.groupBy(key).agg(F.max(generation).alias(generation))
+    return results.join(newest_, [key, generation], "left_semi")
+
+
+def ring(events: DataFrame, source: str, order: str, most: int = 512) -> DataFrame:
+    """Rows (source, events, dropped): the newest `most` events of each source in their order, and how many older ones were dropped. Each task keeps the newest of what it has seen, so
+    no source has to fit one. order: unique within a source."""
+    names = [c for c in events.columns if c not in (source, order)]
+    best = Window.partitionBy(source).orderBy(F.col(order).desc())
+    kept_ = events.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= most)
+    lists = kept_.groupBy(source).agg(F.array_sort(F.collect_list(F.struct(order, *names))).alias("events"))
+    sizes = events.groupBy(source).agg(F.count(F.lit(1)).alias("__all"))
+    return sizes.join(lists, source).select(source, "events", (F.col("__all") - F.size("events")).alias("dropped"))
+
+
+def answered(requests: DataFrame, phases: DataFrame) -> DataFrame:
+    """Requests (at, phase, ...) with the time at which they can be answered: at once if the part of the data that they need (phases: phase, ready) is loaded, else when it is;
+    null if it never is."""
+    there = phases.groupBy("phase").agg(F.min("ready").alias("__ready"))
+    return requests.join(there, "phase", "left").withColumn("answered", F.when(F.col("__ready").isNotNull(), F.greatest("at", "__ready"))).drop("__ready")

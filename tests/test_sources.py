@@ -3,10 +3,11 @@
 import hashlib
 import json
 import struct
+import zlib
 
 from pyspark.sql import functions as F
 
-from photonlake.sources import layout, listing, manifests, roots
+from photonlake.sources import capture, layout, listing, manifests, roots
 from photonlake.streaming import index_stream
 
 
@@ -82,3 +83,34 @@ def test_all_candidate_roots_are_tried(spark):
     files = spark.createDataFrame([("/m/11999/a/b.jpg",), ("/m/11999/c.jpg",), ("/m/3/c.jpg",), ("/m/7/c.jpg",), ("/m/10500/d.jpg",), ("e.jpg",)], "path string")
     samples = spark.createDataFrame([("x", "a/b.jpg"), ("x", "c.jpg"), ("y", "d.jpg"), ("z", "e.jpg"), ("w", "b.jpg")], "collection_id string, rel string")
     assert {tuple(r) for r in roots.discovered(samples, candidates, files).collect()} == {("x", "/m/11999", 2), ("y", "/m/10500", 1)}
+
+
+def test_captured_output(spark):
+    rows = spark.createDataFrame([("a", b"one"), ("b", None)], "path string, content binary")
+    out = lambda *a, **k: {r.path: (r.text, r.cut, r.state) for r in capture.captured(rows, *a, **k).collect()}
+    assert out(["cat"]) == {"a": ("one", False, "ended"), "b": ("", False, "ended")}
+    assert out(["cat"], most=2)["a"] == ("on", True, "stopped") and out(["yes"], most=10)["b"] == ("y\n" * 5, True, "stopped") and out(["no-such-program"])["a"] == (None, False, "missing")
+    assert out(["sh", "-c", "echo x; exit 3"])["a"] == ("x\n", False, "failed 3") and out(["sleep", "9"], seconds=0.2)["a"] == ("", False, "too slow")
+
+
+def test_rings_generations_and_phases(spark):
+    events = spark.createDataFrame([("x", k) for k in range(7)] + [("y", 1)], "source string, at int")
+    assert {r.source: ([e["at"] for e in r.events], r.dropped) for r in index_stream.ring(events, "source", "at", 3).collect()} == {"x": ([4, 5, 6], 4), "y": ([1], 0)}
+    requests = spark.createDataFrame([("s", 1), ("s", 3), ("t", 2)], "session string, generation int")
+    results = spark.createDataFrame([("s", 1, "old"), ("s", 3, "new"), ("t", 2, "own"), ("u", 1, "none")], "session string, generation int, r string")
+    assert {r.r for r in index_stream.current(results, requests).collect()} == {"new", "own"}
+    phases = spark.createDataFrame([("clip", 5), ("faces", 9)], "phase string, ready int")
+    asked = spark.createDataFrame([(1, 2, "clip"), (2, 7, "clip"), (3, 2, "faces"), (4, 2, "never")], "id int, at int, phase string")
+    assert {r.id: r.answered for r in index_stream.answered(asked, phases).collect()} == {1: 5, 2: 7, 3: 9, 4: None}
+
+
+def test_fields_of_parts():
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc_"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 6, 0, 0, 1)) + chunk(b"tEXt", b"Title\0A b") + chunk(b"zTXt", b"Note\0\0" + zlib.compress(b"packed")) + chunk(b"pHYs", struct.pack(">IIB", 10, 20, 1)) + chunk(b"sRGB", b"\2") + chunk(b"tIME", b"1")
+    found = {x[0]: layout.fields_of(x[0], png[x[1] : x[1] + x[2]]) for x in layout.parts(png)}
+    assert found["IHDR"]["width"] == "7" and found["IHDR"]["color"] == "RGB and alpha" and found["IHDR"]["interlace"] == "1"
+    assert found["tEXt"] == {"key": "Title", "text": "A b"} and found["zTXt"]["text"] == "packed" and found["pHYs"]["y"] == "20" and found["sRGB"] == {"intent": "2"} and found["tIME"] == {}
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + struct.pack(">BBBHH", 1, 2, 1, 72, 73) + b"\0\0" + b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 30, 40, 1) + b"abc" + b"\xff\xfe\0\4hi"
+    found = {x[0]: layout.fields_of(x[0], jpeg[x[1] : x[1] + x[2]]) for x in layout.parts(jpeg)}
+    assert found["APP0"] == {"major": "1", "minor": "2", "unit": "1", "x": "72", "y": "73"} and found["SOF0"]["width"] == "40" and found["COM"] == {"text": "hi"}
+    assert layout.described("APP1") == "data of an application" and layout.described("VP8 ") == "compressed pixels" and layout.described("odd") == ""
