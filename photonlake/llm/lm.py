@@ -35,9 +35,9 @@ BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 FAN = 4096
 #: Tasks of a step at most: each gets a few ranges or blocks, whatever the session's number of shuffle partitions.
 MOST_TASKS = 20_000
-#: Weights of the shorter context after one and after two words. The first is the best on a part of the training texts (remainder 1) under counts
-#: from the rest; the second is the best of 5, 10, 20 and 50 on the same.
-MU = (400.0, 10.0)
+#: Weights of the shorter context after one and after two words: the best of 200, 400, 800 and of 2, 5, 10, 20, 50 on the training texts with remainder 1 of one corpus,
+#: under counts from its other training texts.
+MU = (800.0, 10.0)
 END, START = b"\n", b"\t"
 _SALT, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _START_HASH = np.uint64(xxhash.xxh64_intdigest(START))
