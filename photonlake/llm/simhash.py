@@ -29,6 +29,8 @@ BITS = 64
 CHUNK = 4096
 #: Bytes of shingles held together by one task; a bucket of more is dealt out as pairs of chunks.
 CHECK_BYTES = 16 << 20
+#: Share of all the bytes that are compared, below which no key is dealt out (nor below a sixteenth of CHECK_BYTES).
+SHARES = 64
 #: Positions whose bit planes are compared together.
 BLOCK = 16384
 
@@ -316,7 +318,11 @@ def similar_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def checked_links(rows: DataFrame, sets: DataFrame, similarity: float, chunk: int = CHUNK, limit: int = CHECK_BYTES) -> DataFrame:
     """Edges (u, v) between nodes that share a key and whose shingle sets have the similarity: for each key a spanning forest. rows: node long, print binary,
     size (of the set), key long; sets: print, shingles. A key of over `chunk` rows or `limit` bytes of sets is dealt out as pairs of chunks."""
-    tasks = dealt(rows, limit, F.greatest(F.col("size") * 5 + 64, F.lit(limit // chunk))).select("task", "node", "print")
+    bytes_ = F.col("size") * 5 + 64
+    # No key is to be more than a small share of all the work, so that one group of copies in a small corpus doesn't wait for one task.
+    whole = rows.agg(F.coalesce(F.sum(bytes_), F.lit(0)).alias("n")).first().n
+    limit = min(limit, max(limit // 16, whole // SHARES))
+    tasks = dealt(rows, limit, F.greatest(bytes_, F.lit(limit // chunk))).select("task", "node", "print")
     tasks = tasks.join(sets, "print").select("task", "node", "shingles").repartition("task").sortWithinPartitions("task", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
