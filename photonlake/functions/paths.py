@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File extensions by kind; the indexer's and the viewer's sets differ.
-INDEXED_IMAGES = "bmp heic heif jpeg jpg png tif tiff webp".split()
-INDEXED_VIDEOS = "avi m4v mkv mov mp4 mpeg mpg webm wmv".split()
-VIEWED_EXTRA = "gif avif ico icns svg".split()
+# File extensions by kind; the indexer's sets and the viewer's differ.
+INDEXED_IMAGES = ["bmp", "heic", "heif", "jpeg", "jpg", "png", "tif", "tiff", "webp"]
+INDEXED_VIDEOS = ["avi", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "webm", "wmv"]
+VIEWED = ["avi", "avif", "bmp", "gif", "heic", "heif", "icns", "ico", "jpeg", "jpg", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "png", "svg", "tiff", "webm", "webp", "wmv"]
 THUMBNAIL_FOLDERS = ("thumb", "thumbs", "thumbnails")
 
 

@@ -9,7 +9,7 @@ from photonlake.functions import paths
 
 INDEXED = tuple(paths.INDEXED_IMAGES + paths.INDEXED_VIDEOS)
 #: The viewer shows more kinds of image, but not tif.
-VIEWED = tuple(x for x in (*INDEXED, *paths.VIEWED_EXTRA) if x != "tif")
+VIEWED = tuple(paths.VIEWED)
 
 
 def listed(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
