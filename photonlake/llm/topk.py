@@ -36,12 +36,14 @@ def scaled(vector: str, factor: int = 256) -> Column:
 class _Best:
     """The k best (score, id) of each query: higher scores first, then smaller ids. whole has the scores as longs, score rounded ones (-inf where there is none)."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, seeds: np.ndarray | None = None):
+        """seeds: for each query a score that k candidates somewhere are known to reach (-inf: none)."""
         self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.seeds = np.full(n, -np.inf) if seeds is None else seeds
         self.whole = np.full((n, k), np.iinfo(np.int64).min)
 
     def floor(self, rows: slice) -> np.ndarray:
-        return self.score[rows, -1]
+        return np.maximum(self.score[rows, -1], self.seeds[rows])
 
     def add(self, at: int, whole: np.ndarray, ids: np.ndarray) -> None:
         s, i = np.concatenate((self.score[at], whole.astype(np.float64))), np.concatenate((self.id[at], ids))
@@ -138,17 +140,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
     n = base.count()
     blocks = max(1, -(-sizes.n // QUERY_BLOCK))
     groups = max(1, min(MOST_GROUPS, -(-n // GROUP_ROWS)))
+    group = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(groups)).cast("int")
+    grouped = base.withColumn("group", group)
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranks = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    seeded = asked.withColumn("seed", F.lit(None).cast("double"))
+    if groups > 1:
+        # The first group alone gives each query a score that k candidates reach, so that in all other groups most candidates end in their first dimensions.
+        first = _searched(seeded, grouped.filter("group = 0"), blocks, 1, sizes.d, k)
+        # A double may be rounded up from a long: one step down is never too high.
+        floor = ranks(first).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).filter(F.col("n") >= k)
+        floor = floor.select(F.col("query_id").alias("id"), (F.col("s").cast("double") - F.abs(F.col("s").cast("double")) * 2.0**-52).alias("seed"))
+        seeded = asked.join(kept(floor, "seeds"), "id", "left")
+    return ranks(_searched(seeded, grouped, blocks, groups, sizes.d, k)).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(asked: DataFrame, grouped: DataFrame, blocks: int, groups: int, dims: int, k: int) -> DataFrame:
+    """query_id, vec_id and score of the k best of each group of candidates (id, v, group) for each query (id, v, seed); with a seed, only those that reach it."""
     # Each task (block of queries, group of candidates) gets its queries first and then its candidates, which it reads as a stream.
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = asked.select(F.lit(0).alias("kind"), "id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    group = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(groups)).cast("int")
-    right = base.select(F.lit(1).alias("kind"), "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group.alias("group"))
+    left = asked.select(F.lit(0).alias("kind"), "id", "v", "seed", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    right = grouped.select(F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("double").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "group")
     tasks = left.unionByName(right).withColumn("task", F.col("block").cast("long") * groups + F.col("group"))
-    dealt = tasks.select("task", "kind", "id", "v").repartition(min(blocks * groups, 20_000), "task").sortWithinPartitions("task", "kind")
-    dims = sizes.d
+    dealt = tasks.select("task", "kind", "id", "v", "seed").repartition(min(blocks * groups, 20_000), "task").sortWithinPartitions("task", "kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts, best, queries_ = None, [], [], None, None
+        now, ids, parts, seeds, best, queries_ = None, [], [], [], None, None
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush():
@@ -174,17 +191,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
                     flush()
                     if (out := result()) is not None:
                         yield out
-                    now, ids, parts, best, queries_ = task[a], np.array([], dtype=np.int64), [], None, None
+                    now, ids, parts, seeds, best, queries_ = task[a], np.array([], dtype=np.int64), [], [], None, None
                 rows = np.arange(a, b)
                 found, own = _matrix(batch.column(3), rows, dims), batch.column(2).to_numpy()[a:b]
                 if kind[a] == 0:
                     parts.append(found)
+                    seeds.append(batch.column(4).slice(a, b - a).fill_null(-np.inf).to_numpy(zero_copy_only=False))
                     ids = np.concatenate((ids, own))
                     continue
                 if best is None and parts:
                     queries_ = np.concatenate(parts, axis=1)
                     order = np.argsort(-(queries_.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # heavy dimensions first: bounds tighten sooner
-                    queries_, best = np.ascontiguousarray(queries_[order]), _Best(len(ids), k)
+                    queries_, best = np.ascontiguousarray(queries_[order]), _Best(len(ids), k, np.concatenate(seeds))
                 held.append((found, own))
                 if sum(len(i) for _, i in held) >= CANDIDATE_BLOCK:
                     flush()
@@ -192,9 +210,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id: str = "vec_id"
         if (out := result()) is not None:
             yield out
 
-    some = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return some.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.mapInArrow(search, "query_id long, vec_id long, score long")
 
 
 def every_fiftieth(embeddings: DataFrame) -> DataFrame:
