@@ -377,7 +377,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     busy = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
     held = kept(keyed.join(busy.select("key"), "key", "left_semi"), "held")
     texts = slim.join(held.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    shingles = map_rows(texts, sets, "print binary, shingles binary", slices=200).groupBy("print").agg(F.first("shingles").alias("shingles"))
+    # Written, so that the texts' shuffle can go before the sets are dealt out.
+    shingles = kept(map_rows(texts, sets, "print binary, shingles binary", slices=200).groupBy("print").agg(F.first("shingles").alias("shingles")), "sets")
     edges = checked_links(held, shingles, similarity, chunk, limit)
 
     grouped = kept(components(edges, "u", "v").select("node", F.col("root").alias("component_id")), "components")
