@@ -20,7 +20,8 @@ def _videos(spark, d):
     return FILES.df(spark, d).filter("is_video")
 
 
-@query(f"{WITH}, p AS (SELECT a.file_name, b.file_name AS match, {D} AS d FROM files a JOIN files b ON a.file_name <> b.file_name AND {D} <= 3), n AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY d, match) AS k FROM p) SELECT file_name, match, d FROM n WHERE k = 1")
+@query(f"""{WITH}, p AS (SELECT a.file_name, b.file_name AS match, {D} AS d FROM files a JOIN files b ON a.file_name <> b.file_name AND {D} <= 3),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY d, match) AS k FROM p) SELECT file_name, match, d FROM n WHERE k = 1""")
 def join1_hamming_best(spark, d):
     """Nearest other hash within three bits."""
     return hamming.best_match(FILES.df(spark, d), FILES.df(spark, d), 3)
@@ -31,8 +32,10 @@ def join2_hamming_all(spark, d):
     return hamming.all_matches(_videos(spark, d), _images(spark, d), 3)
 
 
-LINKS = f"""{WITH}, near AS (SELECT a.file_name, b.file_name AS other, min({D}) AS d FROM files a JOIN files b ON NOT a.is_video AND b.is_video AND {D} <= 3 GROUP BY ALL),
-links AS (SELECT file_name, other, TRUE AS is_video, {PCT.format('d')} AS similarity_pct FROM near UNION ALL SELECT other, file_name, FALSE, {PCT.format('d')} FROM near)"""
+LINKS = f"""{WITH}, near AS (SELECT a.file_name, b.file_name AS other, min({D}) AS d FROM files a JOIN files b ON NOT a.is_video AND b.is_video AND {D} <= 3
+GROUP BY ALL),
+links AS (SELECT file_name, other, TRUE AS is_video, {PCT.format('d')} AS similarity_pct FROM near UNION ALL SELECT other, file_name, FALSE,
+{PCT.format('d')} FROM near)"""
 
 
 @query(f"{LINKS} SELECT * FROM links WHERE is_video")
@@ -46,8 +49,10 @@ def join4_both_ways(spark, d):
     return hamming.cross_media(_images(spark, d), _videos(spark, d))
 
 
-@query(f"""{LINKS}, run AS (SELECT file_name FROM files WHERE doc_id % 2 = 0), old AS (SELECT file_name, other, is_video, 50.0::DOUBLE AS similarity_pct FROM links),
-rows AS (SELECT * FROM old WHERE file_name NOT IN (SELECT file_name FROM run) AND other NOT IN (SELECT file_name FROM run) UNION ALL SELECT * FROM links WHERE file_name IN (SELECT file_name FROM run) OR other IN (SELECT file_name FROM run))
+@query(f"""{LINKS}, run AS (SELECT file_name FROM files WHERE doc_id % 2 = 0), old AS (SELECT file_name, other, is_video, 50.0::DOUBLE AS similarity_pct
+FROM links),
+rows AS (SELECT * FROM old WHERE file_name NOT IN (SELECT file_name FROM run) AND other NOT IN (SELECT file_name FROM run) UNION ALL SELECT *
+FROM links WHERE file_name IN (SELECT file_name FROM run) OR other IN (SELECT file_name FROM run))
 SELECT file_name, other, bool_or(is_video) AS is_video, max(similarity_pct) AS similarity_pct FROM rows GROUP BY ALL""")
 def join5_scope(spark, d):
     """Links after a run over some of the files."""
@@ -65,7 +70,8 @@ def agg15_link_lists(spark, d):
     return normal.select("file_name", F.transform("m", lambda x: F.concat(x["file_name"], F.lit("|"), x["similarity_pct"].cast("string"))).alias("links"))
 
 
-@query(f"{WITH}, p AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS master, file_name FROM files) SELECT p.file_name, q.file_name AS master FROM p JOIN files q ON q.doc_id = p.master WHERE p.doc_id <> p.master")
+@query(f"""{WITH}, p AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS master, file_name FROM files) SELECT p.file_name, q.file_name AS master FROM p
+JOIN files q ON q.doc_id = p.master WHERE p.doc_id <> p.master""")
 def join6_copies(spark, d):
     """Copies with their masters; links to oneself don't count."""
     return duplicates.copies(_index(spark, d)).select("file_name", "master")
@@ -97,12 +103,16 @@ def join12_pairs(spark, d):
 def _greedy(where: str, order: str, most: int, free: str = "FALSE") -> str:
     """The same grouping, file after file."""
     return f"""{WITH}, items AS (SELECT file_name, h, {free} AS free, row_number() OVER (ORDER BY {order}) AS place FROM files WHERE {where}),
-    near AS (SELECT a.place, b.place AS spot, b.file_name AS match, bit_count(xor(a.h, b.h)) AS d FROM items a JOIN items b ON b.place < a.place AND bit_count(xor(a.h, b.h)) <= {most}),
-    around AS (SELECT i.place, i.free, coalesce(list(n.spot) FILTER (WHERE n.spot IS NOT NULL), []) AS nears FROM items i LEFT JOIN near n ON n.place = i.place GROUP BY ALL),
-    run AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS masters UNION ALL SELECT a.place, CASE WHEN a.free OR len(list_intersect(r.masters, a.nears)) = 0 THEN list_append(r.masters, a.place) ELSE r.masters END FROM run r JOIN around a ON a.place = r.place + 1),
+    near AS (SELECT a.place, b.place AS spot, b.file_name AS match, bit_count(xor(a.h, b.h)) AS d FROM items a JOIN items b ON b.place < a.place
+AND bit_count(xor(a.h, b.h)) <= {most}),
+    around AS (SELECT i.place, i.free, coalesce(list(n.spot) FILTER (WHERE n.spot IS NOT NULL), []) AS nears FROM items i LEFT
+JOIN near n ON n.place = i.place GROUP BY ALL),
+    run AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS masters UNION ALL SELECT a.place, CASE WHEN a.free OR len(list_intersect(r.masters,
+a.nears)) = 0 THEN list_append(r.masters, a.place) ELSE r.masters END FROM run r JOIN around a ON a.place = r.place + 1),
     heads AS (SELECT unnest(masters) AS place FROM (SELECT max_by(masters, place) AS masters FROM run)),
     best AS (SELECT n.place, min(struct_pack(d := n.d, match := n.match)) AS m FROM near n JOIN heads h ON h.place = n.spot GROUP BY n.place)
-    SELECT i.file_name, h.place IS NOT NULL AS is_master, CASE WHEN h.place IS NULL THEN b.m.match END AS match, CASE WHEN h.place IS NULL THEN {PCT.format('b.m.d')} END AS similarity_pct
+    SELECT i.file_name, h.place IS NOT NULL AS is_master, CASE WHEN h.place IS NULL THEN b.m.match END AS match, CASE WHEN h.place IS NULL
+THEN {PCT.format('b.m.d')} END AS similarity_pct
     FROM items i LEFT JOIN heads h ON h.place = i.place LEFT JOIN best b ON b.place = i.place"""
 
 
@@ -129,8 +139,10 @@ def agg4_video_groups(spark, d):
 
 
 @query(f"""{_greedy("NOT is_video", ORDER, 3).replace("    SELECT i.file_name, h.place", ", made AS (SELECT i.file_name, h.place").replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}),
-old AS (SELECT x.file_name, CASE WHEN m.file_name <> x.file_name THEN m.file_name END AS old FROM files x JOIN (SELECT text, min_by(file_name, doc_id) AS file_name FROM files GROUP BY text) m ON x.text IS NOT DISTINCT FROM m.text WHERE NOT x.is_video)
-SELECT count(*) FILTER (WHERE is_master) AS masters, count(*) FILTER (WHERE NOT is_master AND old IS NULL) AS demoted, count(*) FILTER (WHERE match IS NOT NULL AND old IS NOT NULL AND match <> old) AS retargeted FROM made JOIN old USING (file_name)""")
+old AS (SELECT x.file_name, CASE WHEN m.file_name <> x.file_name THEN m.file_name END AS old FROM files x JOIN (SELECT text, min_by(file_name,
+doc_id) AS file_name FROM files GROUP BY text) m ON x.text IS NOT DISTINCT FROM m.text WHERE NOT x.is_video)
+SELECT count(*) FILTER (WHERE is_master) AS masters, count(*) FILTER (WHERE NOT is_master AND old IS NULL) AS demoted,
+count(*) FILTER (WHERE match IS NOT NULL AND old IS NOT NULL AND match <> old) AS retargeted FROM made JOIN old USING (file_name)""")
 def agg5_repair(spark, d):
     """How many masters, demoted and retargeted files a rebuild from scratch gives."""
     rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
@@ -142,14 +154,16 @@ def sort4_image_order(spark, d):
     return hamming.image_order(FILES.df(spark, d).withColumn("is_thumb", F.lit(False))).select("file_name", "place")
 
 
-@query(f"{WITH} SELECT split_part(file_name, '/', 1) AS grp, max_by(file_name, struct_pack(a := greatest(image_width, image_height), b := source_size, c := file_name)) AS best FROM files GROUP BY ALL")
+@query(f"""{WITH} SELECT split_part(file_name, '/', 1) AS grp, max_by(file_name, struct_pack(a := greatest(image_width, image_height), b := source_size,
+c := file_name)) AS best FROM files GROUP BY ALL""")
 def sort5_highest(spark, d):
     rank = F.struct(F.greatest("image_width", "image_height"), "source_size", "file_name")
     return FILES.df(spark, d).groupBy(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("grp")).agg(F.max_by("file_name", rank).alias("best"))
 
 
 COMPONENTS = f"""{WITH}, e AS (SELECT file_name AS a, target AS b FROM edges WHERE {VALID}), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT a AS node, a AS root FROM ways UNION SELECT b.b, r.root FROM reach r JOIN ways b ON b.a = r.node), comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node)"""
+reach AS (SELECT a AS node, a AS root FROM ways UNION SELECT b.b, r.root FROM reach r JOIN ways b ON b.a = r.node), comp AS (SELECT node,
+min(root) AS root FROM reach GROUP BY node)"""
 
 
 def _edges(spark, d):
@@ -163,19 +177,24 @@ def agg6_components(spark, d):
     return graph.components(_edges(spark, d))
 
 
-@query(f"""{COMPONENTS}, r AS (SELECT c.node, c.root, e.inliers, row_number() OVER (PARTITION BY c.root ORDER BY e.inliers DESC, c.node DESC) AS n FROM comp c JOIN edges e ON e.file_name = c.node), heads AS (SELECT root, node AS master FROM r WHERE n = 1)
-SELECT c.node AS file_name, CASE WHEN c.node <> h.master THEN h.master END AS master, coalesce(x.target = h.master AND c.node <> h.master, FALSE) AS direct FROM comp c JOIN heads h ON c.root = h.root LEFT JOIN (SELECT file_name, target FROM edges WHERE {VALID}) x ON x.file_name = c.node""")
+@query(f"""{COMPONENTS}, r AS (SELECT c.node, c.root, e.inliers, row_number() OVER (PARTITION BY c.root ORDER BY e.inliers DESC, c.node DESC) AS n FROM comp c
+JOIN edges e ON e.file_name = c.node), heads AS (SELECT root, node AS master FROM r WHERE n = 1)
+SELECT c.node AS file_name, CASE WHEN c.node <> h.master THEN h.master END AS master, coalesce(x.target = h.master AND c.node <> h.master,
+FALSE) AS direct FROM comp c JOIN heads h ON c.root = h.root LEFT JOIN (SELECT file_name, target FROM edges WHERE {VALID}) x ON x.file_name = c.node""")
 def agg7_elected(spark, d):
     """The highest-ranked file of each group as its master."""
     return graph.elected(_edges(spark, d), EDGES.df(spark, d).select("file_name", "inliers"), [F.col("inliers").desc(), F.col("file_name").desc()])
 
 
 # An edge spans if no better edges join its ends; then the spanning edges are walked from each root.
-@query(f"""{COMPONENTS}, links AS (SELECT file_name AS a, target AS b, row_number() OVER (ORDER BY inliers DESC, file_name, target) AS n FROM edges WHERE {VALID}),
+@query(f"""{COMPONENTS}, links AS (SELECT file_name AS a, target AS b, row_number() OVER (ORDER BY inliers DESC, file_name, target) AS n FROM edges
+WHERE {VALID}),
 both_ AS (SELECT a, b, n FROM links UNION ALL SELECT b, a, n FROM links),
 better AS (SELECT n AS edge, a AS node FROM links UNION SELECT r.edge, w.b FROM better r JOIN both_ w ON w.a = r.node AND w.n < r.edge),
-tree AS (SELECT l.* FROM links l WHERE NOT EXISTS (SELECT 1 FROM better r WHERE r.edge = l.n AND r.node = l.b)), steps AS (SELECT a, b FROM tree UNION ALL SELECT b, a FROM tree),
-walk AS (SELECT DISTINCT root AS root, root AS file_name, CAST(NULL AS VARCHAR) AS target FROM comp UNION SELECT w.root, s.b, s.a FROM walk w JOIN steps s ON s.a = w.file_name WHERE w.target IS NULL OR s.b <> w.target)
+tree AS (SELECT l.* FROM links l WHERE NOT EXISTS (SELECT 1 FROM better r WHERE r.edge = l.n AND r.node = l.b)), steps AS (SELECT a, b FROM tree
+UNION ALL SELECT b, a FROM tree),
+walk AS (SELECT DISTINCT root AS root, root AS file_name, CAST(NULL AS VARCHAR) AS target FROM comp UNION SELECT w.root, s.b, s.a FROM walk w
+JOIN steps s ON s.a = w.file_name WHERE w.target IS NULL OR s.b <> w.target)
 SELECT root, file_name, target FROM walk WHERE target IS NOT NULL""")
 def agg8_bridges(spark, d):
     """Spanning links of each group, the best ones, as seen from its root."""
@@ -197,14 +216,18 @@ def agg6_members(spark, d):
 _COPIES = f"{WITH}, ix AS (SELECT f.*, m.file_name AS master FROM files f JOIN (SELECT text, min_by(file_name, doc_id) AS file_name FROM files GROUP BY text) m ON f.text = m.text)"
 
 
-@query(f"{_COPIES} SELECT master, list(DISTINCT n ORDER BY n) AS members FROM (SELECT master, file_name AS n FROM ix WHERE file_name <> master UNION ALL SELECT master, master FROM ix WHERE file_name <> master) GROUP BY master")
+@query(f"""{_COPIES} SELECT master, list(DISTINCT n ORDER BY n) AS members FROM (SELECT master, file_name AS n FROM ix WHERE file_name <> master UNION ALL
+SELECT master, master FROM ix WHERE file_name <> master) GROUP BY master""")
 def agg12_copy_groups(spark, d):
     return duplicates.copy_groups(_index(spark, d))
 
 
-@query(f"""{_COPIES}, near AS (SELECT a.file_name, b.file_name AS other, min({D}) AS d FROM files a JOIN files b ON NOT a.is_video AND b.is_video AND {D} <= 3 GROUP BY ALL),
-rows AS (SELECT master, file_name, CASE WHEN doc_id % 3 <> 0 THEN 100.0::DOUBLE END AS s FROM ix WHERE file_name <> master UNION ALL SELECT file_name, other, {PCT.format('d')} FROM near UNION ALL SELECT other, file_name, {PCT.format('d')} FROM near),
-best AS (SELECT master, file_name, max(s) AS s FROM rows GROUP BY ALL) SELECT master, list(file_name ORDER BY coalesce(s, -1) DESC, file_name) AS names FROM best GROUP BY master""")
+@query(f"""{_COPIES}, near AS (SELECT a.file_name, b.file_name AS other, min({D}) AS d FROM files a JOIN files b ON NOT a.is_video AND b.is_video AND {D} <= 3
+GROUP BY ALL),
+rows AS (SELECT master, file_name, CASE WHEN doc_id % 3 <> 0 THEN 100.0::DOUBLE END AS s FROM ix WHERE file_name <> master UNION ALL SELECT file_name,
+other, {PCT.format('d')} FROM near UNION ALL SELECT other, file_name, {PCT.format('d')} FROM near),
+best AS (SELECT master, file_name, max(s) AS s FROM rows GROUP BY ALL) SELECT master, list(file_name ORDER BY coalesce(s, -1) DESC,
+file_name) AS names FROM best GROUP BY master""")
 def agg11_similar(spark, d):
     """Copies and cross-media links of each file in one list."""
     return duplicates.similar_lists(duplicates.copies(_index(spark, d)), hamming.cross_media(_images(spark, d), _videos(spark, d))).select("master", F.col("similar.file_name").alias("names"))
@@ -224,7 +247,8 @@ def agg13_full_groups(spark, d):
     return duplicates.group_lists(_grouped(spark, d))
 
 
-@query(f"{GROUPS}, per AS (SELECT grp, min(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 100 END) AS m, min(CASE WHEN NOT is_video THEN doc_id * 7 END) AS e FROM grouped GROUP BY grp) SELECT g.file_name, least(m, e) AS date_sec FROM grouped g JOIN per USING (grp)")
+@query(f"""{GROUPS}, per AS (SELECT grp, min(CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 100 END) AS m, min(CASE WHEN NOT is_video THEN doc_id * 7 END) AS e
+FROM grouped GROUP BY grp) SELECT g.file_name, least(m, e) AS date_sec FROM grouped g JOIN per USING (grp)""")
 def agg14_oldest(spark, d):
     """The oldest date among the copies of a file."""
     rows = _grouped(spark, d).join(FILES.df(spark, d).select("file_name", "is_video", F.expr("CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id * 100 END").alias("modified"), (F.col("doc_id") * 7).alias("exif")), "file_name")
@@ -268,7 +292,8 @@ def agg16_stage_report(spark, d):
     return report.by_collection(_media(spark, d), report.stage_columns())
 
 
-@query(f"{WITH} SELECT unnest(['hash', 'faces', 'clip']) AS stage, unnest([count(*) FILTER (WHERE doc_id % 9 <> 0), count(*) FILTER (WHERE doc_id % 6 <> 0), count(*) FILTER (WHERE doc_id % 4 = 1)]) AS done, count(*) AS total FROM files")
+@query(f"""{WITH} SELECT unnest(['hash', 'faces', 'clip']) AS stage, unnest([count(*) FILTER (WHERE doc_id % 9 <> 0), count(*) FILTER (WHERE doc_id % 6 <> 0),
+count(*) FILTER (WHERE doc_id % 4 = 1)]) AS done, count(*) AS total FROM files""")
 def agg17_summary(spark, d):
     return report.summary(_media(spark, d), {"hash": F.col("phash_hex").isNotNull(), "faces": F.col("faces").isNotNull(), "clip": F.col("clip_groups").isNotNull()})
 
@@ -278,13 +303,15 @@ _FIELDS = ", ".join(_FIELD.format(c) for c in ("file_name", "collection_id", "is
 _SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
 
 
-@query(f"{WITH}, r AS (SELECT sha256(concat({_FIELDS})) AS d FROM files) SELECT count(*) AS rows, sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {_SUMS})) AS digest FROM r")
+@query(f"""{WITH}, r AS (SELECT sha256(concat({_FIELDS})) AS d FROM files) SELECT count(*) AS rows, sha256(concat_ws(',', CAST(count(*) AS VARCHAR),
+{_SUMS})) AS digest FROM r""")
 def agg19_fingerprint(spark, d):
     """A digest of a table that doesn't depend on the order of its rows."""
     return report.fingerprint(FILES.df(spark, d), ["collection_id", "is_video", "source_size"], "file_name")
 
 
-@query(f"""{WITH} SELECT doc_id, doc_id % 8 = 0 AND (doc_id % 9 <> 0 OR doc_id % 12 BETWEEN 1 AND 8) AS skip, doc_id % 9 <> 0 AND (doc_id % 16 = 0 OR doc_id % 8 <> 0) AS hash_done, doc_id % 9 <> 0 AND doc_id % 8 <> 0 AS in_tree,
+@query(f"""{WITH} SELECT doc_id, doc_id % 8 = 0 AND (doc_id % 9 <> 0 OR doc_id % 12 BETWEEN 1 AND 8) AS skip, doc_id % 9 <> 0
+AND (doc_id % 16 = 0 OR doc_id % 8 <> 0) AS hash_done, doc_id % 9 <> 0 AND doc_id % 8 <> 0 AS in_tree,
 doc_id % 4 = 1 AS clip_done, doc_id % 5 = 1 AS text_pending FROM files""")
 def flt6_eligibility(spark, d):
     """Conditions by which stages pick their rows."""
@@ -299,7 +326,8 @@ def flt7_stage_complete(spark, d):
 _STAGE = "concat(CAST(doc_id % 12 AS {0}), CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE '' END)"
 
 
-@query(f"SELECT doc_id, {_STAGE.format('VARCHAR')} AS stage, {_STAGE.format('VARCHAR')} = '2b' OR regexp_extract({_STAGE.format('VARCHAR')}, '^[0-9]+') = '4' AS some, TRUE AS whole FROM documents")
+@query(f"""SELECT doc_id, {_STAGE.format('VARCHAR')} AS stage, {_STAGE.format('VARCHAR')} = '2b' OR regexp_extract({_STAGE.format('VARCHAR')},
+'^[0-9]+') = '4' AS some, TRUE AS whole FROM documents""")
 def flt8_rerun(spark, d):
     """Which stages a choice of stages and of their numbers runs again, and which that of all."""
     rows = table(spark, d, "documents").selectExpr("doc_id", f"{_STAGE.format('STRING')} AS stage")
@@ -331,7 +359,8 @@ def sim15_accepted(spark, d):
     return _media(spark, d).select("doc_id", stages.accepted("sift_match_inliers", "sift_match_inlier_ratio").alias("ok"))
 
 
-@query(f"{WITH} SELECT split_part(file_name, '/', 1) AS grp, max_by(file_name, struct_pack(a := doc_id % 120, b := doc_id % 10, c := -doc_id)) AS best FROM files GROUP BY ALL")
+@query(f"""{WITH} SELECT split_part(file_name, '/', 1) AS grp, max_by(file_name, struct_pack(a := doc_id % 120, b := doc_id % 10, c := -doc_id)) AS best
+FROM files GROUP BY ALL""")
 def topk4_best_candidate(spark, d):
     return _media(spark, d).groupBy(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("grp")).agg(F.max_by("file_name", F.struct("sift_match_inliers", F.round("sift_match_score", 3), -F.col("doc_id"))).alias("best"))
 
@@ -342,18 +371,21 @@ def topk5_sample(spark, d):
     return FILES.df(spark, d).select("file_name").orderBy("file_name").limit(10)
 
 
-@query(f"{WITH} SELECT doc_id, CASE WHEN doc_id % 21 = 0 AND (doc_id % 120 < 80 OR doc_id % 20 < 18 OR doc_id % 10 < 4) THEN NULL WHEN doc_id % 21 = 0 THEN 's/y.jpg' END AS sift_match_file FROM files")
+@query(f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 21 = 0
+AND (doc_id % 120 < 80 OR doc_id % 20 < 18 OR doc_id % 10 < 4) THEN NULL WHEN doc_id % 21 = 0 THEN 's/y.jpg' END AS sift_match_file FROM files""")
 def rel16_sift_cleared(spark, d):
     """Weak links taken out."""
     return stages.cleared(_media(spark, d), stages.sift_weak(ratio=0.9 - 1e-6), stages.SIFT).select("doc_id", "sift_match_file")
 
 
-@query(f"{WITH} SELECT doc_id, doc_id % 10 = 0 OR doc_id % 8 = 0 AS skip_processing, CASE WHEN doc_id % 10 = 0 OR doc_id % 9 = 0 THEN NULL ELSE substr(md5(file_name), 1, 16) END AS phash_hex, CASE WHEN doc_id % 10 = 0 THEN 'image_phash' ELSE NULLIF({_S}, '') END AS stage FROM files")
+@query(f"""{WITH} SELECT doc_id, doc_id % 10 = 0 OR doc_id % 8 = 0 AS skip_processing, CASE WHEN doc_id % 10 = 0 OR doc_id % 9 = 0 THEN NULL
+ELSE substr(md5(file_name), 1, 16) END AS phash_hex, CASE WHEN doc_id % 10 = 0 THEN 'image_phash' ELSE NULLIF({_S}, '') END AS stage FROM files""")
 def upd1_hash_failed(spark, d):
     return stages.hash_failed(_media(spark, d), F.col("doc_id") % 10 == 0, F.lit("image_phash"), F.lit("broken")).select("doc_id", "skip_processing", "phash_hex", F.col("processing_error_stage").alias("stage"))
 
 
-@query(f"{WITH} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN FALSE ELSE {_FACES} END AS faces, CASE WHEN doc_id % 10 = 0 THEN 'faces' ELSE NULLIF({_S}, '') END AS stage FROM files")
+@query(f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN FALSE ELSE {_FACES} END AS faces, CASE WHEN doc_id % 10 = 0 THEN 'faces' ELSE NULLIF({_S},
+'') END AS stage FROM files""")
 def upd2_faces_failed(spark, d):
     return stages.faces_failed(_media(spark, d), F.col("doc_id") % 10 == 0, F.lit("timeout")).select("doc_id", "faces", F.col("processing_error_stage").alias("stage"))
 
@@ -368,7 +400,8 @@ def upd4_text_reset(spark, d):
     return stages.text_reset(_media(spark, d)).select("doc_id", F.col("ocr_groups").isNull().alias("empty"))
 
 
-@query(f"{WITH} SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE {_FACES} END AS faces, CASE WHEN doc_id % 8 = 0 AND {_S} NOT IN ('image_phash', 'video_hash') THEN NULL ELSE NULLIF({_S}, '') END AS stage FROM files")
+@query(f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE {_FACES} END AS faces, CASE WHEN doc_id % 8 = 0 AND {_S} NOT IN ('image_phash',
+'video_hash') THEN NULL ELSE NULLIF({_S}, '') END AS stage FROM files""")
 def upd5_demoted(spark, d):
     return stages.demoted(_media(spark, d), F.col("skip_processing")).select("doc_id", "faces", F.col("processing_error_stage").alias("stage"))
 
@@ -403,7 +436,9 @@ def upd10_one_file(spark, d):
     return tables.upserted(rows, one, "file_name", "seq").select("file_name", "faces")
 
 
-@query(f"{WITH} SELECT CASE WHEN a.source_size > b.source_size THEN b.file_name ELSE a.file_name END AS file_name, CASE WHEN a.source_size > b.source_size THEN a.file_name ELSE b.file_name END AS sift_match_file FROM files a JOIN files b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 4 = 0 AND a.source_size <> b.source_size")
+@query(f"""{WITH} SELECT CASE WHEN a.source_size > b.source_size THEN b.file_name ELSE a.file_name END AS file_name,
+CASE WHEN a.source_size > b.source_size THEN a.file_name ELSE b.file_name END AS sift_match_file FROM files a JOIN files b ON b.doc_id = a.doc_id + 1
+AND a.doc_id % 4 = 0 AND a.source_size <> b.source_size""")
 def upd11_fast_pair(spark, d):
     """The lower-ranked image of an accepted pair points to the higher."""
     f = FILES.df(spark, d)
@@ -412,7 +447,8 @@ def upd11_fast_pair(spark, d):
     return duplicates.fast_pair(pairs, f.select("file_name", F.col("source_size").alias("rank")))
 
 
-@query(f"{WITH} SELECT file_name, FALSE AS is_video, 1 AS frames FROM files WHERE NOT is_video UNION ALL SELECT split_part(file_name, '/', 1), TRUE, CAST(count(*) AS INT) FROM files WHERE is_video GROUP BY ALL")
+@query(f"""{WITH} SELECT file_name, FALSE AS is_video, 1 AS frames FROM files WHERE NOT is_video UNION ALL SELECT split_part(file_name, '/', 1), TRUE,
+CAST(count(*) AS INT) FROM files WHERE is_video GROUP BY ALL""")
 def bld1_items(spark, d):
     """Items to process: images, and videos with their frames."""
     videos = _videos(spark, d).select(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("file_name"), F.col("doc_id").cast("double").alias("timestamp_sec"), F.col("file_name").alias("image_file"))
@@ -474,7 +510,8 @@ def cdc3_extraction(spark, d):
     return stages.to_extract(v, valid).select("file_name")
 
 
-@query(f"{_COPIES} SELECT x.file_name, CASE WHEN x.is_video THEN x.master WHEN x.doc_id % 2 = 0 THEN concat('r', x.doc_id % 10) WHEN m.doc_id % 2 = 0 THEN concat('r', m.doc_id % 10) ELSE x.master END AS master FROM ix x JOIN files m ON m.file_name = x.master")
+@query(f"""{_COPIES} SELECT x.file_name, CASE WHEN x.is_video THEN x.master WHEN x.doc_id % 2 = 0 THEN concat('r',
+x.doc_id % 10) WHEN m.doc_id % 2 = 0 THEN concat('r', m.doc_id % 10) ELSE x.master END AS master FROM ix x JOIN files m ON m.file_name = x.master""")
 def dup1_panel_master(spark, d):
     """The master that a file's panel starts from."""
     ix = _index(spark, d)
@@ -482,7 +519,8 @@ def dup1_panel_master(spark, d):
     return duplicates.panel_master(ix, roots)
 
 
-@query(f"{WITH}, act AS (SELECT h FROM files WHERE doc_id = 3) SELECT f.file_name, (64 - bit_count(xor(f.h, a.h))) * 100.0::DOUBLE / 64 AS pct FROM files f, act a WHERE NOT f.is_video")
+@query(f"""{WITH}, act AS (SELECT h FROM files WHERE doc_id = 3) SELECT f.file_name, (64 - bit_count(xor(f.h, a.h))) * 100.0::DOUBLE / 64 AS pct FROM files f,
+act a WHERE NOT f.is_video""")
 def dup2_panel(spark, d):
     """Similarity of images to the active one."""
     active = F.lit(FILES.df(spark, d).filter("doc_id = 3").first().h).cast("long")
@@ -490,7 +528,8 @@ def dup2_panel(spark, d):
     return _images(spark, d).select("file_name", hamming.file_similarity(active, F.col("h"), none, none, F.lit(False), F.col("is_video")).alias("pct"))
 
 
-@query(f"{WITH}, act AS (SELECT h FROM files WHERE doc_id = 5), v AS (SELECT split_part(file_name, '/', 1) AS grp, list(h) AS hs FROM files WHERE NOT is_video GROUP BY ALL) SELECT v.grp, list_max(list_transform(hs, lambda x: (64 - bit_count(xor(x, a.h))) * 100.0::DOUBLE / 64)) AS pct FROM v, act a")
+@query(f"""{WITH}, act AS (SELECT h FROM files WHERE doc_id = 5), v AS (SELECT split_part(file_name, '/', 1) AS grp, list(h) AS hs FROM files WHERE NOT is_video
+GROUP BY ALL) SELECT v.grp, list_max(list_transform(hs, lambda x: (64 - bit_count(xor(x, a.h))) * 100.0::DOUBLE / 64)) AS pct FROM v, act a""")
 def sim13_hash_similarity(spark, d):
     """A video's similarity to an image is its best frame's."""
     active = F.lit(FILES.df(spark, d).filter("doc_id = 5").first().h).cast("long")
@@ -504,14 +543,18 @@ def dup3_counts(spark, d):
     return _grouped(spark, d).agg(F.count_distinct("grp").alias("grps"), F.count_distinct("file_name").alias("files"))
 
 
-@query(f"{COMPONENTS}, sel AS (SELECT file_name, inliers AS place FROM edges WHERE checked AND inliers < 5), u AS (SELECT file_name, place, 0 AS k FROM sel UNION ALL SELECT m.node, s.place, 1 FROM sel s JOIN comp c ON c.node = s.file_name JOIN comp m ON m.root = c.root), f AS (SELECT file_name, min(struct_pack(a := place, b := k)) AS spot FROM u GROUP BY file_name) SELECT file_name, CAST(row_number() OVER (ORDER BY spot, file_name) AS INT) AS place FROM f")
+@query(f"""{COMPONENTS}, sel AS (SELECT file_name, inliers AS place FROM edges WHERE checked AND inliers < 5), u AS (SELECT file_name, place, 0 AS k FROM sel
+UNION ALL SELECT m.node, s.place, 1 FROM sel s JOIN comp c ON c.node = s.file_name JOIN comp m ON m.root = c.root), f AS (SELECT file_name,
+min(struct_pack(a := place, b := k)) AS spot FROM u GROUP BY file_name) SELECT file_name, CAST(row_number() OVER (ORDER BY spot,
+file_name) AS INT) AS place FROM f""")
 def dup4_expanded(spark, d):
     """A selection with the whole groups of its files."""
     sel = EDGES.df(spark, d).filter("checked AND inliers < 5").select("file_name", F.col("inliers").alias("place"))
     return duplicates.expanded(sel, graph.components(_edges(spark, d)))
 
 
-@query(f"{WITH} SELECT path, min(doc_id) AS place FROM (SELECT doc_id, concat('p', doc_id % 20) AS path FROM files WHERE doc_id % 3 <> 0) GROUP BY path ORDER BY place LIMIT 6")
+@query(f"""{WITH} SELECT path, min(doc_id) AS place FROM (SELECT doc_id, concat('p', doc_id % 20) AS path FROM files WHERE doc_id % 3 <> 0) GROUP BY path
+ORDER BY place LIMIT 6""")
 def dup5_compared(spark, d):
     return duplicates.compared(FILES.df(spark, d).select(F.concat(F.lit("p"), F.col("doc_id") % 20).alias("path"), F.col("doc_id").alias("place"), (F.col("doc_id") % 3 != 0).alias("path_exists"), F.lit(True).alias("supported")))
 
@@ -519,10 +562,12 @@ def dup5_compared(spark, d):
 _SIM = "list_cosine_similarity([b.x, b.y], [a.x, a.y])"
 
 
-@query(f"""WITH RECURSIVE v AS (SELECT doc_id, i, CAST((doc_id * 7 + i * 13) % 10 AS DOUBLE) + 1 AS x, CAST((doc_id * 3 + i * 5) % 10 AS DOUBLE) AS y FROM documents, (SELECT unnest(range(0, 6)) AS i)),
+@query(f"""WITH RECURSIVE v AS (SELECT doc_id, i, CAST((doc_id * 7 + i * 13) % 10 AS DOUBLE) + 1 AS x, CAST((doc_id * 3 + i * 5) % 10 AS DOUBLE) AS y
+FROM documents, (SELECT unnest(range(0, 6)) AS i)),
 near AS (SELECT a.doc_id, a.i, list(b.i) AS like_ FROM v a JOIN v b ON a.doc_id = b.doc_id AND b.i < a.i AND {_SIM} >= 0.995 GROUP BY ALL),
 run AS (SELECT doc_id, -1::BIGINT AS i, []::BIGINT[] AS kept FROM documents UNION ALL
-  SELECT r.doc_id, r.i + 1, CASE WHEN len(list_intersect(r.kept, coalesce(n.like_, []))) = 0 THEN list_append(r.kept, r.i + 1) ELSE r.kept END FROM run r LEFT JOIN near n ON n.doc_id = r.doc_id AND n.i = r.i + 1 WHERE r.i < 5)
+  SELECT r.doc_id, r.i + 1, CASE WHEN len(list_intersect(r.kept, coalesce(n.like_, []))) = 0 THEN list_append(r.kept, r.i + 1) ELSE r.kept END
+FROM run r LEFT JOIN near n ON n.doc_id = r.doc_id AND n.i = r.i + 1 WHERE r.i < 5)
 SELECT doc_id, kept FROM run WHERE i = 5""")
 def agg24_distinct_vectors(spark, d):
     """Vectors of one frame without near repeats, in their order: which of six vectors, that differ from frame to frame, stay."""
@@ -537,7 +582,8 @@ def agg1_best_per_key(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"))
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type) WHERE n <= 20")
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM (SELECT *,
+lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type) WHERE n <= 20""")
 def topk6_history(spark, d):
     """The last twenty searches of each user, without repeats in a row (a ring by design)."""
     from pyspark.sql import Window
@@ -555,7 +601,8 @@ def agg25_repeated_keys(spark, d):
 # Table upkeep
 
 
-@query("SELECT o_custkey AS c_custkey, round(arg_max(o_totalprice, o_orderkey), 2) AS c_acctbal FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey, round(c_acctbal, 2) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT o_custkey AS c_custkey, round(arg_max(o_totalprice, o_orderkey), 2) AS c_acctbal FROM orders GROUP BY o_custkey UNION ALL SELECT c_custkey,
+round(c_acctbal, 2) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def snk1_upsert(spark, d):
     """Keyed upsert of a batch in which the last row of a key counts."""
     base = table(spark, d, "customer").select("c_custkey", "c_acctbal")
@@ -572,7 +619,8 @@ def snk3_conformed(spark, d):
     return tables.conformed(table(spark, d, "customer"), new)
 
 
-@query(f"{WITH} SELECT file_name, timestamp_sec, CASE WHEN file_name LIKE 'c1/%' THEN 'new' ELSE 'old' END AS state FROM frames WHERE NOT (file_name LIKE 'c1/%' AND timestamp_sec = 2)")
+@query(f"""{WITH} SELECT file_name, timestamp_sec, CASE WHEN file_name LIKE 'c1/%' THEN 'new' ELSE 'old' END AS state FROM frames
+WHERE NOT (file_name LIKE 'c1/%' AND timestamp_sec = 2)""")
 def snk5_synced(spark, d):
     """Side table after a run: changed files' rows are made again."""
     side = FRAMES.df(spark, d).select("file_name", "timestamp_sec").withColumn("state", F.lit("old"))
@@ -587,7 +635,8 @@ def snk6_delete(spark, d):
     return tables.without(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), keys, "l_orderkey")
 
 
-@query(f"""{WITH}, per AS (SELECT split_part(file_name, '/', 1) AS b, count(*) AS n, bool_or(doc_id % 5 = 2 AND lang <> 'en') AS text FROM (SELECT f.*, split_part(file_name, '/', 2) AS lang FROM files f) GROUP BY ALL),
+@query(f"""{WITH}, per AS (SELECT split_part(file_name, '/', 1) AS b, count(*) AS n, bool_or(doc_id % 5 = 2 AND lang <> 'en') AS text FROM (SELECT f.*,
+split_part(file_name, '/', 2) AS lang FROM files f) GROUP BY ALL),
 wanted AS (SELECT concat(b, unnest(CASE WHEN text THEN ['_face_ann', '_clip_ann', '_ocr_ann'] ELSE ['_face_ann', '_clip_ann'] END)) AS name FROM per),
 there AS (SELECT concat(b, CASE n % 3 WHEN 0 THEN '_face_ann' WHEN 1 THEN '_clip_ann' ELSE '_ocr_ann' END) AS name FROM per)
 SELECT name FROM wanted WHERE name NOT IN (SELECT name FROM there)""")
@@ -627,7 +676,8 @@ def snk12_gone_files(spark, d):
     return tables.present_only(rows, listing, "1-URGENT").select("o_orderkey")
 
 
-@query("SELECT user_id AS collection_id, max(epoch_us(ts)) AS updated, arg_max(event_type, struct_pack(a := epoch_us(ts), b := event_type)) AS state FROM events GROUP BY user_id")
+@query("""SELECT user_id AS collection_id, max(epoch_us(ts)) AS updated, arg_max(event_type, struct_pack(a := epoch_us(ts), b := event_type)) AS state
+FROM events GROUP BY user_id""")
 def snk13_newest_status(spark, d):
     rows = table(spark, d, "events").select(F.col("user_id").alias("collection_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated"), F.col("event_type").alias("state"))
     return tables.newest_status(rows)
@@ -660,7 +710,9 @@ def rel1_fanout(spark, d):
     return relocate.fan_out(_orders(spark, d), _mapping(spark, d)).select("file_name", "source_size")
 
 
-@query(f"SELECT f.file_name, CASE WHEN n.o_orderkey IS NULL THEN concat('old/', f.o_orderkey - 1) ELSE concat('new/', CASE WHEN (f.o_orderkey - 1) % 3 = 0 AND f.chat = 'b' THEN 'b' ELSE 'a' END, '/', f.o_orderkey - 1) END AS ref FROM ({FAN}) f LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0) n ON n.o_orderkey = f.o_orderkey - 1")
+@query(f"""SELECT f.file_name, CASE WHEN n.o_orderkey IS NULL THEN concat('old/', f.o_orderkey - 1) ELSE concat('new/', CASE WHEN (f.o_orderkey - 1) % 3 = 0
+AND f.chat = 'b' THEN 'b' ELSE 'a' END, '/', f.o_orderkey - 1) END AS ref FROM ({FAN}) f LEFT JOIN (SELECT o_orderkey FROM orders
+WHERE o_orderkey % 5 <> 0) n ON n.o_orderkey = f.o_orderkey - 1""")
 def rel2_references(spark, d):
     """References follow to the place of the same chat, else to the first."""
     m = _mapping(spark, d)
@@ -673,7 +725,8 @@ def rel3_path_rows(spark, d):
     return relocate.path_rows(rows, _mapping(spark, d))
 
 
-@query("SELECT concat('old/', o_orderkey) AS file_name, CASE WHEN (o_orderkey - 1) % 5 = 0 THEN NULL ELSE concat('old/', o_orderkey - 1) END AS ref FROM orders WHERE o_orderkey % 5 <> 0")
+@query("""SELECT concat('old/', o_orderkey) AS file_name, CASE WHEN (o_orderkey - 1) % 5 = 0 THEN NULL ELSE concat('old/', o_orderkey - 1) END AS ref
+FROM orders WHERE o_orderkey % 5 <> 0""")
 def rel4_dropped(spark, d):
     """Dropped rows go, and references to them become null."""
     rows, m = _orders(spark, d), _mapping(spark, d)
@@ -690,7 +743,8 @@ def rel5_collisions(spark, d):
 
 
 @query(f"""{WITH} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 'x' END AS ref, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE 9.5::DOUBLE END AS pct,
-CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'y' END AS sift, CASE WHEN doc_id % 3 = 0 THEN [NULL, NULL, NULL, NULL] ELSE [0.5, 40, 50, 0.8]::DOUBLE[] END AS figures, doc_id % 5 <> 0 AS checked,
+CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'y' END AS sift, CASE WHEN doc_id % 3 = 0 THEN [NULL, NULL, NULL, NULL] ELSE [0.5, 40, 50,
+0.8]::DOUBLE[] END AS figures, doc_id % 5 <> 0 AS checked,
 CASE WHEN doc_id % 2 = 0 THEN ['z'] ELSE ['z', 'w'] END AS links FROM files""")
 def rel6_self_links(spark, d):
     """Links of files to themselves go, each with all its figures; that a file was checked stays."""
@@ -706,22 +760,30 @@ def rel6_self_links(spark, d):
 
 
 # Rows that move to one customer: priorities and dates may differ, links come with their figures.
-_MOVED = """SELECT o_custkey AS file_name, o_orderkey AS old_key, o_orderkey = first_key AND o_custkey % 2 = 0 AS is_primary, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS note,
-CASE WHEN o_orderkey % 4 = 1 THEN 'm' END AS dedupe_match_file, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 90.0 + o_custkey % 2 END AS dedupe_similarity_pct,
+_MOVED = """SELECT o_custkey AS file_name, o_orderkey AS old_key, o_orderkey = first_key AND o_custkey % 2 = 0 AS is_primary, CASE WHEN o_orderkey % 2 = 0
+THEN o_orderstatus END AS note,
+CASE WHEN o_orderkey % 4 = 1 THEN 'm' END AS dedupe_match_file, CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0
+THEN 90.0 + o_custkey % 2 END AS dedupe_similarity_pct,
 CASE WHEN o_orderkey % 8 < 4 THEN 640 + 10 * (o_custkey % 3) END AS image_width, CASE WHEN o_orderkey % 8 < 2 THEN 480 END AS image_height
 FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first_key FROM orders)"""
 _AGREED = "dedupe_match_file IS NOT NULL OR dedupe_similarity_pct IS NOT NULL"
 
 
-@query(f"""WITH r AS ({_MOVED}), per AS (SELECT file_name, count(*) AS merged, count(DISTINCT note) > 1 AS dn, count(DISTINCT dedupe_match_file) > 1 OR count(DISTINCT dedupe_similarity_pct) > 1 AS dd,
-  count(DISTINCT image_width) > 1 OR count(DISTINCT image_height) > 1 AS di, min(note) AS one, coalesce(min(old_key) FILTER (WHERE is_primary), min(old_key)) AS base, bool_or(is_primary) AS has_primary,
+@query(f"""WITH r AS ({_MOVED}), per AS (SELECT file_name, count(*) AS merged, count(DISTINCT note) > 1 AS dn,
+count(DISTINCT dedupe_match_file) > 1 OR count(DISTINCT dedupe_similarity_pct) > 1 AS dd,
+  count(DISTINCT image_width) > 1 OR count(DISTINCT image_height) > 1 AS di, min(note) AS one, coalesce(min(old_key) FILTER (WHERE is_primary),
+min(old_key)) AS base, bool_or(is_primary) AS has_primary,
   min(old_key) FILTER (WHERE {_AGREED}) AS kd, min(old_key) FILTER (WHERE image_width IS NOT NULL OR image_height IS NOT NULL) AS ki FROM r GROUP BY file_name)
-SELECT p.file_name, p.merged, p.dn OR p.dd OR p.di AS conflict, NOT (p.dn OR p.dd OR p.di) OR p.has_primary AS resolved, coalesce(b.note, CASE WHEN NOT p.dn THEN p.one END) AS note,
-  CASE WHEN b.dedupe_match_file IS NULL AND b.dedupe_similarity_pct IS NULL AND NOT p.dd THEN x.dedupe_match_file ELSE b.dedupe_match_file END AS dedupe_match_file,
-  CASE WHEN b.dedupe_match_file IS NULL AND b.dedupe_similarity_pct IS NULL AND NOT p.dd THEN x.dedupe_similarity_pct ELSE b.dedupe_similarity_pct END AS dedupe_similarity_pct,
+SELECT p.file_name, p.merged, p.dn OR p.dd OR p.di AS conflict, NOT (p.dn OR p.dd OR p.di) OR p.has_primary AS resolved, coalesce(b.note, CASE
+WHEN NOT p.dn THEN p.one END) AS note,
+  CASE WHEN b.dedupe_match_file IS NULL AND b.dedupe_similarity_pct IS NULL AND NOT p.dd THEN x.dedupe_match_file
+ELSE b.dedupe_match_file END AS dedupe_match_file,
+  CASE WHEN b.dedupe_match_file IS NULL AND b.dedupe_similarity_pct IS NULL AND NOT p.dd THEN x.dedupe_similarity_pct
+ELSE b.dedupe_similarity_pct END AS dedupe_similarity_pct,
   CASE WHEN b.image_width IS NULL AND b.image_height IS NULL AND NOT p.di THEN y.image_width ELSE b.image_width END AS image_width,
   CASE WHEN b.image_width IS NULL AND b.image_height IS NULL AND NOT p.di THEN y.image_height ELSE b.image_height END AS image_height
-FROM per p JOIN r b ON b.file_name = p.file_name AND b.old_key = p.base LEFT JOIN r x ON x.file_name = p.file_name AND x.old_key = p.kd LEFT JOIN r y ON y.file_name = p.file_name AND y.old_key = p.ki""")
+FROM per p JOIN r b ON b.file_name = p.file_name AND b.old_key = p.base LEFT JOIN r x ON x.file_name = p.file_name AND x.old_key = p.kd LEFT
+JOIN r y ON y.file_name = p.file_name AND y.old_key = p.ki""")
 def agg22_coalesced(spark, d):
     """Rows that move to one key become one: families as a whole, single values if all agree, and the primary source where they don't."""
     table(spark, d, "orders").createOrReplaceTempView("photonlake_orders")
@@ -744,19 +806,23 @@ def agg23_variants(spark, d):
     return v.groupBy("file_name").agg(F.count_distinct("id").alias("rows"), F.max(F.contains("id", F.lit("|variant:"))).alias("many"))
 
 
-@query("SELECT count(*) AS keys, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS mapped, count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 = 1) AS unmapped, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS excluded, 0 AS missing, 0 AS repeated, 0 AS collisions FROM orders")
+@query("""SELECT count(*) AS keys, count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS mapped, count(*) FILTER (WHERE o_orderkey % 5 = 0
+AND o_orderkey % 2 = 1) AS unmapped, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS excluded, 0 AS missing, 0 AS repeated, 0 AS collisions FROM orders""")
 def agg20_inventory(spark, d):
     rows = _orders(spark, d)
     excluded = rows.filter("CAST(split_part(file_name, '/', 2) AS BIGINT) % 10 = 0")
     return relocate.inventory(rows, _mapping(spark, d), excluded, "old").select(*[F.col(c).cast("long").alias(c) for c in ("keys", "mapped", "unmapped", "excluded", "missing", "repeated", "collisions")])
 
 
-_PLANTED = """SELECT count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0) AS gone, count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 11 = 0) AS twice,
+_PLANTED = """SELECT count(*) FILTER (WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 AND o_orderkey % 3 <> 0) AS gone, count(*) FILTER (WHERE o_orderkey % 5 = 0
+AND o_orderkey % 11 = 0) AS twice,
 count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 13 = 0 AND (o_orderkey - 1) IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)) AS once,
-count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 143 = 0 AND (o_orderkey - 1) IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 <> 0)) AS again FROM orders"""
+count(*) FILTER (WHERE o_orderkey % 5 = 0 AND o_orderkey % 143 = 0 AND (o_orderkey - 1) IN (SELECT o_orderkey FROM orders
+WHERE o_orderkey % 5 <> 0)) AS again FROM orders"""
 
 
-@query(f"""WITH p AS ({_PLANTED}) SELECT 'repeated keys' AS "check", twice AS faults FROM p UNION ALL SELECT 'stale references', once + again FROM p UNION ALL SELECT 'uncovered targets', gone FROM p UNION ALL SELECT 'conservation', abs(twice - gone) FROM p""")
+@query(f"""WITH p AS ({_PLANTED}) SELECT 'repeated keys' AS "check", twice AS faults FROM p UNION ALL SELECT 'stale references', once + again FROM p UNION ALL
+SELECT 'uncovered targets', gone FROM p UNION ALL SELECT 'conservation', abs(twice - gone) FROM p""")
 def rel10_validated(spark, d):
     """Checks of a moved table into which faults were planted: rows that are missing, rows that come twice, and references that weren't rewritten."""
     rows, m = _orders(spark, d), _mapping(spark, d)
@@ -769,20 +835,23 @@ def rel10_validated(spark, d):
     return relocate.faults(out, m, rows.count(), 0, 0).select("check", F.col("faults").cast("long").alias("faults"))
 
 
-@query(f"SELECT (SELECT count(*) FROM ({FAN})) AS output, (SELECT count(*) FROM orders) AS source, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0) AS cloned")
+@query(f"""SELECT (SELECT count(*) FROM ({FAN})) AS output, (SELECT count(*) FROM orders) AS source, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0
+AND o_orderkey % 3 = 0) AS cloned""")
 def agg21_conservation(spark, d):
     rows, m = _orders(spark, d), _mapping(spark, d)
     one = relocate.fan_out(rows, m).agg(F.count(F.lit(1)).alias("output"))
     return one.join(rows.agg(F.count(F.lit(1)).alias("source")), F.lit(True)).join(m.groupBy("old_key").agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("cloned")), F.lit(True))
 
 
-@query(f"SELECT concat('old/', o_orderkey) AS old_key, concat('new/', chat, '/', o_orderkey) AS new_key, 'present' AS status FROM {MAP} UNION ALL SELECT concat('old/', o_orderkey), NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'excluded' ELSE 'missing' END FROM orders WHERE o_orderkey % 5 = 0")
+@query(f"""SELECT concat('old/', o_orderkey) AS old_key, concat('new/', chat, '/', o_orderkey) AS new_key, 'present' AS status FROM {MAP} UNION ALL
+SELECT concat('old/', o_orderkey), NULL, CASE WHEN o_orderkey % 2 = 0 THEN 'excluded' ELSE 'missing' END FROM orders WHERE o_orderkey % 5 = 0""")
 def rel9_ledger(spark, d):
     rest = _orders(spark, d).select("file_name", F.split_part("file_name", F.lit("/"), F.lit(2)).cast("long").alias("k")).filter("k % 5 = 0")
     return relocate.ledger(_mapping(spark, d), rest.filter("k % 2 = 1"), rest.filter("k % 2 = 0"))
 
 
-@query("""SELECT concat('old/', c_custkey) AS file_name, n IS NOT NULL AS there, n AS size, last AS mtime_ns FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY ALL) ON o_custkey = c_custkey
+@query("""SELECT concat('old/', c_custkey) AS file_name, n IS NOT NULL AS there, n AS size, last AS mtime_ns FROM customer LEFT JOIN (SELECT o_custkey,
+count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY ALL) ON o_custkey = c_custkey
 WHERE c_mktsegment = 'BUILDING'""")
 def rel11_export(spark, d):
     """Files of a collection (customers of a segment) with their state on disk (their orders)."""
@@ -798,7 +867,8 @@ def rel12_content(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(data, 256).alias("sha256"), F.octet_length(data).cast("long").alias("size"))
 
 
-@query("SELECT concat('c/chat', o_custkey % 3, '/', o_orderkey, '.jpg') AS old_key, concat('c/chat', o_custkey % 3, '/2020-01-01T00__x/', o_orderkey, '.jpg') AS new_key FROM orders WHERE o_orderkey % 4 <> 0")
+@query("""SELECT concat('c/chat', o_custkey % 3, '/', o_orderkey, '.jpg') AS old_key, concat('c/chat', o_custkey % 3, '/2020-01-01T00__x/', o_orderkey,
+'.jpg') AS new_key FROM orders WHERE o_orderkey % 4 <> 0""")
 def rel13_range_repair(spark, d):
     """Files found again in range folders by chat, tail and size."""
     rows = table(spark, d, "orders")
@@ -808,14 +878,18 @@ def rel13_range_repair(spark, d):
     return relocate.repair_candidates(keys, files, "c")
 
 
-_RANGED = """WITH keys AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 9 = 0 THEN 'p' ELSE concat('chat', o_custkey % 3) END AS chat, o_orderkey % 1000 AS name, o_custkey AS size FROM orders),
-files AS (SELECT chat, name, f, CASE WHEN k % 4 = 0 THEN -1 ELSE size END AS size FROM (SELECT DISTINCT chat, name, size, k, unnest(CASE WHEN k % 6 = 0 THEN ['2020-01-01T00__x', '2021-01-01T00__y'] ELSE ['2020-01-01T00__x'] END) AS f FROM keys))"""
+_RANGED = """WITH keys AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 9 = 0 THEN 'p' ELSE concat('chat', o_custkey % 3) END AS chat, o_orderkey % 1000 AS name,
+o_custkey AS size FROM orders),
+files AS (SELECT chat, name, f, CASE WHEN k % 4 = 0 THEN -1 ELSE size END AS size FROM (SELECT DISTINCT chat, name, size, k, unnest(CASE
+WHEN k % 6 = 0 THEN ['2020-01-01T00__x', '2021-01-01T00__y'] ELSE ['2020-01-01T00__x'] END) AS f FROM keys))"""
 
 
-@query(f"""{_RANGED}, known AS (SELECT DISTINCT chat, name, size FROM keys), met AS (SELECT k.chat, k.name, k.size, count(*) AS n, min(f) AS f FROM known k JOIN files USING (chat, name, size) WHERE lower(k.chat) <> 'p' GROUP BY ALL),
+@query(f"""{_RANGED}, known AS (SELECT DISTINCT chat, name, size FROM keys), met AS (SELECT k.chat, k.name, k.size, count(*) AS n, min(f) AS f FROM known k
+JOIN files USING (chat, name, size) WHERE lower(k.chat) <> 'p' GROUP BY ALL),
 one AS (SELECT *, count(*) OVER (PARTITION BY chat, name, f) AS m FROM met WHERE n = 1), taken AS (SELECT chat, name FROM known WHERE size % 10 = 3)
 SELECT concat('c/', chat, '/', name, '.jpg#', size) AS old_key, concat('c/', chat, '/', f, '/', name, '.jpg') AS new_key FROM
-  (SELECT *, count(*) OVER (PARTITION BY chat, f, name) AS alone FROM met WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.chat = met.chat AND t.name = met.name)) WHERE alone = 1""")
+  (SELECT *, count(*) OVER (PARTITION BY chat, f, name) AS alone FROM met WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.chat = met.chat
+AND t.name = met.name)) WHERE alone = 1""")
 def join13_repair_join(spark, d):
     """Keys with just one file of their chat, name and size in a range folder: not with two or none, not below p, not onto a key that is there, and not two onto one."""
     table(spark, d, "orders").createOrReplaceTempView("photonlake_orders")
@@ -831,7 +905,8 @@ def join13_repair_join(spark, d):
     return found.select(F.concat("old_key", F.lit("#"), F.col("size").cast("string")).alias("old_key"), "new_key")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' WHEN o_orderkey % 10 = 1 THEN 'changed' END AS change FROM orders WHERE o_orderkey % 10 IN (0, 1)
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'removed' WHEN o_orderkey % 10 = 1 THEN 'changed' END AS change FROM orders
+WHERE o_orderkey % 10 IN (0, 1)
 UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 10 = 2""")
 def rel14_snapshot(spark, d):
     """What a job changed in a table that it should have left alone: a snapshot written before against the table after."""
@@ -844,10 +919,13 @@ def rel14_snapshot(spark, d):
     return relocate.changes(before, after, "o_orderkey", ["o_custkey", "o_orderstatus"])
 
 
-@query("""WITH t AS (SELECT o_custkey AS c, o_orderkey % 4 AS place, o_orderpriority AS col, o_orderstatus AS kind FROM orders WHERE o_orderkey % 3 = 0), old AS (SELECT c, list(col ORDER BY place, col, kind) AS cols, list(kind ORDER BY place, col, kind) AS kinds FROM t GROUP BY c),
-u AS (SELECT c, place, CASE WHEN c % 7 = 0 THEN 'other' ELSE col END AS col, CASE WHEN c % 11 = 0 THEN 'Z' ELSE kind END AS kind FROM t WHERE c % 5 <> 0 UNION ALL SELECT -c, place, col, kind FROM t WHERE c % 13 = 0),
+@query("""WITH t AS (SELECT o_custkey AS c, o_orderkey % 4 AS place, o_orderpriority AS col, o_orderstatus AS kind FROM orders WHERE o_orderkey % 3 = 0),
+old AS (SELECT c, list(col ORDER BY place, col, kind) AS cols, list(kind ORDER BY place, col, kind) AS kinds FROM t GROUP BY c),
+u AS (SELECT c, place, CASE WHEN c % 7 = 0 THEN 'other' ELSE col END AS col, CASE WHEN c % 11 = 0 THEN 'Z' ELSE kind END AS kind FROM t
+WHERE c % 5 <> 0 UNION ALL SELECT -c, place, col, kind FROM t WHERE c % 13 = 0),
 new AS (SELECT c, list(col ORDER BY place, col, kind) AS cols, list(kind ORDER BY place, col, kind) AS kinds FROM u GROUP BY c)
-SELECT coalesce(o.c, n.c) AS name, CASE WHEN n.c IS NULL THEN 'missing' WHEN o.c IS NULL THEN 'unexpected' WHEN o.cols <> n.cols THEN 'columns' ELSE 'types' END AS fault FROM old o FULL JOIN new n ON o.c = n.c WHERE n.c IS NULL OR o.c IS NULL OR o.cols <> n.cols OR o.kinds <> n.kinds""")
+SELECT coalesce(o.c, n.c) AS name, CASE WHEN n.c IS NULL THEN 'missing' WHEN o.c IS NULL THEN 'unexpected' WHEN o.cols <> n.cols THEN 'columns'
+ELSE 'types' END AS fault FROM old o FULL JOIN new n ON o.c = n.c WHERE n.c IS NULL OR o.c IS NULL OR o.cols <> n.cols OR o.kinds <> n.kinds""")
 def rel15_layouts(spark, d):
     """What sorted tables are sorted by, captured before a rebuild and checked after it, with faults planted in between."""
     rows = table(spark, d, "orders").filter("o_orderkey % 3 = 0").selectExpr("o_custkey AS name", "o_orderkey % 4 AS place", "o_orderpriority AS column", "o_orderstatus AS type")
@@ -856,7 +934,8 @@ def rel15_layouts(spark, d):
     return tables.index_faults(tables.tables_sorted(rows), tables.tables_sorted(new))
 
 
-@query("SELECT concat('c/', c_custkey) AS file_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND c_nationkey >= 5")
+@query("""SELECT concat('c/', c_custkey) AS file_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders
+WHERE o_orderstatus = 'F') AND c_nationkey >= 5""")
 def set1_unmapped(spark, d):
     """Keys of a collection (customers of a segment) that are neither mapped (by their finished orders) nor excluded (by nation)."""
     rows = table(spark, d, "customer").select(F.concat(F.lit("c/"), "c_custkey").alias("file_name"), F.col("c_mktsegment").alias("collection_id"), "c_nationkey")

@@ -13,7 +13,8 @@ def _docs(spark, d):
     return table(spark, d, "documents")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lower(substr(md5(text), 1, 16)) END AS hex, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) END AS high FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lower(substr(md5(text), 1, 16)) END AS hex, CASE WHEN doc_id % 4 = 0 THEN NULL
+ELSE CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) END AS high FROM documents""")
 def scl1_parse_hash(spark, d):
     raw = F.when(F.col("doc_id") % 4 == 0, F.lit("xyz")).otherwise(F.concat(F.lit(" "), F.upper(F.substring(F.md5(F.col("text").cast("binary")), 1, 16))))
     h = hashes.parse_hash(raw)
@@ -48,7 +49,8 @@ def scl5_rounded(spark, d):
     return _two(spark, d).select("doc_id", hashes.rounded(hashes.similarity(F.col("d"))).alias("pct"))
 
 
-@query("SELECT doc_id, CASE WHEN levenshtein(source || lang || url, lang || source || url) <= 9 THEN levenshtein(source || lang || url, lang || source || url) END AS d FROM (SELECT doc_id, source, lang, concat(doc_id, '/', n_chars) AS url FROM documents)")
+@query("""SELECT doc_id, CASE WHEN levenshtein(source || lang || url, lang || source || url) <= 9 THEN levenshtein(source || lang || url,
+lang || source || url) END AS d FROM (SELECT doc_id, source, lang, concat(doc_id, '/', n_chars) AS url FROM documents)""")
 def scl6_edit_distance(spark, d):
     """Edit distance over bytes of names, whole."""
     tail = F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("n_chars").cast("string"))
@@ -71,7 +73,9 @@ def scl8_components(spark, d):
 
 
 @query(f"""{WITH}, q AS (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS c FROM paths)
-SELECT page_id FROM q WHERE contains(path, 'example/en') OR len(list_filter(range(1, len(c)), lambda i: ({_FUZZY.replace('a)', "'example')").replace('(a,', "('example',").replace(', a)', ", 'example')").replace(' b', ' c[i]').replace('(b,', '(c[i],')}) AND ({_FUZZY.replace('a)', "'en')").replace('(a,', "('en',").replace(', a)', ", 'en')").replace(' b', ' c[i + 1]').replace('(b,', '(c[i + 1],')}))) > 0""")
+SELECT page_id FROM q WHERE contains(path, 'example/en') OR len(list_filter(range(1, len(c)),
+lambda i: ({_FUZZY.replace('a)', "'example')").replace('(a,', "('example',").replace(', a)', ", 'example')").replace(' b', ' c[i]').replace('(b,', '(c[i],')})
+AND ({_FUZZY.replace('a)', "'en')").replace('(a,', "('en',").replace(', a)', ", 'en')").replace(' b', ' c[i + 1]').replace('(b,', '(c[i + 1],')}))) > 0""")
 def scl9_partial_path(spark, d):
     """Components in a row that match one by one, with small differences."""
     rows = PATHS.df(spark, d)
@@ -107,7 +111,8 @@ def scl14_uri(spark, d):
     return _docs(spark, d).select("doc_id", paths.decoded_uri(F.concat(F.lit("/a%20b+c/"), "doc_id")).alias("path"))
 
 
-@query("SELECT doc_id, CASE WHEN length(m) <= 500 THEN m ELSE concat(substr(m, 1, 497), '...') END AS message FROM (SELECT doc_id, concat(trim(text, ' '), ' <- caused by: ', source) AS m FROM documents)")
+@query("""SELECT doc_id, CASE WHEN length(m) <= 500 THEN m ELSE concat(substr(m, 1, 497), '...') END AS message FROM (SELECT doc_id, concat(trim(text, ' '),
+' <- caused by: ', source) AS m FROM documents)""")
 def scl15_compact(spark, d):
     return _docs(spark, d).select("doc_id", labels.compact(F.array("text", F.col("source"))).alias("message"))
 
@@ -125,12 +130,15 @@ def scl17_safe_relative(spark, d):
     return _docs(spark, d).select("doc_id", paths.is_safe_relative(raw).alias("ok"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0) ELSE concat(n, ' B') END AS label FROM (SELECT doc_id, n_chars * n_chars * 16 + doc_id AS n FROM documents)")
+@query("""SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MB',
+n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0) ELSE concat(n, ' B') END AS label FROM (SELECT doc_id,
+n_chars * n_chars * 16 + doc_id AS n FROM documents)""")
 def scl18_size_label(spark, d):
     return _docs(spark, d).select("doc_id", labels.size_label(F.expr("n_chars * n_chars * 16 + doc_id")).alias("label"))
 
 
-@query("SELECT doc_id, CASE WHEN n >= 3600 THEN printf('%d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%02d:%02d', n // 60, n % 60) END AS label FROM (SELECT doc_id, greatest(n_chars - 500, 0) AS n FROM documents)")
+@query("""SELECT doc_id, CASE WHEN n >= 3600 THEN printf('%d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%02d:%02d', n // 60,
+n % 60) END AS label FROM (SELECT doc_id, greatest(n_chars - 500, 0) AS n FROM documents)""")
 def scl19_duration_label(spark, d):
     return _docs(spark, d).select("doc_id", labels.duration_label(F.col("n_chars").cast("float") - 500).alias("label"))
 
@@ -210,7 +218,8 @@ def scl36_earlier(spark, d):
     return _docs(spark, d).select("doc_id", dates.earlier(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))).alias("t"))
 
 
-@query("SELECT event_id, least(CASE WHEN event_id % 5 = 0 THEN NULL ELSE 1704100000 + event_id END, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 1 THEN 1600000000 ELSE CAST(epoch(date_trunc('second', ts)) AS BIGINT) END) AS t FROM events")
+@query("""SELECT event_id, least(CASE WHEN event_id % 5 = 0 THEN NULL ELSE 1704100000 + event_id END, CASE WHEN event_id % 3 = 0
+AND event_id % 2 = 1 THEN 1600000000 ELSE CAST(epoch(date_trunc('second', ts)) AS BIGINT) END) AS t FROM events""")
 def scl37_effective(spark, d):
     exif = F.when(F.col("event_id") % 3 == 0, F.lit(1600000000))
     modified = F.when(F.col("event_id") % 5 != 0, 1704100000 + F.col("event_id"))
@@ -228,7 +237,8 @@ def _frames(spark, d):
     return rows.groupBy(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("grp")).agg(F.collect_list("x").alias("frames"))
 
 
-@query(f"{WITH} SELECT split_part(file_name, '/', 1) AS grp, list(printf('%.3f|%016x', round(doc_id / 7, 3), h) ORDER BY round(doc_id / 7, 3), h) AS frames FROM files WHERE doc_id % 6 <> 0 GROUP BY ALL")
+@query(f"""{WITH} SELECT split_part(file_name, '/', 1) AS grp, list(printf('%.3f|%016x', round(doc_id / 7, 3), h) ORDER BY round(doc_id / 7, 3), h) AS frames
+FROM files WHERE doc_id % 6 <> 0 GROUP BY ALL""")
 def scl39_frame_hashes(spark, d):
     return _frames(spark, d).select("grp", F.transform(groups.frame_hashes(F.col("frames")), lambda f: F.format_string("%.3f|%s", f["timestamp_sec"], f["phash_hex"])).alias("frames"))
 
@@ -256,12 +266,18 @@ def scl44_system_block(spark, d):
     return _docs(spark, d).select("doc_id", labels.system_block(text).alias("block"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, hex(encode(text)) AS h, least(strlen(text), 1024) AS n, strlen(text) AS whole FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, h, n, unnest(range(0, n, 16)) AS ofs FROM t),
-b AS (SELECT doc_id, ofs, i, substr(h, 2 * i + 1, 2) AS x, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS v FROM (SELECT doc_id, h, ofs, unnest(range(ofs, least(ofs + 16, n))) AS i FROM l)),
-r AS (SELECT doc_id, ofs, count(*) AS k, concat(string_agg(x, ' ' ORDER BY i) FILTER (WHERE i < ofs + 8), CASE WHEN count(*) >= 8 THEN '  ' ELSE '' END, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE i >= ofs + 8), '')) AS digits,
+@query(f"""WITH t AS (SELECT doc_id, hex(encode(text)) AS h, least(strlen(text), 1024) AS n, strlen(text) AS whole FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, h, n, unnest(range(0, n, 16)) AS ofs FROM t),
+b AS (SELECT doc_id, ofs, i, substr(h, 2 * i + 1, 2) AS x, CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) AS v FROM (SELECT doc_id, h, ofs,
+unnest(range(ofs, least(ofs + 16, n))) AS i FROM l)),
+r AS (SELECT doc_id, ofs, count(*) AS k, concat(string_agg(x, ' ' ORDER BY i) FILTER (WHERE i < ofs + 8), CASE WHEN count(*) >= 8 THEN '  '
+ELSE '' END, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (WHERE i >= ofs + 8), '')) AS digits,
   string_agg(CASE WHEN v BETWEEN 32 AND 126 THEN chr(v) ELSE '.' END, '' ORDER BY i) AS letters FROM b GROUP BY doc_id, ofs),
-o AS (SELECT doc_id, ofs, concat('0x', printf('%04X', ofs), ':   ', rpad(concat(rtrim(digits), CASE WHEN k = 8 THEN '  ' ELSE ' ' END), 50, ' '), ' |', letters, '|', chr(10)) AS line FROM r)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN concat(coalesce(g.dump, ''), CASE WHEN strlen(d.text) > 1024 THEN '... (truncated) ...' || chr(10) ELSE '' END) END AS dump FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, '' ORDER BY ofs) AS dump FROM o GROUP BY doc_id) g ON g.doc_id = d.doc_id""")
+o AS (SELECT doc_id, ofs, concat('0x', printf('%04X', ofs), ':   ', rpad(concat(rtrim(digits), CASE WHEN k = 8 THEN '  ' ELSE ' ' END), 50, ' '),
+' |', letters, '|', chr(10)) AS line FROM r)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN concat(coalesce(g.dump, ''), CASE WHEN strlen(d.text) > 1024 THEN '... (truncated) ...' || chr(10)
+ELSE '' END) END AS dump FROM documents d LEFT JOIN (SELECT doc_id, string_agg(line, '' ORDER BY ofs) AS dump FROM o
+GROUP BY doc_id) g ON g.doc_id = d.doc_id""")
 def scl45_hex_dump(spark, d):
     """Hex dump of each text's bytes, cut after 1,024 of them with a note (that is the feature)."""
     from photonlake.sources.layout import hex_dumps
@@ -280,7 +296,8 @@ def scl47_row_digest(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(F.concat(*parts).cast("binary"), 256).alias("digest"))
 
 
-@query(f"{WITH} SELECT doc_id, CASE WHEN image_width < 160 OR image_height < 160 THEN TRUE WHEN least(image_width, image_height) < 256 AND greatest(image_width, image_height) / least(image_width, image_height) >= 3.5 THEN TRUE ELSE FALSE END AS skip FROM files")
+@query(f"""{WITH} SELECT doc_id, CASE WHEN image_width < 160 OR image_height < 160 THEN TRUE WHEN least(image_width, image_height) < 256
+AND greatest(image_width, image_height) / least(image_width, image_height) >= 3.5 THEN TRUE ELSE FALSE END AS skip FROM files""")
 def flt11_face_shape(spark, d):
     return FILES.df(spark, d).select("doc_id", stages.too_narrow().alias("skip"))
 
@@ -321,11 +338,13 @@ def src5_split_media(spark, d):
 def src20_probe(spark, d):
     from photonlake.sources.manifests import probed
 
-    json = F.expr("""concat('{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":640,"height":480}],"format":{"duration":"', if(doc_id % 3 = 0, 'N/A', CAST(n_chars / 10 AS string)), '"}}')""")
+    json = F.expr("""concat('{"streams":[{"codec_type":"audio"},{"codec_type":"video","width":640,"height":480}],"format":{"duration":"', if(doc_id % 3 = 0, 'N/A',
+CAST(n_chars / 10 AS string)), '"}}')""")
     return _docs(spark, d).select("doc_id", probed(json).alias("p")).select("doc_id", "p.duration", "p.width")
 
 
-@query(f"{WITH} SELECT split_part(file_name, '/', 1) AS grp, CAST(least(count(*), 10) AS BIGINT) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM files GROUP BY ALL")
+@query(f"""{WITH} SELECT split_part(file_name, '/', 1) AS grp, CAST(least(count(*), 10) AS BIGINT) AS n, min(doc_id) AS lo, max(doc_id) AS hi FROM files
+GROUP BY ALL""")
 def topk3_spread(spark, d):
     """Evenly spaced time stamps, at most ten."""
     rows = FILES.df(spark, d).groupBy(F.split_part("file_name", F.lit("/"), F.lit(1)).alias("grp")).agg(F.array_sort(F.collect_list("doc_id")).alias("ts"))
@@ -333,7 +352,8 @@ def topk3_spread(spark, d):
     return rows.select("grp", F.size(s).cast("long").alias("n"), F.array_min(s).alias("lo"), F.array_max(s).alias("hi"))
 
 
-@query(f"{WITH}, g AS (SELECT split_part(file_name, '/', 1) AS grp, doc_id, 3 AS size, row_number() OVER (PARTITION BY split_part(file_name, '/', 1) ORDER BY doc_id) AS n FROM files) SELECT grp, doc_id, CAST(greatest(least(3, 20 - 3 * (n - 1)), 0) AS INT) AS kept FROM g")
+@query(f"""{WITH}, g AS (SELECT split_part(file_name, '/', 1) AS grp, doc_id, 3 AS size, row_number() OVER (PARTITION BY split_part(file_name, '/', 1)
+ORDER BY doc_id) AS n FROM files) SELECT grp, doc_id, CAST(greatest(least(3, 20 - 3 * (n - 1)), 0) AS INT) AS kept FROM g""")
 def topk2_face_cap(spark, d):
     """The first faces of each file up to a number."""
     g = F.struct("doc_id", F.array(F.lit(1), F.lit(2), F.lit(3)).alias("face_embeddings"))
@@ -359,11 +379,14 @@ _GREY = "((doc_id * 31 + y * 17 + x * 7 + (x * y * (doc_id % 5 + 1)) % 64) % 256
 _LOW = "CASE WHEN {0} = 0 THEN sqrt(1.0 / 32) ELSE sqrt(2.0 / 32) * cos(pi() * (2 * {1} + 1) * {0} / 64) END"
 
 
-@query(f"""WITH img AS (SELECT DISTINCT doc_id % 500 AS doc_id FROM documents), px AS (SELECT doc_id, y, x, {_GREY} AS g FROM img, (SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x)),
+@query(f"""WITH img AS (SELECT DISTINCT doc_id % 500 AS doc_id FROM documents), px AS (SELECT doc_id, y, x, {_GREY} AS g FROM img,
+(SELECT unnest(range(32)) AS y), (SELECT unnest(range(32)) AS x)),
 basis AS (SELECT k, p, {_LOW.format('k', 'p')} AS c FROM (SELECT unnest(range(8)) AS k), (SELECT unnest(range(32)) AS p)),
-across AS (SELECT doc_id, y, b.k AS v, sum(g * b.c) AS s FROM px JOIN basis b ON b.p = x GROUP BY ALL), low AS (SELECT doc_id, b.k AS u, v, sum(s * b.c) AS s FROM across JOIN basis b ON b.p = y GROUP BY ALL),
+across AS (SELECT doc_id, y, b.k AS v, sum(g * b.c) AS s FROM px JOIN basis b ON b.p = x GROUP BY ALL), low AS (SELECT doc_id, b.k AS u, v,
+sum(s * b.c) AS s FROM across JOIN basis b ON b.p = y GROUP BY ALL),
 mid AS (SELECT doc_id, median(s) AS m FROM low WHERE u + v > 0 GROUP BY doc_id)
-SELECT d.doc_id, bits FROM documents d JOIN (SELECT l.doc_id, list(u * 8 + v ORDER BY u, v) FILTER (WHERE s > m) AS bits FROM low l JOIN mid USING (doc_id) GROUP BY l.doc_id) h ON h.doc_id = d.doc_id % 500""")
+SELECT d.doc_id, bits FROM documents d JOIN (SELECT l.doc_id, list(u * 8 + v ORDER BY u, v) FILTER (WHERE s > m) AS bits FROM low l
+JOIN mid USING (doc_id) GROUP BY l.doc_id) h ON h.doc_id = d.doc_id % 500""")
 def scl29_phash(spark, d):
     """Perceptual hash of grey 32 x 32 images: which of its 64 bits are set, for every row."""
     from photonlake.functions.images import phash

@@ -23,8 +23,10 @@ def _vector(spark, d: str, vec_id: int) -> list[float]:
 
 
 def _search(score: str, where: str, least: float, ids: str = "0") -> str:
-    return f"""{WITH}, scored AS (SELECT f.file_name, f.is_video, f.timestamp_sec, max({score}) AS score FROM frames f, frames q WHERE q.vec_id IN ({ids}) AND {where} GROUP BY ALL),
-    best AS (SELECT file_name, unnest(max_by(struct_pack(is_video := is_video, timestamp_sec := timestamp_sec, score := score), struct_pack(a := score, b := -timestamp_sec))) FROM scored WHERE score >= {least} GROUP BY file_name)
+    return f"""{WITH}, scored AS (SELECT f.file_name, f.is_video, f.timestamp_sec, max({score}) AS score FROM frames f, frames q WHERE q.vec_id IN ({ids})
+AND {where} GROUP BY ALL),
+    best AS (SELECT file_name, unnest(max_by(struct_pack(is_video := is_video, timestamp_sec := timestamp_sec, score := score),
+struct_pack(a := score, b := -timestamp_sec))) FROM scored WHERE score >= {least} GROUP BY file_name)
     SELECT file_name, is_video, timestamp_sec, score, CAST(row_number() OVER (ORDER BY score DESC, file_name) AS INT) AS rank FROM best"""
 
 
@@ -86,7 +88,8 @@ def flt16_without_seed(spark, d):
     return search.ranked(search.search(FRAMES.df(spark, d), _vector(spark, d, 0)).filter("file_name <> 'c0/d0/f0.mp4'").drop("rank"))
 
 
-@query(f"""{WITH}, s AS (SELECT f.vec_id AS left_id, q.vec_id AS right_id, {DOT} AS score FROM frames f, frames q WHERE f.file_name = 'c1/d0/f5.jpg' AND q.file_name = 'c2/d1/f6.jpg')
+@query(f"""{WITH}, s AS (SELECT f.vec_id AS left_id, q.vec_id AS right_id, {DOT} AS score FROM frames f, frames q WHERE f.file_name = 'c1/d0/f5.jpg'
+AND q.file_name = 'c2/d1/f6.jpg')
 SELECT * FROM s ORDER BY score DESC, left_id, right_id LIMIT 1""")
 def sim7_best_pair(spark, d):
     """The most alike pair of vectors of two files."""
@@ -94,8 +97,10 @@ def sim7_best_pair(spark, d):
     return search.best_pair(rows.filter("file_name = 'c1/d0/f5.jpg'"), rows.filter("file_name = 'c2/d1/f6.jpg'"))
 
 
-@query(f"""{WITH}, s AS (SELECT f.vec_id AS left_id, q.vec_id AS right_id, {DOT} AS score FROM frames f, frames q WHERE f.file_name = 'c1/d0/f5.jpg' AND q.is_video)
-SELECT q.file_name, t.left_id, t.score, concat(q.file_name, '#', q.timestamp_sec) AS image_file FROM (SELECT * FROM s WHERE score >= 0.2 ORDER BY score DESC, left_id, right_id LIMIT 1) t JOIN frames q ON q.vec_id = t.right_id""")
+@query(f"""{WITH}, s AS (SELECT f.vec_id AS left_id, q.vec_id AS right_id, {DOT} AS score FROM frames f, frames q WHERE f.file_name = 'c1/d0/f5.jpg'
+AND q.is_video)
+SELECT q.file_name, t.left_id, t.score, concat(q.file_name, '#', q.timestamp_sec) AS image_file FROM (SELECT * FROM s WHERE score >= 0.2
+ORDER BY score DESC, left_id, right_id LIMIT 1) t JOIN frames q ON q.vec_id = t.right_id""")
 def sim8_photo_to_video(spark, d):
     """A photo's best match among the videos' faces, with the nearest still."""
     rows = FRAMES.df(spark, d)
@@ -107,8 +112,10 @@ def sim8_photo_to_video(spark, d):
     return wanted.join(near, ["file_name", "seconds"]).select("file_name", "left_id", "score", "image_file")
 
 
-PAIRS = f"""{WITH}, u AS (SELECT file_name, vector FROM frames WHERE timestamp_sec = 0 AND NOT is_video), pairs AS (SELECT f.file_name, q.file_name AS candidate, {COSINE} AS score FROM u f JOIN u q ON f.file_name <> q.file_name)
-SELECT file_name, candidate, score, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_name ORDER BY score DESC, candidate) AS INT) AS n FROM pairs) WHERE n <= 64"""
+PAIRS = f"""{WITH}, u AS (SELECT file_name, vector FROM frames WHERE timestamp_sec = 0 AND NOT is_video), pairs AS (SELECT f.file_name, q.file_name AS candidate,
+{COSINE} AS score FROM u f JOIN u q ON f.file_name <> q.file_name)
+SELECT file_name, candidate, score, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file_name ORDER BY score DESC, candidate) AS INT) AS n
+FROM pairs) WHERE n <= 64"""
 
 
 @query(PAIRS)
@@ -135,7 +142,8 @@ def join8_eligible(spark, d):
 
 
 @query(f"""{WITH}, wanted AS (SELECT DISTINCT file_name, CAST(length(file_name) % 4 AS DOUBLE) * 0.7 AS seconds FROM frames)
-SELECT w.file_name, w.seconds, min_by(f.vec_id, struct_pack(a := abs(f.timestamp_sec - w.seconds), b := f.timestamp_sec)) AS image_file FROM wanted w JOIN frames f ON f.file_name = w.file_name GROUP BY ALL""")
+SELECT w.file_name, w.seconds, min_by(f.vec_id, struct_pack(a := abs(f.timestamp_sec - w.seconds), b := f.timestamp_sec)) AS image_file FROM wanted w
+JOIN frames f ON f.file_name = w.file_name GROUP BY ALL""")
 def sim10_nearest_still(spark, d):
     """The frame nearest to a time."""
     rows = FRAMES.df(spark, d)
@@ -160,10 +168,14 @@ def sim12_dimensions(spark, d):
 def _text(query_: str, terms: list[str], phrase: str, quoted: bool, least: float, where: str = "TRUE") -> str:
     hits = " + ".join(f"CAST(contains(text_lower, '{t}') AS INT)" for t in terms)
     share = "1.0" if quoted else f"({hits}) / {float(len(terms))}"
-    return f"""{WITH}, found AS (SELECT file_name, is_video, timestamp_sec, {hits} AS term_hits, contains(text_lower, '{phrase}') AS phrase_hit, round({share}, 5) AS score FROM files WHERE {where}),
-    best AS (SELECT file_name, unnest(max_by(struct_pack(is_video := is_video, timestamp_sec := timestamp_sec, score := score, term_hits := term_hits), struct_pack(a := term_hits * 1000 + CASE WHEN term_hits = {len(terms)} THEN 100 ELSE 0 END + CASE WHEN phrase_hit THEN 10 ELSE 0 END, b := -timestamp_sec)))
+    return f"""{WITH}, found AS (SELECT file_name, is_video, timestamp_sec, {hits} AS term_hits, contains(text_lower, '{phrase}') AS phrase_hit, round({share},
+5) AS score FROM files WHERE {where}),
+    best AS (SELECT file_name, unnest(max_by(struct_pack(is_video := is_video, timestamp_sec := timestamp_sec, score := score,
+term_hits := term_hits), struct_pack(a := term_hits * 1000 + CASE WHEN term_hits = {len(terms)} THEN 100 ELSE 0 END + CASE WHEN phrase_hit THEN 10
+ELSE 0 END, b := -timestamp_sec)))
       FROM found WHERE {'phrase_hit' if quoted else 'term_hits > 0'} AND score >= {least} GROUP BY file_name)
-    SELECT file_name, is_video, timestamp_sec, CAST(score AS DOUBLE) AS score, term_hits, {len(terms)} AS query_terms, {quoted} AS is_phrase, CAST(row_number() OVER (ORDER BY score DESC, file_name) AS INT) AS rank FROM best"""
+    SELECT file_name, is_video, timestamp_sec, CAST(score AS DOUBLE) AS score, term_hits, {len(terms)} AS query_terms, {quoted} AS is_phrase,
+CAST(row_number() OVER (ORDER BY score DESC, file_name) AS INT) AS rank FROM best"""
 
 
 @query(_text("", ["idiot", "the", "licensed"], "idiot the licensed", False, 0.5))
@@ -178,8 +190,10 @@ def scl20_ocr_phrase(spark, d):
     return search.search_text(FILES.df(spark, d), '"in the"')
 
 
-@query(f"""{WITH}, one AS (SELECT f.file_name, f.is_video, {DOT} AS score FROM frames f, frames q WHERE q.vec_id = 0 AND f.timestamp_sec = 0), k AS (SELECT *, CASE WHEN is_video THEN file_name ELSE split_part(file_name, '/', 2) END AS key FROM one),
-top AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, file_name) AS n FROM k) SELECT file_name, is_video, score, CAST(row_number() OVER (ORDER BY score DESC, file_name) AS INT) AS rank FROM top WHERE n = 1""")
+@query(f"""{WITH}, one AS (SELECT f.file_name, f.is_video, {DOT} AS score FROM frames f, frames q WHERE q.vec_id = 0 AND f.timestamp_sec = 0), k AS (SELECT *,
+CASE WHEN is_video THEN file_name ELSE split_part(file_name, '/', 2) END AS key FROM one),
+top AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, file_name) AS n FROM k) SELECT file_name, is_video, score,
+CAST(row_number() OVER (ORDER BY score DESC, file_name) AS INT) AS rank FROM top WHERE n = 1""")
 def agg10_collapse(spark, d):
     """The best result of each group of images; videos stand alone."""
     rows = FRAMES.df(spark, d).filter("timestamp_sec = 0").withColumn("score", F.round(vectors.best_score(F.col("vector"), [_vector(spark, d, 0)]), 5)).select("file_name", "is_video", "score")
@@ -188,7 +202,8 @@ def agg10_collapse(spark, d):
 
 
 def _order(by: str) -> str:
-    return f"""{WITH}, r AS (SELECT file_name, CAST(doc_id % 10 AS DOUBLE) / 10 AS score, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 50 END AS date_sec FROM files)
+    return f"""{WITH}, r AS (SELECT file_name, CAST(doc_id % 10 AS DOUBLE) / 10 AS score, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 50 END AS date_sec
+FROM files)
     SELECT file_name, score, date_sec, CAST(row_number() OVER (ORDER BY {by}, file_name) AS INT) AS rank FROM r"""
 
 
@@ -217,7 +232,8 @@ def sort3_paths(spark, d):
     return search.numbered(PATHS.df(spark, d).select("path"), [F.col("path").desc()], "place")
 
 
-@query(f"{WITH}, r AS (SELECT file_name, row_number() OVER (PARTITION BY split_part(file_name, '/', 1) ORDER BY file_name) AS n FROM files) SELECT file_name FROM r WHERE n = 1")
+@query(f"""{WITH}, r AS (SELECT file_name, row_number() OVER (PARTITION BY split_part(file_name, '/', 1) ORDER BY file_name) AS n FROM files) SELECT file_name
+FROM r WHERE n = 1""")
 def win2_first_seen(spark, d):
     return search.first_of(FILES.df(spark, d).withColumn("key", F.split_part("file_name", F.lit("/"), F.lit(1))), "key", "file_name").select("file_name")
 
@@ -227,7 +243,8 @@ def win1_rank(spark, d):
     return search.ranked(FILES.df(spark, d).select("file_name", F.lit(1.0).alias("score"))).select("file_name", "rank")
 
 
-@query(f"{WITH}, r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('p', doc_id % 40) END AS media_path FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY media_path ORDER BY doc_id) AS k FROM r WHERE media_path IS NOT NULL) SELECT doc_id, media_path FROM n WHERE k = 1")
+@query(f"""{WITH}, r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('p', doc_id % 40) END AS media_path FROM files), n AS (SELECT *,
+row_number() OVER (PARTITION BY media_path ORDER BY doc_id) AS k FROM r WHERE media_path IS NOT NULL) SELECT doc_id, media_path FROM n WHERE k = 1""")
 def flt15_gallery(spark, d):
     """The first result of each media path; results without one go."""
     return search.first_of(FILES.df(spark, d).selectExpr("doc_id", "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('p', doc_id % 40) END AS media_path"), "media_path", "doc_id")
@@ -259,7 +276,8 @@ def src9_clip_frames(spark, d):
     return tables.clip_rows(grouped).join(grouped.select("file_name", "is_video"), "file_name").select("file_name", "is_video", "timestamp_sec", F.size("vector").alias("dim"))
 
 
-@query(f"{WITH} SELECT concat(file_name, '|', printf('%.3f', timestamp_sec), '|0') AS id, file_name, timestamp_sec, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x)), 4) AS length FROM frames")
+@query(f"""{WITH} SELECT concat(file_name, '|', printf('%.3f', timestamp_sec), '|0') AS id, file_name, timestamp_sec, round(list_sum(list_transform(vector,
+lambda x: CAST(x AS DOUBLE) * x)), 4) AS length FROM frames""")
 def src10_face_frames(spark, d):
     """One row for each face, at length 1."""
     grouped = FRAMES.df(spark, d).groupBy("file_name").agg(F.collect_list(F.struct("timestamp_sec", F.array("vector").alias("face_embeddings"))).alias("face_groups"))
@@ -267,7 +285,8 @@ def src10_face_frames(spark, d):
     return rows.select("id", "file_name", "timestamp_sec", F.round(vectors.norm(vectors.unit(F.col("vector"))), 4).alias("length"))
 
 
-@query(f"{WITH} SELECT concat(file_name, '|', printf('%.3f', timestamp_sec)) AS id, md5(lower(trim(text, ' '))) AS text_md5 FROM files WHERE doc_id % 3 <> 0 AND trim(text, ' ') <> ''")
+@query(f"""{WITH} SELECT concat(file_name, '|', printf('%.3f', timestamp_sec)) AS id, md5(lower(trim(text, ' '))) AS text_md5 FROM files WHERE doc_id % 3 <> 0
+AND trim(text, ' ') <> ''""")
 def src11_ocr_frames(spark, d):
     """Text of frames in which some was found."""
     grouped = FILES.df(spark, d).selectExpr("file_name", "array(named_struct('timestamp_sec', timestamp_sec, 'text_detected', doc_id % 3 <> 0, 'text', text)) AS ocr_groups")
@@ -284,7 +303,9 @@ def src7_projected(spark, d):
     return FILES.df(spark, d).select("file_name", "source_size")
 
 
-@query(f"{WITH} SELECT 'copies' AS part, count(*) AS n FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT 'times', count(*) FROM files WHERE source_mtime_ns IS NOT NULL UNION ALL SELECT 'skipped', count(*) FROM files WHERE is_video UNION ALL SELECT 'edges', count(*) FROM edges WHERE checked")
+@query(f"""{WITH} SELECT 'copies' AS part, count(*) AS n FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT 'times', count(*) FROM files
+WHERE source_mtime_ns IS NOT NULL UNION ALL SELECT 'skipped', count(*) FROM files WHERE is_video UNION ALL SELECT 'edges', count(*) FROM edges
+WHERE checked""")
 def src8_derived(spark, d):
     """Sizes of the tables that are derived from one scan of the index."""
     files, edges = FILES.df(spark, d), EDGES.df(spark, d)
@@ -293,7 +314,8 @@ def src8_derived(spark, d):
     return rows.unionByName(edges.filter("checked").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("part"), "n"))
 
 
-@query("SELECT CAST(props AS VARCHAR) IS NOT NULL AS has, event_type, count(*) AS n, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 2) AS total FROM events GROUP BY ALL")
+@query("""SELECT CAST(props AS VARCHAR) IS NOT NULL AS has, event_type, count(*) AS n, round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 2) AS total FROM events
+GROUP BY ALL""")
 def src12_typed(spark, d):
     """Columns under declared types."""
     rows = table(spark, d, "events").select(F.col("props").cast("string").isNotNull().alias("has"), F.col("event_type").cast("string").alias("event_type"), F.col("value").cast("float").alias("value"))
@@ -314,14 +336,17 @@ def src14_roots(spark, d):
     return roots.loaded(raw)
 
 
-@query(f"{WITH}, s AS (SELECT DISTINCT split_part(file_name, '/', 1) AS collection_id, substr(file_name, instr(file_name, '/') + 1) AS rel FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY rel) AS k FROM s) SELECT collection_id, rel FROM n WHERE k <= 16")
+@query(f"""{WITH}, s AS (SELECT DISTINCT split_part(file_name, '/', 1) AS collection_id, substr(file_name, instr(file_name, '/') + 1) AS rel FROM files),
+n AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY rel) AS k FROM s) SELECT collection_id, rel FROM n WHERE k <= 16""")
 def src15_samples(spark, d):
     from photonlake.sources import roots
 
     return roots.samples(FILES.df(spark, d))
 
 
-@query(f"{WITH}, s AS (SELECT DISTINCT split_part(file_name, '/', 1) AS collection_id, substr(file_name, instr(file_name, '/') + 1) AS rel FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY rel) AS k FROM s) SELECT collection_id, '/b' AS root_path, count(*) AS hits FROM n WHERE k <= 16 GROUP BY collection_id")
+@query(f"""{WITH}, s AS (SELECT DISTINCT split_part(file_name, '/', 1) AS collection_id, substr(file_name, instr(file_name, '/') + 1) AS rel FROM files),
+n AS (SELECT *, row_number() OVER (PARTITION BY collection_id ORDER BY rel) AS k FROM s) SELECT collection_id, '/b' AS root_path, count(*) AS hits
+FROM n WHERE k <= 16 GROUP BY collection_id""")
 def src16_discovered(spark, d):
     """The candidate folder that holds most of a collection's samples."""
     from photonlake.sources import roots
@@ -332,7 +357,8 @@ def src16_discovered(spark, d):
     return roots.discovered(s, candidates, there)
 
 
-@query(f"{WITH} SELECT file_name, CASE WHEN n_name IS NOT NULL THEN concat('/media/', lower(n_name), '/', substr(file_name, instr(file_name, '/') + 1)) END AS source_path FROM files LEFT JOIN nation ON split_part(file_name, '/', 1) = concat('src', n_nationkey) AND n_nationkey % 5 <> 0")
+@query(f"""{WITH} SELECT file_name, CASE WHEN n_name IS NOT NULL THEN concat('/media/', lower(n_name), '/', substr(file_name, instr(file_name,
+'/') + 1)) END AS source_path FROM files LEFT JOIN nation ON split_part(file_name, '/', 1) = concat('src', n_nationkey) AND n_nationkey % 5 <> 0""")
 def join9_source_path(spark, d):
     from photonlake.sources import roots
 
@@ -368,8 +394,10 @@ def join14_names(spark, d):
 
 
 @query(f"""{WITH}, mapped AS (SELECT DISTINCT concat('/m/', split_part(file_name, '/', 1)) AS root FROM files WHERE split_part(file_name, '/', 1) <> 'src2'),
-asked AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN concat('/m/', source) WHEN 1 THEN concat('/m/', source, '/', lang) WHEN 2 THEN '/m' ELSE concat('/m/', source, 'x') END AS folder FROM documents)
-SELECT folder, EXISTS (SELECT 1 FROM mapped WHERE folder = root OR starts_with(folder, root || '/') OR starts_with(root, folder || '/')) AS mapped FROM asked""")
+asked AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN concat('/m/', source) WHEN 1 THEN concat('/m/', source, '/', lang) WHEN 2 THEN '/m'
+ELSE concat('/m/', source, 'x') END AS folder FROM documents)
+SELECT folder, EXISTS (SELECT 1 FROM mapped WHERE folder = root OR starts_with(folder, root || '/') OR starts_with(root, folder || '/')) AS mapped
+FROM asked""")
 def flt17_mapped_folders(spark, d):
     """Folders that lie in, hold, or are the root of some mapped collection; names that only begin alike don't count."""
     from photonlake.sources import roots

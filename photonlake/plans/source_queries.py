@@ -33,7 +33,8 @@ def src2_viewed(spark, d):
     return listing.media(_listing(spark, d), listing.VIEWED).select("path")
 
 
-@query("SELECT file AS path FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS file)")
+@query("""SELECT file AS path FROM (SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem',
+'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS file)""")
 def src3_flat(spark, d):
     """Names in one folder, in order."""
     rows = listing.listed(spark, d, recursive=_nested(spark, d))
@@ -52,7 +53,8 @@ def src4_folders(spark, d):
     return listing.folders(PATHS.df(spark, d), "/")
 
 
-@query("SELECT concat('c/', 'old/', o_orderkey) AS old_key, concat('c/chat', o_custkey % 2, '/', o_orderkey, '.jpg') AS new_key, concat('chat', o_custkey % 2) AS chat, o_orderkey AS size FROM orders WHERE o_orderkey % 3 <> 0")
+@query("""SELECT concat('c/', 'old/', o_orderkey) AS old_key, concat('c/chat', o_custkey % 2, '/', o_orderkey, '.jpg') AS new_key, concat('chat',
+o_custkey % 2) AS chat, o_orderkey AS size FROM orders WHERE o_orderkey % 3 <> 0""")
 def src17_manifest(spark, d):
     """A relocation manifest as a mapping."""
     where = f"{shared_dir(spark)}/photonlake-manifest-{uuid.uuid4().hex}"
@@ -89,8 +91,10 @@ def src19_exif(spark, d):
     return found.select(F.col("path").cast("long").alias("event_id"), dates.taken(F.col("original"), F.col("digitized"), F.col("changed")).alias("taken"))
 
 
-@query("""SELECT doc_id, part, name, "offset", length, description, CASE WHEN part = 1 THEN CAST(doc_id + 1 AS VARCHAR) END AS width, CASE WHEN part = 1 THEN 'RGB' END AS color FROM documents,
-(SELECT unnest([0, 1, 2]) AS part, unnest(['PNG Signature', 'IHDR', 'IEND']) AS name, unnest([0, 8, 33])::BIGINT AS "offset", unnest([8, 25, 12])::BIGINT AS length, unnest(['marks the file as PNG', 'size and pixel format', 'end of the image']) AS description)""")
+@query("""SELECT doc_id, part, name, "offset", length, description, CASE WHEN part = 1 THEN CAST(doc_id + 1 AS VARCHAR) END AS width, CASE WHEN part = 1
+THEN 'RGB' END AS color FROM documents,
+(SELECT unnest([0, 1, 2]) AS part, unnest(['PNG Signature', 'IHDR', 'IEND']) AS name, unnest([0, 8, 33])::BIGINT AS "offset", unnest([8, 25,
+12])::BIGINT AS length, unnest(['marks the file as PNG', 'size and pixel format', 'end of the image']) AS description)""")
 def src21_layout(spark, d):
     """Parts of binary files, what they are and what they hold."""
     png = F.concat(F.unhex(F.lit("89504E470D0A1A0A" + "0000000D" + "49484452")), F.unhex(F.lpad(F.hex(F.col("doc_id") + 1), 8, "0")), F.unhex(F.lit("00000003" + "0802000000" + "00000000" + "0000000049454E44AE426082")))
@@ -144,8 +148,11 @@ def snk11_patched(spark, d):
 
 
 @query(f"""{WITH}, n AS (SELECT DISTINCT file_name, is_video FROM frames), g AS (SELECT file_name FROM n WHERE file_name LIKE 'c1/d0/%'),
-s AS (SELECT a.file_name AS master, b.file_name, b.is_video FROM n a JOIN n b ON split_part(a.file_name, '/', 2) = split_part(b.file_name, '/', 2) AND length(a.file_name) = length(b.file_name) AND a.file_name <> b.file_name AND right(replace(a.file_name, '.jpg', ''), 1) = right(replace(b.file_name, '.jpg', ''), 1)),
-m AS (SELECT file_name FROM g UNION SELECT s.file_name FROM s JOIN g ON s.master = g.file_name WHERE NOT s.is_video) SELECT f.vec_id FROM frames f JOIN m ON f.file_name = m.file_name WHERE NOT f.is_video""")
+s AS (SELECT a.file_name AS master, b.file_name, b.is_video FROM n a JOIN n b ON split_part(a.file_name, '/', 2) = split_part(b.file_name, '/', 2)
+AND length(a.file_name) = length(b.file_name) AND a.file_name <> b.file_name AND right(replace(a.file_name, '.jpg', ''),
+1) = right(replace(b.file_name, '.jpg', ''), 1)),
+m AS (SELECT file_name FROM g UNION SELECT s.file_name FROM s JOIN g ON s.master = g.file_name WHERE NOT s.is_video) SELECT f.vec_id FROM frames f
+JOIN m ON f.file_name = m.file_name WHERE NOT f.is_video""")
 def sim6_seed_vectors(spark, d):
     """Vectors of a person: of the seed file, its group and their similar images (here: files of one folder whose names are as long and end alike)."""
     rows = FRAMES.df(spark, d)
@@ -159,7 +166,8 @@ def sim6_seed_vectors(spark, d):
 _COUNTS = "doc_id, CAST(doc_id % 90 AS INT) AS keypoints_a, CAST(n_chars % 70 AS INT) AS keypoints_b, CAST(doc_id % 50 AS INT) AS good, CAST(least(doc_id % 50, n_chars % 45) AS INT) AS inliers"
 
 
-@query(f"""SELECT doc_id, CASE WHEN good > 0 THEN CAST(inliers AS DOUBLE) / good ELSE 0.0 END AS ratio, CASE WHEN least(keypoints_a, keypoints_b) > 0 THEN CAST(inliers AS DOUBLE) / least(keypoints_a, keypoints_b) ELSE 0.0 END AS score,
+@query(f"""SELECT doc_id, CASE WHEN good > 0 THEN CAST(inliers AS DOUBLE) / good ELSE 0.0 END AS ratio, CASE WHEN least(keypoints_a, keypoints_b) > 0
+THEN CAST(inliers AS DOUBLE) / least(keypoints_a, keypoints_b) ELSE 0.0 END AS score,
 inliers >= 10 AND good > 0 AND CAST(inliers AS DOUBLE) / good >= 0.75 AS ok FROM (SELECT {_COUNTS} FROM documents)""")
 def sim14_pair_metrics(spark, d):
     """Figures of pairs of images out of counts of keypoints, good matches and inliers that a matcher gave; counts may be 0."""

@@ -60,14 +60,16 @@ def str3_current_results(spark, d):
     return index_stream.current(rows, rows.select("session", "generation")).select("event_id", F.col("session").alias("user_id"))
 
 
-@query("""SELECT event_type, list(event_id ORDER BY event_id) FILTER (WHERE n <= 512) AS ids, count(*) FILTER (WHERE n > 512) AS dropped FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) GROUP BY event_type""")
+@query("""SELECT event_type, list(event_id ORDER BY event_id) FILTER (WHERE n <= 512) AS ids, count(*) FILTER (WHERE n > 512) AS dropped
+FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) GROUP BY event_type""")
 def str5_ring(spark, d):
     """The newest 512 events of each kind, and how many were dropped."""
     found = index_stream.ring(table(spark, d, "events").select("event_type", "event_id"), "event_type", "event_id")
     return found.select("event_type", F.col("events.event_id").alias("ids"), "dropped")
 
 
-@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS asked FROM events), p AS (SELECT event_type, min(asked) FILTER (WHERE event_id % 97 = 0) AS ready FROM e WHERE event_type <> 'click' GROUP BY event_type)
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS asked FROM events), p AS (SELECT event_type,
+min(asked) FILTER (WHERE event_id % 97 = 0) AS ready FROM e WHERE event_type <> 'click' GROUP BY event_type)
 SELECT e.event_id, CASE WHEN p.ready IS NOT NULL THEN greatest(e.asked, p.ready) END AS answered FROM e LEFT JOIN p USING (event_type)""")
 def str7_answered(spark, d):
     """Requests that need data of a later phase of loading wait for it."""
