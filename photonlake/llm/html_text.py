@@ -219,7 +219,8 @@ def blocks_of(html: str | None) -> list[str]:
     """The article's blocks, each with single spaces, in page order.
 
     A line is rich if both its ratio and its smoothed ratio lie in the upper cluster. Seeds are the rich lines outside marked containers (without such, all rich
-    lines; without those, all lines). The region is the page's articles if they hold all seeds, else the smallest container that does. Of its lines go
+    lines; without those, all lines). The region is the page's article and main elements, all of them, if they hold at least half of the seeds' text; else the smallest container that
+    holds all seeds (there, article elements are teasers or the like). Of its lines go
 
     * those of a marked container for which too little speaks: one for mostly rich text, one for a place among the seeds, one against for many links, less its weight;
     * outside article elements, links in a row of three or more, and before the first and after the last seed poor lines that are links or
@@ -239,11 +240,12 @@ def blocks_of(html: str | None) -> list[str]:
     seeds = [i for i in seeds if dropped.isdisjoint(lines[i].marks)] or shown
     if not shown:
         return []
-    # The region must hold every seed: no share of them is given up.
     held = sorted({lines[i].region for i in seeds})
     articles = {r for r in range(1, len(page.kinds)) if page.kinds[r] in ("article", "main")}
-    if all(_within(page.parents, r, articles) for r in held):
+    own = {r for r in held if _within(page.parents, r, articles)}
+    if 2 * sum(len(lines[i].text) for i in seeds if lines[i].region in own) >= sum(len(lines[i].text) for i in seeds):
         return [lines[i].text for i in shown if _within(page.parents, lines[i].region, articles)]
+    # The region must hold every seed: no share of them is given up.
     chosen = held[0]  # the innermost that holds all
     while not all(_within(page.parents, r, {chosen}) for r in held):
         chosen = page.parents[chosen]

@@ -230,6 +230,13 @@ def test_captions_formulas_and_short_lines_stay():
     assert html_text.blocks_of(html) == ["T", a, "Seen from above", "so x=2", "Yes.", b, "End."]
 
 
+def test_article_elements_hold_against_a_long_advert_but_not_as_teasers():
+    a, b, ad = paragraphs(60, 50, 45)
+    assert html_text.blocks_of(page(f"<div class='werbung'>{ad}</div><article><p>{a}</p><p>{b}</p></article>")) == [a, b]
+    teasers = "".join(f"<article><p>Teaser {k} of something else</p></article>" for k in range(2))
+    assert html_text.blocks_of(page(f"<div><p>{a}</p><p>{b}</p><p>{ad}</p></div>{teasers}"))[:3] == [a, b, ad]
+
+
 def test_clusters_of_ratios():
     lines = html_text.lines_of(page(f"<ul>{LINKS}</ul><p>{paragraphs(60)[0]}</p><p>{paragraphs(50)[0]}</p>")).lines
     raw = html_text.own_ratios(lines)
