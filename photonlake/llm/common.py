@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonlake.plans.storage import kept, shared_dir  # noqa: F401  (the operators take them from here)
 
 WHITE = b" \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch of rows: each task holds a few of them, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, if it is higher. Texts are long, and the limit on rows alone lets batches of any size through."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([bkmgt]?)b?", spark.conf.get(name).lower())
+    if not now or int(now[1]) << 10 * "bkmgt".find(now[2] or "b") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -59,6 +70,7 @@ def text_bytes(name: str = "text") -> Column:
 
 def map_rows(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[dict[str, list] | None]], schema: str, slices: int = 1000) -> DataFrame:
     """Run `rows` over column slices of at most `slices` rows; it yields dicts of equally long lists in the order of `schema`."""
+    small_batches(df.sparkSession)
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import ascii_lower_words, from_planes, kept, packed, planes, remainder, text_bytes, unpacked
+from photonlake.llm.common import ascii_lower_words, from_planes, kept, packed, planes, remainder, small_batches, text_bytes, unpacked
 
 #: Bytes of text in a block (one longer text is a block of its own), and bytes of text for each range of n-grams.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
@@ -251,6 +251,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus
     unless `stable` says that it does, as files do, it is written first. Equal 61-bit hashes count as one n-gram: among 10^8 distinct ones the chance of
     one such pair is 0.002.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id).cast("long").alias("id"), (remainder(id, modulus) != 0).alias("train"), text_bytes(text).alias("text"))
     if not stable:
         slim = kept(slim, "texts")
