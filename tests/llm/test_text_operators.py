@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from photonlake.llm import bpe, decontaminate, entries, line_dedup, lm, simhash, topk, toxicity
+from photonlake.llm import bpe, common, decontaminate, entries, line_dedup, lm, simhash, topk, toxicity
 
 WHITE = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -481,6 +481,18 @@ def test_toxicity_exceptions_and_missing_labels(spark):
     assert toxicity.score_texts(docs.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize(("before", "after"), [("64m", "8388608"), ("67108864b", "8388608"), ("1mb", "1mb"), ("4096", "4096")])
+def test_batches_of_texts_are_bounded(spark, before, after):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, before)
+        common.small_batches(spark)
+        assert spark.conf.get(name) == after
+    finally:
+        spark.conf.set(name, old)
+
+
 def test_folding():
     same = lambda a, b: toxicity.fold(a) == toxicity.fold(b)
     assert same("b\u200ba\u00add", "bad") and same("bàd́", "bad") and same("Ꭺss", "ass") and same("νile", "vile") and same("ｂａｄ", "bad") and same("b@d", "bad") and same("рrоvе", "prove")
