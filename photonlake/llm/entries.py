@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from photonlake.llm import bpe, chat, decontaminate, html_text, line_dedup, lm, simhash, topk, toxicity, warc
+from photonlake.llm import bpe, centroids, chat, chat_repair, decontaminate, html_text, line_dedup, lm, simhash, token_files, topk, toxicity, warc
 
 
 def vocabulary() -> str:
@@ -16,6 +16,13 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def byte_vocabulary() -> str:
+    """Where the public tokenizers keep the byte-level vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,9 +78,24 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_fiftieth(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits of all conversations; nulls are one space in roles, texts and the damage's key, a null id names a conversation like any other, repeated rows are rows of their own."""
+    return chat_repair.repair_digests(chat_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' ids; null texts are empty, null ids come first, repeated rows are written and returned each, an empty table gives no rows."""
+    return token_files.token_file_digests(_table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors of 64 finite components; others are left out, null ids and repeated rows are returned each, an empty table gives no rows."""
+    return centroids.sort_means(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_html_extraction, op5_warc, op6_decontamination, op7_chat_pairs, op8_bpe, op9_lm_scoring, op10_topk)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_html_extraction, op5_warc, op6_decontamination, op7_chat_pairs, op8_bpe, op9_lm_scoring, op10_topk, op11_conversation_repair, op12_token_files, op13_sort_means)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_decontamination": decontaminate.ORACLE, "op7_chat_pairs": chat.ORACLE, "op10_topk": topk.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_decontamination": decontaminate.ORACLE, "op7_chat_pairs": chat.ORACLE, "op10_topk": topk.ORACLE, "op11_conversation_repair": chat_repair.ORACLE, "op13_sort_means": centroids.ORACLE}
