@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from photonlake.operators import search, tables
+from photonlake.operators import descriptors, search, tables
 from photonlake.plans.registry import FILES, FRAMES, PATHS, WITH, query, table
 from photonlake.plans.storage import shared_dir
 from photonlake.sources import layout, listing, manifests
@@ -172,3 +172,48 @@ inliers >= 10 AND good > 0 AND CAST(inliers AS DOUBLE) / good >= 0.75 AS ok FROM
 def sim14_pair_metrics(spark, d):
     """Figures of pairs of images out of counts of keypoints, good matches and inliers that a matcher gave; counts may be 0."""
     return search.pair_metrics(table(spark, d, "documents").selectExpr(*_COUNTS.split(", CAST")[:1], *["CAST" + x for x in _COUNTS.split(", CAST")[1:]])).select("doc_id", "ratio", "score", "ok")
+
+
+#: Images made of vectors: 25 rows of `embeddings` are the keypoints of one (a), with places by their ids. Its candidate 0 is turned by 90 degrees and moved, has noise in its descriptors and every
+#: fifth keypoint elsewhere; candidate 1 has every second one elsewhere; candidate 2 has the descriptors of other images, so nothing matches.
+_POINTS = """k AS (SELECT CAST(floor(vec_id / 25) AS BIGINT) AS g, vec_id, embedding, CAST((vec_id * 37) % 640 AS DOUBLE) AS x, CAST((vec_id * vec_id * 13 + vec_id * 91) % 480 AS DOUBLE) AS y FROM embeddings),
+c AS (SELECT g, vec_id, n, embedding, 500 - y + CASE WHEN (n = 0 AND vec_id % 5 = 0) OR (n = 1 AND vec_id % 2 = 0) THEN 300 + (vec_id * 53) % 200 ELSE 0 END AS x, x + 7 + CASE WHEN n = 1 AND vec_id % 2 = 0 THEN 100 + (vec_id * 29) % 300 ELSE 0 END AS y,
+(n = 0 AND vec_id % 5 = 0) OR (n = 1 AND vec_id % 2 = 0) OR n = 2 AS elsewhere FROM k CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) t)"""
+_APART = "sqrt(list_sum(list_transform(list_zip(k.embedding, c.embedding, range(len(k.embedding))), lambda p: pow(CAST(p[1] AS DOUBLE) - (CASE WHEN c.n = 2 THEN -CAST(p[2] AS DOUBLE) ELSE CAST(p[2] AS DOUBLE) END + 0.01 * ((p[3] + c.vec_id) % 3 - 1)), 2))))"
+_MATCHED = f"""WITH {_POINTS}, d AS (SELECT k.g, c.n, k.vec_id, c.vec_id AS other, c.elsewhere, {_APART} AS d FROM k JOIN c ON k.g = c.g),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, n, vec_id ORDER BY d, other) AS place, lead(d) OVER (PARTITION BY g, n, vec_id ORDER BY d, other) AS next FROM d),
+s AS (SELECT g, n, count(*) AS keypoints, count(*) FILTER (d < 0.75 * next) AS good, count(*) FILTER (d < 0.75 * next AND vec_id = other AND NOT elsewhere) AS agree FROM r WHERE place = 1 GROUP BY g, n)"""
+
+
+def _images(spark, d):
+    """Pairs and features of the images made of vectors."""
+    rows = table(spark, d, "embeddings").selectExpr("CAST(floor(vec_id / 25) AS BIGINT) AS g", "vec_id", "embedding", "CAST((vec_id * 37) % 640 AS DOUBLE) AS x", "CAST((vec_id * vec_id * 13 + vec_id * 91) % 480 AS DOUBLE) AS y")
+    n, i = F.col("n"), F.col("vec_id")
+    moved = ((n == 0) & (i % 5 == 0)) | ((n == 1) & (i % 2 == 0))
+    noise = lambda v, at: F.when(n == 2, -v.cast("double")).otherwise(v.cast("double")) + 0.01 * ((at + i) % 3 - 1)
+    made = rows.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
+        F.concat(F.lit("c"), "g", F.lit("-"), "n").alias("file_name"), "vec_id", (500 - F.col("y") + F.when(moved, 300 + (i * 53) % 200).otherwise(0)).alias("x"),
+        (F.col("x") + 7 + F.when((n == 1) & (i % 2 == 0), 100 + (i * 29) % 300).otherwise(0)).alias("y"), F.transform("embedding", noise).alias("descriptor"),
+    )
+    own = rows.select(F.concat(F.lit("a"), "g").alias("file_name"), "vec_id", "x", "y", F.transform("embedding", lambda v: v.cast("double")).alias("descriptor"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y", "descriptor"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["descriptor"].alias("descriptor")))
+    features = own.unionByName(made).groupBy("file_name").agg(listed.alias("keypoints"))
+    pairs = rows.select("g").distinct().withColumn("n", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select("g", "n", F.concat(F.lit("a"), "g").alias("file_name"), F.concat(F.lit("c"), "g", F.lit("-"), "n").alias("candidate"))
+    return pairs, features
+
+
+@query(_MATCHED + """ SELECT g, n, CAST(keypoints AS INT) AS keypoints, CAST(good AS INT) AS good, CAST(CASE WHEN good < 4 THEN 0 ELSE agree END AS INT) AS inliers,
+CASE WHEN good > 0 THEN CASE WHEN good < 4 THEN 0 ELSE agree END / CAST(good AS DOUBLE) ELSE 0.0 END AS ratio, CASE WHEN good < 4 THEN 0 ELSE agree END / CAST(keypoints AS DOUBLE) AS score,
+good >= 4 AND agree >= 10 AND agree / CAST(good AS DOUBLE) >= 0.75 AS ok FROM s""")
+def sim14_matched(spark, d):
+    """Descriptors of pairs of images matched, and the matches that one homography explains: turned and moved copies with noise and strays."""
+    pairs, features = _images(spark, d)
+    return descriptors.matched(pairs, features).select("g", "n", F.col("keypoints_a").alias("keypoints"), "good", "inliers", "ratio", "score", "ok")
+
+
+@query(_MATCHED + """, o AS (SELECT *, agree / CAST(good AS DOUBLE) AS ratio, agree / CAST(keypoints AS DOUBLE) AS score FROM s WHERE good >= 4 AND agree >= 10 AND agree / CAST(good AS DOUBLE) >= 0.4)
+SELECT concat('a', g) AS file_name, concat('c', g, '-', n) AS candidate, CAST(agree AS INT) AS inliers FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY agree DESC, score DESC, n) AS place FROM o) WHERE place = 1""")
+def topk4_verified(spark, d):
+    """The candidate of each image that its keypoints confirm best."""
+    pairs, features = _images(spark, d)
+    return descriptors.best_candidates(descriptors.matched(pairs, features, least_ratio=0.4)).select("file_name", "candidate", "inliers")
