@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from photonlake.functions import groups, hashes, vectors
-from photonlake.operators import duplicates, graph, hamming, relocate, report, search, stages, tables
+from photonlake.operators import duplicates, graph, hamming, relocate, report, search, stages, tables, vector_index
 from photonlake.plans.registry import EDGES, FILES, FRAMES, WITH, query, table
+from photonlake.plans.storage import shared_dir
 
 PCT = "round_even((64 - {0}) * 100.0::DOUBLE / 64, 3)"
 D = "bit_count(xor(a.h, b.h))"
@@ -628,6 +631,17 @@ def snk5_synced(spark, d):
     return tables.synced(side, new, side.filter("file_name LIKE 'c1/%'"))
 
 
+@query(f"""{WITH}, changed AS (SELECT DISTINCT file_name FROM frames WHERE file_name LIKE 'c1/%')
+SELECT vec_id AS id, CASE WHEN file_name LIKE 'c1/%' THEN 'new' ELSE 'old' END AS state FROM frames WHERE file_name NOT LIKE 'c1/%' OR timestamp_sec < 2""")
+def snk5_index_refreshed(spark, d):
+    """A vector index after a run: the rows of changed files are coded again under the same centroids."""
+    rows = FRAMES.df(spark, d).select(F.col("vec_id").alias("id"), "file_name", "timestamp_sec", "vector").withColumn("state", F.lit("old"))
+    one, two = (f"{shared_dir(spark)}/photonlake-index-{uuid.uuid4().hex}" for _ in range(2))
+    vector_index.build(rows, one, 64)
+    vector_index.refreshed(spark, one, rows.filter("timestamp_sec < 2").withColumn("state", F.lit("new")), rows.filter("file_name LIKE 'c1/%'"), two)
+    return vector_index.opened(spark, two)[0].select("id", "state")
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def snk6_delete(spark, d):
     """Rows without those of some keys."""

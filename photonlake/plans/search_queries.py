@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from photonlake.functions import paths, vectors
-from photonlake.operators import search, tables
+from photonlake.operators import search, tables, vector_index
 from photonlake.plans.registry import EDGES, FILES, FRAMES, PATHS, WITH, query, table
+from photonlake.plans.storage import shared_dir
 
 DOT = "round(list_sum(list_transform(list_zip(f.vector, q.vector), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5)"
 NORM = "sqrt(list_sum(list_transform({0}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
@@ -76,6 +79,58 @@ def sim4_face_cosine(spark, d):
     return search.search_any(FRAMES.df(spark, d), _vectors(spark, d, 3, 4, 5), metric="cosine")
 
 
+def _indexed(spark, d):
+    """Frames in a vector index; every seventeenth has no vector."""
+    rows = FRAMES.df(spark, d).select(F.col("vec_id").alias("id"), "file_name", "is_video", "timestamp_sec", F.when(F.col("vec_id") % 17 != 0, F.col("vector")).alias("vector"))
+    path = f"{shared_dir(spark)}/photonlake-index-{uuid.uuid4().hex}"
+    vector_index.build(rows, path, 64)
+    return rows, path
+
+
+_NULL = f"CASE WHEN f.vec_id % 17 = 0 THEN 0.0 ELSE {COSINE} END"
+
+
+@query(_search(_NULL, "TRUE", 0.0, "1"))
+def sim2_index(spark, d):
+    """Threshold search in the index, from the cells that can hold results; frames without a vector score 0."""
+    _, path = _indexed(spark, d)
+    return vector_index.search_or_scan(spark, path, FRAMES.df(spark, d), _vector(spark, d, 1), 0.0)
+
+
+@query(_search(DOT, "f.is_video", 0.2, "1"))
+def sim2_fallback(spark, d):
+    """An index can't tell videos, so frames are scanned."""
+    _, path = _indexed(spark, d)
+    return vector_index.search_or_scan(spark, path, FRAMES.df(spark, d), _vector(spark, d, 1), 0.2, video_only=True)
+
+
+@query(_search(COSINE, "f.vec_id % 17 <> 0", 0.3, "3, 4, 5"))
+def sim4_index_union(spark, d):
+    """A search in the index for each of several faces, the best score of each file."""
+    _, path = _indexed(spark, d)
+    return vector_index.search_index(spark, path, _vectors(spark, d, 3, 4, 5), 0.3)
+
+
+@query(f"""{WITH}, s AS (SELECT q.vec_id AS query, f.vec_id AS id, {COSINE} AS score FROM frames f, frames q WHERE q.vec_id % 50 = 1 AND q.vec_id % 17 <> 0 AND f.vec_id % 17 <> 0)
+SELECT query, id, score, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM s) WHERE n <= 64""")
+def snk4_index_exact(spark, d):
+    """The 64 nearest by the index in exact mode."""
+    rows, path = _indexed(spark, d)
+    asked = rows.filter("id % 50 = 1").select(F.col("id").alias("query"), "vector")
+    return vector_index.nearest(*vector_index.opened(spark, path), asked, 64, exact=True)
+
+
+@query(f"""{WITH} SELECT count(*) AS queries, TRUE AS recalled FROM frames WHERE vec_id % 50 = 1 AND vec_id % 17 <> 0""")
+def snk4_index_recall(spark, d):
+    """Whether the index as fitted finds nine in ten of the 64 nearest that its exact mode finds."""
+    rows, path = _indexed(spark, d)
+    asked = rows.filter("id % 50 = 1").select(F.col("id").alias("query"), "vector")
+    opened = vector_index.opened(spark, path)
+    true, found = (vector_index.nearest(*opened, asked, 64, exact=e).select("query", "id") for e in (True, False))
+    both = true.withColumn("hit", F.lit(0)).unionByName(found.withColumn("hit", F.lit(1))).groupBy("query", "id").agg(F.count_if(F.col("hit") == 0).alias("t"), F.count_if(F.col("hit") == 1).alias("f"))
+    return both.agg(F.count_distinct("query").alias("queries"), (F.sum(F.when(F.col("t") > 0, F.col("f")).otherwise(0)) >= 0.9 * F.sum("t")).alias("recalled"))
+
+
 @query(f"""WITH base AS ({_search(DOT, "f.file_name <> 'c1/d0/f5.jpg'", 0.1, "16")})
 SELECT file_name, is_video, timestamp_sec, score, rank + 1 AS rank FROM base UNION ALL SELECT 'c1/d0/f5.jpg', FALSE, 1.0, 1.0, 1""")
 def sim5_more_like_this(spark, d):
