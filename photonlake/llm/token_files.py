@@ -15,11 +15,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from photonlake.llm.common import shared_dir, small_batches
 
 #: Encoded pieces that a worker keeps, and characters of the longest one among them.
-CACHED, LONGEST = 400_000, 40
-#: Documents of a batch that is read back.
-READ_ROWS = 4096
+CACHED, LONGEST = 500_000, 40
+#: Documents that are encoded, and that are read back, at a time.
+ROWS, READ_ROWS = 4096, 4096
 INDEX = "part string, n_docs long, n_null long, n_ids long, base long, width int"
 
 
@@ -64,33 +64,71 @@ class Encoder:
         )
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
+        marks = [(t["content"], t["id"]) for t in said.get("added_tokens", []) if t.get("special") and not t.get("normalized")]
+        self.border = marks[0] if self.cuts and marks else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    #: A space that a token starts with, whatever stands further away.
+    #: A space that a token starts with, whatever stands further away; and texts with other spaces.
     CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+    OTHER = r"(^|[^!-~\pL\pN]) | ([^!-~\pL\pN]|$)"
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of `kind`."""
-        if not self.cuts:
-            return self._ids(texts)
-        cut = [self.CUT.split(t) for t in texts]
-        firsts = self._ids([pieces[0] for pieces in cut])
-        later = set(chain.from_iterable(islice(pieces, 1, None) for pieces in cut))
-        new = list(later.difference(self.known))
-        if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, list(later)
-        known = self.known
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._ids([" " + p for p in new[at : at + 4096]])))
-        out = [first + b"".join(map(known.__getitem__, islice(pieces, 1, None))) for first, pieces in zip(firsts, cut)]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        if len(known) > CACHED:
-            known.clear()
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each after a space: many in one text, between added tokens, which end all others."""
+        if self.border is None or any(self.border[0] in p for p in pieces):
+            return self._ids([" " + p for p in pieces])
+        mark, number = self.border
+        ids = np.array(self.tokenizer.encode_batch_fast([f"{mark} " + f"{mark} ".join(pieces) + mark], add_special_tokens=False)[0].ids, dtype=self.kind)
+        at, data = np.flatnonzero(ids == number).tolist(), ids.tobytes()
+        return [data[(x + 1) * self.width : y * self.width] for x, y in zip(at, at[1:])]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, each after a space. What came up since the cache was last full, or in the time before that, is known."""
+        out = list(map(self.known.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if missing and self.older:
+            for i in missing:
+                out[i] = self.older.get(pieces[i])
+            again = {pieces[i]: out[i] for i in missing if out[i] is not None}
+            self.known.update(again)
+            missing = [i for i in missing if out[i] is None]
+        for at in range(0, len(missing), 2048):
+            part = missing[at : at + 2048]
+            found = self._new([pieces[i] for i in part])
+            for i, x in zip(part, found):
+                out[i] = x
+            self.known.update((pieces[i], x) for i, x in zip(part, found) if len(pieces[i]) <= LONGEST)
+        if len(self.known) > CACHED:
+            self.known, self.older = {}, self.known
+        return out
+
+    def encode(self, texts: pa.StringArray) -> list[bytes | memoryview]:
+        """The ids of each text (none null) as bytes of `kind`."""
+        if not self.cuts or not len(texts):
+            return self._ids(texts.to_pylist())
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.OTHER).to_numpy(zero_copy_only=False))
+        plain = np.setdiff1d(np.arange(len(texts)), odd)
+        split = pc.split_pattern(texts.take(pa.array(plain)), " ")
+        lists = [self.CUT.split(texts[int(i)].as_py()) for i in odd]
+        sizes = np.concatenate([split.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in lists]]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        pieces = pa.concat_arrays([split.flatten().cast(pa.string()), pa.array([p for x in lists for p in x], pa.string())])
+        firsts = ends - sizes
+        later = np.ones(len(pieces), dtype=bool)
+        later[firsts] = False
+        distinct = pieces.filter(pa.array(later)).dictionary_encode()
+        coded = pa.array(self._pieces(distinct.dictionary.to_pylist()), pa.large_binary()).take(distinct.indices)
+        offsets, data = np.frombuffer(coded.buffers()[1], dtype=np.int64, count=len(coded) + 1, offset=8 * coded.offset), memoryview(coded.buffers()[2] or b"")
+        heads = self._ids(pieces.take(pa.array(firsts)).to_pylist())
+        # Of the later pieces, those of text i begin after those of the texts before it.
+        begun = firsts - np.arange(len(texts))
+        out: list = [None] * len(texts)
+        for i, at in enumerate([*plain.tolist(), *odd.tolist()]):
+            a = int(begun[i])
+            out[at] = heads[i] + data[int(offsets[a]) : int(offsets[a + int(sizes[i]) - 1])]
         return out
 
 
@@ -125,9 +163,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
         try:
             files[1].write(np.array([0], dtype="<u8").tobytes())
             for batch in batches:
-                for a in range(0, batch.num_rows, 1000):
-                    some = batch.slice(a, 1000)
-                    coded = encode.encode(some.column(1).to_pylist())
+                for a in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(a, ROWS)
+                    coded = encode.encode(some.column(1))
                     files[0].write(b"".join(x for c in coded for x in (c, end)))
                     ends = at + np.cumsum([len(c) // encode.width + 1 for c in coded], dtype=np.uint64)
                     at = int(ends[-1])

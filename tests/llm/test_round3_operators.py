@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,10 +178,10 @@ def test_encoder_cuts_only_where_a_token_starts():
     signs = [*"ab1'!._\n\t   \x1c\x85\xa0é中́​　", "<|endoftext|>", " 's", " ", " ", "\U0001f600"]
     texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
     want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, dtype="<u2").tolist() for x in encode.encode(texts)] == [x.ids for x in want]
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in encode.encode(pa.array(texts))] == [x.ids for x in want]
     other = token_files.Encoder(entries.vocabulary())
     assert not other.cuts
-    assert np.frombuffer(other.encode(["Some words"])[0], dtype=other.kind).tolist() == other.tokenizer.encode("Some words", add_special_tokens=False).ids
+    assert np.frombuffer(other.encode(pa.array(["Some words"]))[0], dtype=other.kind).tolist() == other.tokenizer.encode("Some words", add_special_tokens=False).ids
 
 
 # Sort-means --------------------------------------------------------------------------------------------------------------------------------------------
