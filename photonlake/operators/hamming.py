@@ -1,7 +1,7 @@
 """Joins and clusters of hashes by Hamming distance.
 
 Hashes within a small distance agree on some combination of bit blocks, so these are equi-join keys; equal hashes are grouped
-first, so that copies meet once. The combinations grow with the number of hashes. At large distances they stay exact but select less.
+first, so that copies meet once. The combinations grow with the number of hashes. At large distances they select nothing; there hashes meet in cells (hamming_cells).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonlake.functions import hashes
+from photonlake.operators import hamming_cells
 from photonlake.operators.search import numbered
 from photonlake.plans.storage import kept
 
@@ -33,6 +34,10 @@ def block_masks(n: int, most: int) -> list[int]:
     return best[1]
 
 
+#: Distances from here on are looked for in cells.
+WIDE = 7
+
+
 def signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
@@ -42,7 +47,10 @@ def hash_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     made under the first of them only, so no step removes repeats."""
     one = kept(left.filter("h IS NOT NULL").select(F.col("h").alias("a")).distinct(), "hashes")
     two = kept(right.filter("h IS NOT NULL").select(F.col("h").alias("b")).distinct(), "hashes")
-    masks = F.array(*[F.lit(signed(m)) for m in block_masks(max(one.count(), two.count()), most)])
+    n = max(one.count(), two.count())
+    if most >= WIDE:
+        return hamming_cells.near_pairs(one, two, most, left is right, n)
+    masks = F.array(*[F.lit(signed(m)) for m in block_masks(n, most)])
     keyed = lambda rows, h: rows.select(h, F.posexplode(F.transform(masks, lambda m: F.col(h).bitwiseAND(m))).alias("mask", "value"))
     met = keyed(one, "a").join(keyed(two, "b"), ["mask", "value"])
     apart = F.col("a").bitwiseXOR(F.col("b"))

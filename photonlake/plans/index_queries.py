@@ -30,6 +30,14 @@ def join1_hamming_best(spark, d):
     return hamming.best_match(FILES.df(spark, d), FILES.df(spark, d), 3)
 
 
+@query(f"""{WITH}, p AS (SELECT a.file_name, b.file_name AS match, {D} AS d FROM files a JOIN files b ON a.file_name <> b.file_name AND {D} <= 12),
+n AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY d, match) AS k FROM p) SELECT file_name, match, d FROM n WHERE k = 1""")
+def join1_hamming_wide(spark, d):
+    """The nearest file within 12 bits (80 %), where no blocks of bits are equal for certain."""
+    rows = FILES.df(spark, d)
+    return hamming.best_match(rows, rows, 12)
+
+
 @query(f"{WITH} SELECT a.file_name, b.file_name AS match, {D} AS d FROM files a JOIN files b ON a.is_video AND NOT b.is_video AND {D} <= 3")
 def join2_hamming_all(spark, d):
     return hamming.all_matches(_videos(spark, d), _images(spark, d), 3)
