@@ -70,7 +70,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; null and empty texts are one end, a null id is held out, repeated rows count and are scored each."""
-    return lm.score_texts(_table(spark, sf_dir, "documents"), stable=True)
+    return lm.score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,3 +240,26 @@ def test_sort_means_looks_at_fewer_centroids_than_there_are():
     again, same, seen = at.nearest(x, near)
     assert (near == again).all() and (distance == same).all()
     assert seen < first and seen < 2000 * 4
+
+
+# The language model's blocks ----------------------------------------------------------------------------------------------------------------------------
+
+
+def test_scores_don_t_depend_on_how_files_are_split(spark, tmp_path):
+    """Files are read anew, in other splits, between the building of the scores and their computation."""
+    from photonlake.llm import lm
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice(["one", "two", "three", "four", f"w{i}"]) for _ in range(rnd.randint(0, 60)))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/docs")
+    name, results = "spark.sql.files.minPartitionNum", []
+    before = spark.conf.get(name, None)
+    try:
+        for first, then in ((4, 4), (16, 6), (6, 12), (12, 16)):
+            spark.conf.set(name, first)
+            scored = lm.score_texts(spark.read.parquet(f"{tmp_path}/docs"), block_bytes=1500, range_bytes=1500)
+            spark.conf.set(name, then)
+            results.append({r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in scored.collect()})
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+    assert all(x == results[0] for x in results) and len(results[0]) == 400
