@@ -60,53 +60,128 @@ class Headers(dict):
         super().__init__((k.lower(), v) for k, v in reversed(self.pairs))
 
 
-def members(data: bytes) -> bytes:
-    """A WARC file's bytes; those of a .warc.gz, one member for each record, are unpacked. What follows a broken member up to the next one is left out, and
-    its place is marked by a line that is no record."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    out, at = [], 0
-    while at < len(data):
-        unpack = zlib.decompressobj(wbits=31)
+#: Bytes that are unpacked at a time.
+PIECE = 1 << 16
+_RECORD = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+
+
+def members(data: bytes | memoryview) -> Iterator[bytes | None]:
+    """A WARC file's bytes, piece by piece; those of a .warc.gz, one member for each record, are unpacked. None stands where a member is broken: what follows it up to the next one is left out."""
+    view = memoryview(data)
+    if bytes(view[:2]) != b"\x1f\x8b":
+        for at in range(0, len(view), PIECE):
+            yield bytes(view[at : at + PIECE])
+        return
+    at = 0
+    while at < len(view):
+        unpack, begun = zlib.decompressobj(wbits=31), at
         try:
-            got = unpack.decompress(data[at:] if at else data)
+            while at < len(view) and not unpack.eof:
+                given = view[at : at + PIECE]
+                out = unpack.decompress(given, PIECE * 16)
+                at += len(given)
+                yield out
+                while unpack.unconsumed_tail and not unpack.eof:
+                    yield unpack.decompress(unpack.unconsumed_tail, PIECE * 16)
             if not unpack.eof:
                 raise zlib.error("cut off")
-            out.append(got)
-            at = len(data) - len(unpack.unused_data)
-            if not unpack.unused_data.strip(b"\0"):
-                break
+            at -= len(unpack.unused_data)
         except zlib.error:
-            out.append(b"broken member\r\n\r\n")
-            at = data.find(b"\x1f\x8b\x08", at + 1)
-            if at < 0:
-                break
-    return b"".join(out)
-
+            yield None
+            at = _next_member(view, begun + 1)
+            continue
+        while at < len(view) and view[at] == 0:  # padding
+            at += 1
+        if at < len(view) and bytes(view[at : at + 2]) != b"\x1f\x8b":
+            yield None
+            at = _next_member(view, at)
+
+
+def _next_member(view: memoryview, at: int) -> int:
+    """Where the next member may begin, or the end."""
+    step = PIECE * 16
+    while at < len(view):
+        found = bytes(view[at : at + step + 2]).find(b"\x1f\x8b\x08")
+        if found >= 0:
+            return at + found
+        at += step
+    return len(view)
+
+
+def scan(data: bytes | memoryview) -> Iterator[tuple[Headers, bytes] | str]:
+    """Headers and block of each record of a WARC file's bytes, plain or packed. A broken place gives one line that says what is wrong, and reading goes on with the next record after it. Only
+    what isn't read yet of a record is held, never the unpacked file."""
+    held, start, passed, lost = bytearray(), 0, 0, False
+    pieces = members(data)
+    ended = cut = False  # no piece is left; the piece after these is broken
+
+    def more() -> bool:
+        """One more piece behind those held; False at the end or before a broken place."""
+        nonlocal ended, cut, start, passed
+        if ended or cut:
+            return False
+        if start > PIECE * 16:
+            del held[:start]
+            passed, start = passed + start, 0
+        got = next(pieces, b"")
+        if got is None:
+            cut = True
+            return False
+        if not got:
+            got = next((x for x in pieces if x is None or x), b"")
+            if got is None:
+                cut = True
+                return False
+            ended = not got
+        held.extend(got)
+        return not ended
 
-def scan(data: bytes) -> Iterator[tuple[Headers, bytes] | str]:
-    """Headers and block of each record of a WARC file's bytes, plain or packed. A broken place gives one line that says what is wrong, and reading goes on with the next record after it."""
-    data, at = members(data), 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    while True:
+        while len(held) - start < 2 and more():
+            pass
+        if start >= len(held):
+            if cut:
+                yield f"no record at byte {passed + start}: a packed member is broken"
+                cut = lost = False
+                continue
+            return
+        if held[start : start + 2] == b"\r\n":
+            start += 2
+            continue
+        if lost:  # look for the next record
+            while not (found := _RECORD.search(held, start)):
+                start = max(start, len(held) - 16)
+                if not more():
+                    break
+            start, lost = (found.start() if found else len(held)), False
             continue
-        head = data.find(b"\r\n\r\n", at)
-        problem = "no record" if not data.startswith(b"WARC/", at) or head < 0 else ""
+        seen = start
+        while (head := held.find(b"\r\n\r\n", seen)) < 0:
+            if len(held) - start >= 5 and not held.startswith(b"WARC/", start):
+                break
+            before = len(held) - start
+            if not more():
+                break
+            seen = start + max(0, before - 3)
+        problem = "no record" if head < 0 or not held.startswith(b"WARC/", start) else ""
+        block = b""
         if not problem:
-            headers = Headers(data[at:head].decode("utf-8", "replace").split("\r\n")[1:])
+            headers = Headers(held[start:head].decode("utf-8", "replace").split("\r\n")[1:])
             size = headers.get("content-length", "")
-            block = data[head + 4 : head + 4 + int(size)] if re.fullmatch("[0-9]{1,18}", size) else b""
-            problem = "no length" if not re.fullmatch("[0-9]{1,18}", size) else "record is cut off" if len(block) != int(size) else ""
+            if not re.fullmatch("[0-9]{1,18}", size):
+                problem = "no length"
+            else:
+                after = head + 4 - start
+                while len(held) - start < after + int(size) and more():
+                    pass
+                block = bytes(held[start + after : start + after + int(size)])
+                problem = "record is cut off" if len(block) != int(size) else ""
         if problem:
-            yield f"{problem} at byte {at}"
-            found = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n").search(data, at + 1)
-            if not found:
-                return
-            at = found.start()
+            yield f"{problem} at byte {passed + start}"
+            start, lost = start + 1, True
             continue
         yield headers, block
-        at = head + 4 + len(block)
+        start += after + len(block)
 
 
 def parse(data: bytes) -> Iterator[tuple[Headers, bytes]]:
@@ -151,26 +226,78 @@ def unchunked(payload: bytes) -> bytes:
         at = end + 4 + n
 
 
-def unpacked(payload: bytes, encoding: str) -> bytes:
-    """A payload without its content encoding. Raises ValueError for one that isn't known or doesn't fit."""
+class Broken(ValueError):
+    """A body that can't be decoded to its end; got is what could."""
+
+    def __init__(self, problem: str, got: bytes):
+        super().__init__(problem)
+        self.got = got
+
+
+def _inflated(payload: bytes) -> bytes:
+    """All members of a gzip body. Raises Broken if one is cut off, or if something else follows."""
+    out, view = [], memoryview(payload)
+    while True:
+        unpack = zlib.decompressobj(wbits=31)
+        try:
+            out.append(unpack.decompress(view))
+        except zlib.error as e:
+            raise Broken(str(e), b"".join(out)) from e
+        if not unpack.eof:
+            raise Broken("cut off", b"".join(out))
+        view = view[len(view) - len(unpack.unused_data) :]
+        if not bytes(view).strip(b"\0"):
+            return b"".join(out)
+
+
+def _frames(payload: bytes) -> bytes:
+    """All frames of a zstd body. Raises Broken if one is cut off, or if something else follows."""
+    import zstandard
+
+    out, left = [], payload
+    while left:
+        unpack = zstandard.ZstdDecompressor().decompressobj()
+        try:
+            out.append(unpack.decompress(left))
+        except zstandard.ZstdError as e:
+            raise Broken(str(e), b"".join(out)) from e
+        if not unpack.eof:
+            raise Broken("cut off", b"".join(out))
+        left = unpack.unused_data
+    return b"".join(out)
+
+
+def _deflated(payload: bytes) -> bytes:
+    """A zlib or bare deflate body. Raises Broken if it is cut off or something follows it."""
+    unpack = zlib.decompressobj(wbits=15 if payload[:1] == b"\x78" else -15)
     try:
-        if encoding in ("gzip", "x-gzip"):
-            return zlib.decompressobj(wbits=31).decompress(payload)
-        if encoding == "deflate":
-            return zlib.decompress(payload, wbits=15 if payload[:1] == b"\x78" else -15)
-        if encoding == "zstd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(payload)
-    except Exception as e:  # each codec has errors of its own
-        raise ValueError(f"{encoding}: {e}") from e
-    if encoding in ("", "identity"):
+        out = unpack.decompress(payload)
+    except zlib.error as e:
+        raise Broken(str(e), b"") from e
+    if not unpack.eof:
+        raise Broken("cut off", out)
+    if unpack.unused_data:
+        raise Broken(f"{len(unpack.unused_data)} bytes follow", out)
+    return out
+
+
+def unpacked(payload: bytes, encoding: str) -> bytes:
+    """A payload without its content encoding: all members of gzip and all frames of zstd, each to its end. Raises ValueError for one that isn't known, and Broken for one that doesn't fit. An empty payload is one in
+    any encoding."""
+    kinds = {"gzip": _inflated, "x-gzip": _inflated, "deflate": _deflated, "zstd": _frames}
+    if encoding in ("", "identity") or not payload:
         return payload
-    raise ValueError(f"{encoding} is not known")
+    if encoding not in kinds:
+        raise ValueError(f"{encoding} is not known")
+    try:
+        return kinds[encoding](payload)
+    except Broken as e:
+        raise Broken(f"{encoding}: {e}", e.got) from e
 
 
 def body_of(http: Headers, payload: bytes) -> tuple[bytes, str]:
-    """The body without transfer and content encodings, and what went wrong (then the rest stays as it is)."""
+    """The body without transfer and content encodings, and what went wrong: of a body that is cut off or followed by something else, what could be decoded; of one in an encoding that
+    isn't known, or nothing of which could, the body as it is."""
     problem = ""
     if "chunked" in http.get("transfer-encoding", "").lower():
         try:
@@ -181,7 +308,10 @@ def body_of(http: Headers, payload: bytes) -> tuple[bytes, str]:
         try:
             payload = unpacked(payload, encoding.strip())
         except ValueError as e:
-            return payload, f"{problem}; {e}".lstrip("; ")
+            problem = f"{problem}; {e}".lstrip("; ")
+            if not getattr(e, "got", b""):
+                return payload, problem
+            payload = e.got
     return payload, problem
 
 
@@ -251,7 +381,7 @@ def derive_records(files: DataFrame, content: str = "content") -> DataFrame:
         names = [f.split()[0] for f in RECORDS.split(", ")]
         for data in part["content"]:
             out: dict[str, list] = {n: [] for n in [*names, "problem"]}
-            for found in scan(bytes(data or b"")):
+            for found in scan(data or b""):
                 made = {"problem": found} if isinstance(found, str) else derive(*found)
                 if made:
                     for n, column in out.items():

@@ -263,3 +263,76 @@ def test_scores_don_t_depend_on_how_files_are_split(spark, tmp_path):
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
     assert all(x == results[0] for x in results) and len(results[0]) == 400
+
+
+# WARC bodies and packed files ---------------------------------------------------------------------------------------------------------------------------
+
+
+def test_bodies_against_a_plain_encoder():
+    """Random mixes of chunks, members, frames and encodings come back whole; what is cut off or followed by something has its head and a problem."""
+    import gzip
+
+    import zstandard
+
+    from photonlake.llm import warc
+
+    rnd = random.Random(4)
+    parts = lambda data, n: [data[i * len(data) // n : (i + 1) * len(data) // n] for i in range(n)]
+    encode = {
+        "gzip": lambda data: b"".join(gzip.compress(x) for x in parts(data, rnd.randint(1, 4))), "zstd": lambda data: b"".join(zstandard.compress(x) for x in parts(data, rnd.randint(1, 4))),
+        "deflate": lambda data: zlib.compress(data) if rnd.random() < 0.5 else zlib.compress(data)[2:-4], "identity": lambda data: data,
+    }
+    for _ in range(150):
+        body = bytes(rnd.randrange(256) for _ in range(rnd.randint(1, 400)))
+        used = [rnd.choice(list(encode)) for _ in range(rnd.randint(0, 2))]
+        payload = body
+        for name in used:
+            payload = encode[name](payload)
+        whole, headers = payload, [f"Content-Encoding: {', '.join(used)}"] if used else []
+        if rnd.random() < 0.5:
+            chunked = b"".join(f"{len(x):x};ext\r\n".encode() + x + b"\r\n" for x in parts(payload, rnd.randint(1, 5)) if x)
+            payload, headers = chunked + b"0\r\n\r\n", [*headers, "Transfer-Encoding: chunked"]
+        assert warc.body_of(warc.Headers(headers), payload) == (body, ""), (used, headers)
+        if used and used[-1] != "identity" and payload is whole and len(whole) > 12:
+            got, problem = warc.body_of(warc.Headers(headers), whole[:-3])
+            assert problem and (len(used) > 1 or body.startswith(got) or got == whole[:-3])
+            _, problem = warc.body_of(warc.Headers(headers), whole + b"more")
+            assert problem
+    for name in ("gzip", "deflate", "zstd"):
+        assert warc.body_of(warc.Headers([f"Content-Encoding: {name}"]), b"") == (b"", "")
+    cut = gzip.compress(b"first half ") + gzip.compress(b"second half" * 900)[:-20]
+    got, problem = warc.body_of(warc.Headers(["Content-Encoding: gzip"]), cut)
+    assert got.startswith(b"first half second half") and "cut off" in problem
+
+
+def test_packed_files_against_plain_ones(monkeypatch):
+    import gzip
+
+    from photonlake.llm import warc
+
+    rnd = random.Random(9)
+    records = [warc.record([("WARC-Type", "response"), ("N", str(i))], bytes(rnd.choice(b"ab\r\n\x1f\x8b\x08WARC/1.0") for _ in range(rnd.randint(0, 300)))) for i in range(60)]
+    for piece in (1, 7, 64, 1 << 16):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        plain = [(h["n"], b) for h, b in warc.scan(b"".join(records))]
+        assert [n for n, _ in plain] == [str(i) for i in range(60)]
+        assert [(h["n"], b) for h, b in warc.scan(b"".join(gzip.compress(r) for r in records))] == plain
+        assert [(h["n"], b) for h, b in warc.scan(gzip.compress(b"".join(records[:30])) + gzip.compress(b"".join(records[30:])) + b"\0\0")] == plain
+        packed = [gzip.compress(r) for r in records]
+        broken = [*packed]
+        broken[20] = broken[20][:-9]
+        found = list(warc.scan(b"".join(broken)))
+        assert [x for x in found if isinstance(x, str)] and {h["n"] for h, _ in (x for x in found if not isinstance(x, str))} >= {str(i) for i in range(60) if i not in (20, 21)}
+
+
+def test_many_members_take_time_in_proportion():
+    import gzip
+    import time
+
+    from photonlake.llm import warc
+
+    record = warc.record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\n\r\n" + bytes(random.Random(1).randrange(256) for _ in range(1500)))
+    packed = gzip.compress(record, 1)
+    begun = time.time()
+    assert sum(not isinstance(x, str) for x in warc.scan(packed * 20_000)) == 20_000
+    assert time.time() - begun < 30
