@@ -56,15 +56,17 @@ def preference_pairs(pairs: DataFrame, role: str = "assistant") -> DataFrame:
 
 
 def sibling_pairs(conversations: DataFrame) -> DataFrame:
-    """Pairs out of a table that has none: each conversation with an assistant's turn is chosen; rejected is the same up to that last turn, which is replaced by
-    the last assistant's turn of the conversation whose id differs in the lowest bit. Without such a turn the rejected one just ends before it."""
+    """Pairs out of a table that has none: each conversation with an assistant's turn is chosen; rejected is the same up to that last turn (all turns that stand before it, those of its number too), which is
+    replaced by the last assistant's turn of the conversation whose id differs in the lowest bit. Without such a turn the rejected one just ends before it."""
     turns = turns_of(conversations)
     replies = F.filter("turns", lambda t: t["role"] == "assistant")
     last = F.try_element_at(replies, F.lit(-1))
     mine = turns.withColumn("last", last).filter(F.col("last").isNotNull())
     other = mine.select(F.col("id").bitwiseXOR(F.lit(1)).alias("id"), F.col("last").alias("other"))
     paired = mine.join(other, "id", "left")
-    before = F.filter("turns", lambda t: t["turn"] < F.col("last")["turn"])
+    # By places, not by numbers: turns may share one.
+    place = F.array_max(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i)))
+    before = F.filter("turns", lambda t, i: i < place)
     reply = F.when(F.col("other").isNotNull(), F.array(F.struct(F.col("last")["turn"].alias("turn"), F.col("other")["role"].alias("role"), F.col("other")["text"].alias("text")))).otherwise(F.array().cast("array<struct<turn:bigint,role:string,text:string>>"))
     return paired.select(F.col("id").alias("pair_id"), F.col("turns").alias("chosen_turns"), F.concat(before, reply).alias("rejected_turns"))
 
@@ -81,11 +83,11 @@ def preference_digests(conversations: DataFrame) -> DataFrame:
 #: The same rows in DuckDB SQL, for tables without nulls or repeated turns.
 ORACLE = r"""
 WITH turns AS (SELECT conv_id AS id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations
-), last AS (SELECT id, max_by(turn, pos) AS turn, max_by(text, pos) AS text FROM turns WHERE role = 'assistant' GROUP BY id
+), last AS (SELECT id, max_by(turn, pos) AS turn, max_by(text, pos) AS text, max(pos) AS pos FROM turns WHERE role = 'assistant' GROUP BY id
 ), rejected AS (
-  SELECT t.id, t.role, t.text, row_number() OVER (PARTITION BY t.id ORDER BY t.turn, t.pos) AS pos
-  FROM (SELECT t.id, t.turn, t.role, t.text, t.pos FROM turns t JOIN last l ON t.id = l.id WHERE t.turn < l.turn
-        UNION ALL SELECT l.id, l.turn, 'assistant', o.text, 0 FROM last l JOIN last o ON o.id = xor(l.id, 1)) t
+  SELECT t.id, t.role, t.text, row_number() OVER (PARTITION BY t.id ORDER BY t.pos) AS pos
+  FROM (SELECT t.id, t.turn, t.role, t.text, t.pos FROM turns t JOIN last l ON t.id = l.id WHERE t.pos < l.pos
+        UNION ALL SELECT l.id, l.turn, 'assistant', o.text, l.pos FROM last l JOIN last o ON o.id = xor(l.id, 1)) t
 ), chosen AS (SELECT t.id, t.pos, t.role, t.text FROM turns t JOIN last l ON t.id = l.id
 ), places AS (SELECT coalesce(c.id, r.id) AS id, coalesce(c.pos, r.pos) AS pos, c.role = r.role AND c.text = r.text AS same FROM chosen c FULL JOIN rejected r ON c.id = r.id AND c.pos = r.pos
 ), prefix AS (SELECT id, coalesce(min(pos) FILTER (WHERE same IS NOT TRUE) - 1, count(*)) AS n FROM places GROUP BY id

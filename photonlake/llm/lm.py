@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,19 +104,22 @@ class Block:
         return int(rank[order[-1]]) + 1, rank[:n], rank[n : 2 * n], triples
 
 
-_BLOCKS = "block long, bytes long, ids array<long>, train array<boolean>, sizes binary, texts binary"
+def _fixed(df: DataFrame) -> DataFrame:
+    """df on the partitions that it has now. Two plans over files may split them differently, by the cores that are there at the time; plans over this one have the same partitions."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.toJavaRDD(), df._jdf.schema()), spark)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """A partition's rows (id, train, text) in blocks, a row for each, with the texts compressed as one. Their numbers hold only once they are written."""
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, tuple[list, list, list]]]:
+    """(key of the block, columns of its rows) of a partition's rows (id, train, text). The same partition gives the same blocks again; the key is a digest of place and rows, so other rows are another block."""
     part, seq, rows, held = TaskContext.get().partitionId(), 0, ([], [], []), 0
 
-    def block() -> pa.RecordBatch:
-        ids, train, texts = rows
-        sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
-        whole = zstandard.ZstdCompressor(level=3).compress(b"".join(t or b"" for t in texts))
-        kinds = ((part << 32) + seq, pa.int64()), (int(sizes.sum()), pa.int64()), (ids, pa.list_(pa.int64())), (train, pa.list_(pa.bool_())), (sizes.tobytes(), pa.binary()), (whole, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in kinds], names=[f.split()[0] for f in _BLOCKS.split(", ")])
+    def key() -> int:
+        digest = xxhash.xxh64(f"{part} {seq} {rows[0]} {rows[1]}")
+        for t in rows[2]:
+            digest.update(t or b"")
+            digest.update(b"\0")
+        return digest.intdigest() - (1 << 63)
 
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -125,17 +127,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
                 column.append(value)
             held += len(row[2] or b"") + 16
             if held >= limit:
-                yield block()
+                yield key(), rows
                 seq, rows, held = seq + 1, ([], [], []), 0
     if rows[0]:
-        yield block()
-
-
-def _texts(sizes: bytes, texts: bytes) -> list[bytes]:
-    """A block's texts."""
-    ends = np.cumsum(np.frombuffer(sizes, dtype=np.int64)).tolist()
-    whole = zstandard.ZstdDecompressor().decompress(texts)
-    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+        yield key(), rows
 
 
 _ASKS = "range long, asker long, keys binary, counts binary"
@@ -262,42 +257,47 @@ class Automaton:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 10, mu: tuple[float, float] = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> DataFrame:
+def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus: int = 10, mu: tuple[float, float] = MU, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES, fan: int = FAN, stable: bool = False) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, under counts from the rows whose crc32(id) modulo modulus is not 0.
 
     Null and empty texts have one token, the end. A null id counts as held out. Repeated rows count and are scored each; an empty table gives no rows, and
-    without training texts every word is unknown. Other columns are neither read nor returned. docs is read once; its texts are written as compressed blocks, which both passes read.
-    Equal 61-bit hashes count as one n-gram: among 10^8 distinct ones the chance of
+    without training texts every word is unknown. Other columns are neither read nor returned. docs is read twice, in the same partitions, and must give the same rows both times;
+    unless `stable` says that it does, as files do, it is written first. Rows that differ are an error. Equal 61-bit hashes count as one n-gram: among 10^8 distinct ones the chance of
     one such pair is 0.002.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(id).cast("long").alias("id"), (remainder(id, modulus) != 0).alias("train"), text_bytes(text).alias("text"))
-    # Written once: both passes over the texts see the same blocks, however the files are split by then.
-    blocks = kept(slim.mapInArrow(lambda batches: _blocks(batches, block_bytes), _BLOCKS), "blocks")
-    facts = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()
+    slim = _fixed(slim if stable else kept(slim, "texts"))
+    facts = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     ranges = max(8, min(fan, -(-facts.b // range_bytes)))
     askers = max(1, -(-facts.b // block_bytes))
 
     def ask(batches):
-        for batch in batches:
-            for n_row in range(batch.num_rows):
-                row = {name: batch.column(i)[n_row].as_py() for i, name in enumerate(batch.schema.names)}
-                number = row["block"]
-                keys, counts = Block(_texts(row["sizes"], row["texts"])).counts(np.array(row["train"], dtype=bool))
-                number_of, pieces, numbers = cut(keys, counts, 0, ranges, ranges)
-                for at in range(0, len(pieces), 64):
-                    these = slice(at, at + 64)
-                    yield _rows(_ASKS, number_of[these], [number] * len(pieces[these]), pieces[these], numbers[these])
-
-    totals = kept(resolved(blocks.select("block", "train", "sizes", "texts").mapInArrow(ask, _ASKS), askers, ranges, fan), "totals")
+        for number, (_, train, texts) in _blocks(batches, block_bytes):
+            keys, counts = Block(texts).counts(np.array(train, dtype=bool))
+            number_of, pieces, numbers = cut(keys, counts, 0, ranges, ranges)
+            for at in range(0, len(pieces), 64):
+                these = slice(at, at + 64)
+                yield _rows(_ASKS, number_of[these], [number] * len(pieces[these]), pieces[these], numbers[these])
+
+    totals = kept(resolved(slim.mapInArrow(ask, _ASKS), askers, ranges, fan), "totals")
     stats = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
     n, v, n1, n2 = stats.n, stats.v, stats.n1, stats.n2
 
+    def whole(batches):
+        for number, (ids, train, texts) in _blocks(batches, block_bytes):
+            sizes = np.array([len(t or b"") for t in texts], dtype=np.int64)
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([train], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in (sizes.tobytes(), b"".join(t or b"" for t in texts)))]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *columns], names=["block", "ids", "train", "sizes", "texts"])
+
+    blocks = slim.mapInArrow(whole, "block long, ids array<long>, train array<boolean>, sizes binary, texts binary")
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_batches([_rows(_SCORES, *[[]] * 6)])
+        if left.num_rows != 1 or not right.num_rows:
+            raise RuntimeError("the texts aren't the same when they are read a second time")
         (row,) = left.to_pylist()
-        block = Block(_texts(row["sizes"], row["texts"]))
+        ends = np.cumsum(np.frombuffer(row["sizes"], dtype=np.int64)).tolist()
+        block = Block([row["texts"][a:b] for a, b in zip([0, *ends], ends)])
         del row["texts"]
         found = sorted(right.select(["range", "totals"]).to_pylist(), key=lambda r: r["range"])
         counts = np.concatenate([from_planes(r["totals"]) for r in found]).astype(np.int64)
@@ -309,6 +309,6 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus
         scores = [automaton.traverse(a, k) for a, k in zip(block.first.tolist(), block.lengths.tolist())]
         return pa.Table.from_batches([_rows(_SCORES, row["ids"], [not t for t in row["train"]], block.lengths, known, np.add.reduceat(base, block.first), scores)])
 
-    dealt = [x.repartition(min(askers, MOST_TASKS), "block").groupBy("block") for x in (blocks.drop("bytes"), totals.withColumnRenamed("asker", "block"))]
+    dealt = [x.repartition(min(askers, MOST_TASKS), "block").groupBy("block") for x in (blocks, totals.withColumnRenamed("asker", "block"))]
     scored = dealt[0].cogroup(dealt[1]).applyInArrow(score, _SCORES)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

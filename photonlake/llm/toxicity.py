@@ -117,11 +117,12 @@ class Lexicon:
 
 def labelled(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, sample: int = 40_000) -> DataFrame:
     """Rows (text, toxic) of at most `sample` labelled documents outside the held-out remainder: those whose ids hash lowest. The bound is the
-    classifier's documented sample; being bounded, the chosen labels may be broadcast."""
+    classifier's documented sample; being bounded, the chosen labels may be broadcast. Of rows of one id the smallest text counts."""
     fit = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder("doc_id", modulus) != held_out))
     chosen = fit.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     slim = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return slim.join(F.broadcast(kept(chosen, "labels")), "id").select("text", (F.col("toxic") > 0).alias("toxic"))
+    met = slim.join(F.broadcast(kept(chosen, "labels")), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return met.select("text", (F.col("toxic") > 0).alias("toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 40_000, min_support: float = 0.01, min_ratio: float = 6.0, min_gain: float = 0.08, min_clean: int = 3) -> Lexicon:

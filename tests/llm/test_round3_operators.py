@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -257,7 +258,7 @@ def test_scores_don_t_depend_on_how_files_are_split(spark, tmp_path):
     try:
         for first, then in ((4, 4), (16, 6), (6, 12), (12, 16)):
             spark.conf.set(name, first)
-            scored = lm.score_texts(spark.read.parquet(f"{tmp_path}/docs"), block_bytes=1500, range_bytes=1500)
+            scored = lm.score_texts(spark.read.parquet(f"{tmp_path}/docs"), block_bytes=1500, range_bytes=1500, stable=True)
             spark.conf.set(name, then)
             results.append({r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in scored.collect()})
     finally:
@@ -327,7 +328,6 @@ def test_packed_files_against_plain_ones(monkeypatch):
 
 def test_many_members_take_time_in_proportion():
     import gzip
-    import time
 
     from photonlake.llm import warc
 
@@ -336,3 +336,34 @@ def test_many_members_take_time_in_proportion():
     begun = time.time()
     assert sum(not isinstance(x, str) for x in warc.scan(packed * 20_000)) == 20_000
     assert time.time() - begun < 30
+
+
+# Other operators ----------------------------------------------------------------------------------------------------------------------------------------
+
+
+def test_preference_prefix_with_turns_of_one_number(spark):
+    from photonlake.llm import chat
+
+    rows = [(c, t, r, x + (str(c) if t == 2 and r == "assistant" else "")) for c in (0, 1) for t, r, x in ((1, "user", "q"), (2, "assistant", "last"), (2, "system", "s"), (2, "aside", "a"), (2, "tool", "t"))]
+    made = {r.pair_id: r for r in chat.preference_pairs(chat.sibling_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert made[0].n_prefix == 2 and "aside" in made[0].prompt and made[0].rejected.count("last1") == 1 and "system" in made[0].chosen
+
+
+def test_toxicity_learns_from_bounded_rows(spark):
+    from photonlake.llm import toxicity
+
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, labels, sample=5).collect()
+    assert len(rows) == 5 and all(int(r.text.split()[1]) % 2 == r.toxic for r in rows)
+
+
+def test_other_texts_at_the_second_reading_are_an_error(spark, tmp_path):
+    from photonlake.llm import lm
+
+    spark.createDataFrame([(i, f"a b c{i}") for i in range(9)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    other = F.udf(lambda t: f"{t} {time.time_ns()}").asNondeterministic()
+    scored = lm.score_texts(docs.select("doc_id", other("text").alias("text")), stable=True)
+    with pytest.raises(Exception, match="second time"):
+        scored.collect()
