@@ -14,6 +14,17 @@ GPU_MARKERS = (
     "cuda", "cublas", "cudnn", "nvidia", "gpu", "device-side assert", "illegal memory access", "driver shutting down",
     "driver initialization failed", "unspecified launch failure", "out of memory",
 )
+# Names of models that mean the default one, and what the names of models on a hub begin with.
+DEFAULT_CLIP = "hf-hub:timm/ViT-L-16-SigLIP2-384"
+CLIP_ALIASES = ("clip-ViT-L-16-SigLIP2-384", "ViT-L-16-SigLIP2-384")
+HUB_OWNERS = ("timm/", "laion/")
+
+
+def clip_model(name: Column) -> Column:
+    """The full name of a CLIP model: aliases mean the default one, names by a hub's owner get the hub in front, others stay; white space around doesn't count."""
+    value = F.trim(name, F.lit(" \t\n\r\f\x0b"))
+    on_hub = value.startswith(HUB_OWNERS[0]) | value.startswith(HUB_OWNERS[1])
+    return F.when(value.isin(*CLIP_ALIASES), DEFAULT_CLIP).when(on_hub, F.concat(F.lit("hf-hub:"), value)).otherwise(value)
 
 
 def size_label(bytes_: Column) -> Column:

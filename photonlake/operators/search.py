@@ -207,9 +207,21 @@ def best_pair(left: DataFrame, right: DataFrame, digits: int = 5) -> DataFrame:
 
 
 def nearest_frame(frames: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each (file_name, seconds) the image of the file's frame nearest in time, the earlier of two as near."""
-    both = wanted.join(frames.select("file_name", "timestamp_sec", "image_file"), "file_name")
-    return both.groupBy("file_name", "seconds").agg(F.min_by("image_file", F.struct(F.abs(F.col("timestamp_sec") - F.col("seconds")), "timestamp_sec")).alias("image_file"))
+    """For each distinct (file_name, seconds) the image of the file's frame nearest in time, the earlier of two as near, the smallest of several at one time. Frames and wanted times
+    without a file or time take no part; files without frames have no row.
+
+    Both sides are sorted together by file and time, once up and once down; each wanted time takes the last frame that went by. So a file's rows pass through a task as a stream, and
+    no wanted time meets every frame.
+    """
+    known = frames.filter("file_name IS NOT NULL AND timestamp_sec IS NOT NULL").groupBy("file_name", F.col("timestamp_sec").cast("double").alias("at")).agg(F.min("image_file").alias("image_file"))
+    asked = wanted.filter("file_name IS NOT NULL AND seconds IS NOT NULL").select("file_name", F.col("seconds").cast("double").alias("at")).distinct()
+    shot = F.struct("at", "image_file")
+    both = known.select("file_name", "at", F.lit(0).alias("side"), shot.alias("shot")).unionByName(asked.select("file_name", "at", F.lit(1).alias("side")), allowMissingColumns=True)
+    went_by = lambda *order: F.last("shot", ignorenulls=True).over(Window.partitionBy("file_name").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = both.withColumn("down", went_by(F.col("at").desc(), "side")).withColumn("up", went_by("at", "side")).filter("side = 1")
+    earlier = F.col("down").isNull() | (F.col("at") - F.col("up")["at"] <= F.col("down")["at"] - F.col("at"))
+    chosen = F.when(F.col("up").isNotNull() & earlier, F.col("up")).otherwise(F.col("down"))
+    return near.withColumn("shot", chosen).filter("shot IS NOT NULL").select("file_name", F.col("at").alias("seconds"), F.col("shot.image_file").alias("image_file"))
 
 
 def seed_frames(frames: DataFrame, seed: str, groups: DataFrame, similar: DataFrame) -> DataFrame:

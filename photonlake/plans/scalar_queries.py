@@ -149,9 +149,14 @@ def scl21_details(spark, d):
     return FILES.df(spark, d).select("doc_id", F.concat(F.when(F.col("is_video"), "VideoHash").otherwise("pHash"), F.lit(": "), hashes.hash_hex(F.col("h"))).alias("line"))
 
 
-@query("SELECT doc_id, lower(replace(source, 'src', 'ViT-')) AS model FROM documents")
+_MODEL = "concat(repeat(' ', doc_id % 3), CASE doc_id % 7 WHEN 0 THEN 'clip-ViT-L-16-SigLIP2-384' WHEN 1 THEN 'ViT-L-16-SigLIP2-384' WHEN 2 THEN concat('timm/', source) WHEN 3 THEN concat('laion/', source) WHEN 4 THEN concat('hf-hub:timm/', source) WHEN 5 THEN 'vit-l-16-siglip2-384' ELSE concat('my timm/', source) END, repeat(' ', doc_id % 2))"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 7 < 2 THEN 'hf-hub:timm/ViT-L-16-SigLIP2-384' WHEN doc_id % 7 IN (2, 3) THEN concat('hf-hub:', trim(name)) ELSE trim(name) END AS model
+FROM (SELECT doc_id, {_MODEL} AS name FROM documents)""")
 def scl22_model_name(spark, d):
-    return _docs(spark, d).select("doc_id", F.lower(F.trim(F.replace("source", F.lit("src"), F.lit(" ViT-")))).alias("model"))
+    """Full names of models: aliases of the default one, names by a hub's owner, others; with white space around."""
+    return _docs(spark, d).selectExpr("doc_id", f"{_MODEL} AS name").select("doc_id", labels.clip_model(F.col("name")).alias("model"))
 
 
 _V = "list_transform(vector, lambda x: CAST(x AS DOUBLE))"
