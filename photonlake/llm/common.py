@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -26,6 +27,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that are done with removed now: Spark removes them when the driver's collector finds the plans unused, which on an idle driver may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A helper column's name that none of df's columns has, in whatever case."""
     taken = {c.lower() for c in df.columns}
