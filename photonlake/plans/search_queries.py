@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 
 from photonlake.functions import paths, vectors
-from photonlake.operators import search, tables, vector_index
+from photonlake.operators import path_index, search, tables, vector_index
 from photonlake.plans.registry import EDGES, FILES, FRAMES, PATHS, WITH, query, table
 from photonlake.plans.storage import shared_dir
 
@@ -324,6 +325,50 @@ def flt5_filename_exact(spark, d):
     return rows.filter(paths.name_matches("e/IMG7.jpg", F.col("path")) | (F.element_at(F.split("path", "/"), -1) == "img7.jpg")).select("page_id")
 
 
+def _forms(spark, d):
+    """Paths with other forms: by a collection's key, relative to it, and joined with the collection's root; every fourth has only its own."""
+    rows = PATHS.df(spark, d).withColumn("rel", F.concat(F.lit("Albums/Année-"), F.col("page_id") % 9, F.lit("/img"), "page_id", F.lit(".jpg")))
+    there = F.col("page_id") % 4 != 0
+    return rows.select(F.col("page_id").alias("key"), "path", F.when(there, F.concat(F.lit("c"), F.col("page_id") % 5, F.lit("/"), "rel")).alias("db"), F.when(there, F.col("rel")).alias("rel"), F.when(there, F.concat(F.lit("/Volumes/Root"), F.col("page_id") % 5, F.lit("/"), "rel")).alias("full"))
+
+
+_FORM_SQL = f"""{WITH}, r AS (SELECT page_id AS key, lower(path) AS path, concat('albums/année-', page_id % 9, '/img', page_id, '.jpg') AS rel FROM paths),
+forms AS (SELECT key, unnest(CASE WHEN key % 4 = 0 THEN [path] ELSE [path, concat('c', key % 5, '/', rel), rel, concat('/volumes/root', key % 5, '/', rel)] END) AS f FROM r),
+c AS (SELECT key, f, list_filter(string_split(f, '/'), lambda x: x <> '') AS c FROM forms)"""
+
+
+def _like(q: str, c: str) -> str:
+    n = len(q.encode())
+    near = f" OR levenshtein('{q}', {c}) <= {2 if n >= 12 else 1}" if n >= 5 else ""
+    return f"(contains({c}, '{q}') OR contains('{q}', {c}){near})"
+
+
+def _found(query: str) -> str:
+    """Keys of paths that match a query of two components in part, in some form."""
+    a, b = query.split("/")
+    return f"SELECT DISTINCT key FROM c WHERE contains(f, '{query}') OR len(list_filter(range(1, len(c)), lambda i: {_like(a, 'c[i]')} AND {_like(b, 'c[i + 1]')})) > 0"
+
+
+#: Queries with letters left out, exchanged or added, in the physical form and in the others.
+_TYPING = ("albms/annee-7", "volumes/rot3", "example.cm/en", "ththre.exmple.com/fr", "c2/albums", "anné-3/img3")
+
+
+@query(_FORM_SQL + ", found AS (" + " UNION ALL ".join(f"SELECT '{q}' AS query, key FROM ({_found(q)})" for q in _TYPING) + ") SELECT query, key FROM found")
+def flt5_forms_fuzzy(spark, d):
+    """Path search over four forms of each path, out of the index: queries that match by edit distance, by parts and not at all."""
+    where = f"{shared_dir(spark)}/photonlake-paths-{uuid.uuid4().hex}"
+    path_index.build(_forms(spark, d), where, "path", "db", "rel", "full", folders=8)
+    found = [path_index.search(spark, where, q, "path", "db", "rel", "full").select(F.lit(q).alias("query"), "key") for q in _TYPING]
+    return functools.reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(_FORM_SQL + ", found AS (" + _found("albums/annéee-4") + ") SELECT key FROM found")
+def flt5_rule(spark, d):
+    """The same rule by a scan of all paths."""
+    rows = _forms(spark, d)
+    return rows.filter(paths.name_matches("Albums/Annéee-4", F.col("path"), F.col("db"), F.col("rel"), F.col("full"))).select("key")
+
+
 @query(f"{WITH} SELECT file_name, is_video, timestamp_sec, CAST(len(vector) AS INT) AS dim FROM frames WHERE len(vector) > 0")
 def src9_clip_frames(spark, d):
     """Frames with vectors out of grouped rows, of the usual dimension."""
