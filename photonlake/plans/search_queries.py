@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from photonlake.functions import paths, vectors
-from photonlake.operators import path_index, search, tables, vector_index
+from photonlake.operators import path_index, search, tables, text_index, vector_index
 from photonlake.plans.registry import EDGES, FILES, FRAMES, PATHS, WITH, query, table
 from photonlake.plans.storage import shared_dir
 
@@ -246,6 +246,24 @@ def scl20_ocr_phrase(spark, d):
     return search.search_text(FILES.df(spark, d), '"in the"')
 
 
+def _text_index(spark, d):
+    where = f"{shared_dir(spark)}/photonlake-texts-{uuid.uuid4().hex}"
+    text_index.build(FILES.df(spark, d), where, blocks=16, folders=8)
+    return where
+
+
+@query(_text("", ["idiot", "the", "licensed"], "idiot the licensed", False, 0.5))
+def scl20_index_terms(spark, d):
+    """The search by terms, out of the blocks that can hold them."""
+    return text_index.search_index(spark, _text_index(spark, d), " idiot The LICENSED ", 0.5)
+
+
+@query(_text("", ["in", "the"], "in the", True, 0.0, "NOT is_video OR is_video"))
+def scl20_index_phrase(spark, d):
+    """The search by a phrase, out of the blocks that can hold it."""
+    return text_index.search_index(spark, _text_index(spark, d), '"in the"')
+
+
 @query(f"""{WITH}, one AS (SELECT f.file_name, f.is_video, {DOT} AS score FROM frames f, frames q WHERE q.vec_id = 0 AND f.timestamp_sec = 0), k AS (SELECT *,
 CASE WHEN is_video THEN file_name ELSE split_part(file_name, '/', 2) END AS key FROM one),
 top AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, file_name) AS n FROM k) SELECT file_name, is_video, score,
