@@ -69,6 +69,34 @@ def elected(edges: DataFrame, ranks: DataFrame, order: list[Column]) -> DataFram
     return out.select("file_name", F.when(F.col("file_name") != F.col("master"), F.col("master")).alias("master"), F.coalesce((F.col("target") == F.col("master")) & (F.col("file_name") != F.col("master")), F.lit(False)).alias("direct"))
 
 
+#: Columns of the index that hold the figures of a verified link.
+FIGURES = {"sift_match_score": "score", "sift_match_inliers": "inliers", "sift_match_good_matches": "good", "sift_match_inlier_ratio": "ratio"}
+
+
+def with_election(index: DataFrame, jobs: DataFrame, masters: DataFrame) -> DataFrame:
+    """The index (file_name, sift_match_file, the FIGURES, sift_match_checked, ...) after an election, with `changed`.
+
+    jobs: the files that were looked at (file_name, candidate and its score, inliers, good and ratio; all null where none was accepted). masters: see elected. A looked-at file's link is its
+    group's master; its figures are those of its candidate if that is the master, and else null, as they would belong to another link. A master, or a file without a group, has no link, and a
+    link that it had goes with its figures. All looked-at files are checked; others stay as they are.
+    """
+    found = jobs.select("file_name", F.lit(True).alias("__job"), F.struct("candidate", *FIGURES.values()).alias("__own")).join(masters.select("file_name", F.col("master").alias("__master")), "file_name", "left")
+    both = index.join(found, "file_name", "left")
+    job, linked = F.coalesce("__job", F.lit(False)), F.col("__master").isNotNull()
+    own = F.coalesce(F.col("__own.candidate") == F.col("__master"), F.lit(False))
+    new = {"sift_match_file": F.when(~job, F.col("sift_match_file")).otherwise(F.col("__master")), "sift_match_checked": F.when(~job, F.col("sift_match_checked")).otherwise(True)}
+    for name, figure in FIGURES.items():
+        value = F.col(f"__own.{figure}")
+        value = (F.round(value, 6) if figure in ("score", "ratio") else value).cast(index.schema[name].dataType)
+        cleared = F.when(F.col("sift_match_file").isNull(), F.col(name))
+        new[name] = F.when(~job, F.col(name)).when(~linked, cleared).when(own, value)
+    made = both.select(*index.columns, F.struct(*[c.alias(n) for n, c in new.items()]).alias("__new"))
+    changed = F.lit(False)
+    for name in new:
+        changed = changed | ~F.col(name).eqNullSafe(F.col("__new")[name])
+    return made.withColumn("changed", changed).select(*[F.col("__new")[c].alias(c) if c in new else F.col(c) for c in index.columns], "changed")
+
+
 def spanning(edges: DataFrame) -> DataFrame:
     """The best spanning edges (a, b) of each connected group. edges: a, b, key (an order in which no two edges are equal, the least is best).
 

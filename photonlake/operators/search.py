@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from photonlake.functions import vectors
 from photonlake.functions.paths import in_folder
+from photonlake.operators import tables
 from photonlake.plans.storage import kept
 
 ORDERS = ("best", "newest", "oldest")
@@ -81,6 +82,15 @@ def search_any(frames: DataFrame, queries: list[list[float]], min_score: float =
     return ranked(best_per_file(scored, min_score))
 
 
+def guarded(frames: DataFrame, query: list[float], min_score: float = 0.0, **how) -> DataFrame:
+    """search, for a query that must have the dimensions that the frames have, or most of them: another one is an error (ValueError) and not an empty result. Frames without
+    vectors take any query."""
+    dim = tables.usual_dim(frames)
+    if dim and len(query) != dim:
+        raise ValueError(f"the query has {len(query)} dimensions, the frames have {dim}")
+    return search(frames, query, min_score, **how)
+
+
 def vector_at(frames: DataFrame, file_name: str, seconds: float) -> list[float] | None:
     """The vector of a file's frame nearest to a time, the earlier one of two as near; None without frames."""
     near = _frame_at(frames, file_name, seconds)

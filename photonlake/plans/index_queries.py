@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -198,6 +199,32 @@ def agg7_elected(spark, d):
     return graph.elected(_edges(spark, d), EDGES.df(spark, d).select("file_name", "inliers"), [F.col("inliers").desc(), F.col("file_name").desc()])
 
 
+_BEFORE = """file_name, CASE WHEN n % 3 <> 0 THEN concat('f', CAST(floor(n / (2 + n % 2)) AS BIGINT)) END AS sift_match_file, CASE WHEN n % 5 <> 0 THEN round(inliers / 200.0, 6) END AS sift_match_score,
+CASE WHEN n % 5 <> 0 THEN inliers END AS sift_match_inliers, CASE WHEN n % 5 <> 0 THEN inliers + 3 END AS sift_match_good_matches, CASE WHEN n % 5 <> 0 THEN 0.75 END AS sift_match_inlier_ratio, n % 4 = 0 AS sift_match_checked"""
+
+
+@query(f"""{COMPONENTS}, r AS (SELECT c.node, c.root, e.inliers, row_number() OVER (PARTITION BY c.root ORDER BY e.inliers DESC, c.node DESC) AS n FROM comp c
+JOIN edges e ON e.file_name = c.node), heads AS (SELECT root, node AS master FROM r WHERE n = 1), m AS (SELECT c.node AS file_name, CASE WHEN c.node <> h.master THEN h.master END AS master FROM comp c JOIN heads h ON c.root = h.root),
+i AS (SELECT {_BEFORE}, n, inliers FROM (SELECT file_name, inliers, CAST(substr(file_name, 2) AS BIGINT) AS n FROM edges)),
+w AS (SELECT i.*, n % 7 <> 0 AS job, m.master, x.target AS own FROM i LEFT JOIN m USING (file_name) LEFT JOIN (SELECT file_name, target FROM edges WHERE {VALID}) x USING (file_name)),
+o AS (SELECT file_name, CASE WHEN NOT job THEN sift_match_file ELSE master END AS link, {", ".join(f"CASE WHEN NOT job THEN {c} WHEN master IS NULL THEN CASE WHEN sift_match_file IS NULL THEN {c} END WHEN own = master THEN {v} END AS {a}" for c, v, a in (("sift_match_score", "round(inliers / 100.0, 6)", "score"), ("sift_match_inliers", "inliers", "inliers"), ("sift_match_good_matches", "inliers + 1", "good"), ("sift_match_inlier_ratio", "0.5", "ratio")))},
+CASE WHEN NOT job THEN sift_match_checked ELSE TRUE END AS checked, w.* EXCLUDE (file_name, inliers) FROM w)
+SELECT file_name, link, CAST(score AS DOUBLE) AS score, CAST(inliers AS INT) AS inliers, CAST(good AS INT) AS good, CAST(ratio AS DOUBLE) AS ratio, checked, link IS DISTINCT FROM sift_match_file OR score IS DISTINCT FROM sift_match_score
+OR inliers IS DISTINCT FROM sift_match_inliers OR good IS DISTINCT FROM sift_match_good_matches OR ratio IS DISTINCT FROM sift_match_inlier_ratio OR checked IS DISTINCT FROM sift_match_checked AS changed FROM o""")
+def agg7_written(spark, d):
+    """The election's links and figures in the rows of an index: figures stay only where the elected master is the file that they were measured against."""
+    rows = EDGES.df(spark, d)
+    before = rows.withColumn("n", F.substring("file_name", 2, 20).cast("long")).selectExpr(*[x.strip() for x in re.split(r",(?![^()]*\))\s*(?=CASE|n %)", _BEFORE)])
+    before = before.withColumns({"sift_match_score": F.col("sift_match_score").cast("double"), "sift_match_inlier_ratio": F.col("sift_match_inlier_ratio").cast("double")})
+    masters = graph.elected(_edges(spark, d), rows.select("file_name", "inliers"), [F.col("inliers").desc(), F.col("file_name").desc()])
+    direct = _edges(spark, d).select("file_name", F.col("target").alias("candidate"))
+    jobs = rows.filter("substr(file_name, 2) % 7 <> 0").select("file_name", F.col("inliers").alias("i")).join(direct, "file_name", "left")
+    there = F.col("candidate").isNotNull()
+    jobs = jobs.select("file_name", "candidate", F.when(there, F.col("i") / 100.0).alias("score"), F.when(there, F.col("i")).alias("inliers"), F.when(there, F.col("i") + 1).alias("good"), F.when(there, F.lit(0.5)).alias("ratio"))
+    out = graph.with_election(before, jobs, masters)
+    return out.select("file_name", F.col("sift_match_file").alias("link"), *[F.col(c).alias(v) for c, v in graph.FIGURES.items()], F.col("sift_match_checked").alias("checked"), "changed")
+
+
 # An edge spans if no better edges join its ends; then the spanning edges are walked from each root.
 @query(f"""{COMPONENTS}, links AS (SELECT file_name AS a, target AS b, row_number() OVER (ORDER BY inliers DESC, file_name, target) AS n FROM edges
 WHERE {VALID}),

@@ -221,6 +221,19 @@ def sim12_dimensions(spark, d):
     return FRAMES.df(spark, d).groupBy(F.size("vector").cast("long").alias("dim"), (F.size("vector") == 64).alias("fits")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""SELECT *, TRUE AS refused FROM ({_search(DOT, "(f.vec_id % 3 <> 0 OR f.vec_id % 9 = 0)", 0.1)})""")
+def sim12_guarded(spark, d):
+    """A search among frames of which some have other dimensions, and whether the same search by a shortened query is refused."""
+    cut = (F.col("vec_id") % 3 == 0) & (F.col("vec_id") % 9 != 0)
+    frames, vector = FRAMES.df(spark, d).withColumn("vector", F.when(cut, F.slice("vector", 1, 40)).otherwise(F.col("vector"))), _vector(spark, d, 0)
+    try:
+        search.guarded(frames, vector[:40], 0.1)
+        refused = False
+    except ValueError:
+        refused = True
+    return search.guarded(frames, vector, 0.1).withColumn("refused", F.lit(refused))
+
+
 def _text(query_: str, terms: list[str], phrase: str, quoted: bool, least: float, where: str = "TRUE") -> str:
     hits = " + ".join(f"CAST(contains(text_lower, '{t}') AS INT)" for t in terms)
     share = "1.0" if quoted else f"({hits}) / {float(len(terms))}"
