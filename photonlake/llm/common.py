@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,10 +26,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have the shuffle files of plans that are done with removed now: Spark removes them when the driver's collector finds the plans unused, which on an idle driver may be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def kept_alone(df: DataFrame, name: str) -> DataFrame:
+    """kept, for a frame that nothing else computes again: the shuffle files of its plan go as soon as it is written, and not whenever the driver's collector finds them unused."""
+    conf, setting = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(setting, None)
+    conf.set(setting, "true")
+    try:
+        return kept(df, name)
+    finally:
+        conf.set(setting, before) if before else conf.unset(setting)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonlake.llm.common import ascii_lower_words, from_planes, kept, let_go, packed, planes, remainder, small_batches, text_bytes, unpacked
+from photonlake.llm.common import ascii_lower_words, from_planes, kept, kept_alone, packed, planes, remainder, small_batches, text_bytes, unpacked
 
 #: Bytes of text in a block (one longer text is a block of its own), and bytes of text for each range of n-grams.
 BLOCK_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
@@ -280,8 +280,8 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus
                 these = slice(at, at + 64)
                 yield _rows(_ASKS, number_of[these], [number] * len(pieces[these]), pieces[these], numbers[these])
 
-    totals = kept(resolved(slim.mapInArrow(ask, _ASKS), askers, ranges, fan), "totals")
-    let_go(docs.sparkSession)  # the asks are the largest thing here, and aren't needed any more
+    # The asks are the largest thing here, and aren't needed once they are answered.
+    totals = kept_alone(resolved(slim.mapInArrow(ask, _ASKS), askers, ranges, fan), "totals")
     stats = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2"))).first()
     n, v, n1, n2 = stats.n, stats.v, stats.n1, stats.n2
 
