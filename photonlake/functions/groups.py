@@ -10,6 +10,11 @@ from photonlake.functions.hashes import normalized_hash, rounded
 from photonlake.functions.vectors import seconds
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value worked out once: an expression that the body of a lambda names is worked out again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stamps(groups: Column) -> Column:
     """Rounded time stamps of an array of groups."""
     return F.transform(groups, lambda g: seconds(g["timestamp_sec"]))
@@ -23,9 +28,9 @@ def frame_hashes(frames: Column) -> Column:
 
 def hashes_by_stamp(frames: Column) -> Column:
     """Map from rounded time to hash; of equal times the last counts."""
-    made = frame_hashes(frames)
-    last = F.filter(made, lambda f, i: ~F.exists(F.slice(made, i + 2, F.size(made)), lambda g: g["timestamp_sec"] == f["timestamp_sec"]))
-    return F.map_from_entries(last)
+    # They are sorted by time, so the next one tells whether a hash is the last of its time.
+    next_at = lambda made, i: F.get(made, i + 1)["timestamp_sec"]
+    return F.map_from_entries(bound(frame_hashes(frames), lambda made: F.filter(made, lambda f, i: ~f["timestamp_sec"].eqNullSafe(next_at(made, i)))))
 
 
 def any_faces(groups: Column) -> Column:
