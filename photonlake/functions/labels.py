@@ -28,10 +28,16 @@ def clip_model(name: Column) -> Column:
 
 
 def size_label(bytes_: Column) -> Column:
-    """Bytes, or KB, MB or GB with two decimals; n/a for null."""
+    """Bytes, or KB, MB or GB with two decimals, exact halves to even; n/a for null. Hundredths are counted in whole numbers, as a double's shortest digits may hide which side of a half it is on."""
     out = F.when(bytes_.isNull(), F.lit("n/a"))
+    whole = bytes_.cast("double").cast("long")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = out.when(bytes_ >= 1024**power, F.format_string(f"%.2f {unit}", bytes_.cast("double") / float(1024**power)))
+        bits, one = 10 * power, 1 << 10 * power
+        rest = whole.bitwiseAND(F.lit(one - 1).cast("long")) * 100
+        down, over = F.shiftright(rest, bits), rest.bitwiseAND(F.lit(one - 1).cast("long"))
+        up = (over > one // 2) | ((over == one // 2) & (down % 2 == 1))
+        hundredths = F.shiftright(whole, bits) * 100 + down + up.cast("long")
+        out = out.when(bytes_ >= one, F.format_string(f"%d.%02d {unit}", F.floor(hundredths / 100), hundredths % 100))
     return out.otherwise(F.format_string("%d B", bytes_))
 
 
