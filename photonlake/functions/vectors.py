@@ -41,6 +41,11 @@ def safe(v: Column, dim: int) -> Column:
     return F.when((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull()), v.cast("array<float>"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to some decimals, as C and SQL engines round: the product with the power of ten is rounded, halves away from zero. Spark's own rounding goes by a double's shortest digits."""
+    return F.round(x * float(10**digits), 0) / float(10**digits)
+
+
 def seconds(ts: Column) -> Column:
     """A time stamp to three decimals; null counts as 0."""
     return F.round(F.coalesce(ts.cast("double"), F.lit(0.0)), 3)

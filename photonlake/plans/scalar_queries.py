@@ -170,7 +170,7 @@ def scl23_dot(spark, d):
 
 @query(f"{WITH} SELECT vec_id, list_transform({_V}, lambda x: round(x / sqrt(list_sum(list_transform({_V}, lambda y: y * y))), 7)) AS unit FROM frames")
 def scl24_unit(spark, d):
-    return FRAMES.df(spark, d).select("vec_id", F.transform(vectors.unit(F.col("vector")), lambda x: F.round(x, 7)).alias("unit"))
+    return FRAMES.df(spark, d).select("vec_id", F.transform(vectors.unit(F.col("vector")), lambda x: vectors.rounded(x, 7)).alias("unit"))
 
 
 @query(f"{WITH} SELECT vec_id FROM frames WHERE vec_id % 3 = 0")
