@@ -484,7 +484,10 @@ def src16_discovered(spark, d):
 
     s = roots.samples(FILES.df(spark, d))
     candidates = spark.createDataFrame([(0, "/a"), (1, "/b"), (2, "/c")], "place int, root_path string")
-    there = s.select(F.concat(F.lit("/b/"), "rel").alias("path")).unionByName(s.filter("length(rel) % 2 = 0").select(F.concat(F.lit("/a/"), "rel").alias("path"))).unionByName(s.select(F.concat(F.lit("/c/"), "rel").alias("path")))
+    # The folder before it lacks the first sample of each collection at least, whatever the names are.
+    first = s.groupBy("collection_id").agg(F.min("rel").alias("rel")).select("rel")
+    some = s.filter("length(rel) % 2 = 0").join(first, "rel", "left_anti")
+    there = s.select(F.concat(F.lit("/b/"), "rel").alias("path")).unionByName(some.select(F.concat(F.lit("/a/"), "rel").alias("path"))).unionByName(s.select(F.concat(F.lit("/c/"), "rel").alias("path")))
     return roots.discovered(s, candidates, there)
 
 
