@@ -67,9 +67,19 @@ def spread(values: Column, most: int) -> Column:
 
 def capped(groups: Column, most: int, field: str = "face_embeddings") -> Column:
     """Groups whose field keeps, over all groups in order, the first `most` elements."""
-    sizes = F.transform(groups, lambda g: F.greatest(F.coalesce(F.size(g[field]), F.lit(0)), F.lit(0)))
-    before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda s, x: s + x)
-    return F.transform(groups, lambda g, i: g.withField(field, F.slice(g[field], F.lit(1), F.greatest(F.lit(most) - before(i), F.lit(0)))))
+    size = lambda g: F.greatest(F.coalesce(F.size(g[field]), F.lit(0)), F.lit(0))
+
+    # Only the first `most` groups that hold anything can keep something.
+    def cut(held: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(held, F.lit(1), i), F.lit(0), lambda s, x: s + x["n"])
+        return F.transform(held, lambda x, i: F.struct(x["at"].alias("at"), F.greatest(F.lit(most) - before(i), F.lit(0)).alias("left")))
+
+    def kept(cuts: Column) -> Column:
+        left = lambda i: F.when(i > F.coalesce(F.get(cuts, F.size(cuts) - 1)["at"], F.lit(-1)), 0).otherwise(F.coalesce(F.get(F.filter(cuts, lambda c: c["at"] == i), F.lit(0))["left"], F.lit(0)))
+        return F.transform(groups, lambda g, i: g.withField(field, F.slice(g[field], F.lit(1), left(i))))
+
+    places = F.filter(F.transform(groups, lambda g, i: F.struct(i.alias("at"), size(g).alias("n"))), lambda x: x["n"] > 0)
+    return bound(bound(F.slice(places, 1, most), cut), kept)
 
 
 def distinct_vectors(items: Column, field: str, least: float = 0.995) -> Column:
