@@ -62,8 +62,9 @@ def panel_master(index: DataFrame, roots: DataFrame) -> DataFrame:
 
 def expanded(selected: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (file_name, place): selected files (file_name, place) with all of their connected groups, in the order in which they first come up."""
-    own = selected.join(roots.select(F.col("node").alias("file_name"), "root"), "file_name", "left")
-    more = own.join(roots.select(F.col("node").alias("member"), "root"), "root").select(F.col("member").alias("file_name"), "place", F.lit(1).alias("k"))
+    # A group comes up first at the least place of its selected files; no selected file meets every member.
+    own = selected.join(roots.select(F.col("node").alias("file_name"), "root"), "file_name").groupBy("root").agg(F.min(F.struct("place")).alias("p"))
+    more = roots.select(F.col("node").alias("file_name"), "root").join(own, "root").select("file_name", "p.place", F.lit(1).alias("k"))
     rows = selected.select("file_name", "place", F.lit(0).alias("k")).unionByName(more)
     first = rows.groupBy("file_name").agg(F.min(F.struct("place", "k")).alias("at"))
     return numbered(first, [F.col("at"), F.col("file_name")], "place").select("file_name", F.col("place").cast("int").alias("place"))
