@@ -45,10 +45,11 @@ def polygons_present(polygons: Column) -> Column:
 def normal_links(links: Column) -> Column:
     """Links to files without blank names, the most similar one of each file (null counts least), similarity to three decimals, by similarity and name."""
     good = F.filter(links, lambda x: F.coalesce(F.trim(x["file_name"]) != "", F.lit(False)))
-    keyed = F.transform(good, lambda x: F.struct((-rounded(x["similarity_pct"])).alias("k"), x["file_name"].alias("file_name"), F.coalesce(x["is_video"], F.lit(False)).alias("is_video")))
-    first = F.array_sort(F.transform(keyed, lambda x: F.struct(F.coalesce(x["k"], F.lit(1.0)).alias("k"), x["file_name"].alias("file_name"), x["is_video"].alias("is_video"))))
-    best = F.filter(first, lambda x, i: ~F.exists(F.slice(first, F.lit(1), i), lambda y: y["file_name"] == x["file_name"]))
-    return F.transform(best, lambda x: F.struct(x["file_name"].alias("file_name"), x["is_video"].alias("is_video"), F.when(x["k"] <= 0, F.abs(x["k"])).alias("similarity_pct")))
+    made = F.transform(good, lambda x: F.struct(x["file_name"].alias("file_name"), F.coalesce(-rounded(x["similarity_pct"]), F.lit(1.0)).alias("k"), F.coalesce(x["is_video"], F.lit(False)).alias("is_video")))
+    # By name first, so that the one before tells whether a link is the best of its file.
+    best = bound(F.array_sort(made), lambda m: F.filter(m, lambda x, i: (i == 0) | (F.get(m, i - 1)["file_name"] != x["file_name"])))
+    order = F.array_sort(F.transform(best, lambda x: F.struct(x["k"].alias("k"), x["file_name"].alias("file_name"), x["is_video"].alias("is_video"))))
+    return F.transform(order, lambda x: F.struct(x["file_name"].alias("file_name"), x["is_video"].alias("is_video"), F.when(x["k"] <= 0, F.abs(x["k"])).alias("similarity_pct")))
 
 
 def distinct_lines(lines: Column) -> Column:
