@@ -60,9 +60,9 @@ def src17_manifest(spark, d):
     where = f"{shared_dir(spark)}/photonlake-manifest-{uuid.uuid4().hex}"
     media = F.struct(F.concat(F.lit("k"), F.col("o_custkey") % 2).alias("chat_id"), F.lit("1").alias("message_id"), F.concat(F.lit("old/"), "o_orderkey").alias("source"), F.concat(F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("relative"), F.col("o_orderkey").alias("size"), F.lit("").alias("sha256"), F.lit("photo").alias("media_type"), F.when(F.col("o_orderkey") % 3 == 0, "missing").otherwise("present").alias("status"))
     chats = F.expr("array(named_struct('chat_id', 'k0', 'destination', 'chat0'), named_struct('chat_id', 'k1', 'destination', 'chat1'))")
-    # One manifest for each remainder, as several jobs would leave them.
-    docs = table(spark, d, "orders").groupBy((F.col("o_orderkey") % 8).alias("part")).agg(F.collect_list(media).alias("media"))
-    docs.select(F.lit(1).alias("version"), F.lit("/new").alias("destination_root"), chats.alias("chats"), "media").repartition(4).write.option("multiLine", False).json(where)
+    # One manifest for each range of 8,192 keys, as many bounded jobs would leave them.
+    docs = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 8192).alias("part")).agg(F.collect_list(media).alias("media"))
+    docs.select(F.lit(1).alias("version"), F.lit("/new").alias("destination_root"), chats.alias("chats"), "media").write.option("multiLine", False).json(where)
     rows = spark.read.schema(manifests.RELOCATION).json(where)
     flat = rows.select("chats", F.explode("media").alias("m")).select("chats", "m.*").withColumn("destination", F.get(F.filter("chats", lambda c: c["chat_id"] == F.col("chat_id")), F.lit(0))["destination"])
     return manifests.mapping(flat, "c")
