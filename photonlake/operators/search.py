@@ -154,8 +154,41 @@ def first_of(results: DataFrame, key: str, order: str = "rank") -> DataFrame:
     return results.filter(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
 
 
-#: Rows of candidates and of queries that meet in one task of a shortlist.
-SHORTLIST_ROWS = 8192
+#: Rows of candidates and of queries that meet in one task of a shortlist, and products that it holds at once.
+SHORTLIST_ROWS, SHORTLIST_PRODUCTS = 8192, 1 << 19
+
+
+def nearest_in_block(table: pa.Table, k: int, digits: int, products: int = SHORTLIST_PRODUCTS) -> pa.Table:
+    """The k best of the candidates (kind 1) for each of the queries (kind 0) of a block: file_name, candidate, score. table: kind, file_name and v, a unit vector. What is found is kept
+    as numbers of rows, so a task holds the block, some strips of `products` scores and k numbers for each query."""
+    kind, names = table["kind"].to_numpy(), table["file_name"].combine_chunks()
+    lists = table["v"].combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    values = lists.flatten().to_numpy()
+    place = np.argsort(np.array(names.to_pylist(), dtype=object), kind="stable")
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for size in np.unique(sizes):  # vectors of different sizes aren't compared
+        # By name, so that of equal scores the first are the smallest names.
+        at = [place[(kind[place] == side) & (sizes[place] == size)] for side in (0, 1)]
+        if not all(map(len, at)):
+            continue
+        one, two = at
+        asked, offered = (values[(ends[i] - size)[:, None] + np.arange(size)] for i in at)
+        # The same number for the same name on both sides.
+        code = np.unique(np.array(names.take(pa.array(np.concatenate((one, two)))).to_pylist(), dtype=object), return_inverse=True)[1]
+        mine, theirs = code[: len(one)], code[len(one) :]
+        step = max(1, products // len(two))
+        for lo in range(0, len(one), step):
+            scores = asked[lo : lo + step] @ offered.T
+            scores = np.floor(np.abs(scores) * 10**digits + 0.5) * np.sign(scores) / 10**digits
+            scores[mine[lo : lo + step][:, None] == theirs[None, :]] = -np.inf
+            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(scores, top, axis=1)
+            row, n = np.nonzero(best > -np.inf)
+            found.append((one[lo + row].astype(np.int32), two[top[row, n]].astype(np.int32), best[row, n]))
+    left, right, score = (np.concatenate([f[i] for f in found]) if found else np.array([], dtype=t) for i, t in enumerate((np.int32, np.int32, np.float64)))
+    return pa.table({"file_name": names.take(pa.array(left)), "candidate": names.take(pa.array(right)), "score": pa.array(score)})
 
 
 def shortlist(frames: DataFrame, k: int = 64, digits: int = 5, eligible: DataFrame | None = None, rows: int = SHORTLIST_ROWS) -> DataFrame:
@@ -175,27 +208,7 @@ def shortlist(frames: DataFrame, k: int = 64, digits: int = 5, eligible: DataFra
     tasks = left.unionByName(right).repartition(min(a * b, 20_000), "i", "j")
 
     def best(table: pa.Table) -> pa.Table:
-        kind, names = table["kind"].to_numpy(), np.array(table["file_name"].to_pylist(), dtype=object)
-        lists = table["v"].combine_chunks()
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes)
-        values = lists.flatten().to_numpy()
-        out: list[tuple] = []
-        for size in np.unique(sizes):  # vectors of different sizes aren't compared
-            at = [np.flatnonzero((kind == side) & (sizes == size)) for side in (0, 1)]
-            if not all(map(len, at)):
-                continue
-            asked, offered = (values[(ends[i] - size)[:, None] + np.arange(size)] for i in at)
-            one, two = (names[i] for i in at)
-            # By name, so that of equal scores the first are the smallest names.
-            order = np.argsort(two, kind="stable")
-            two, offered = two[order], offered[order]
-            for lo in range(0, len(one), 512):
-                scores = asked[lo : lo + 512] @ offered.T
-                scores = np.where(one[lo : lo + 512][:, None] == two[None, :], -np.inf, np.floor(np.abs(scores) * 10**digits + 0.5) * np.sign(scores) / 10**digits)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out += [(one[lo + r], two[c], float(scores[r, c])) for r in range(len(top)) for c in top[r] if scores[r, c] > -np.inf]
-        return pa.table({"file_name": pa.array([x[0] for x in out], pa.string()), "candidate": pa.array([x[1] for x in out], pa.string()), "score": pa.array([x[2] for x in out], pa.float64())})
+        return nearest_in_block(table, k, digits)
 
     scored = tasks.groupBy("i", "j").applyInArrow(best, "file_name string, candidate string, score double")
     order = Window.partitionBy("file_name").orderBy(F.col("score").desc(), "candidate")
