@@ -24,7 +24,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8. Null and empty texts are copies of one another; rows
+    """The document with the smallest id of each group of near duplicates: SimHash fingerprints of five-word shingles, then similarity 0.8. Null and empty texts are copies of one another; rows
     of one id stay or go together; rows without an id stay; an empty table stays empty."""
     return simhash.drop_near_copies(docs)
 

@@ -224,14 +224,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 #: Least shingles by which the texts of near_copies come together.
 LEAST = 6
+#: Words of 64 bits in the fingerprints of near_copies.
+LONG_WORDS = 4
 _MIX = np.array([signed((0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 >> k) & (1 << 64) - 1 | 1) for k in range(2 * LEAST)], dtype=np.int64).view(np.uint64)
+_MIX_LONG = np.array([signed((0xC2B2AE3D27D4EB4F * (2 * k + 1) ^ 0x165667B19E3779F9 >> k) & (1 << 64) - 1 | 1) for k in range(2 * LONG_WORDS)], dtype=np.int64).view(np.uint64)
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+def _mixed(hashes: np.ndarray, k: int, mix: np.ndarray = _MIX) -> np.ndarray:
     """Another hash of each hash."""
-    x = hashes * _MIX[k]
+    x = hashes * mix[k]
     x ^= x >> np.uint64(29)
-    x *= _MIX[k + LEAST]
+    x *= mix[k + len(mix) // 2]
     return x ^ x >> np.uint64(32)
 
 
@@ -261,6 +264,22 @@ def least_shingles(shingles: np.ndarray) -> list[int]:
     return [signed(int(_mixed(shingles, k).min())) ^ k for k in range(LEAST)] if len(shingles) else []
 
 
+def long_fingerprint(shingles: np.ndarray) -> bytes:
+    """256 bits over a shingle set, each 1 if set in over half of the hashes."""
+    votes = np.zeros(BITS * LONG_WORDS, dtype=np.int64)
+    for at in range(0, len(shingles), 16384):
+        part = shingles[at : at + 16384]
+        votes += np.concatenate([np.unpackbits(_mixed(part, k, _MIX_LONG).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for k in range(LONG_WORDS)])
+    return np.packbits(votes * 2 > len(shingles)).tobytes()
+
+
+def long_radius(similarity: float, deviations: float = 8) -> int:
+    """Bits by which the long fingerprints of sets of this similarity differ, and so many standard deviations more."""
+    bits = BITS * LONG_WORDS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+
 def first_shingles(shingles: np.ndarray, similarity: float) -> list[int]:
     """So many of the smallest shingles that two sets of this similarity share at least one of them."""
     return [signed(x) for x in shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1].tolist()]
@@ -355,27 +374,33 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     """id and component_id (the smallest id reachable over links) of every row with an id.
 
     Texts of equal shingle sets are one class. Classes come together if they share one of their least shingles under six hashes (those of Jaccard similarity s do but for
-    (1 - s)^6 of them: 1 in 15,000 at 0.8) and are links if their sets have the similarity. With `exact` they come together if they share one of the first
-    fifth of their shingles in hash order, which those of the similarity always do; that takes some 20 times as many keys. No fingerprint decides: those of
-    short texts, and of texts of a few shingles over and over, tell too little. Texts without words are copies of one another.
+    (1 - s)^6 of them: 1 in 15,000 at 0.8), are tied if their fingerprints are within the radius there (bit planes, as for near_duplicates), and among those tied are links if their
+    sets have the similarity. The radius is 8 standard deviations beyond what the similarity lets expect, as the fingerprints of small sets stray: sets of four and five shingles are 48
+    bits apart on average and 84 are allowed, of 128 between strangers. With `exact` classes come together if they share one of the first fifth of their shingles in hash order, which
+    those of the similarity always do, and no fingerprint is asked; that takes some 20 times as many keys. Texts without words are copies of one another.
     """
     slim = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text_bytes(text).alias("text"))
 
     def rows(part):
         sets = [shingle_set(t, words) for t in part["text"]]
-        yield {"id": part["id"], "print": [set_digest(x) for x in sets], "size": [len(x) for x in sets], "least": [first_shingles(x, similarity) if exact else least_shingles(x) for x in sets]}
+        made = {"id": part["id"], "print": [set_digest(x) for x in sets], "size": [len(x) for x in sets], "least": [first_shingles(x, similarity) if exact else least_shingles(x) for x in sets]}
+        yield made | {"fp": [None if exact else long_fingerprint(x) for x in sets]}
 
     def sets(part):
         made = [shingle_set(t, words) for t in part["text"]]
         yield {"print": [set_digest(x) for x in made], "shingles": [packed(compared(x)) for x in made]}
 
-    prints = kept(map_rows(slim, rows, "id long, print binary, size long, least array<long>", slices=200), "prints")
-    classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.min("least").alias("least")), "classes")
-    keyed = classes.select("node", "print", "size", F.explode(F.array_distinct("least")).alias("key"))
+    prints = kept(map_rows(slim, rows, "id long, print binary, size long, least array<long>, fp binary", slices=200), "prints")
+    classes = kept(prints.groupBy("print").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.min("least").alias("least"), F.min("fp").alias("fp")), "classes")
+    keyed = classes.select("node", "print", "size", "fp", F.explode(F.array_distinct("least")).alias("key"))
     # Keys of the same classes are one bucket.
     members = [F.bit_xor(F.xxhash64(F.lit(k), "print")).alias(f"m{k}") for k in range(2)]
     busy = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
     held = kept(keyed.join(busy.select("key"), "key", "left_semi"), "held")
+    if not exact:
+        tied = components(linked(held.select("node", F.col("fp").alias("print"), "key"), long_radius(similarity), chunk), "u", "v")
+        near = kept(held.join(tied, "node").select("node", "print", "size", F.xxhash64("key", "root").alias("key")), "near")
+        held = near.join(near.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "key", "left_semi")
     texts = slim.join(held.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     # Written, so that the texts' shuffle can go before the sets are dealt out.
     shingles = kept(map_rows(texts, sets, "print binary, shingles binary", slices=200).groupBy("print").agg(F.first("shingles").alias("shingles")), "sets")
