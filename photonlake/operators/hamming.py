@@ -2,6 +2,8 @@
 
 Hashes within a small distance agree on some combination of bit blocks, so these are equi-join keys; equal hashes are grouped
 first, so that copies meet once. The combinations grow with the number of hashes. At large distances they select nothing; there hashes meet in cells (hamming_cells).
+
+A hash has a row for each combination. Spark sizes that side by the hashes' file, so it would send all of it to every executor; the join is asked to merge.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def hash_pairs(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
         return hamming_cells.near_pairs(one, two, most, left is right, n)
     masks = F.array(*[F.lit(signed(m)) for m in block_masks(n, most)])
     keyed = lambda rows, h: rows.select(h, F.posexplode(F.transform(masks, lambda m: F.col(h).bitwiseAND(m))).alias("mask", "value"))
-    met = keyed(one, "a").join(keyed(two, "b"), ["mask", "value"])
+    met = keyed(one, "a").join(keyed(two, "b").hint("merge"), ["mask", "value"])
     apart = F.col("a").bitwiseXOR(F.col("b"))
     first = F.array_position(F.transform(masks, lambda m: apart.bitwiseAND(m) == 0), True) - 1
     return met.withColumn("d", hashes.distance(F.col("a"), F.col("b"))).filter(F.col("d") <= most).filter(first == F.col("mask")).select("a", "b", "d")

@@ -24,6 +24,12 @@ def _videos(spark, d):
     return FILES.df(spark, d).filter("is_video")
 
 
+def _placed(spark, d):
+    """Images in their order. Only what the order and the hashes need is sorted: texts would be most of it."""
+    rows = _images(spark, d).select("doc_id", "file_name", "h", "image_width", "image_height", "source_size", F.lit(False).alias("is_thumb"))
+    return hamming.image_order(rows)
+
+
 @query(f"""{WITH}, p AS (SELECT a.file_name, b.file_name AS match, {D} AS d FROM files a JOIN files b ON a.file_name <> b.file_name AND {D} <= 3),
 n AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY d, match) AS k FROM p) SELECT file_name, match, d FROM n WHERE k = 1""")
 def join1_hamming_best(spark, d):
@@ -135,20 +141,18 @@ ORDER = "greatest(image_width, image_height) DESC, CAST(image_width AS BIGINT) *
 @query(_greedy("NOT is_video", ORDER, 3, "doc_id % 13 = 0"))
 def agg2_leader(spark, d):
     """Greedy grouping of images, some of which are never demoted."""
-    rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
-    return hamming.leaders(rows.withColumn("busy", F.col("doc_id") % 13 == 0), 95.0, "busy")
+    return hamming.leaders(_placed(spark, d).withColumn("busy", F.col("doc_id") % 13 == 0), 95.0, "busy")
 
 
 @query(_greedy("NOT is_video", ORDER, 3))
 def agg3_image_groups(spark, d):
-    rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
-    return hamming.leaders(rows, 95.0)
+    return hamming.leaders(_placed(spark, d), 95.0)
 
 
 @query(_greedy("is_video", "file_name", 12))
 def agg4_video_groups(spark, d):
     """Greedy grouping of videos in the order of their names."""
-    return hamming.leaders(search.numbered(_videos(spark, d), [F.col("file_name")], "place"), 80.0)
+    return hamming.leaders(search.numbered(_videos(spark, d).select("file_name", "h"), [F.col("file_name")], "place"), 80.0)
 
 
 @query(f"""{_greedy("NOT is_video", ORDER, 3).replace("    SELECT i.file_name, h.place", ", made AS (SELECT i.file_name, h.place").replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}),
@@ -158,13 +162,13 @@ SELECT count(*) FILTER (WHERE is_master) AS masters, count(*) FILTER (WHERE NOT
 count(*) FILTER (WHERE match IS NOT NULL AND old IS NOT NULL AND match <> old) AS retargeted FROM made JOIN old USING (file_name)""")
 def agg5_repair(spark, d):
     """How many masters, demoted and retargeted files a rebuild from scratch gives."""
-    rows = hamming.image_order(_images(spark, d).withColumn("is_thumb", F.lit(False)))
-    return hamming.repaired(rows, _index(spark, d).select("file_name", F.when(F.col("dedupe_match_file") != F.col("file_name"), F.col("dedupe_match_file")).alias("old")), 95.0)
+    return hamming.repaired(_placed(spark, d), _index(spark, d).select("file_name", F.when(F.col("dedupe_match_file") != F.col("file_name"), F.col("dedupe_match_file")).alias("old")), 95.0)
 
 
 @query(f"{WITH} SELECT file_name, CAST(row_number() OVER (ORDER BY {ORDER}) AS BIGINT) AS place FROM files")
 def sort4_image_order(spark, d):
-    return hamming.image_order(FILES.df(spark, d).withColumn("is_thumb", F.lit(False))).select("file_name", "place")
+    rows = FILES.df(spark, d).select("file_name", "image_width", "image_height", "source_size", F.lit(False).alias("is_thumb"))
+    return hamming.image_order(rows).select("file_name", "place")
 
 
 @query(f"""{WITH} SELECT split_part(file_name, '/', 1) AS grp, max_by(file_name, struct_pack(a := greatest(image_width, image_height), b := source_size,
