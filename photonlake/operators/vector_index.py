@@ -25,6 +25,10 @@ from photonlake.plans.storage import kept
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 8
 #: Rows of one cell that a task scores for all queries that look into it; larger cells are dealt out by hash.
 BLOCK_ROWS = 65_536
+#: Queries that a task holds for a block of rows; if there are more, each such part of them gets the block.
+BLOCK_QUERIES = 8_192
+#: Scores that a task holds at once, and queries whose results it hands on at once.
+STRIP_SCORES, OUT_QUERIES = 1 << 19, 1_024
 #: Rows without a usable vector have no cell.
 NO_CELL = -1
 #: Scores are compared with this much to spare, for sums in another order.
@@ -181,65 +185,72 @@ def search_or_scan(spark: SparkSession, path: str | None, frames: DataFrame, que
     return search.search(frames, query, min_score, video_only, folder)
 
 
-def _looked(queries: DataFrame, index: DataFrame, cells: Cells, k: int | None) -> DataFrame:
-    """(query, id, approx) of the rows in the cells that queries look into. queries: query, v (at length 1), cell, reach. By k: the best of each block of rows; without, those that may reach `reach`.
-
-    A task gets a block of a cell's codes after the queries that look into it, and works through them batch by batch."""
-    sizes = kept(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "cells")  # a row for each cell
-    asked = queries.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "query", "v", "reach", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("off"))
-    rows = index.select("cell", "id", "code", "off").join(F.broadcast(sizes), "cell")
-    held = rows.select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("v"), F.lit(0.0).alias("reach"), "id", "code", "off")
-    dealt = asked.unionByName(held).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
-    centroids, scale = cells.centroids, cells.scale
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts, reach = None, [], [], []
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def out(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]), pa.int64()), pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for _, _, s in found]))], names=["query", "id", "approx"])
-
-        for batch in batches:
-            cell, block, kind = (batch.column(n).to_numpy() for n in range(3))
-            cuts = np.flatnonzero(np.concatenate(([True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])))) if len(cell) else []
-            for a, b in zip(cuts, [*cuts[1:], len(cell)]):
-                if (cell[a], block[a]) != now:
-                    if best:
-                        yield out([(q, *x) for q, x in best.items()])
-                    now, ids, parts, reach, best = (cell[a], block[a]), [], [], [], {}
-                if kind[a] == 0:
-                    ids += batch.column(3).slice(a, b - a).to_pylist()
-                    parts.append(batch.column(4).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
-                    reach += batch.column(5).slice(a, b - a).to_pylist()
-                    continue
-                if not ids:
+def _scored(batches: Iterator[pa.RecordBatch], cells: Cells, k: int | None) -> Iterator[pa.RecordBatch]:
+    """(query, id, approx) of rows (cell, block, part, kind, query, v, reach, id, code, off) in that order: the queries (kind 0) of each part of a block come before its codes (kind 1). What is held doesn't
+    grow with the rows: strips of scores, and for each query of a part its k best."""
+    now, ids, parts, reach = None, [], [], []
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i), pa.array(s)], names=["query", "id", "approx"])
+
+    def bests() -> Iterator[pa.RecordBatch]:
+        found = list(best.items())
+        for at in range(0, len(found), OUT_QUERIES):
+            some = found[at : at + OUT_QUERIES]
+            yield out(np.repeat([q for q, _ in some], [len(i) for _, (i, _) in some]), np.concatenate([i for _, (i, _) in some]), np.concatenate([s for _, (_, s) in some]))
+
+    for batch in batches:
+        keys, kind = np.stack([batch.column(n).to_numpy() for n in range(3)], axis=1), batch.column(3).to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1) | (kind[1:] != kind[:-1])))) if len(kind) else []
+        for a, b in zip(cuts, [*cuts[1:], len(kind)]):
+            key = tuple(keys[a].tolist())
+            if key != now:
+                yield from bests()
+                now, ids, parts, reach, best = key, [], [], [], {}
+            if kind[a] == 0:
+                ids.append(batch.column(4).slice(a, b - a).to_numpy())
+                parts.append(batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+                reach.append(batch.column(6).slice(a, b - a).to_numpy())
+                continue
+            if not ids:
+                continue
+            ids, parts, reach = [np.concatenate(ids)], [np.concatenate(parts)], [np.concatenate(reach)]
+            own = batch.column(7).slice(a, b - a).to_numpy()
+            codes = np.frombuffer(b"".join(batch.column(8).slice(a, b - a).to_pylist()), dtype=np.int8).reshape(b - a, -1)
+            off = batch.column(9).slice(a, b - a).to_numpy()
+            rows = (cells.centroids[key[0]] + codes * cells.scale).T
+            step = max(1, STRIP_SCORES // int(b - a))
+            for at in range(0, len(ids[0]), step):
+                asked, scores = ids[0][at : at + step], parts[0][at : at + step] @ rows
+                if k is None:
+                    q, i = np.nonzero(scores + off >= reach[0][at : at + step, None] - SPARE)
+                    if len(q):
+                        yield out(asked[q], own[i], scores[q, i])
                     continue
-                asked_ = np.concatenate(parts)
-                parts = [asked_]
-                own = batch.column(6).slice(a, b - a).to_numpy()
-                codes = np.frombuffer(b"".join(batch.column(7).slice(a, b - a).to_pylist()), dtype=np.int8).reshape(b - a, -1)
-                off = batch.column(8).slice(a, b - a).to_numpy()
-                scores = asked_ @ (centroids[cell[a]] + codes * scale).T
-                found = []
-                for r, q in enumerate(ids):
-                    if k is None:
-                        at = np.flatnonzero(scores[r] + off >= reach[r] - SPARE)
-                        if len(at):
-                            found.append((q, own[at], scores[r, at]))
-                        continue
-                    at = np.argpartition(-scores[r], k - 1)[:k] if b - a > k else np.arange(b - a)
-                    i, s = own[at], scores[r, at]
+                for r, q in enumerate(asked.tolist()):
+                    top = np.argpartition(-scores[r], k - 1)[:k] if b - a > k else np.arange(b - a)
+                    i, s = own[top], scores[r, top]
                     if q in best:
                         i, s = np.concatenate((best[q][0], i)), np.concatenate((best[q][1], s))
                         top = np.lexsort((i, -s))[:k]
                         i, s = i[top], s[top]
                     best[q] = i, s
-                if found:
-                    yield out(found)
-        if best:
-            yield out([(q, *x) for q, x in best.items()])
+    yield from bests()
+
 
-    return dealt.mapInArrow(look, "query long, id long, approx double")
+def _looked(queries: DataFrame, index: DataFrame, cells: Cells, k: int | None, n: int) -> DataFrame:
+    """(query, id, approx) of the rows in the cells that queries look into. queries: query, v (at length 1), cell, reach; n: how many queries there are. By k: the best of each block of rows; without,
+    those that may reach `reach`.
+
+    A task gets a block of a cell's codes after a part of the queries that look into it, and works through them batch by batch."""
+    sizes = kept(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")), "cells")  # a row for each cell
+    parts = max(1, -(-n // BLOCK_QUERIES))
+    asked = queries.join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "query", "v", "reach", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("off"))
+    rows = index.select("cell", "id", "code", "off").join(F.broadcast(sizes), "cell")
+    held = rows.select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("v"), F.lit(0.0).alias("reach"), "id", "code", "off")
+    dealt = asked.unionByName(held).repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "kind")
+    return dealt.mapInArrow(lambda batches: _scored(batches, cells, k), "query long, id long, approx double")
 
 
 def _rescored(shortlist: DataFrame, queries: DataFrame, index: DataFrame, k: int, digits: int) -> DataFrame:
@@ -259,7 +270,7 @@ def nearest(index: DataFrame, cells: Cells, least: dict[int, float], queries: Da
     dim, centroids, probes = cells.dim, cells.centroids, min(probes or cells.probes, len(cells.centroids))
     usable = queries.select("query", F.transform(vectors.safe(F.col("vector"), dim), lambda x: x.cast("double")).alias("vector")).filter("vector IS NOT NULL")
     asked = kept(usable.filter(vectors.norm(F.col("vector")) > 0).withColumn("v", vectors.unit(F.col("vector"))), "queries")
-    there = index.filter(F.col("cell") != NO_CELL)
+    there, n = index.filter(F.col("cell") != NO_CELL), asked.count()  # from the files' footers
     held = np.array(sorted(least), dtype=np.int64)
 
     def looks(rows: DataFrame, reach: bool) -> DataFrame:
@@ -280,7 +291,7 @@ def nearest(index: DataFrame, cells: Cells, least: dict[int, float], queries: Da
 
         return rows.mapInArrow(choose, "query long, v array<double>, reach double, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
 
-    first = _looked(looks(asked.select("query", "v", F.lit(-2.0).alias("reach")), False), there, cells, more * k)
+    first = _looked(looks(asked.select("query", "v", F.lit(-2.0).alias("reach")), False), there, cells, more * k, n)
     top = Window.partitionBy("query").orderBy(F.col("approx").desc(), "id")
     found = _rescored(first.withColumn("__n", F.row_number().over(top)).filter(F.col("__n") <= more * k), asked, there, k, digits)
     if not exact:
@@ -288,4 +299,4 @@ def nearest(index: DataFrame, cells: Cells, least: dict[int, float], queries: Da
     # A score is rounded, so one that looks as good may be half a unit lower.
     reached = kept(found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s")).select("query", F.when(F.col("n") >= k, F.col("s") - 10.0**-digits).otherwise(F.lit(-2.0)).alias("reach")), "reached")
     again = looks(asked.join(reached, "query", "left").select("query", "v", F.coalesce("reach", F.lit(-2.0)).alias("reach")), True)
-    return _rescored(_looked(again, there, cells, None), asked, there, k, digits)
+    return _rescored(_looked(again, there, cells, None, n), asked, there, k, digits)
